@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +18,8 @@ LENGTH = 4096
 END = 2
 #: Tokens that one task packs and holds at a time.
 GROUP_TOKENS = 1 << 21
-#: Words whose ids a task keeps.
-MOST_WORDS = 400_000
+#: Parts of texts whose ids a Python worker keeps.
+MOST_PARTS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -31,27 +32,45 @@ def tokenizer_path() -> str:
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins what it separates, so ids of the pieces between
-    spaces and line breaks are looked up and only new pieces are tokenized.
+    The tokenizer lowers a text, splits it by its pattern and tokenizes each part by itself. A text of
+    printable Latin letters and white space is split here in the same way, and only parts not met before
+    are tokenized; any other text is tokenized as it is.
     """
 
-    SPLIT = re.compile(r"[ \n]+")
+    OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]|<\|")
+    # The pattern of the tokenizer file for these characters, lowered.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-\u017e]+|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-\u017e²³¹¼½¾]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.parts = Tokenizer.from_file(path), {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a part
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    def _learn(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.parts.update(zip(some, (raw[x:y] for x, y in zip(at, at[1:]))))
+            else:
+                self.parts.update((p, self._whole(p)) for p in some)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.SPLIT.split(t) for t in texts]
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        new = list({w for ws in split for w in ws if w not in self.known})
-        for i in range(0, len(new), 4096):
-            for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([END], "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) + end for ws in split]
+        split = [None if self.OTHER.search(t) else self.PARTS.findall((t if t.isascii() else unicodedata.normalize("NFC", t)).lower()) for t in texts]
+        if len(self.parts) > MOST_PARTS:
+            self.parts.clear()
+        if new := set().union(*filter(None, split)).difference(self.parts):
+            self._learn(list(new))
+        end, known = np.array([END], "<u4").tobytes(), self.parts.__getitem__
+        return [(self._whole(t) if ps is None else b"".join(map(known, ps))) + end for t, ps in zip(texts, split)]
 
 
 @lru_cache(maxsize=1)
