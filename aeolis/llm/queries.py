@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, packing, quality, secrets, spotsigs
+from . import langid, lines, mixing, near, packing, quality, secrets, spotsigs
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op4_near": near.op4_near,
     "op5_spotsigs": spotsigs.op5_spotsigs,
     "op6_mixing": mixing.op6_mixing,
     "op7_langid": langid.op7_langid,
