@@ -26,7 +26,7 @@ MISS = 1e-5
 BATCH = 32
 #: Members of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BUCKET = 4096
-#: Members compared with one text at a time.
+#: Pairs to verify go in blocks of so many by so many members of a bucket, texts of at most twice as many.
 GROUP = 64
 #: Up to so many ids are broadcast to pick texts; more are joined by shuffling.
 BROADCAST_IDS = 1 << 21
@@ -120,7 +120,7 @@ def _compare(forest: bool):
     def judged(rows: pa.Table):
         ids, label = rows["id"].to_numpy(), rows["label"].to_numpy()
         if len(rows) < 2 or (label == label[0]).all():
-            return None
+            return []
         side = rows["left"].to_numpy()
         order = np.lexsort((ids, ~side))
         ids, label, side = ids[order], label[order], side[order]
@@ -129,43 +129,49 @@ def _compare(forest: bool):
         if forest and len(i):
             keep = _forest(len(ids), i, j, matches)
             i, j = i[keep], j[keep]
-        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return _grouped(rows["bucket"][0].as_py(), ids, i, j)
 
     def run(batches):
-        held = []
-        found = []
-
-        def take(rows):
-            if (pairs := judged(rows)) is not None and len(pairs[0]):
-                found.append(pairs)
-
+        held, found = [], []
         for b in batches:
             bucket = b["bucket"].to_numpy()
             edges = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
             parts = [b.slice(i, j - i) for i, j in zip([0, *edges], [*edges, len(b)]) if j > i]
             for part in parts:
                 if held and held[0]["bucket"][0].as_py() != part["bucket"][0].as_py():
-                    take(pa.Table.from_batches(held).combine_chunks())
+                    found += judged(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 held.append(part)
-            if sum(len(a) for a, _ in found) > 50_000:
-                yield _pairs(found)
-                found.clear()
+            if len(found) > 1000:
+                yield _groups(found)
+                found = []
         if held:
-            take(pa.Table.from_batches(held).combine_chunks())
+            found += judged(pa.Table.from_batches(held).combine_chunks())
         if found:
-            yield _pairs(found)
+            yield _groups(found)
 
     return run
 
 
-def _pairs(found):
-    a, b = (np.concatenate(x) for x in zip(*found))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _grouped(bucket: int, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, list[int], bytes]]:
+    """The pairs dealt to blocks of GROUP by GROUP members: (group, ids, pairs of positions in ids)."""
+    out = []
+    code = (i // GROUP) * (len(ids) // GROUP + 1) + j // GROUP
+    order = np.argsort(code, kind="stable")
+    cuts = np.flatnonzero(np.diff(code[order])) + 1
+    for part in np.split(order, cuts) if len(order) else ():
+        used, where = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+        name = mix(np.array([bucket, code[part[0]]], np.int64).view(U64))
+        out.append((int(mix(name[:1] + U64(3) * name[1:]).view(np.int64)[0]), ids[used].tolist(), where.astype(np.uint8).reshape(2, -1).tobytes()))
+    return out
+
+
+def _groups(found):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["group", "ids", "pairs"])
 
 
 def _candidates(members: DataFrame, reps: DataFrame, labels: DataFrame | None, forest: bool) -> DataFrame:
-    """Distinct pairs a < b of reps to verify. members: bucket, band, id, n (members of the bucket)."""
+    """Groups of pairs to verify. members: bucket, band, id, n (members of the bucket)."""
     parts = F.ceil(F.col("n") / (BUCKET // 2)).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     whole = members.filter(F.col("n") <= BUCKET).select("bucket", "band", "id", F.lit(False).alias("left"))
@@ -178,38 +184,49 @@ def _candidates(members: DataFrame, reps: DataFrame, labels: DataFrame | None, f
     else:
         rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     rows = rows.select("bucket", "band", "id", "left", "label", "sig").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_compare(forest), "a long, b long").distinct()
+    return rows.mapInArrow(_compare(forest), "group long, ids array<long>, pairs binary")
 
 
 def _confirm(batches):
-    """Rows come leader by leader, its own text first: leader, salt, other (null for the leader), text."""
-    at, own = None, None
+    """Rows come group by group, first its pairs, then its texts: group, id (null with the pairs), ids, pairs, text."""
+    at, pairs, sets = None, None, {}
+
+    def links():
+        if pairs is None:
+            return
+        for x, y in zip(*pairs):
+            one, two = sets.get(x), sets.get(y)
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            if 100 * both >= PERCENT * (len(one) + len(two) - both):
+                yield min(x, y), max(x, y)
+
     for b in batches:
-        leaders, salts, others = (b[c].to_pylist() for c in ("leader", "salt", "other"))
-        a, o = [], []
+        groups, ids = b["group"].to_pylist(), b["id"].to_pylist()
+        found = []
         for lo, hi, data, offsets in blocks(b["text"]):
-            for k, found in zip(range(lo, hi), shingle_sets(data, offsets)):
-                if others[k] is None:
-                    at, own = (leaders[k], salts[k]), found
-                elif at == (leaders[k], salts[k]):
-                    both = len(np.intersect1d(own, found, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(own) + len(found) - both):
-                        a.append(leaders[k])
-                        o.append(others[k])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(o, pa.int64())], ["a", "b"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are linked by their full sets. A leader's text goes with GROUP others at a time."""
-    pairs = cut(pairs)
-    sizes = pairs.groupBy(F.col("a").alias("leader")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    others = pairs.join(sizes, pairs.a == sizes.leader).select(F.col("b").alias("id"), "leader", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), F.col("b").alias("other"))
-    leaders = sizes.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(None).cast("long").alias("other"))
-    wanted = cut(others.union(leaders))
-    if wanted.count() <= BROADCAST_IDS:
+            for k, own in zip(range(lo, hi), shingle_sets(data, offsets)):
+                if groups[k] != at:
+                    found += links()
+                    at, pairs, sets = groups[k], None, {}
+                if ids[k] is None:
+                    names = b["ids"][k].as_py()
+                    pairs = [[names[i] for i in side] for side in np.frombuffer(b["pairs"][k].as_py(), np.uint8).reshape(2, -1)]
+                else:
+                    sets[ids[k]] = own
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+    found = list(links())
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+
+def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that are linked by their full sets; a text goes once to each group that needs it."""
+    groups = cut(groups)
+    wanted = groups.select("group", F.explode("ids").alias("id"))
+    if (groups.agg(F.sum(F.size("ids"))).first()[0] or 0) <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = documents(docs).join(wanted, F.col("doc_id") == F.col("id")).select("leader", "salt", "other", "text")
-    return texts.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("other").asc_nulls_first()).mapInArrow(_confirm, "a long, b long")
+    texts = documents(docs).join(wanted, F.col("doc_id") == F.col("id")).select("group", "id", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("pairs"), "text")
+    rows = texts.union(groups.select("group", F.lit(None).cast("long"), "ids", "pairs", F.lit("")))
+    return rows.repartition("group").sortWithinPartitions("group", F.col("id").asc_nulls_first()).mapInArrow(_confirm, "a long, b long")
 
 
 def link_near(docs: DataFrame) -> DataFrame:
