@@ -27,7 +27,7 @@ BATCH = 32
 #: Members of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
 BUCKET = 4096
 #: Pairs to verify go in blocks of so many by so many members of a bucket, texts of at most twice as many.
-GROUP = 64
+GROUP = 128
 #: Up to so many ids are broadcast to pick texts; more are joined by shuffling.
 BROADCAST_IDS = 1 << 21
 
