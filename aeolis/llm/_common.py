@@ -35,6 +35,11 @@ def chunk_count(df: DataFrame) -> int:
     return max(4 * shuffle_partitions(df.sparkSession), plan_bytes(df) // CHUNK_BYTES)
 
 
+def shard_count(df: DataFrame) -> int:
+    """Parts by hash of what chunks ask about; each chunk sends a row to each, so there are fewer of them."""
+    return max(min(48, shuffle_partitions(df.sparkSession)), plan_bytes(df) // (2 * CHUNK_BYTES))
+
+
 def by_chunk(docs: DataFrame, *more: str) -> DataFrame:
     """documents() with a chunk number made of doc_id, dealt out by it.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bytes import U64, Rolling, blocks, lines, stripped
-from ._common import by_chunk, chunk_count, table
+from ._common import by_chunk, shard_count, table
 from .mph import PerfectHash
 
 MIN_DOCS = 10
@@ -137,7 +137,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, carry: tuple[st
     if docs.schema["text"].dataType.typeName() != "string" or min_docs > 255:
         raise ValueError("text must be a string column and min_docs at most 255")
     dealt = by_chunk(docs, *carry)
-    shards = chunk_count(docs)
+    shards = shard_count(docs)
     asked = dealt.select("doc_id", "text", "chunk", *carry).mapInArrow(_count(shards), "shard int, chunk int, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(_probe(min_docs), "chunk int, keys binary")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select("doc_id", *carry).schema)

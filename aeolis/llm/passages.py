@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bytes import BLOCK, U64, Rolling, blocks, mix
-from ._common import by_chunk, chunk_count, table
+from ._common import by_chunk, shard_count, table
 
 LENGTH = 100
 #: Bytes of a rolling hash and hashes of a window: a window lies within any LENGTH bytes.
@@ -285,7 +285,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     lose nothing; of rows that repeat a doc_id the ones with larger texts count as later; texts shorter than
     LENGTH bytes stay; an empty table gives no rows.
     """
-    shards = chunk_count(docs)
+    shards = shard_count(docs)
     dealt = by_chunk(docs)
     entries = dealt.groupBy("chunk").applyInArrow(_entries(shards), "shard int, chunk int, key binary, entry binary, doc binary, offset binary")
     told = entries.groupBy("shard").applyInArrow(_classed, "chunk int, doc binary, offset binary, status binary")
