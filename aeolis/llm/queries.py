@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, near, packing, passages, quality, secrets, spotsigs
+from . import langid, lines, mixing, near, packing, pages, passages, quality, secrets, spotsigs
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_pages": pages.op2_pages,
     "op3_passages": passages.op3_passages,
     "op4_near": near.op4_near,
     "op5_spotsigs": spotsigs.op5_spotsigs,

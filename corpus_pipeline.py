@@ -1,8 +1,54 @@
 """A corpus pipeline of five operators; every stage's result is written before the next reads it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aeolis.llm import langid, lines, mixing, near, packing
+from aeolis.llm._common import cut, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Byte contexts and the tokenizer have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those that are null or have no letter go."""
+    return langid.identify(docs, carry=("lang", "source", "n_chars")).filter(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many documents have; n_chars follows the text."""
+    kept = lines.drop_common_lines(docs, carry=("lang", "source"))
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies; one row of those that repeat a doc_id."""
+    kept = near.link_near(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; of rows that repeat a doc_id the most often taken counts."""
+    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).filter("copies > 0")
+    taken = docs.join(copies, F.col("doc_id") == F.col("id"))
+    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in training sequences."""
+    return packing.digest(packing.pack(docs))
+
+
+STAGES = [("language", identify_language), ("lines", drop_lines), ("near", drop_near), ("mix", mix), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
+    return docs
