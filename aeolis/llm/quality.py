@@ -17,8 +17,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rate, as SQL over the counts, and the least by which a document must exceed its group's upper quantile to fail.
 RATES = {
     "symbol_rate": ("n_symbols / greatest(word_chars, 1)", 0.05),
-    "dup_line_rate": ("n_dup_lines / greatest(n_words, 1)", 0.02),
-    "repeat_rate": ("n_repeat_words / greatest(n_words, 1)", 0.10),
+    "dup_line_rate": ("n_dup_lines / greatest(n_words, 1)", 0.05),
+    "repeat_rate": ("n_repeat_words / greatest(n_words, 1)", 0.25),
     "word_length": ("word_chars / greatest(n_words, 1)", 4.0),
 }
 QUARTILES = (0.25, 0.75)
