@@ -1,21 +1,435 @@
-"""Named queries over the supplied tables, each with equivalent SQL."""
+"""Named queries over the supplied tables, each with equivalent SQL.
+
+Vectors of `embeddings` serve as fields of 8 by 8 cells, with cells left out by a rule; customers and
+suppliers have places by a rule on their keys.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bitmaps, dates, geo, grids, met, text
+from ..operators import joins, search, series
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+NX = 8
+FIELD_SQL = "(SELECT vec_id, label, list_transform(range(1, 65), lambda i: CASE WHEN (vec_id * 31 + i - 1) % 17 = 0 THEN NULL ELSE embedding[i]::DOUBLE END) AS v FROM embeddings)"
+PLACE_SQL = "(SELECT c_custkey AS k, (c_custkey * 3571 % 18001) / 100.0::DOUBLE - 90 AS lat, (c_custkey * 7919 % 36001) / 100.0::DOUBLE - 180 AS lon FROM customer)"
+RAD = "(pi() / 180)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") * 31 + i) % 17 != 0, x.cast("double")))
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", v.alias("v"))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(k.alias("k"), ((k * 3571 % 18001) / 100.0 - 90).alias("lat"), ((k * 7919 % 36001) / 100.0 - 180).alias("lon"))
+
+
+def cells_of(df: DataFrame, *keys: str) -> DataFrame:
+    """Rounded cells in rows, so that results compare as plain columns."""
+    return df.select(*keys, F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+def cells_sql(expression: str, source: str = FIELD_SQL) -> str:
+    return f"SELECT vec_id, unnest(range(64))::INT AS pos, round(unnest({expression}), 6) AS x FROM {source}"
 
-def inventory_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+# --- inventory
+
+
+@query(
+    "SELECT event_type, hour(ts)::INT AS hour, " + ", ".join(f"nullif(count(*) FILTER (day(ts) = {d}), 0) AS d{d}" for d in range(1, 32))
+    + " FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY 1, 2"
+)
+def inventory_pivot(spark, sf_dir):
     """Counts by event type and hour with a column for each day of a month."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("ts >= timestamp_ntz'2024-01-01' AND ts < timestamp_ntz'2024-02-01'")
+    events = read(spark, sf_dir, "events").filter("ts >= timestamp_ntz'2024-01-01' AND ts < timestamp_ntz'2024-02-01'")
     days = events.select("event_type", F.hour("ts").alias("hour"), F.concat(F.lit("d"), F.dayofmonth("ts")).alias("dom"))
     return days.groupBy("event_type", "hour").pivot("dom", [f"d{d}" for d in range(1, 32)]).agg(F.count(F.lit(1)))
 
 
-QUERIES = {"inventory_pivot": inventory_pivot}
-ORACLE_SQL = {
-    "inventory_pivot": "SELECT event_type, hour(ts)::INT AS hour, "
-    + ", ".join(f"nullif(count(*) FILTER (day(ts) = {d}), 0) AS d{d}" for d in range(1, 32))
-    + " FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY 1, 2"
-}
+# --- fields
+
+
+@query(cells_sql("list_transform(v, lambda x: x + 2.5)"))
+def grid_scalar_add(spark, sf_dir):
+    return cells_of(fields(spark, sf_dir).withColumn("v", grids.scalar(F.col("v"), lambda x: x + 2.5)), "vec_id")
+
+
+@query(cells_sql("list_transform(v, lambda x: x * 3)"))
+def grid_scalar_multiply(spark, sf_dir):
+    return cells_of(fields(spark, sf_dir).withColumn("v", grids.scalar(F.col("v"), lambda x: x * 3)), "vec_id")
+
+
+@query(cells_sql("list_transform(v, lambda x: sqrt(abs(x)))"))
+def grid_sqrt_abs(spark, sf_dir):
+    return cells_of(fields(spark, sf_dir).withColumn("v", grids.scalar(F.col("v"), lambda x: F.sqrt(F.abs(x)))), "vec_id")
+
+
+def _pairs(spark, sf_dir, f):
+    a = fields(spark, sf_dir)
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return cells_of(a.join(b, "vec_id").withColumn("v", f(F.col("v"), F.col("w"))), "vec_id")
+
+
+def _pairs_sql(f: str) -> str:
+    return f"SELECT a.vec_id, unnest(range(64))::INT AS pos, round(unnest(list_transform(range(1, 65), lambda i: {f})), 6) AS x FROM {FIELD_SQL} a JOIN {FIELD_SQL} b ON b.vec_id = a.vec_id + 1"
+
+
+@query(_pairs_sql("a.v[i] + b.v[i]"))
+def grid_add_grid(spark, sf_dir):
+    return _pairs(spark, sf_dir, lambda a, b: grids.combine(a, b, lambda x, y: x + y))
+
+
+@query(_pairs_sql("a.v[i] - b.v[i]"))
+def grid_subtract_grid(spark, sf_dir):
+    return _pairs(spark, sf_dir, lambda a, b: grids.combine(a, b, lambda x, y: x - y))
+
+
+@query(_pairs_sql("a.v[i] * b.v[i]"))
+def grid_multiply_grid(spark, sf_dir):
+    return _pairs(spark, sf_dir, lambda a, b: grids.combine(a, b, lambda x, y: x * y))
+
+
+@query(_pairs_sql("a.v[i] / nullif(b.v[i], 0)"))
+def grid_divide_grid(spark, sf_dir):
+    return _pairs(spark, sf_dir, grids.divide)
+
+
+@query(f"SELECT label, pos, count(x) AS n, round(CASE WHEN count(x) >= 10 THEN avg(x) END, 6) AS mean FROM (SELECT label, unnest(range(64))::INT AS pos, unnest(v) AS x FROM {FIELD_SQL}) GROUP BY ALL")
+def grid_mean_min10(spark, sf_dir):
+    return series.grid_mean(fields(spark, sf_dir), "label", values="v").select("label", "pos", "n", F.round("mean", 6).alias("mean"))
+
+
+@query(f"SELECT label, pos, round(CASE WHEN count(x) = count(*) THEN sum(x) END, 6) AS total FROM (SELECT label, unnest(range(64))::INT AS pos, unnest(v) AS x FROM {FIELD_SQL} WHERE vec_id < 40) GROUP BY ALL")
+def grid_sum_strict(spark, sf_dir):
+    return series.grid_sum_strict(fields(spark, sf_dir).filter("vec_id < 40"), "label", values="v").withColumn("total", F.round("total", 6))
+
+
+@query(
+    "SELECT vec_id, round(lo, 6) AS min, round(hi, 6) AS max, round(list_avg(v), 6) AS avg, ((pl - 1) % 8 + 1)::INT AS min_i, ((pl - 1) // 8 + 1)::INT AS min_j, ((ph - 1) % 8 + 1)::INT AS max_i, ((ph - 1) // 8 + 1)::INT AS max_j, (64 - list_count(v))::INT AS missing "
+    f"FROM (SELECT *, list_position(v, lo) AS pl, list_position(v, hi) AS ph FROM (SELECT vec_id, v, list_min(v) AS lo, list_max(v) AS hi FROM {FIELD_SQL}))"
+)
+def grid_stats(spark, sf_dir):
+    out = fields(spark, sf_dir).select("vec_id", grids.stats(F.col("v"), NX).alias("s")).select("vec_id", "s.*")
+    return out.withColumns({c: F.round(c, 6) for c in ("min", "max", "avg")})
+
+
+@query(cells_sql("list_transform(range(64), lambda i: v[(7 - i // 8) * 8 + i % 8 + 1])"))
+def grid_reverse_scan(spark, sf_dir):
+    return cells_of(fields(spark, sf_dir).withColumn("v", grids.reverse_scan(F.col("v"), NX)), "vec_id")
+
+
+@query(f"SELECT vec_id, unnest(range(12))::INT AS pos, round(unnest(list_transform([22, 23, 16, 17, 30, 31, 24, 25, 38, 39, 32, 33], lambda k: v[k + 1])), 6) AS x FROM {FIELD_SQL}")
+def grid_subset_wrap(spark, sf_dir):
+    """Rows 2 to 4 and columns 6 to 1 round the edge."""
+    return cells_of(fields(spark, sf_dir).withColumn("v", grids.subset(F.col("v"), NX, 2, 4, 6, 1)), "vec_id")
+
+
+@query(f"SELECT a.vec_id, unnest(range(120))::INT AS pos, round(unnest(list_concat(a.v, b.v[9:64])), 6) AS x FROM {FIELD_SQL} a JOIN {FIELD_SQL} b ON b.vec_id = a.vec_id + 1")
+def grid_combine_hemispheres(spark, sf_dir):
+    return _pairs(spark, sf_dir, lambda a, b: grids.combine_hemispheres(a, b, NX))
+
+
+# --- places and weather
+
+
+@query(
+    f"SELECT a.k, round(sqrt(pow((a.lat - b.lat) * 111.125, 2) + pow((a.lon - b.lon) * cos((a.lat + b.lat) / 2 * {RAD}) * 111.125, 2)), 3) AS arc, "
+    f"round(2 * 6372.795477598 * asin(sqrt(least(1.0, pow(sin((b.lat - a.lat) / 2 * {RAD}), 2) + cos(a.lat * {RAD}) * cos(b.lat * {RAD}) * pow(sin((b.lon - a.lon) / 2 * {RAD}), 2)))), 3) AS gc "
+    f"FROM {PLACE_SQL} a JOIN {PLACE_SQL} b ON b.k = a.k + 1"
+)
+def distances(spark, sf_dir):
+    a = places(spark, sf_dir)
+    b = a.select((F.col("k") - 1).alias("k"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    four = [F.col(c) for c in ("lat", "lon", "lat2", "lon2")]
+    return a.join(b, "k").select("k", F.round(geo.arc_distance(*four), 3).alias("arc"), F.round(geo.gc_distance(*four), 3).alias("gc"))
+
+
+@query(
+    f"SELECT lat_index, lon_index, count(*) AS n FROM (SELECT CASE WHEN abs(lat + 90) < 1e-5 THEN 0 WHEN abs(lat - 90) < 1e-5 THEN 37 ELSE floor((ceil(lat) + 94) / 5) END::INT AS lat_index, "
+    f"CASE WHEN abs(abs(lat) - 90) < 1e-5 THEN 0 ELSE floor((ceil(CASE WHEN abs(lon + 180) < 1e-5 THEN 180 ELSE lon END) + 179) / 5) END::INT AS lon_index FROM {PLACE_SQL} WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) GROUP BY ALL"
+)
+def boxes(spark, sf_dir):
+    """Places by boxes of 5 degrees."""
+    box = geo.box_index(F.col("lat"), F.col("lon"), 5)
+    return places(spark, sf_dir).select(box.alias("b")).filter("b IS NOT NULL").groupBy("b.lat_index", "b.lon_index").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT k FROM {PLACE_SQL} WHERE lon > -100 AND lon < 100 AND lat < 50 AND lat > -50 AND abs(lon) / 2 + abs(lat) < 50")
+def polygon(spark, sf_dir):
+    """Places in a rhomb."""
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((-100, 0), (0, 50), (100, 0), (0, -50), (-100, 0))))
+    return places(spark, sf_dir).filter(geo.within_polygon(ring, F.col("lon"), F.col("lat"))).select("k")
+
+
+@query(
+    "SELECT event_id, round(6.11 * pow(10.0, 7.5 * d / (237.7 + d)) / (6.11 * pow(10.0, 7.5 * t / (237.7 + t))) * 100, 4) AS rh, round(sqrt(t * t + d * d), 6) AS speed "
+    "FROM (SELECT event_id, event_id % 50 - 10.0::DOUBLE AS t, event_id % 50 - 10.0::DOUBLE - event_id % 7 AS d FROM events)"
+)
+def humidity_wind(spark, sf_dir):
+    t = F.col("event_id") % 50 - 10.0
+    d = t - F.col("event_id") % 7
+    return read(spark, sf_dir, "events").select("event_id", F.round(met.relative_humidity(t, d), 4).alias("rh"), F.round(met.wind_speed(t, d), 6).alias("speed"))
+
+
+@query(
+    "SELECT p_partkey, round(CASE WHEN p > 1013.25 THEN NULL WHEN p > 226.32064 THEN 288.15 / 0.0065 * (1 - pow(p / 1013.25, 0.0065 * (8314.32 / 28.9644) / 9.80665)) "
+    "WHEN p > 54.748887 THEN 11000 + (8314.32 / 28.9644) * 216.65 / 9.80665 * ln(226.32064 / p) END, 2) AS height FROM (SELECT p_partkey, 60.0::DOUBLE + p_partkey * 13 % 1000 AS p FROM part)"
+)
+def standard_height(spark, sf_dir):
+    p = F.lit(60.0) + F.col("p_partkey") * 13 % 1000
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(met.standard_height(p), 2).alias("height"))
+
+
+@query()
+def dew_point(spark, sf_dir):
+    """Iterated mixing ratio; the tests compare with a loop."""
+    dry = F.lit(60.0) + F.col("p_partkey") % 30
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(met.dew_point(dry, dry - F.col("p_partkey") % 9, F.lit(29.92)), 4).alias("dew_point"))
+
+
+# --- dates
+
+
+@query(
+    "SELECT o_orderkey, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::DATE + (day(o_orderdate) - 1)::INT AS overflow, (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE AS clamped, last_day(o_orderdate::DATE) AS month_end FROM orders"
+)
+def month_arithmetic(spark, sf_dir):
+    d = F.to_date("o_orderdate")
+    return read(spark, sf_dir, "orders").select("o_orderkey", dates.add_months_overflow(d, 1).alias("overflow"), dates.add_months_clamped(d, 1).alias("clamped"), F.last_day(d).alias("month_end"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < o_orderdate THEN -1 ELSE floor(epoch(l_shipdate - o_orderdate) / 86400) END::BIGINT AS days, "
+    "CASE WHEN l_shipdate < o_orderdate THEN -1 ELSE floor(epoch(l_shipdate - o_orderdate) / 3600) END::BIGINT AS hours FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+)
+def spans_since(spark, sf_dir):
+    both = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.select("l_orderkey", "l_linenumber", dates.since("day", F.col("l_shipdate"), F.col("o_orderdate")).alias("days"), dates.since("hour", F.col("l_shipdate"), F.col("o_orderdate")).alias("hours"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOURS, ts + INTERVAL 3 HOURS - INTERVAL 1 MICROSECOND, TIMESTAMP '2000-01-01') AS slot, event_type, count(*) AS n FROM events GROUP BY ALL")
+def synoptic_bucket(spark, sf_dir):
+    slot = dates.synoptic(F.col("ts")).cast("timestamp_ntz")
+    return read(spark, sf_dir, "events").groupBy(slot.alias("slot"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- joins
+
+
+@query(
+    "WITH h AS (SELECT user_id, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY - INTERVAL 1 SECOND AS e, count(*) AS site FROM events WHERE event_id % 3 = 0 GROUP BY ALL), "
+    "r AS (SELECT v.event_id, h.site, h.s, row_number() OVER (PARTITION BY v.event_id ORDER BY h.e < v.ts, CASE WHEN h.e >= v.ts THEN h.s END, h.s DESC) AS rn FROM events v LEFT JOIN h USING (user_id)) "
+    "SELECT event_id, site, s AS since FROM r WHERE rn = 1"
+)
+def history_join(spark, sf_dir):
+    """Events with the entry of their user's history that holds, or comes next, or was last."""
+    events = read(spark, sf_dir, "events")
+    day = F.date_trunc("day", "ts")
+    history = events.filter("event_id % 3 = 0").groupBy("user_id", day.cast("timestamp_ntz").alias("s")).agg(F.count(F.lit(1)).alias("site"))
+    history = history.withColumn("e", F.expr("s + INTERVAL 1 DAY - INTERVAL 1 SECOND"))
+    return joins.history_join(events, history, "user_id", "ts", "s", "e").select("event_id", F.col("entry.site").alias("site"), F.col("entry.s").alias("since"))
+
+
+@query(
+    "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id AND abs(floor(epoch(a.ts) / 3600) - floor(epoch(b.ts) / 3600)) <= 1 AND date_trunc('month', a.ts) = date_trunc('month', b.ts)"
+)
+def tolerance_join(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return joins.tolerance_join(events, events, "user_id", "ts").filter("l_event_id < r_event_id").select(F.col("l_event_id").alias("a"), F.col("r_event_id").alias("b"))
+
+
+@query("SELECT k, lat, max(m) FILTER (m <= lat) AS below, min(m) FILTER (m >= lat) AS above FROM " + PLACE_SQL + ", (SELECT DISTINCT s_suppkey % 60 * 3.0::DOUBLE - 90 AS m FROM supplier) GROUP BY ALL")
+def latitude_bracket(spark, sf_dir):
+    marks = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 60 * 3.0 - 90).alias("m"))
+    return joins.nearest_below_above(places(spark, sf_dir).select("k", "lat"), marks, "lat", "m")
+
+
+@query("SELECT c_custkey, n_name, count(o_orderkey) AS n, max(o_orderdate) AS latest FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL HAVING count(o_orderkey) > 10")
+def left_join_having(spark, sf_dir):
+    c, n, o = (read(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
+    # Orders are counted before the join.
+    counted = o.groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"), F.max("o_orderdate").alias("latest")).filter("n > 10")
+    return c.join(counted, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "n", "latest")
+
+
+@query("SELECT n_name AS place FROM nation UNION SELECT r_name FROM region")
+def union_distinct(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select(F.col("n_name").alias("place")).union(read(spark, sf_dir, "region").select("r_name")).distinct()
+
+
+@query("SELECT 'order' AS kind, o_orderkey AS k, o_orderdate AS moment FROM orders UNION ALL SELECT 'line', l_orderkey, l_shipdate FROM lineitem ORDER BY moment, kind, k")
+def union_all_ordered(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("moment"))
+    return o.unionByName(read(spark, sf_dir, "lineitem").select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("k"), F.col("l_shipdate").alias("moment"))).orderBy("moment", "kind", "k")
+
+
+@query("SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS status, min(concat(o_orderdate::DATE, ' ', o_orderpriority)) AS first, max(concat(o_orderdate::DATE, ' ', o_orderpriority)) AS last FROM orders GROUP BY 1")
+def status_list(spark, sf_dir):
+    at = F.concat_ws(" ", F.to_date("o_orderdate").cast("string"), "o_orderpriority")
+    status = F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",")
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(status.alias("status"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars >= 1000000 THEN concat(n_chars // 1000000, ' MB') WHEN n_chars >= 1000 THEN concat(n_chars // 1000, ' kB') ELSE concat(n_chars, ' B') END AS size FROM documents")
+def size_label(spark, sf_dir):
+    n = F.col("n_chars")
+    unit = lambda d, u: F.concat_ws(" ", F.floor(n / d).cast("string"), F.lit(u))
+    return read(spark, sf_dir, "documents").select("doc_id", F.when(n >= 1000000, unit(1000000, "MB")).when(n >= 1000, unit(1000, "kB")).otherwise(unit(1, "B")).alias("size"))
+
+
+@query(
+    "SELECT l_returnflag, l_shipmonth, count(*) FILTER (diff <= 1000) AS good, count(*) FILTER (diff > 1000) AS bad, round(sum(diff), 2) AS total FROM (SELECT l_returnflag, month(l_shipdate)::INT AS l_shipmonth, abs(l_extendedprice / l_quantity - p_retailprice) AS diff FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY GROUPING SETS ((l_returnflag), (l_shipmonth))"
+)
+def compare_counts(spark, sf_dir):
+    """Differences within and beyond a tolerance, by either of two keys in one pass."""
+    both = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = both.select("l_returnflag", F.month("l_shipdate").alias("l_shipmonth"), F.abs(F.col("l_extendedprice") / F.col("l_quantity") - F.col("p_retailprice")).alias("diff"))
+    out = rows.groupingSets([["l_returnflag"], ["l_shipmonth"]], "l_returnflag", "l_shipmonth")
+    return out.agg(F.count_if(F.col("diff") <= 1000).alias("good"), F.count_if(F.col("diff") > 1000).alias("bad"), F.round(F.sum("diff"), 2).alias("total"))
+
+
+# --- series
+
+
+@query(
+    "SELECT event_type, round(n / s * f, 6) AS rate, unit FROM (SELECT *, unnest([1, 60, 3600, 86400, 604800, day(last_day(b)) * 86400]) AS f, unnest(['second', 'minute', 'hour', 'day', 'week', 'month']) AS unit, unnest([1, 2, 3, 4, 5, 6]) AS i FROM "
+    "(SELECT event_type, count(*)::DOUBLE AS n, epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))) AS s, max(ts)::DATE AS b FROM events GROUP BY 1)) WHERE n / s * f > 0.85 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY i) = 1"
+)
+def observation_rate(spark, sf_dir):
+    second = lambda c: F.date_trunc("second", c)
+    grouped = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), second(F.min("ts")).alias("a"), second(F.max("ts")).alias("b"))
+    return grouped.select("event_type", series.rate(F.col("n"), F.col("a"), F.col("b")).alias("r")).select("event_type", F.round("r.rate", 6).alias("rate"), "r.unit")
+
+
+@query(
+    "WITH d AS (SELECT DISTINCT user_id, (event_id * 7 % 360)::INT AS i FROM events WHERE user_id % 5 = 0), g AS (SELECT user_id, i, coalesce(lead(i) OVER w, min(i) OVER (PARTITION BY user_id) + 360) AS nxt FROM d WINDOW w AS (PARTITION BY user_id ORDER BY i)), "
+    "b AS (SELECT *, nxt - i - 1 AS gap, row_number() OVER (PARTITION BY user_id ORDER BY nxt - i - 1 DESC, i) AS rn FROM g) SELECT user_id, CASE WHEN gap = 0 THEN 0 ELSE nxt % 360 END::INT AS west, CASE WHEN gap = 0 THEN 359 ELSE i END::INT AS east FROM b WHERE rn = 1"
+)
+def longitude_bounds(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").filter("user_id % 5 = 0").select("user_id", (F.col("event_id") * 7 % 360).cast("int").alias("i"))
+    return series.longitude_bounds(rows, "user_id", "i").select("user_id", F.col("west").cast("int").alias("west"), F.col("east").cast("int").alias("east"))
+
+
+@query(
+    "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, 1000.0::DOUBLE - l_linenumber * 90 AS p, 280.0::DOUBLE - l_linenumber * 5 + min(l_quantity) / 50 AS tv, 100.0::DOUBLE * l_linenumber AS z FROM lineitem GROUP BY l_orderkey, l_linenumber), "
+    "d AS (SELECT *, coalesce(round((tv + lag(tv) OVER w) * ln(lag(p) OVER w / p) * 14.63563358), 0) AS layer, first(z) OVER w AS z0 FROM l WINDOW w AS (PARTITION BY k ORDER BY p DESC)) SELECT k, n, z0 + sum(layer) OVER (PARTITION BY k ORDER BY p DESC) AS computed_height FROM d"
+)
+def running_height(spark, sf_dir):
+    n = F.col("l_linenumber")
+    levels = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    rows = levels.select(F.col("l_orderkey").alias("k"), n.alias("n"), (1000.0 - n * 90).alias("p"), (280.0 - n * 5 + F.col("q") / 50).alias("tv"), (100.0 * n).alias("z"))
+    return series.running_height(rows, "k", "p", "tv", "z").select("k", "n", "computed_height")
+
+
+@query("SELECT l_returnflag, (CASE WHEN l_discount >= 0.03 THEN 1 ELSE 0 END + CASE WHEN l_discount >= 0.06 THEN 1 ELSE 0 END)::INT AS bucket, min(l_discount) AS finest FROM lineitem GROUP BY ALL")
+def finest_resolution(spark, sf_dir):
+    return series.finest_resolution(read(spark, sf_dir, "lineitem"), "l_returnflag", F.col("l_discount"), (0.03, 0.06))
+
+
+@query(
+    f"SELECT min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, count(*) FILTER (lat > 80 OR lat < -80) AS polar FROM {PLACE_SQL} WHERE k % 11 <> 0"
+)
+def bounding_box(spark, sf_dir):
+    kept = places(spark, sf_dir).filter("k % 11 <> 0")
+    return kept.agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.count_if(F.abs("lat") > 80).alias("polar"))
+
+
+# --- text
+
+WORDS_SQL = r"(SELECT doc_id, generate_subscripts(ws, 1) - 1 AS location, unnest(ws) AS raw FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS ws FROM documents))"
+CLEAN_SQL = r"nullif(regexp_replace(regexp_replace(lower(trim(raw)), '<[^>]*>', '', 'g'), '^[,:''\"\\(<>]+|[,:''\"\\)+.<>]+$', '', 'g'), '')"
+
+
+@query(f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs, min(location)::INT AS first FROM (SELECT doc_id, location, {CLEAN_SQL} AS word FROM {WORDS_SQL}) WHERE word IS NOT NULL GROUP BY 1")
+def word_counts(spark, sf_dir):
+    """How often and where the words of all texts come."""
+    index = search.word_index(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return index.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"), F.min("location").alias("first"))
+
+
+@query(
+    f"WITH b AS (SELECT DISTINCT {CLEAN_SQL} AS word FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) AS raw FROM benchmark)) "
+    f"SELECT word, count(*) AS n FROM (SELECT {CLEAN_SQL} AS word FROM {WORDS_SQL}) d WHERE regexp_matches(word, '^[a-z]+$') AND word NOT IN (SELECT word FROM b WHERE word IS NOT NULL) GROUP BY 1"
+)
+def unknown_words(spark, sf_dir):
+    index = search.word_index(read(spark, sf_dir, "documents"), "doc_id", "text")
+    known = search.word_index(read(spark, sf_dir, "benchmark").withColumn("item", F.col("item_id")), "item", "text")
+    return search.unknown_words(index, known)
+
+
+def _stem_sql(word: str) -> str:
+    for ending in text.ENDINGS:
+        word = f"regexp_replace({word}, '^(.+){ending}$', '\\1')"
+    for letter in "abcdefghijklmnopqrstuvwxyz":
+        word = f"regexp_replace({word}, '{letter}{letter}+$', '{letter}')"
+    return word
+
+
+@query(f"SELECT DISTINCT word, {_stem_sql('word')} AS stem FROM (SELECT unnest(regexp_split_to_array(lower(p_name), ' ')) AS word FROM part) WHERE regexp_matches(word, '^[a-z]+$')")
+def stems(spark, sf_dir):
+    w = read(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).filter(F.col("word").rlike("^[a-z]+$")).distinct()
+    return w.select("word", text.stem(F.col("word")).alias("stem"))
+
+
+@query()
+def sounds(spark, sf_dir):
+    """Phonetic codes of names; the tests compare with a loop."""
+    return read(spark, sf_dir, "nation").select("n_name", text.phonetic(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("sound"))
+
+
+@query("SELECT a AS word, b AS other FROM (SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey) UNION SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def synonyms(spark, sf_dir):
+    both = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return search.synonyms(both, "n_name", "r_name")
+
+
+@query("SELECT event_id, (props->>'$.k')::INT AS k, json_type(props) = 'OBJECT' AS is_object, len(json_keys(props))::INT AS n_keys FROM events")
+def json_values(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.json_object_keys("props").isNotNull().alias("is_object"), F.size(F.json_object_keys("props")).alias("n_keys"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS protocol, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", F.parse_url(u, F.lit("PROTOCOL")).alias("protocol"), F.parse_url(u, F.lit("HOST")).alias("host"), F.parse_url(u, F.lit("QUERY"), F.lit("page")).alias("page"))
+
+
+# --- bitmaps
+
+
+@query("SELECT l_orderkey, list_sort(list_distinct(list(l_partkey)))::VARCHAR AS parts, min(l_partkey)::VARCHAR AS first FROM lineitem GROUP BY 1")
+def bitmap_round_trip(spark, sf_dir):
+    """Part keys of an order through their text form and back."""
+    packed = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(bitmaps.encode(F.collect_set("l_partkey")).alias("bits"))
+    parts = F.concat(F.lit("["), F.array_join(bitmaps.decode(F.col("bits")), ", "), F.lit("]"))
+    return packed.select("l_orderkey", parts.alias("parts"), F.split_part("bits", F.lit(":"), F.lit(1)).alias("first"))
+
+
+@query("SELECT l_orderkey, bool_or(l_linenumber = 3) AS has_third FROM lineitem GROUP BY 1")
+def bitmap_contains(spark, sf_dir):
+    packed = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(bitmaps.encode(F.collect_set("l_linenumber")).alias("bits"))
+    return packed.select("l_orderkey", bitmaps.contains(F.col("bits"), F.lit(3)).alias("has_third"))
