@@ -31,12 +31,13 @@ def encode(values: Column) -> Column:
 
 
 def decode(text: Column) -> Column:
-    """The numbers, ascending."""
+    """The numbers, ascending. Only runs of ones are spread out."""
     first = F.split_part(text, F.lit(":"), F.lit(1)).cast("long")
     runs = F.regexp_extract_all(F.split_part(text, F.lit(":"), F.lit(2)), F.lit(r"(-\d+/[01]|[01])"), 1)
-    spread = F.transform(runs, lambda r: F.when(r.startswith("-"), F.repeat(F.substring(r, -1, 1), F.regexp_extract(r, r"\d+", 0).try_cast("int"))).otherwise(r))
-    bits = F.split(F.array_join(spread, ""), "")
-    return F.filter(F.transform(bits, lambda b, i: F.when(b == "1", first + i)), lambda x: x.isNotNull())
+    length = lambda r: F.when(r.startswith("-"), F.regexp_extract(r, r"\d+", 0).try_cast("int")).otherwise(1)
+    starts = F.aggregate(runs, F.array(first), lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + length(r))))
+    spans = F.zip_with(runs, starts, lambda r, s: F.when(r.endswith("1"), F.sequence(s, s + length(r) - 1)))
+    return F.flatten(F.filter(spans, lambda x: x.isNotNull()))
 
 
 def contains(text: Column, value: Column) -> Column:

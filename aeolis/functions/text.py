@@ -27,8 +27,9 @@ def stem(word: Column) -> Column:
 
 def clean_word(word: Column) -> Column:
     """Lower case without tags, outer punctuation and brackets; null if nothing is left."""
-    out = F.regexp_replace(F.lower(F.trim(word)), "<[^>]*>", "")
-    out = F.regexp_replace(out, r"""^[,:'"\\(<>]+|[,:'"\\)+.<>]+$""", "")
+    low = F.lower(F.trim(word))
+    out = F.when(F.contains(low, F.lit("<")), F.regexp_replace(low, "<[^>]*>", "")).otherwise(low)
+    out = F.rtrim(F.ltrim(out, F.lit(""",:'"\\(<>""")), F.lit(""",:'"\\)+.<>"""))
     return F.nullif(out, F.lit(""))
 
 

@@ -368,7 +368,9 @@ CLEAN_SQL = r"nullif(regexp_replace(regexp_replace(lower(trim(raw)), '<[^>]*>',
 def word_counts(spark, sf_dir):
     """How often and where the words of all texts come."""
     index = search.word_index(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return index.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"), F.min("location").alias("first"))
+    # A document's words meet before the shuffle, so distinct documents are a plain count.
+    by_doc = index.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("location").alias("first"))
+    return by_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"))
 
 
 @query(
