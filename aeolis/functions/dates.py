@@ -49,3 +49,61 @@ def synoptic(ts: Column) -> Column:
     micros = F.unix_micros(ts.cast("timestamp")) + 3 * 3_600_000_000 - 1
     slot = F.floor(micros / (6 * 3_600_000_000)).cast("long")
     return F.timestamp_seconds(slot * 6 * 3600)
+
+
+def from_digits(n: Column) -> Column:
+    """Timestamp of YYYYMMDDHHMMSS as a number or text; fewer digits are a date or hour."""
+    return F.try_to_timestamp(F.rpad(n.cast("string"), 14, "0"), F.lit("yyyyMMddHHmmss"))
+
+
+def add(unit: str, ts: Column, n: Column) -> Column:
+    """ts and n units later, by any case of the unit's name, singular or plural."""
+    known = {"second": "SECOND", "minute": "MINUTE", "hour": "HOUR", "day": "DAY", "week": "WEEK", "month": "MONTH", "year": "YEAR"}
+    return F.timestamp_add(known[unit.lower().rstrip("s")], n.cast("int"), ts)
+
+
+def cf_time(value: Column, units: Column) -> Column:
+    """Timestamp of a count of `seconds|minutes|hours|days since <date>`; null for other units."""
+    parts = F.regexp_extract(F.lower(F.trim(units)), r"^(second|minute|hour|day)s? since ", 1)
+    start = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(units, r"(?i)^\s*\w+ since ", ""), r"\s*(Z|UTC)$", ""))
+    seconds = F.when(parts == "second", 1).when(parts == "minute", 60).when(parts == "hour", 3600).when(parts == "day", 86400)
+    return F.timestamp_micros((F.unix_micros(start) + F.round(value * seconds * 1_000_000)).cast("long"))
+
+
+def to_precision(ts: Column, flag: Column) -> Column:
+    """Text of a time whose first 1 to 6 fields, from the year on, are known."""
+    formats = ("yyyy", "yyyy-MM", "yyyy-MM-dd", "yyyy-MM-dd HH", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss")
+    out = F.lit(None).cast("string")
+    for i, f in enumerate(formats, 1):
+        out = F.when(flag == i, F.date_format(ts, f)).otherwise(out)
+    return out
+
+
+#: Time units of gridded messages, as (unit, how many).
+GRIB_UNITS = {0: ("MINUTE", 1), 1: ("HOUR", 1), 2: ("DAY", 1), 3: ("MONTH", 1), 4: ("YEAR", 1), 5: ("YEAR", 10), 6: ("YEAR", 30), 7: ("YEAR", 100), 10: ("HOUR", 3), 11: ("HOUR", 6), 12: ("HOUR", 12)}
+
+
+def _units_later(ts: Column, n: Column, unit: Column) -> Column:
+    out = F.lit(None).cast("timestamp")
+    for code, (name, times) in GRIB_UNITS.items():
+        out = F.when(unit == code, F.timestamp_add(name, (n * times).cast("int"), ts)).otherwise(out)
+    return out
+
+
+def grib_product(ref: Column, unit: Column, time_range: Column, p1: Column, p2: Column, n: Column) -> Column:
+    """struct(product, forecast, valid) of an edition 1 message: forecasts, spans and means of analyses."""
+    name = F.lit(None).cast("string")
+    for code, (u, times) in GRIB_UNITS.items():
+        name = F.when(unit == code, F.concat((p1 * times).cast("string"), F.lit(f"-{u.lower()}"))).otherwise(name)
+    at = lambda k: _units_later(ref, k, unit)
+    point, span = time_range.isin(0, 1, 10), time_range.isin(2, 3, 4, 5)
+    kind = F.element_at(F.create_map(*(F.lit(x) for x in (2, "Product", 3, "Average", 4, "Accumulation", 5, "Difference"))), F.when(span, time_range).otherwise(2))
+    monthly = (time_range == 3) & (unit == 2) & (p1 == 0) & (p2 == F.dayofmonth(F.last_day(ref)))
+    product = (
+        F.when(point & (p1 == 0) & (time_range != 1), "Analysis").when(point, F.concat(name, F.lit(" Forecast"))).when(monthly, "Monthly Average")
+        .when(span, F.concat(kind, F.lit(" from "), p1.cast("string"), F.lit(" to "), p2.cast("string")))
+        .when(time_range == 51, F.concat(n.cast("string"), F.lit("-year Climatology"))).when(time_range.isin(113, 123), F.concat(F.lit("Mean of "), n.cast("string"), F.when(time_range == 113, " Forecasts").otherwise(" Analyses")))
+    )
+    forecast = F.when(time_range == 10, at(p1 * 256 + p2)).when(point | span | (time_range == 113), at(p1)).otherwise(ref)
+    valid = F.when(span, at(p2)).when(time_range == 51, F.timestamp_add("YEAR", n - 1, at(F.lit(1)))).when(time_range.isin(113, 123), F.timestamp_add("SECOND", (F.unix_seconds(at((n - 1) * p2)) - F.unix_seconds(ref)).cast("int"), forecast)).otherwise(forecast)
+    return F.struct(product.alias("product"), forecast.alias("forecast"), valid.alias("valid"))

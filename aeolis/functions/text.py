@@ -36,3 +36,79 @@ def clean_word(word: Column) -> Column:
 def words(text: Column) -> Column:
     """The parts between white space, in order."""
     return F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+
+
+#: Accented letters and what they are searched as.
+ACCENTED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy"
+SMALL_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+
+
+def fold_accents(s: Column) -> Column:
+    return F.translate(s, ACCENTED, PLAIN)
+
+
+def ascii_lower(s: Column) -> Column:
+    """A-Z only."""
+    return F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def is_class(s: Column, kind: str) -> Column:
+    """alpha, alnum, digit or no_letters, of ASCII; an empty string is of each."""
+    return s.rlike({"alpha": "^[A-Za-z]*$", "alnum": "^[A-Za-z0-9]*$", "digit": "^[0-9]*$", "no_letters": "^[^A-Za-z]*$"}[kind])
+
+
+def holds(s: Column, needle: Column) -> Column:
+    """Whether needle is in s; an empty one is not."""
+    return (F.length(needle) > 0) & F.contains(s, needle)
+
+
+def occurs(s: Column, needle: Column) -> Column:
+    """How often, without overlaps."""
+    return F.when(F.length(needle) > 0, ((F.length(s) - F.length(F.replace(s, needle, F.lit("")))) / F.length(needle)).cast("int")).otherwise(0)
+
+
+def token(s: Column, separator: str, n: int) -> Column:
+    """The part before the (n + 1)th separator, from 0; empty if there are fewer."""
+    return F.coalesce(F.split_part(s, F.lit(separator), F.lit(n + 1)), F.lit(""))
+
+
+def csv_split(s: Column) -> Column:
+    """Parts between commas outside double quotes; quotes stay."""
+    return F.split(s, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+
+
+def unquote(s: Column) -> Column:
+    return F.regexp_replace(s, r"""^(["'])(.*)\1$""", "$2")
+
+
+def with_commas(s: Column) -> Column:
+    """Digits in groups of three; empty for what isn't a whole number."""
+    return F.when(s.rlike("^[0-9]+$"), F.regexp_replace(s, r"(?<=\d)(?=(\d{3})+$)", ",")).otherwise("")
+
+
+def to_title(s: Column) -> Column:
+    """Words with capitals, small ones only at the start."""
+    parts = F.split(F.lower(s), " ")
+    return F.array_join(F.transform(parts, lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.initcap(w))), " ")
+
+
+def summary(s: Column, n: int) -> Column:
+    """The first n words, with an ellipsis if there are more."""
+    w = words(s)
+    return F.concat(F.array_join(F.slice(w, 1, n), " "), F.when(F.size(w) > n, " ...").otherwise(""))
+
+
+def clean_id(s: Column) -> Column:
+    """Upper case, trimmed, with / for what isn't ASCII and XML's characters escaped."""
+    out = F.regexp_replace(F.trim(s), r"[^\x00-\x7F]", "/")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.upper(out)
+
+
+def size_text(n: Column) -> Column:
+    """Bytes in the largest unit that leaves at least 1, with two digits cut."""
+    out = F.concat(n.cast("string"), F.lit(" bytes"))
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB"), (5, "PB")):
+        out = F.when(n >= 1000**power, F.concat(F.format_string("%.2f", F.floor(n / 1000**power * 100) / 100), F.lit(f" {unit}"))).otherwise(out)
+    return out

@@ -171,3 +171,38 @@ def little_r(spark: SparkSession, path: str) -> DataFrame:
         F.trim(_text(40, 40, head)).alias("id"), F.to_timestamp_ntz(_text(326, 14, head), F.lit("yyyyMMddHHmmss")).alias("ts"), _real(0, 20, 1, head).alias("lat"), _east(_real(20, 20, 1, head)).alias("lon"),
         _int(123, 3, head).alias("platform"), (_text(279, 1, head) == "T").alias("sounding"), levels.alias("levels"),
     )
+
+
+def uadb(spark: SparkSession, path: str) -> DataFrame:
+    """id, id_type, ts, lat, lon, elev, obs_type, levels (lines) of soundings with a header line."""
+    soundings = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.col(LINE), r"(?m)(?<=\n)(?=H)")).alias("value"))
+    lines = soundings.select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines")).filter(F.size("lines") > 0)
+    head = F.element_at("lines", 1)
+    place = lambda at: F.concat(F.trim(_text(at, 5, head)), F.lit("."), F.lpad(F.trim(_text(at + 6, 4, head)), 4, "0")).try_cast("double")
+    minute = F.round(_int(51, 2, head) * 0.6).cast("int")
+    return lines.filter(_text(0, 1, head) == "H").select(
+        F.trim(_text(15, 6, head)).alias("id"), _int(22, 2, head).alias("id_type"), _time(_int(38, 4, head), _int(43, 2, head), _int(46, 2, head), _int(49, 2, head), minute).alias("ts"),
+        place(57).alias("lat"), _east(place(68)).alias("lon"), _real(79, 6, 1, head).alias("elev"), _int(86, 2, head).alias("obs_type"), F.slice("lines", F.lit(2), F.coalesce(_int(89, 4, head), F.lit(0))).alias("levels"),
+    )
+
+
+def station_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """wmo, wban, start, end of the numbers that a station had; an end of 0 is open. For history_join by either number."""
+
+    def day(at: int) -> Column:
+        year = _int(at, 2)
+        return _time(F.when(year < 30, 2000 + year).otherwise(1900 + year), _int(at + 2, 2), _int(at + 4, 2))
+
+    rows = spark.read.text(path).filter(F.length(LINE) >= 30)
+    return rows.select(_int(1, 5).alias("wmo"), _int(7, 5).alias("wban"), F.coalesce(day(15), F.lit("1800-01-01").cast("timestamp_ntz")).alias("start"), F.coalesce(day(24), F.lit("2999-12-31").cast("timestamp_ntz")).alias("end"))
+
+
+def compare_records(spark: SparkSession, path: str) -> DataFrame:
+    """src, stn, ts, lat, lon, elev, levels (pres, hgt, temp, dd, ff) of records to be compared."""
+    n = F.floor((F.length(LINE) - 43) / 26).cast("int")
+    cell = lambda k, at, width, scale=1.0: F.trim(F.substring(LINE, F.lit(44 + at) + k * 26, F.lit(width))).try_cast("double") / scale
+    levels = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(cell(k, 0, 5).alias("pres"), cell(k, 5, 6).alias("hgt"), cell(k, 11, 5, 10).alias("temp"), cell(k, 16, 5).alias("dd"), cell(k, 21, 5, 10).alias("ff")))
+    return spark.read.text(path).filter(F.length(LINE) >= 43).select(
+        _text(1, 2).alias("src"), _int(4, 6).alias("stn"), _time(_int(12, 2) + 1900, _int(14, 2), _int(16, 2), _int(18, 2)).alias("ts"), (_real(25, 6)).alias("lat"), _real(31, 7).alias("lon"), _int(38, 5).alias("elev"),
+        F.when(n > 0, levels).alias("levels"),
+    )
