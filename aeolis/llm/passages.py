@@ -2,10 +2,10 @@
 
 Rolling-hash triggers cut every document into phrases: the starts p whose window of WINDOW rolling
 hashes has its minimum at the same trigger. A phrase with the LENGTH - 1 bytes after it is a dictionary
-entry; equal entries are one, and only where different entries share the text at their trigger are their
-suffixes ordered against each other, cut at LENGTH bytes. Suffixes are classed by 64-bit hashes of these
-LENGTH bytes: which of them are equal, and which of equals is first, is all that the rule asks of the
-order, so no suffix array of the corpus is written out.
+entry, and the parse says where each entry comes. Equal entries are one, so their later places in the
+parse are settled at once. Entries that share the text at their trigger with others go to a shard, which
+sorts their suffixes into a suffix array, cut at LENGTH bytes; with the places from the parse, suffixes
+next to each other that agree on LENGTH bytes come in corpus order, and all but the first are repeats.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ LENGTH = 100
 GRAM, WINDOW = 12, 61
 #: All strings of LENGTH bytes with the same trigger share so many bytes from it on.
 SHARED = LENGTH + 1 - WINDOW
-#: A trigger text with more dictionary entries than this in a chunk, or in all, is hot: its suffixes are dealt by their own hash.
+#: A trigger text with more dictionary entries than this in a chunk, or in all, is hot: each suffix is dealt by its own hash.
 HOT = 64
 #: Longer documents are parsed in segments, which only cuts a phrase in two.
 SEGMENT = 1 << 22
@@ -169,46 +169,45 @@ def _classed(rows: pa.Table) -> pa.Table:
     return pa.table(out).filter(pa.array([len(t) > 0 for t in told], pa.bool_()))
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, then those of the next."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 def _suffixes(shards: int):
-    """The hashes of all suffixes of open phrases, and the ranges of starts that are settled."""
+    """The open dictionary entries, and the ranges of starts that are settled."""
 
     def run(group: pa.Table, told: pa.Table) -> pa.Table:
         parse = Parse(group)
         for doc, offset, status in zip(*(_joined(told, c, t) for c, t in (("doc", np.int64), ("offset", np.int64), ("status", np.uint8)))):
             parse.status[np.searchsorted(parse.place, parse.at(doc, offset))] = status
-        runs, hashes = [], []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.uint8))]
         for data, at, place, end in _parts(parse.group):
             lo, hi = np.searchsorted(parse.place, [place[0], end])
-            own = np.flatnonzero(parse.status[lo:hi] >= OPEN) + lo
-            if not len(own):
-                continue
-            n, hot = parse.n[own], parse.status[own] == OPEN_HOT
-            piece = np.searchsorted(place, parse.place[own], "right") - 1
-            start = parse.place[own] - place[piece] + at[piece]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            p = np.repeat(start, n) + step
-            hashed = Rolling(data)(p, p + LENGTH)
-            hashes.append(hashed)
-            # A hot phrase is a run for each suffix, any other one run.
-            whole = np.repeat(hot, n)
-            head = whole | (step == 0)
-            runs.append((np.repeat(parse.place[own], n)[head] + step[head], np.where(whole, 1, np.repeat(n, n))[head], np.where(whole, hashed, np.repeat(parse.key[own], n))[head]))
+            for status in (OPEN, OPEN_HOT):
+                own = np.flatnonzero(parse.status[lo:hi] == status) + lo
+                piece = np.searchsorted(place, parse.place[own], "right") - 1
+                begin, n, by, where = parse.place[own] - place[piece] + at[piece], parse.n[own], parse.key[own], parse.place[own]
+                if status == OPEN_HOT and len(own):
+                    # An entry for each suffix, dealt by the suffix itself.
+                    where, begin, n = _spread(where, n), _spread(begin, n), np.ones(n.sum(), np.int64)
+                    by = Rolling(data)(begin, begin + LENGTH)
+                found.append((where, n, by, data[_spread(begin, n + LENGTH - 1)] if len(begin) else found[0][3]))
         chunk = group["chunk"][0].as_py() if len(group) else 0
-        empty = np.zeros(0, np.int64)
-        place, n, by = (np.concatenate(x) for x in zip((empty, empty, np.zeros(0, U64)), *runs))
-        hashes = np.concatenate([np.zeros(0, U64), *hashes])
+        place, n, by, text = (np.concatenate(x) for x in zip(*found))
         doc, offset = parse.position(place)
         shard = _shard(by, shards)
         asked = _dealt(shard, chunk, doc=doc, offset=offset, n=n.astype(np.int32))
-        order = np.argsort(np.repeat(shard, n), kind="stable")
-        _, cut = np.unique(np.repeat(shard, n)[order], return_index=True)
-        cut = [*cut, len(order)]
-        asked["hashes"] = pa.array([hashes[order[i:j]].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
+        order = np.argsort(shard, kind="stable")
+        sizes = n + LENGTH - 1
+        raw = text[_spread((np.cumsum(sizes) - sizes)[order], sizes[order])].tobytes() if len(n) else b""
+        cut = [0, *np.cumsum(np.bincount(shard, sizes, shards)).astype(np.int64).tolist()]
+        asked["text"] = pa.array([raw[cut[k] : cut[k + 1]] for k in asked["shard"].tolist()], pa.binary())
         gone = parse.status == DUPLICATE
         doc, offset = parse.position(parse.place[gone])
         doc, offset, n = _merged(doc, offset, parse.n[gone])
         settled = _dealt(np.full(len(doc), chunk % shards), chunk, doc=doc, offset=offset, n=n.astype(np.int32))
-        settled["hashes"] = pa.nulls(len(settled["shard"]), pa.binary())
+        settled["text"] = pa.nulls(len(settled["shard"]), pa.binary())
         return pa.concat_tables([pa.table(asked), pa.table(settled)])
 
     return run
@@ -224,21 +223,35 @@ def _merged(doc: np.ndarray, offset: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return doc[first], offset[first], np.add.reduceat(n, first)
 
 
+def _repeats(text: np.ndarray, starts: np.ndarray, doc: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Which of the suffixes of text at starts agree on LENGTH bytes with one that comes earlier by doc and offset."""
+    order = np.lexsort((offset, doc))
+    suffixes = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[starts[order]].view(f"V{LENGTH}").ravel()
+    array = np.argsort(suffixes, kind="stable")  # the suffix array; equals stay in corpus order
+    ranked = suffixes[array]
+    later = np.zeros(len(order), bool)
+    later[order[array[1:]]] = ranked[1:] == ranked[:-1]
+    return later
+
+
 def _removed(rows: pa.Table) -> pa.Table:
     """Ranges of starts whose suffix also starts earlier, by chunk."""
-    asked = rows.filter(pc.is_valid(rows["hashes"]))
-    out = [rows.filter(pc.is_null(rows["hashes"])).select(["chunk", "doc", "offset", "n"])]
+    asked = rows.filter(pc.is_valid(rows["text"]))
+    out = [rows.filter(pc.is_null(rows["text"])).select(["chunk", "doc", "offset", "n"])]
     if len(asked):
-        doc, offset, n, hashes = (_joined(asked, c, t) for c, t in (("doc", np.int64), ("offset", np.int64), ("n", np.int32), ("hashes", U64)))
-        step = [np.arange(x.sum()) - np.repeat(np.cumsum(x) - x, x) for x in n]
-        docs = [np.repeat(d, x) for d, x in zip(doc, n)]
-        offsets = [np.repeat(o, x) + s for o, x, s in zip(offset, n, step)]
-        later = ~_first(*(np.concatenate(x) for x in (hashes, docs, offsets)))
-        cut = np.cumsum([0, *map(len, hashes)])
+        parts = [_joined(asked, c, t) for c, t in (("doc", np.int64), ("offset", np.int64), ("n", np.int32), ("text", np.uint8))]
+        sizes = [int(n.sum()) for n in parts[2]]
+        doc, offset, n, text = (np.concatenate(x) for x in parts)
+        n = n.astype(np.int64)
+        entry = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+        doc, offset = np.repeat(doc, n), _spread(offset, n)
+        later = _repeats(text, _spread(entry, n), doc, offset)
+        cut = np.cumsum([0, *sizes])
         found = []
-        for d, o, i, j in zip(docs, offsets, cut, cut[1:]):
-            order = np.lexsort((o[later[i:j]], d[later[i:j]]))
-            found.append(_merged(d[later[i:j]][order], o[later[i:j]][order], np.ones(len(order), np.int64)))
+        for i, j in zip(cut, cut[1:]):
+            d, o = doc[i:j][later[i:j]], offset[i:j][later[i:j]]
+            order = np.lexsort((o, d))
+            found.append(_merged(d[order], o[order], np.ones(len(order), np.int64)))
         columns = {k: pa.array([f[c].astype(t).tobytes() for f in found], pa.binary()) for c, (k, t) in enumerate((("doc", np.int64), ("offset", np.int64), ("n", np.int32)))}
         out.append(pa.table({"chunk": asked["chunk"]} | columns))
     out = pa.concat_tables([x.cast(pa.schema([("chunk", pa.int32()), ("doc", pa.binary()), ("offset", pa.binary()), ("n", pa.binary())])) for x in out])
@@ -279,9 +292,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, kept (bytes that stay), n_bytes, n_removed, n_spans, kept_sha256: one row a row of docs.
 
     A byte goes if a string of LENGTH bytes that covers it also starts earlier in the table, in a smaller
-    doc_id or earlier in the same document. Texts are shuffled once and read three times; else only hashes
-    travel. Each chunk of documents sends its distinct dictionary entries, so copies cost a row a chunk, and
-    a text at a trigger that many entries share is dealt by the hashes of its suffixes. Null and empty texts
+    doc_id or earlier in the same document. Texts are shuffled once and read three times; else hashes travel,
+    and the text of open entries. Each chunk of documents sends its distinct dictionary entries, so copies cost a row a chunk, and
+    the entries at a trigger that many share are dealt suffix by suffix. Null and empty texts
     lose nothing; of rows that repeat a doc_id the ones with larger texts count as later; texts shorter than
     LENGTH bytes stay; an empty table gives no rows.
     """
@@ -289,7 +302,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     dealt = by_chunk(docs)
     entries = dealt.groupBy("chunk").applyInArrow(_entries(shards), "shard int, chunk int, key binary, entry binary, doc binary, offset binary")
     told = entries.groupBy("shard").applyInArrow(_classed, "chunk int, doc binary, offset binary, status binary")
-    asked = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_suffixes(shards), "shard int, chunk int, doc binary, offset binary, n binary, hashes binary")
+    asked = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_suffixes(shards), "shard int, chunk int, doc binary, offset binary, n binary, text binary")
     ranges = asked.groupBy("shard").applyInArrow(_removed, "chunk int, doc binary, offset binary, n binary")
     return dealt.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(_cleared, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
