@@ -63,16 +63,16 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     # Range sort: tokens of each range, the range in which the budget ends, and that range's copies in order.
     copies = timed.select("doc_id", "size", F.explode("times").alias("v")).withColumn("range", F.floor(F.col("v") * (RANGES // 2)).cast("long"))
     ranges = copies.groupBy("range").agg(F.sum("size").alias("tokens"))
-    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
+    budget = sources.agg(F.sum("source_size")).first()[0] or 0
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    last = ranges.withColumn("upto", F.sum("tokens").over(upto)).crossJoin(F.broadcast(total)).filter("upto > budget").agg(F.min(F.struct("range", (F.col("upto") - F.col("tokens")).alias("before"), "budget")).alias("x")).first()["x"]
+    last = ranges.withColumn("upto", F.sum("tokens").over(upto)).filter(F.col("upto") > budget).agg(F.min(F.struct("range", (F.col("upto") - F.col("tokens")).alias("before"))).alias("x")).first()["x"]
     if last is None:
         end = float("inf")
     else:
         order = Window.orderBy("v", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
         inside = copies.filter(F.col("range") == last["range"]).withColumn("upto", F.sum("size").over(order) + last["before"])
         # The first copy over the budget goes; what finished before it stays.
-        end = inside.filter(F.col("upto") > last["budget"]).agg(F.min("v")).first()[0]
+        end = inside.filter(F.col("upto") > budget).agg(F.min("v")).first()[0]
     taken = F.size(F.filter("times", lambda v: v < F.lit(end))).cast("long")
     return timed.withColumn("copies", taken).withColumn("taken", F.col("copies") * F.col("size")).drop("times")
 

@@ -91,10 +91,11 @@ def judge(counts: DataFrame) -> DataFrame:
     rated = rated.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
     groups = cut(_sketches(rated.filter("NOT base_failed"), "lang", "source"))
     merged = lambda *keys: groups.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATES))
-    by_group, by_lang, overall = _limits(groups, "g"), _limits(merged("lang"), "l"), _limits(merged().filter("n > 0"), "a")
-    # One row for each language and source.
-    limits = by_group.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_lang"))).join(overall)
-    pick = lambda r: F.when(F.col("g_n") >= MIN_GROUP, F.col(f"g_{r}")).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{r}")).otherwise(F.col(f"a_{r}"))
+    by_group, by_lang, overall = _limits(groups, "g"), _limits(merged("lang"), "l"), _limits(merged().filter("n > 0"), "a").first()
+    # One row for each language and source; the overall thresholds are constants.
+    limits = by_group.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_lang")))
+    constant = lambda r: F.lit(overall[f"a_{r}"] if overall else None).cast("double")
+    pick = lambda r: F.when(F.col("g_n") >= MIN_GROUP, F.col(f"g_{r}")).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{r}")).otherwise(constant(r))
     limits = limits.select("g_lang", "g_source", *(pick(r).alias(f"max_{r}") for r in RATES))
     joined = rated.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
     passes = F.lit(True)
