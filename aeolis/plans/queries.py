@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bitmaps, dates, geo, grids, met, text
-from ..operators import joins, search, series
+from ..operators import catalog, joins, search, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -435,3 +435,61 @@ def bitmap_round_trip(spark, sf_dir):
 def bitmap_contains(spark, sf_dir):
     packed = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(bitmaps.encode(F.collect_set("l_linenumber")).alias("bits"))
     return packed.select("l_orderkey", bitmaps.contains(F.col("bits"), F.lit(3)).alias("has_third"))
+
+
+# --- strings, times and catalogue
+
+
+@query(
+    "SELECT c_custkey, list_extract(string_split(c_name, '#'), 2) AS second, (len(c_name) - len(replace(c_name, '0', '')))::INT AS zeros, regexp_matches(c_mktsegment, '^[A-Za-z]*$') AS letters, lower(c_mktsegment) AS low, contains(c_name, '1') AS has_one FROM customer"
+)
+def string_parts(spark, sf_dir):
+    name = F.col("c_name")
+    return read(spark, sf_dir, "customer").select(
+        "c_custkey", F.nullif(text.token(name, "#", 1), F.lit("")).alias("second"), text.occurs(name, F.lit("0")).alias("zeros"), text.is_class(F.col("c_mktsegment"), "alpha").alias("letters"),
+        text.ascii_lower(F.col("c_mktsegment")).alias("low"), text.holds(name, F.lit("1")).alias("has_one"),
+    )
+
+
+@query("SELECT doc_id, format('{:,}', n_chars * 1000 + doc_id) AS grouped FROM documents")
+def number_groups(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.with_commas((F.col("n_chars") * 1000 + F.col("doc_id")).cast("string")).alias("grouped"))
+
+
+@query("SELECT event_id, TIMESTAMP '2000-01-01' + to_microseconds((event_id * 5400000000)::BIGINT) AS at_time, strftime(ts, '%Y-%m') AS month FROM events")
+def cf_times(spark, sf_dir):
+    at = dates.cf_time(F.col("event_id") * 1.5, F.lit("hours since 2000-01-01 00:00:00"))
+    return read(spark, sf_dir, "events").select("event_id", at.cast("timestamp_ntz").alias("at_time"), dates.to_precision(F.col("ts"), F.lit(2)).alias("month"))
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'Analysis' ELSE concat(o_orderkey % 4 * 6, '-hour Forecast') END WHEN o_orderkey % 3 = 1 THEN concat('Average from ', o_orderkey % 4, ' to ', o_orderkey % 4 + 2) ELSE 'Mean of 5 Analyses' END AS product, "
+    "date_trunc('day', o_orderdate) + INTERVAL 6 HOUR * (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 WHEN o_orderkey % 3 = 1 THEN o_orderkey % 4 + 2 ELSE 4 * (o_orderkey % 4 + 2) END)::INT AS valid FROM orders"
+)
+def product_times(spark, sf_dir):
+    """Product text and valid time of messages made of order keys."""
+    k = F.col("o_orderkey")
+    code, p1 = F.when(k % 3 == 0, 0).when(k % 3 == 1, 3).otherwise(123), (k % 4).cast("int")
+    made = dates.grib_product(F.date_trunc("day", "o_orderdate").cast("timestamp"), F.lit(11), code, p1, p1 + 2, F.lit(5))
+    return read(spark, sf_dir, "orders").select("o_orderkey", made.alias("m")).select("o_orderkey", "m.product", F.col("m.valid").cast("timestamp_ntz").alias("valid"))
+
+
+@query("SELECT p_partkey, p_type, dense_rank() OVER (ORDER BY p_type)::INT - 1 AS code FROM part")
+def code_numbers(spark, sf_dir):
+    """Types by their place among all types."""
+    return catalog.numbered(read(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", "code")
+
+
+@query(
+    "SELECT o_orderkey, concat(c_name, ', ', substr(n_name, 1, 1), '. (', year(o_orderdate), '). ', o_orderpriority, '. ', r_name, '. https://doi.org/10.0/', o_orderkey) AS citation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+)
+def citations(spark, sf_dir):
+    o, c, n, r = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    author = F.array(F.struct(F.col("c_name").alias("last"), F.col("n_name").alias("first")))
+    return rows.select("o_orderkey", catalog.citation(author, F.year("o_orderdate"), F.col("o_orderpriority"), F.col("r_name"), F.concat(F.lit("10.0/"), "o_orderkey")).alias("citation"))
+
+
+@query("SELECT p_partkey, concat('<oai_dc:dc xmlns:oai_dc=\"http://www.openarchives.org/OAI/2.0/oai_dc/\" xmlns:dc=\"http://purl.org/dc/elements/1.1/\"><dc:title>', replace(p_name, '&', '&amp;'), '</dc:title><dc:subject>', p_type, '</dc:subject><dc:subject>', p_brand, '</dc:subject></oai_dc:dc>') AS doc FROM part")
+def dublin_core(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", catalog.dublin_core({"title": F.col("p_name"), "subject[]": F.array("p_type", "p_brand")}).alias("doc"))
