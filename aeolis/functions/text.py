@@ -112,3 +112,56 @@ def size_text(n: Column) -> Column:
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB"), (5, "PB")):
         out = F.when(n >= 1000**power, F.concat(F.format_string("%.2f", F.floor(n / 1000**power * 100) / 100), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+#: What a spelling check passes over, as whole words: numbers, ordinals, versions, codes, references, addresses, files.
+_PASSED = (
+    r"[0-9][0-9.,:]*s?", r"[A-Z0-9]+", r"[A-Z0-9.]*\.[A-Z0-9.]*", r"[0-9]*(?:1st|2nd|3rd|[04-9]th)", r"d[0-9]{6}", r"pre-[0-9]+", r"v[0-9.]+", r"[0-9]+\.x", r"[0-9]+[a-z]+",
+    r"[A-Za-z][.)]", r"\([A-Za-z1-9]\)", r"\([ivx]+\)", r"[IVX]+", r"[^@\s]+@[^@\s]+\.[^@\s]+", r"\.[A-Za-z0-9]{1,10}", r"https?://\S+",
+)
+
+
+def checked(word: Column) -> Column:
+    """Whether a spelling check looks at a word."""
+    bare = F.regexp_replace(word, "^#", "")
+    return (F.length(bare) > 0) & ~bare.rlike(f"^(?:{'|'.join(_PASSED)})$")
+
+
+def compound_parts(word: Column) -> Column:
+    """The parts of a word with - / or ; and all of them as one; an empty array for a simple word."""
+    parts = F.filter(F.split(word, "[-/;]"), lambda p: p != "")
+    return F.when(F.size(parts) > 1, F.concat(parts, F.array(F.array_join(parts, "")))).otherwise(F.array().cast("array<string>"))
+
+
+def html_text(s: Column) -> Column:
+    """Text of a fragment of markup: no tags, scripts or comments, common references decoded, single spaces."""
+    out = F.regexp_replace(s, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)</?(?:p|br|div|li|ul|ol|tr|td|h[1-6])\b[^>]*>", " "), "<[^>]*>", "")
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+#: Least degrees, least kilometres and name of horizontal resolutions.
+RESOLUTIONS = (
+    (0.0, 0.0, "< 1 meter"),
+    (0.00001, 0.001, "1 meter - < 30 meters"),
+    (0.0003, 0.03, "30 meters - < 100 meters"),
+    (0.001, 0.1, "100 meters - < 250 meters"),
+    (0.0025, 0.25, "250 meters - < 500 meters"),
+    (0.005, 0.5, "500 meters - < 1 km"),
+    (0.01, 1.0, "1 km - < 10 km"),
+    (0.09, 10.0, "10 km - < 50 km"),
+    (0.5, 50.0, "50 km - < 100 km"),
+    (1.0, 100.0, "100 km - < 250 km"),
+    (2.5, 250.0, "250 km - < 500 km"),
+    (5.0, 500.0, "500 km - < 1000 km"),
+    (10.0, 1000.0, ">= 1000 km"),
+)
+
+
+def resolution_name(value: Column, unit: str = "degrees") -> Column:
+    out = F.lit(None).cast("string")
+    for degrees, km, name in RESOLUTIONS:
+        out = F.when(value >= (degrees if unit == "degrees" else km), name).otherwise(out)
+    return out
