@@ -142,22 +142,57 @@ def html_text(s: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-#: Least degrees, least kilometres and name of horizontal resolutions.
+#: Least degrees, least kilometres and keyword of horizontal resolutions.
 RESOLUTIONS = (
-    (0.0, 0.0, "< 1 meter"),
-    (0.00001, 0.001, "1 meter - < 30 meters"),
-    (0.0003, 0.03, "30 meters - < 100 meters"),
-    (0.001, 0.1, "100 meters - < 250 meters"),
-    (0.0025, 0.25, "250 meters - < 500 meters"),
-    (0.005, 0.5, "500 meters - < 1 km"),
-    (0.01, 1.0, "1 km - < 10 km"),
-    (0.09, 10.0, "10 km - < 50 km"),
-    (0.5, 50.0, "50 km - < 100 km"),
-    (1.0, 100.0, "100 km - < 250 km"),
-    (2.5, 250.0, "250 km - < 500 km"),
-    (5.0, 500.0, "500 km - < 1000 km"),
-    (10.0, 1000.0, ">= 1000 km"),
+    (0.0, 0.0, "H : < 1 meter"),
+    (0.00001, 0.001, "H : 1 meter - < 30 meters"),
+    (0.0003, 0.03, "H : 30 meters - < 100 meters"),
+    (0.001, 0.1, "H : 100 meters - < 250 meters"),
+    (0.0025, 0.25, "H : 250 meters - < 500 meters"),
+    (0.005, 0.5, "H : 500 meters - < 1 km"),
+    (0.01, 1.0, "H : 1 km - < 10 km or approximately .01 degree - < .09 degree"),
+    (0.09, 10.0, "H : 10 km - < 50 km or approximately .09 degree - < .5 degree"),
+    (0.5, 50.0, "H : 50 km - < 100 km or approximately .5 degree - < 1 degree"),
+    (1.0, 100.0, "H : 100 km - < 250 km or approximately 1 degree - < 2.5 degrees"),
+    (2.5, 250.0, "H : 250 km - < 500 km or approximately 2.5 degrees - < 5.0 degrees"),
+    (5.0, 500.0, "H : 500 km - < 1000 km or approximately 5 degrees - < 10 degrees"),
+    (10.0, 1000.0, "H : >= 1000 km or >= 10 degrees"),
 )
+#: Keywords of time resolutions, of climatologies and of regular series, by unit.
+CLIMATOLOGIES = {
+    "hour": "T : Hourly Climatology",
+    "day": "T : Daily Climatology",
+    "week": "T : Weekly Climatology",
+    "month": "T : Monthly Climatology",
+    "season": "T : Seasonal Climatology",
+    "winter": "T : Seasonal Climatology",
+    "spring": "T : Seasonal Climatology",
+    "summer": "T : Seasonal Climatology",
+    "autumn": "T : Seasonal Climatology",
+    "year": "T : Annual Climatology",
+    "30-year": "T : Climate Normal (30-year climatology)",
+}
+REGULAR = {
+    "second": "T : 1 second - < 1 minute",
+    "minute": "T : 1 minute - < 1 hour",
+    "hour": "T : Hourly - < Daily",
+    "day": "T : Daily - < Weekly",
+    "week": "T : Weekly - < Monthly",
+    "month": "T : Monthly - < Annual",
+    "season": "T : Monthly - < Annual",
+    "year": "T : Annual",
+    "winter": "T : Annual",
+    "spring": "T : Annual",
+    "summer": "T : Annual",
+    "autumn": "T : Annual",
+}
+
+
+def time_resolution_name(kind: Column, number: Column, unit: Column) -> Column:
+    """Of a climatology or a regular series; climatologies of 5 and 7 days have names of their own."""
+    named = lambda table: F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), unit)
+    days = F.when((unit == "day") & (number == 5), "T : Pentad Climatology").when((unit == "day") & (number == 7), "T : Weekly Climatology")
+    return F.when(kind == "climatology", F.coalesce(days, named(CLIMATOLOGIES))).when(kind == "regular", named(REGULAR))
 
 
 def resolution_name(value: Column, unit: str = "degrees") -> Column:

@@ -49,5 +49,7 @@ def test_words(spark):
     assert {r["w"]: r["c"] for r in rows} == words
     assert one(spark, text.compound_parts(F.lit("sea-surface"))) == ["sea", "surface", "seasurface"] and one(spark, text.compound_parts(F.lit("sea"))) == []
     assert one(spark, text.html_text(F.lit("<p>A &amp; <b>b</b>c<script>x</script></p><p>d</p>"))) == "A & bc d"
-    assert [one(spark, text.resolution_name(F.lit(x))) for x in (0.25, 2.5, 20.0)] == ["10 km - < 50 km", "250 km - < 500 km", ">= 1000 km"]
-    assert one(spark, text.resolution_name(F.lit(75.0), "km")) == "50 km - < 100 km"
+    assert [one(spark, text.resolution_name(F.lit(x)))[:18] for x in (0.25, 2.5, 20.0)] == ["H : 10 km - < 50 k", "H : 250 km - < 500", "H : >= 1000 km or "]
+    assert one(spark, text.resolution_name(F.lit(75.0), "km")).startswith("H : 50 km")
+    named = lambda *x: one(spark, text.time_resolution_name(*map(F.lit, x)))
+    assert [named("climatology", 5, "day"), named("climatology", 1, "day"), named("regular", 6, "hour"), named("irregular", 1, "day")] == ["T : Pentad Climatology", "T : Daily Climatology", "T : Hourly - < Daily", None]
