@@ -19,7 +19,7 @@ END = 2
 #: Tokens that one task packs and holds at a time.
 GROUP_TOKENS = 1 << 21
 #: Parts of texts whose ids a Python worker keeps.
-MOST_PARTS = 600_000
+MOST_PARTS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
