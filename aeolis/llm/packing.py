@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,8 @@ class Ids:
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if self.OTHER.search(t) else self.PARTS.findall((t if t.isascii() else unicodedata.normalize("NFC", t)).lower()) for t in texts]
         if len(self.parts) > MOST_PARTS:
-            self.parts.clear()
+            # Common parts are met early, so the older half stays.
+            self.parts = dict(islice(self.parts.items(), MOST_PARTS // 2))
         if new := set().union(*filter(None, split)).difference(self.parts):
             self._learn(list(new))
         end, known = np.array([END], "<u4").tobytes(), self.parts.__getitem__
