@@ -7,7 +7,6 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +25,9 @@ ANCHORS = (
 CHAIN = 2
 #: Texts with fewer signatures than this also take the chains that begin at every word.
 FEW = 8
+#: Ranges of doc_id, each streamed in order, and characters worked on at a time.
+MOST_RANGES = 1 << 12
+BLOCK_CHARS = 1 << 20
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -144,10 +146,11 @@ def similar(prints: DataFrame, least: float = 0.75) -> DataFrame:
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, tail: ranges of doc_id, each with (tail 1) the first document after it again.
 
-    The range after the last is the first. Ranges hold about as many rows each.
+    The range after the last is the first. Ranges hold about as many rows each; there are at most MOST_RANGES,
+    so their bounds stay small, and a range is read as a sorted stream, so it may be of any size.
     """
     spark = docs.sparkSession
-    n = max(4 * shuffle_partitions(spark), plan_bytes(docs) // CHUNK_BYTES)
+    n = min(MOST_RANGES, max(4 * shuffle_partitions(spark), plan_bytes(docs) // CHUNK_BYTES))
     ids = docs.select(F.col("doc_id").cast("double").alias("at"))
     cuts = ids.agg(F.percentile_approx("at", F.array(*(F.lit(i / n) for i in range(1, n))), 20 * n)).first()[0] or []
     splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
@@ -158,26 +161,51 @@ def in_order(docs: DataFrame) -> DataFrame:
     heads = heads.select("head", F.coalesce(F.lag("bucket").over(w), F.last("bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
     found = bucketed(documents(docs).withColumn("at", F.col("doc_id").cast("double"))).join(F.broadcast(heads), F.col("doc_id") == F.col("head"), "left")
     places = F.expr("filter(array(bucket, before), x -> x IS NOT NULL)")
-    return found.select("doc_id", "text", F.posexplode(places).alias("tail", "bucket"))
+    placed = found.select("doc_id", "text", F.posexplode(places).alias("tail", "bucket"))
+    return placed.repartition("bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
 
 
-def _edit(group: pa.Table) -> pa.Table:
-    group = group.take(pc.sort_indices(group, [("tail", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]))
-    texts = group["text"].to_pylist()
-    own = pc.sum(pc.equal(group["tail"], 0)).as_py() or 0
-    sigs = spot_signatures(group["text"].slice(0, min(own + 1, len(group))))
-    halves = [len(t) // 2 for t in texts[:own]]
-    edited = [t[: len(t) - h] + x[:h] for t, x, h in zip(texts, texts[1:], halves)]
+def _edited(held: list[tuple[int, str]]) -> pa.RecordBatch:
+    """Rows for all documents held but the last, which is the next of the one before it."""
+    texts = [t for _, t in held]
+    sigs = spot_signatures(pa.array(texts, pa.string()))
+    own = [len(t) for t in texts[:-1]]
+    edited = [t[: n - n // 2] + x[: n // 2] for t, x, n in zip(texts, texts[1:], own)]
     changed = spot_signatures(pa.array(edited, pa.string()))
-    return pa.table({
-        "doc_id": group["doc_id"].slice(0, own).cast(pa.int64()), "n_chars": pa.array([len(t) for t in texts[:own]], pa.int64()),
-        "edited_sha256": pa.array([sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-        "fingerprint": pa.array([hexed(s) for s in sigs[:own]], pa.string()), "edited_fingerprint": pa.array([hexed(s) for s in changed], pa.string()),
-        "near_edited": pa.array([likeness(a, b) for a, b in zip(sigs, changed)], pa.float64()), "near_next": pa.array([likeness(a, b) for a, b in zip(sigs[:own], sigs[1:])], pa.float64()),
+    return pa.RecordBatch.from_pydict({
+        "doc_id": pa.array([d for d, _ in held[:-1]], pa.int64()), "n_chars": pa.array(own, pa.int64()), "edited_sha256": pa.array([sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+        "fingerprint": pa.array([hexed(s) for s in sigs[:-1]], pa.string()), "edited_fingerprint": pa.array([hexed(s) for s in changed], pa.string()),
+        "near_edited": pa.array([likeness(a, b) for a, b in zip(sigs, changed)], pa.float64()), "near_next": pa.array([likeness(a, b) for a, b in zip(sigs, sigs[1:])], pa.float64()),
     })
 
 
-def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = in_order(table(spark, sf_dir, "documents"))
+def with_next(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Each document's fingerprint beside those of its edited text and of the next document; one row a row.
+
+    Sorted ranges are streamed in blocks of about block_chars, so a task holds a block or one document. Null
+    text is empty; rows that repeat a doc_id follow each other by text; a single row is its own next; an
+    empty table gives no rows.
+    """
+
+    def run(batches):
+        bucket, done, held, size = None, False, [], 0
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                for at, tail, doc_id, text in zip(*(b[c].slice(lo, 256).to_pylist() for c in ("bucket", "tail", "doc_id", "text"))):
+                    if at != bucket:
+                        bucket, done, held, size = at, False, [], 0
+                    if done:  # the head of the next range under a repeated doc_id
+                        continue
+                    held.append((doc_id, text))
+                    size += len(text)
+                    done = tail == 1
+                    if len(held) > 1 and (done or size >= block_chars):
+                        yield _edited(held)
+                        held, size = held[-1:], len(text)
+
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return placed.groupBy("bucket").applyInArrow(_edit, schema)
+    return in_order(docs).mapInArrow(run, schema)
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_next(table(spark, sf_dir, "documents"))

@@ -65,8 +65,8 @@ def test_fingerprints(small, sample):
     for df in both(small, sample):
         texts = texts_of(df)
         ids = sorted(texts)
-        schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-        rows = {r["doc_id"]: r for r in spotsigs.in_order(df).groupBy("bucket").applyInArrow(spotsigs._edit, schema).collect()}
+        rows = {r["doc_id"]: r for r in spotsigs.with_next(df).collect()}
+        assert sorted(spotsigs.with_next(df, 500).collect()) == sorted(rows.values())
         assert sorted(rows) == ids
         by_text = defaultdict(set)
         for i, k in enumerate(ids):
@@ -82,6 +82,14 @@ def test_fingerprints(small, sample):
     assert np.mean([rows[k]["near_edited"] for k in long]) > 0.25 > 0.1 > np.mean([rows[k]["near_next"] for k in long])
 
 
+def test_fingerprints_of_repeated_rows(spark):
+    rows = [(k % 3, f"the tower {k} of stone") for k in range(9)] + [(9, None)]
+    got = spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 10).collect()
+    ordered = sorted((k, t or "") for k, t in rows)
+    want = sorted((k, sha(t[: len(t) - len(t) // 2] + x[: len(t) // 2])) for (k, t), (_, x) in zip(ordered, ordered[1:] + ordered[:1]))
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 def test_similar_pairs(small):
     prints = spotsigs.fingerprints(small)
     sets = {r["fingerprint"]: {r["fingerprint"][i : i + 8] for i in range(0, len(r["fingerprint"]), 8)} for r in prints.collect() if r["fingerprint"]}
@@ -254,7 +262,7 @@ def test_lines(small, sample):
 
 def test_empty_tables(empty):
     assert secrets.find_secrets(empty).count() == 0
-    assert spotsigs.in_order(empty).count() == 0 and spotsigs.similar(spotsigs.fingerprints(empty)).count() == 0
+    assert spotsigs.with_next(empty).count() == 0 and spotsigs.similar(spotsigs.fingerprints(empty)).count() == 0
     assert mixing.mix_sources(empty).count() == 0
     assert langid.identify(empty).count() == 0
     assert packing.pack(empty).count() == 0
