@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,3 +109,21 @@ def grib_product(ref: Column, unit: Column, time_range: Column, p1: Column, p2:
     forecast = F.when(time_range == 10, at(p1 * 256 + p2)).when(point | span | (time_range == 113), at(p1)).otherwise(ref)
     valid = F.when(span, at(p2)).when(time_range == 51, F.timestamp_add("YEAR", n - 1, at(F.lit(1)))).when(time_range.isin(113, 123), F.timestamp_add("SECOND", (F.unix_seconds(at((n - 1) * p2)) - F.unix_seconds(ref)).cast("int"), forecast)).otherwise(forecast)
     return F.struct(product.alias("product"), forecast.alias("forecast"), valid.alias("valid"))
+
+
+def formatted(ts: Column, pattern: str, utc_offset: int = 0) -> Column:
+    """ts by a format with % codes; utc_offset is hhmm, and 2400 or -2400 stand for local times.
+
+    Codes: Y year; m, mm month, h, hh its name, d, dd day, H, HH hour, M, MM minute, S, SS second; R and T times
+    of day, a weekday, Z and ZZ zone, ISO8601 all of it. Of months, days and hours the doubled code has no
+    leading zero, of minutes and seconds the single one has none; doubled names are whole.
+    """
+    sign, zone = "-" if utc_offset < 0 else "+", f"{abs(utc_offset):04}"
+    local = {2400: "LT", -2400: "LST"}.get(utc_offset)
+    forms = {
+        "Y": "yyyy", "m": "MM", "mm": "M", "d": "dd", "dd": "d", "H": "HH", "HH": "H", "M": "m", "MM": "mm", "S": "s", "SS": "ss", "h": "MMM", "hh": "MMMM", "R": "HH:mm", "T": "HH:mm:ss", "a": "E",
+    }
+    fixed = {"Z": local or sign + zone, "ZZ": local or f"{sign}{zone[:2]}:{zone[2:]}"}
+    parts = re.split("%(ISO8601|dd|HH|hh|MM|mm|SS|ZZ|[dHhMmRSTYZa])", pattern.replace("%ISO8601", "%Y-%m-%dT%H:%MM:%SS%ZZ"))
+    made = [F.lit(x if i % 2 == 0 else fixed[x]) if i % 2 == 0 or x in fixed else F.date_format(ts, forms[x]) for i, x in enumerate(parts)]
+    return F.concat(*made)

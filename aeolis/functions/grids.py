@@ -56,3 +56,24 @@ def subset(values: Column, nx: int, first_row: int, last_row: int, first_column:
     picked = [(first_column + k) % nx for k in range(0, width + 1, stride)]
     cells = [j * nx + i for j in range(first_row, last_row + 1, stride) for i in picked]
     return F.transform(F.array(*map(F.lit, cells)), lambda k: F.element_at(values, k + 1))
+
+
+def power(values: Column, exponent: float) -> Column:
+    return scalar(values, lambda x: F.pow(x, F.lit(exponent)))
+
+
+def to_latitudes(values: Column, nx: int, latitudes: list[float], wanted: list[float]) -> Column:
+    """Rows at the wanted latitudes, linear between the rows next to each, missing beyond the first and last row."""
+    between = lambda k: lambda a, b: a if k == 1 else a * k + b * (1 - k)
+    out = []
+    for lat in wanted:
+        north = min((i for i, x in enumerate(latitudes) if x >= lat), key=lambda i: latitudes[i], default=None)
+        south = max((i for i, x in enumerate(latitudes) if x <= lat), key=lambda i: latitudes[i], default=None)
+        if north is None or south is None:
+            out.append(F.array_repeat(F.lit(None).cast("double"), nx))
+            continue
+        row = lambda i: F.slice(values, i * nx + 1, nx)
+        span = latitudes[north] - latitudes[south]
+        share = (lat - latitudes[south]) / span if span else 1.0
+        out.append(combine(row(north), row(south), between(share)))
+    return F.flatten(F.array(*out))

@@ -200,3 +200,45 @@ def resolution_name(value: Column, unit: str = "degrees") -> Column:
     for degrees, km, name in RESOLUTIONS:
         out = F.when(value >= (degrees if unit == "degrees" else km), name).otherwise(out)
     return out
+
+
+def chop(s: Column, n: int) -> Column:
+    """Without the last n characters."""
+    return F.substring(s, F.lit(1), F.greatest(F.length(s) - n, F.lit(0)))
+
+
+def shift(s: Column, n: int) -> Column:
+    """Each printable ASCII character n places on, around the 95 of them."""
+    printable = "".join(map(chr, range(32, 127)))
+    return F.translate(s, printable, printable[n % 95 :] + printable[: n % 95])
+
+
+def wrap(s: Column, width: int, indent: int = 0) -> Column:
+    """Lines of at most `width` characters, the indent included, broken at spaces; longer words have their own."""
+    broken = lambda line: F.regexp_replace(line, f"(.{{1,{width - indent}}}|[^ ]+)(?: |$)", " " * indent + "$1\n")
+    return F.array_join(F.transform(F.split(s, "\n"), lambda line: F.regexp_replace(broken(line), r"\s+$", "")), "\n")
+
+
+def coordinate_digits(s: Column) -> Column:
+    """A decimal coordinate as digits with four places and no point."""
+    return F.concat(F.split_part(s, F.lit("."), F.lit(1)), F.rpad(F.split_part(s, F.lit("."), F.lit(2)), 4, "0"))
+
+
+def subset_request(s: Column) -> Column:
+    """A request such as `dsnum=1;parameters=a!b,c;nlat=50` as a struct; absent bounds are the open ones, absent lists null.
+
+    Parameters are a map from key to format, which is empty if none is given.
+    """
+    given = F.str_to_map(s, F.lit(";"), F.lit("="))
+    bound = lambda k, open_: F.coalesce(given[k].try_cast("double"), F.lit(open_)).alias(k)
+    pairs = F.transform(F.split(given["parameters"], ","), lambda e: F.struct(F.regexp_replace(e, "^[^!]*!", "").alias("key"), F.when(e.contains("!"), F.split_part(e, F.lit("!"), F.lit(1))).otherwise("").alias("value")))
+    return F.struct(
+        *(given[k].alias(k) for k in ("dsnum", "startdate", "enddate", "grid_definition", "ens", "tindex", "inittime")),
+        *(F.split(given[k], ",").alias(k) for k in ("level", "product")), F.map_from_entries(pairs).alias("parameters"),
+        bound("nlat", 99.0), bound("slat", -99.0), bound("wlon", -999.0), bound("elon", 999.0),
+    )
+
+
+def time_range_kind(code: Column) -> Column:
+    """average or accumulation for the codes of GRIB time ranges that are one, else null."""
+    return F.when(code.isin(51, 113, 115, 117, 123), "average").when(code.isin(114, 116, 124), "accumulation")

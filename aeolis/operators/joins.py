@@ -39,3 +39,18 @@ def nearest_below_above(points: DataFrame, marks: DataFrame, point: str, mark: s
     joined = points.join(F.broadcast(sorted_marks))
     below, above = F.filter("marks", lambda m: m <= F.col(point)), F.filter("marks", lambda m: m >= F.col(point))
     return joined.withColumn("below", F.try_element_at(below, F.lit(-1))).withColumn("above", F.try_element_at(above, F.lit(1))).drop("marks")
+
+
+def interval_join(events: DataFrame, history: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:
+    """As history_join, but `entry` is the first that begins at or before ts and does not end before it, else null."""
+    entry = F.struct(F.col(start), F.col(end), *(c for c in history.columns if c not in (key, start, end)))
+    lists = history.groupBy(F.col(key).alias("history_key")).agg(F.array_sort(F.collect_list(entry)).alias("history"))
+    joined = events.join(lists, F.col(key) == F.col("history_key"), "left")
+    holds = F.filter("history", lambda h: (h[start] <= F.col(ts)) & (h[end] >= F.col(ts)))
+    return joined.withColumn("entry", F.try_element_at(holds, F.lit(1))).drop("history_key", "history")
+
+
+def pair_components(fields: DataFrame, kind: str, u: str, v: str, *keys: str) -> DataFrame:
+    """Fields of kind u beside those of kind v with equal keys: columns prefixed u_ and v_; fields without a partner go."""
+    side = lambda name, value: fields.filter(F.col(kind) == value).drop(kind).select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in fields.columns if c not in (kind, *keys)))
+    return side("u", u).join(side("v", v), list(keys))

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bitmaps, dates, geo, grids, met, text
-from ..operators import catalog, joins, search, series
+from ..functions import bitmaps, dates, geo, grids, met, soundings, text
+from ..operators import catalog, joins, search, series, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -493,3 +493,150 @@ def citations(spark, sf_dir):
 @query("SELECT p_partkey, concat('<oai_dc:dc xmlns:oai_dc=\"http://www.openarchives.org/OAI/2.0/oai_dc/\" xmlns:dc=\"http://purl.org/dc/elements/1.1/\"><dc:title>', replace(p_name, '&', '&amp;'), '</dc:title><dc:subject>', p_type, '</dc:subject><dc:subject>', p_brand, '</dc:subject></oai_dc:dc>') AS doc FROM part")
 def dublin_core(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", catalog.dublin_core({"title": F.col("p_name"), "subject[]": F.array("p_type", "p_brand")}).alias("doc"))
+
+
+# --- changes to keyed tables
+
+
+def stock(spark, sf_dir):
+    return read(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+def deliveries(spark, sf_dir):
+    return read(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def rows_upserted(spark, sf_dir):
+    return tables.upsert(stock(spark, sf_dir), deliveries(spark, sf_dir), "o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE 'N' END AS o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice ELSE o_totalprice * 2 END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+def rows_inserted(spark, sf_dir):
+    return tables.insert_new(stock(spark, sf_dir), deliveries(spark, sf_dir), "o_orderkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal FROM customer WHERE CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 100 ELSE c_acctbal END >= 0")
+def rows_updated_deleted(spark, sf_dir):
+    raised = tables.update(read(spark, sf_dir, "customer"), F.col("c_mktsegment") == "BUILDING", {"c_acctbal": F.col("c_acctbal") + 100})
+    return tables.delete(raised, F.col("c_acctbal") < 0).select("c_custkey", "c_acctbal")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN 0.0::DOUBLE ELSE l_quantity END AS l_quantity FROM lineitem WHERE l_orderkey % 5 <> 0 OR l_linenumber <= 2")
+def groups_replaced(spark, sf_dir):
+    """The lines of every fifth order give way to its first two, with no quantity; orders without these keep theirs."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    fifth = lines.filter("l_orderkey % 5 = 0").select("l_orderkey").distinct()
+    fresh = lines.filter("l_orderkey % 5 = 0 AND l_linenumber <= 2").withColumn("l_quantity", F.lit(0.0))
+    kept = tables.replace_groups(lines, fresh, "l_orderkey")
+    return kept.join(fifth.join(fresh.select("l_orderkey").distinct(), "l_orderkey", "left_anti"), "l_orderkey", "left_anti").select(*lines.columns)
+
+
+# --- intervals and pairs
+
+
+@query(
+    "WITH p AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate + INTERVAL 20 DAY AS due FROM orders WHERE o_orderkey % 7 = 0), h AS (SELECT o_custkey AS c, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e, o_orderkey AS wmo FROM orders WHERE o_orderkey % 7 <> 0) "
+    "SELECT k, coalesce(arg_min(wmo, (s, e, wmo)), 0) AS wmo FROM p LEFT JOIN h ON p.c = h.c AND s <= due AND e >= due GROUP BY k"
+)
+def interval_join(spark, sf_dir):
+    """Numbers that held at a time, 0 if none did."""
+    o = read(spark, sf_dir, "orders")
+    later = lambda days: F.col("o_orderdate") + F.make_dt_interval(days=F.lit(days))
+    points = o.filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), later(20).alias("at"))
+    history = o.filter("o_orderkey % 7 <> 0").select(F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("s"), later(60).alias("e"), F.col("o_orderkey").alias("wmo"))
+    return joins.interval_join(points, history, "c", "at", "s", "e").select("k", F.coalesce(F.col("entry.wmo"), F.lit(0).cast("long")).alias("wmo"))
+
+
+@query(
+    "WITH s AS (SELECT user_id, hour(ts)::INT AS hour, event_type, sum(value) AS total FROM events GROUP BY ALL) "
+    "SELECT u.user_id, u.hour, round(u.total, 6) AS u_total, round(v.total, 6) AS v_total FROM s u JOIN s v USING (user_id, hour) WHERE u.event_type = 'click' AND v.event_type = 'view'"
+)
+def component_pairs(spark, sf_dir):
+    """Two kinds of values of one user and hour in one row."""
+    sums = read(spark, sf_dir, "events").groupBy("user_id", F.hour("ts").alias("hour"), "event_type").agg(F.sum("value").alias("total"))
+    return joins.pair_components(sums, "event_type", "click", "view", "user_id", "hour").select("user_id", "hour", F.round("u_total", 6).alias("u_total"), F.round("v_total", 6).alias("v_total"))
+
+
+# --- more strings and times
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+02:30') AS iso, concat(strftime(o_orderdate, '%-d %B %Y, %a %-H'), ' LST') AS longer, strftime(o_orderdate, '%b/%-m/%d %H:%M') AS mixed FROM orders")
+def formatted_times(spark, sf_dir):
+    at = F.col("o_orderdate")
+    return read(spark, sf_dir, "orders").select("o_orderkey", dates.formatted(at, "%ISO8601", 230).alias("iso"), dates.formatted(at, "%dd %hh %Y, %a %HH %ZZ", -2400).alias("longer"), dates.formatted(at, "%h/%mm/%d %R").alias("mixed"))
+
+
+_PRINTABLE = "".join(map(chr, range(32, 127)))
+_quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+
+@query(
+    f"SELECT p_partkey, translate(p_name, {_quoted(_PRINTABLE)}, {_quoted(_PRINTABLE[7:] + _PRINTABLE[:7])}) AS shifted, left(p_name, greatest(len(p_name) - 4, 0)::INT) AS chopped, "
+    "concat(trunc(p_retailprice)::BIGINT, rpad(string_split(printf('%.2f', p_retailprice), '.')[2], 4, '0')) AS digits FROM part"
+)
+def string_codes(spark, sf_dir):
+    name = F.col("p_name")
+    return read(spark, sf_dir, "part").select("p_partkey", text.shift(name, 7).alias("shifted"), text.chop(name, 4).alias("chopped"), text.coordinate_digits(F.format_string("%.2f", "p_retailprice")).alias("digits"))
+
+
+@query("SELECT p_partkey, rtrim(regexp_replace(p_name || ' ' || p_type, '(.{1,10}|[^ ]+)( |$)', E'  \\\\1\\n', 'g'), E'\n') AS wrapped FROM part")
+def wrapped_names(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", text.wrap(F.concat_ws(" ", "p_name", "p_type"), 12, 2).alias("wrapped"))
+
+
+@query(
+    "SELECT c_custkey, concat('d', c_custkey) AS dsnum, ['1', c_mktsegment] AS level, c_acctbal AS nlat, -99.0::DOUBLE AS slat, -999.0::DOUBLE AS wlon, 999.0::DOUBLE AS elon, 'g' AS format, '' AS no_format FROM customer"
+)
+def subset_requests(spark, sf_dir):
+    """Requests for parts of a dataset, taken apart."""
+    request = F.concat(F.lit("dsnum=d"), "c_custkey", F.lit(";level=1,"), "c_mktsegment", F.lit(";parameters=g!t,u;nlat="), F.col("c_acctbal").cast("string"), F.lit(";slat="))
+    r = read(spark, sf_dir, "customer").select("c_custkey", text.subset_request(request).alias("r"))
+    return r.select("c_custkey", "r.dsnum", "r.level", "r.nlat", "r.slat", "r.wlon", "r.elon", F.col("r.parameters")["t"].alias("format"), F.col("r.parameters")["u"].alias("no_format"))
+
+
+@query("SELECT CASE WHEN l_partkey % 130 IN (51, 113, 115, 117, 123) THEN 'average' WHEN l_partkey % 130 IN (114, 116, 124) THEN 'accumulation' END AS kind, count(*) AS n FROM lineitem GROUP BY 1")
+def time_range_kinds(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy(text.time_range_kind(F.col("l_partkey") % 130).alias("kind")).agg(F.count("*").alias("n"))
+
+
+# --- more fields and soundings
+
+
+@query(cells_sql("list_transform(v, lambda x: pow(abs(x), 1.5))"))
+def grid_power(spark, sf_dir):
+    return cells_of(fields(spark, sf_dir).withColumn("v", grids.power(grids.scalar(F.col("v"), F.abs), 1.5)), "vec_id")
+
+
+_GAUSSIAN = [70.0, 50.5, 30.25, 10.0, -10.0, -30.25, -50.5, -70.0]
+_WANTED = [75.0, 60.0, 50.5, 20.0, 0.0, -40.0]
+
+
+def _latitude_cell(lat: float, i: int) -> str:
+    between = [(n, n + 1) for n in range(7) if _GAUSSIAN[n] >= lat >= _GAUSSIAN[n + 1]]
+    if not between:
+        return "NULL"
+    n, s = between[0]
+    share = (lat - _GAUSSIAN[s]) / (_GAUSSIAN[n] - _GAUSSIAN[s])
+    if share in (0.0, 1.0):
+        return f"v[{(n if share else s) * 8 + i}]"
+    return f"v[{n * 8 + i}] * {share!r}::DOUBLE + v[{s * 8 + i}] * {1 - share!r}::DOUBLE"
+
+
+@query(f"SELECT vec_id, unnest(range({8 * len(_WANTED)}))::INT AS pos, round(unnest([{', '.join(_latitude_cell(lat, i) for lat in _WANTED for i in range(1, 9))}]), 6) AS x FROM {FIELD_SQL}")
+def grid_to_latitudes(spark, sf_dir):
+    """Rows at unequal latitudes brought to wanted ones, linear in latitude."""
+    return cells_of(fields(spark, sf_dir).withColumn("v", grids.to_latitudes(F.col("v"), NX, _GAUSSIAN, _WANTED)), "vec_id")
+
+
+_VAPOR = "6.1078::DOUBLE * pow(10, 7.5 * {0} / (237.3 + {0}))"
+
+
+@query(
+    f"WITH s AS (SELECT l_orderkey, l_linenumber, 1000.0::DOUBLE - l_quantity * 10 AS p, l_discount * 300 AS t, l_tax * 100 AS m FROM lineitem) SELECT l_orderkey, l_linenumber, round((t + 273.15) / (1 - 0.379 * ({_VAPOR.format('(t - m)')}) / p), 6) AS by_dew_point, "
+    f"round((t + 273.15) / (1 - 0.379 * (m / 100 * {_VAPOR.format('t')}) / p), 6) AS by_humidity, round((t + 273.15) / (1 - 0.379 * (p * (m / 10000) / (m / 10000 + 0.62197)) / p), 6) AS by_ratio FROM s"
+)
+def virtual_temperatures(spark, sf_dir):
+    s = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (1000.0 - F.col("l_quantity") * 10).alias("p"), (F.col("l_discount") * 300).alias("t"), (F.col("l_tax") * 100).alias("m"))
+    tv = lambda m, kind: F.round(soundings.virtual_temperature(F.col("p"), F.col("t"), m, kind), 6)
+    return s.select("l_orderkey", "l_linenumber", tv(F.col("t") - F.col("m"), "dew_point").alias("by_dew_point"), tv(F.col("m"), "humidity").alias("by_humidity"), tv(F.col("m"), "mixing_ratio").alias("by_ratio"))

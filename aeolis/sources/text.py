@@ -206,3 +206,13 @@ def compare_records(spark: SparkSession, path: str) -> DataFrame:
         _text(1, 2).alias("src"), _int(4, 6).alias("stn"), _time(_int(12, 2) + 1900, _int(14, 2), _int(16, 2), _int(18, 2)).alias("ts"), (_real(25, 6)).alias("lat"), _real(31, 7).alias("lon"), _int(38, 5).alias("elev"),
         F.when(n > 0, levels).alias("levels"),
     )
+
+
+def tdl_hourly(spark: SparkSession, path: str) -> DataFrame:
+    """ts, id, stn_type, lat, lon of hourly surface reports in the layouts of 107 and 150 characters; other lines are dropped."""
+    lines = spark.read.text(path).withColumn("long", F.length(LINE) == 150).filter((F.length(LINE) == 107) | F.col("long"))
+    pick = lambda long, short: F.when(F.col("long"), long).otherwise(short)
+    return lines.select(
+        pick(_time(_int(0, 4), _int(4, 2), _int(6, 2), _int(8, 2)), _time(1900 + _int(0, 2), _int(2, 2), _int(4, 2), _int(6, 2))).alias("ts"), pick(_text(10, 4), _text(8, 4)).alias("id"),
+        pick(_int(14, 2), F.lit(None)).alias("stn_type"), pick(_real(16, 7, 1e4), _real(12, 5, 100)).alias("lat"), pick(_real(23, 8, 1e4), _real(17, 6, 100)).alias("lon"),
+    )
