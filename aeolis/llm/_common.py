@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one group of documents should hold when documents are dealt out by group.
 CHUNK_BYTES = 4 << 20
+#: Stands for a null doc_id inside the operators: rows without one are like rows that repeat the largest id.
+NO_ID = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty) and any further columns named; other columns are left unread."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    """doc_id (null: NO_ID) and text (null: empty) and any further columns named; other columns are left unread."""
+    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def named(df: DataFrame, *columns: str) -> DataFrame:
+    """df with NO_ID as null again in doc_id and the columns given."""
+    return df.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("doc_id", *columns)})
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -18,7 +18,8 @@ UNKNOWN = "und"
 
 
 def held_out() -> Column:
-    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) == 2
+    """A null doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:

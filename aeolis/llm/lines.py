@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bytes import U64, Rolling, blocks, lines, stripped
-from ._common import by_chunk, shard_count, table
+from ._common import by_chunk, named, shard_count, table
 from .mph import PerfectHash
 
 MIN_DOCS = 10
@@ -132,7 +132,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, carry: tuple[st
     space stay. Lines are counted once a chunk of documents before they are shuffled, so a line of every
     document is a row a chunk. Each shard's table answers the chunks that asked, and only hashes of lines
     that go return to them. Null or empty text is one empty line; of several rows with one doc_id, all are
-    filtered and count as one document; an empty table gives no rows.
+    filtered and count as one document, as do all rows with a null one; an empty table gives no rows.
     """
     if docs.schema["text"].dataType.typeName() != "string" or min_docs > 255:
         raise ValueError("text must be a string column and min_docs at most 255")
@@ -141,7 +141,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, carry: tuple[st
     asked = dealt.select("doc_id", "text", "chunk", *carry).mapInArrow(_count(shards), "shard int, chunk int, keys binary, counts binary")
     answers = asked.groupBy("shard").applyInArrow(_probe(min_docs), "chunk int, keys binary")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select("doc_id", *carry).schema)
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_drop, f"{kept}, text string, n_lines long, n_dropped long, kept_sha256 string")
+    return named(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_drop, f"{kept}, text string, n_lines long, n_dropped long, kept_sha256 string"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, documents, plan_bytes, shuffle_partitions, table
+from ._common import cut, documents, named, plan_bytes, shuffle_partitions, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source repeats its documents at most so often.
@@ -39,7 +39,7 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     finish time is its source's cumulative tokens over the source's target. Copies in the order of finish
     times are taken until the budget, all tokens, is reached. Running sums go through hash ranges of a
     source, so a source of any share is summed by many tasks. Null text has size 0 and is never taken;
-    null is a source of its own; of rows with equal doc_id each counts; an empty table gives no rows.
+    null is a source of its own; of rows with equal or null doc_id each counts; an empty table gives no rows.
     """
     spark = docs.sparkSession
     sized = documents(docs, "source").select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"))
@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
         # The first copy over the budget goes; what finished before it stays.
         end = inside.filter(F.col("upto") > budget).agg(F.min("v")).first()[0]
     taken = F.size(F.filter("times", lambda v: v < F.lit(end))).cast("long")
-    return timed.withColumn("copies", taken).withColumn("taken", F.col("copies") * F.col("size")).drop("times")
+    return named(timed.withColumn("copies", taken).withColumn("taken", F.col("copies") * F.col("size")).drop("times"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import U64, Rolling, blocks, mix, shingles, words
-from ._common import cut, documents, table
+from ._common import cut, documents, named, table
 from .components import components
 
 WORDS = 5
@@ -240,7 +240,8 @@ def link_near(docs: DataFrame) -> DataFrame:
     components. So near-identical groups give few pairs and no link between components goes unverified.
 
     Null texts and texts without words have no shingles and stay alone; rows that repeat a doc_id get one
-    component and are all kept or all not; an empty table gives no rows.
+    component and are all kept or all not, and so are rows with a null one, which counts as the largest;
+    an empty table gives no rows.
     """
     signed = cut(documents(docs).mapInArrow(_sign, "doc_id long, n_shingles long, key binary, sig binary"))
     # Equal keys have equal signatures, so any of them will do.
@@ -254,10 +255,11 @@ def link_near(docs: DataFrame) -> DataFrame:
     labels = components(edges)
     more = cut(_verified(_candidates(members, reps, labels, forest=False), docs))
     labels = components(edges.union(more))
-    named = classes.select("key", "id").join(labels, "id", "left").select(F.col("key").alias("k"), F.coalesce("label", "id").alias("component"))
-    return signed.join(named, F.col("key") == F.col("k"), "left").select(
+    by_key = classes.select("key", "id").join(labels, "id", "left").select(F.col("key").alias("k"), F.coalesce("label", "id").alias("component"))
+    out = signed.join(by_key, F.col("key") == F.col("k"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept")
     )
+    return named(out, "component_id")
 
 
 def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:

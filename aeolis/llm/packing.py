@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, table
+from ._common import documents, named, table
 
 LENGTH = 4096
 END = 2
@@ -195,10 +195,10 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     and rests are packed online by the sum-of-squares rule, a group of about GROUP_TOKENS tokens at a time
     where the documents are, without a shuffle. At the end of a group open sequences are topped up with cuts
     from the emptiest and the last is cut at powers of two, so that no padding is left. Sequence ids hold
-    the partition's number. Null or empty text is id 2 alone; repeated rows are packed each; an empty table
+    the partition's number. Null or empty text is id 2 alone; repeated rows and rows with a null doc_id are packed each; an empty table
     gives no rows.
     """
-    return documents(docs).mapInArrow(_pack(path or tokenizer_path(), length), SCHEMA)
+    return named(documents(docs).mapInArrow(_pack(path or tokenizer_path(), length), SCHEMA))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ._bytes import BLOCK, U64, Rolling, blocks, mix
-from ._common import by_chunk, shard_count, table
+from ._common import by_chunk, named, shard_count, table
 
 LENGTH = 100
 #: Bytes of a rolling hash and hashes of a window: a window lies within any LENGTH bytes.
@@ -295,7 +295,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     doc_id or earlier in the same document. Texts are shuffled once and read three times; else hashes travel,
     and the text of open entries. Each chunk of documents sends its distinct dictionary entries, so copies cost a row a chunk, and
     the entries at a trigger that many share are dealt suffix by suffix. Null and empty texts
-    lose nothing; of rows that repeat a doc_id the ones with larger texts count as later; texts shorter than
+    lose nothing; of rows that repeat a doc_id the ones with larger texts count as later; rows with a null
+    doc_id come last; texts shorter than
     LENGTH bytes stay; an empty table gives no rows.
     """
     shards = shard_count(docs)
@@ -304,7 +305,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     told = entries.groupBy("shard").applyInArrow(_classed, "chunk int, doc binary, offset binary, status binary")
     asked = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_suffixes(shards), "shard int, chunk int, doc binary, offset binary, n binary, text binary")
     ranges = asked.groupBy("shard").applyInArrow(_removed, "chunk int, doc binary, offset binary, n binary")
-    return dealt.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(_cleared, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return named(dealt.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(_cleared, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import SPACE, Rolling, blocks, lines, shingles, words
-from ._common import cut, documents, table
+from ._common import cut, documents, named, table
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -60,8 +60,8 @@ def _counts(batches):
 
 
 def quality_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the COUNTS of each document, one row a row."""
-    return documents(docs, "lang", "source").mapInArrow(_counts, "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in COUNTS))
+    """doc_id, lang, source and the COUNTS of each document, one row a row; null text has no words, a null doc_id stays null."""
+    return named(documents(docs, "lang", "source").mapInArrow(_counts, "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in COUNTS)))
 
 
 def _sketches(rated: DataFrame, *keys: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, table
+from ._common import documents, named, table
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -88,11 +88,10 @@ def scan(text: str, keywords: ahocorasick.Automaton) -> list[tuple[int, int, str
     return sorted(out, key=lambda x: (x[0], RANK[x[2]]))
 
 
-
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, found (array of kind, start, end and the secret's text).
 
-    Null or empty texts have an empty array; repeated rows and repeated doc_ids are scanned one by one;
+    Null or empty texts have an empty array; repeated rows and repeated or null doc_ids are scanned one by one;
     columns other than doc_id and text are ignored.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string())]))
@@ -106,7 +105,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 found.append([{"kind": k, "start": s, "end": e, "secret": text[s:e]} for s, e, k in scan(text, keywords)])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found, kind)], ["doc_id", "found"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, found array<struct<kind string, start long, end long, secret string>>")
+    return named(documents(docs).mapInArrow(run, "doc_id long, found array<struct<kind string, start long, end long, secret string>>"))
 
 
 def digest(found: DataFrame) -> DataFrame:

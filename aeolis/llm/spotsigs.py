@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import BASE, U64, Rolling, blocks, mix
-from ._common import CHUNK_BYTES, documents, plan_bytes, shuffle_partitions, table
+from ._common import CHUNK_BYTES, documents, named, plan_bytes, shuffle_partitions, table
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             sigs = spot_signatures(b["text"])
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "fingerprint": pa.array([hexed(s) for s in sigs], pa.string()), "n_sigs": pa.array([len(s) for s in sigs], pa.int64())})
 
-    return documents(docs).mapInArrow(run, "doc_id long, fingerprint string, n_sigs long")
+    return named(documents(docs).mapInArrow(run, "doc_id long, fingerprint string, n_sigs long"))
 
 
 def similar(prints: DataFrame, least: float = 0.75) -> DataFrame:
@@ -183,8 +183,8 @@ def with_next(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document; one row a row.
 
     Sorted ranges are streamed in blocks of about block_chars, so a task holds a block or one document. Null
-    text is empty; rows that repeat a doc_id follow each other by text; a single row is its own next; an
-    empty table gives no rows.
+    text is empty; rows that repeat a doc_id follow each other by text, and those with a null one come last;
+    a single row is its own next; an empty table gives no rows.
     """
 
     def run(batches):
@@ -204,7 +204,7 @@ def with_next(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
                         held, size = held[-1:], len(text)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs).mapInArrow(run, schema)
+    return named(in_order(docs).mapInArrow(run, schema))
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
