@@ -25,15 +25,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; one row of those that repeat a doc_id."""
-    kept = near.link_near(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """The document with the smallest doc_id of each group of near copies; one row of those that repeat a doc_id.
+
+    Rows with a null doc_id stay, as no result can name one of them.
+    """
+    docs, kept = docs.select(*COLUMNS), near.link_near(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; of rows that repeat a doc_id the most often taken counts."""
+    """Each document as often as the mix takes it; of rows that repeat a doc_id, or have none, the most often taken counts."""
     copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    taken = docs.join(copies, F.col("doc_id") == F.col("id"))
+    taken = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
     return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
