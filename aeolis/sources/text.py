@@ -216,3 +216,61 @@ def tdl_hourly(spark: SparkSession, path: str) -> DataFrame:
         pick(_time(_int(0, 4), _int(4, 2), _int(6, 2), _int(8, 2)), _time(1900 + _int(0, 2), _int(2, 2), _int(4, 2), _int(6, 2))).alias("ts"), pick(_text(10, 4), _text(8, 4)).alias("id"),
         pick(_int(14, 2), F.lit(None)).alias("stn_type"), pick(_real(16, 7, 1e4), _real(12, 5, 100)).alias("lat"), pick(_real(23, 8, 1e4), _real(17, 6, 100)).alias("lon"),
     )
+
+
+#: Columns of daily and monthly climate summaries in their later layout, name: (start, length).
+DAILY = {
+    "tmax": (9, 5), "tmin": (14, 5), "pcp_amt": (19, 6), "eprcp": (25, 6), "vp": (31, 6), "potev": (37, 6), "vpd": (43, 6), "slp06": (49, 6), "slp12": (55, 6), "slp18": (61, 6), "slp00": (67, 6),
+    "aptmx": (73, 6), "chillm": (79, 6), "rad": (85, 5), "mxrh": (106, 3), "mnrh": (109, 3),
+}
+MONTHLY = {
+    "tmean": (12, 5), "tmax": (17, 5), "tmin": (22, 5), "hmax": (27, 5), "rminl": (32, 5), "ctmean": (37, 5), "aptmax": (42, 5), "wcmin": (47, 5), "hmaxapt": (52, 5), "wclminl": (57, 5), "rpcp": (62, 7), "epcp": (69, 7),
+    "cpcp": (76, 7), "epcpmax": (83, 5), "ahs": (88, 5), "avp": (93, 5), "apet": (98, 5), "avpd": (103, 5), "trad": (114, 5), "amaxrh": (119, 5), "aminrh": (124, 5), "ihdd": (129, 5), "icdd": (134, 5), "igdd": (139, 5),
+}
+
+
+def climate_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """layout (daily, monthly, old_daily), id, library_id, year, month, day, lat, lon, elev, data (a map of the numbers that are there).
+
+    Later layouts name a station whose place is found by history_join with library_id; the old daily one
+    carries the place. Other lines are dropped.
+    """
+    later, point = _text(0, 1) == " ", _text(17, 1) == "."
+    layout = F.when(later & point, "daily").when(later, "monthly").when(_text(6, 1) == " ", "old_daily")
+    pick = lambda daily, monthly, old: F.when(F.col("layout") == "daily", daily).when(F.col("layout") == "monthly", monthly).otherwise(old)
+    named = lambda fields: F.map_from_entries(F.array(*(F.struct(F.lit(k), _real(*at)) for k, at in fields.items())))
+    good = lambda at, flag, bad: F.when(~_text(flag, 1).isin(*bad), _real(at, 5, 10))
+    old = F.map_from_entries(F.array(*(F.struct(F.lit(k), v) for k, v in (("tmax", good(34, 40, "9")), ("tmin", good(41, 47, "9")), ("pcp_amt", good(48, 54, "89"))))))
+    old_id = F.when(_text(7, 5) == "99999", F.trim(_text(13, 4))).otherwise(F.translate(_text(7, 5), " ", "0"))
+    number = F.col("number")
+    station = F.when(number.startswith("99"), F.replace(number, F.lit("99"), F.lit(""))).otherwise(number)
+    west = _real(23, 6, 100)
+    rows = spark.read.text(path).withColumn("layout", layout).filter("layout IS NOT NULL").withColumn("number", pick(_text(9, 5), _text(7, 5), old_id))
+    return rows.select(
+        "layout", pick(station, station, number).alias("id"), F.when(F.col("layout") != "old_daily", F.when(number.startswith("99"), F.concat(F.lit("K"), station, F.lit("  "))).otherwise(F.concat(number, F.lit("0")))).alias("library_id"),
+        pick(_int(1, 4), _int(1, 4), 1900 + _int(0, 2)).alias("year"), pick(_int(5, 2), _int(5, 2), _int(2, 2)).alias("month"), pick(_int(7, 2), F.lit(None), _int(4, 2)).alias("day"),
+        pick(F.lit(None), F.lit(None), _real(17, 6, 100)).alias("lat"), pick(F.lit(None), F.lit(None), F.when(west > 180, 360 - west).otherwise(-west)).alias("lon"), pick(F.lit(None), F.lit(None), _int(29, 5)).alias("elev"),
+        F.map_filter(pick(named(DAILY), named(MONTHLY), old), lambda k, v: v.isNotNull()).alias("data"),
+    )
+
+
+def aircraft_reports(spark: SparkSession, path: str) -> DataFrame:
+    """id, ts, lat, lon, altitude, wind_dir, wind_speed, temp, moisture (which kind is given) of aircraft reports with an octant of the globe."""
+    octant = _text(22, 1)
+    known = ~octant.isin(" ", "*")
+    lat, lon = _real(23, 3), _int(26, 3)
+    far = F.when((lon <= 800) & octant.isin("1", "2", "6", "7"), lon + 1000).otherwise(lon) / 10
+    field = lambda at: ~F.trim(_text(at, 2)).isin("", "*")
+    return spark.read.text(path).filter(F.length(LINE) >= 100).select(
+        _text(4, 4).alias("id"), _time(1900 + _int(12, 2), _int(14, 2), _int(16, 2), _int(18, 2), _int(20, 2)).alias("ts"),
+        F.when(known, F.when(octant.between("5", "8"), -lat).otherwise(lat) / 10).alias("lat"), F.when(known, F.when(octant.isin("0", "1", "5", "6"), -far).otherwise(far)).alias("lon"),
+        (_int(29, 3) * 100).alias("altitude"), (_int(41, 2) * 10).alias("wind_dir"), _int(43, 3).alias("wind_speed"), F.when(field(98), _overpunched(_text(98, 2))).alias("temp"),
+        F.when(field(100), "dew_point").when(field(102), "wet_bulb_depression").when(field(104), "dew_point_depression").when(field(106), "relative_humidity").alias("moisture"),
+    )
+
+
+def _overpunched(field: Column) -> Column:
+    """A number whose last character also carries the sign."""
+    last = F.right(field, F.lit(1))
+    digits = F.concat(F.substring(field, 1, 1), F.translate(last, "{ABCDEFGHI}JKLMNOPQR", "01234567890123456789"))
+    return F.when(last.rlike("[}J-R]"), -F.trim(digits).try_cast("int")).otherwise(F.trim(digits).try_cast("int"))
