@@ -172,6 +172,52 @@ def packed_file(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return packed_grids(fixed_records(spark, path, LAYOUTS[kind].length), kind)
 
 
+#: Fields of hourly station reports and of monthly climate reports, (first bit, width), with the value that means missing.
+HOURLY = {"id": (16, 24), "year": (40, 12), "month": (52, 4), "day": (56, 5), "hour": (61, 5), "zone": (66, 4), "lat": (70, 14), "lon": (84, 16), "elev": (100, 14)}
+CLIMATE = {"format": (16, 6), "data_source": (22, 2), "id": (27, 21), "year": (48, 12), "first_month": (60, 4), "lat": (64, 11), "lon": (75, 12), "elev": (87, 14)}
+MONTH = {"slp": (1, 15, 20000), "station_pressure": (18, 15, 20000), "height": (33, 13, 5000), "temp": (46, 11, 1990), "precipitation": (57, 18, 200000)}
+MONTH_FIRST, MONTH_BITS, TRACE = 332, 75, 150000
+
+
+def _padded(records: list[bytes], length: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(r[:length].ljust(length, b"\0") for r in records), np.uint8).reshape(len(records), length), axis=1)
+
+
+def hourly_reports(records: DataFrame) -> DataFrame:
+    """id, ts (UTC), lat, lon, elev of surface reports of a station network, from columns with `record`."""
+
+    def run(batches):
+        for b in batches:
+            bits = _padded(b["record"].to_pylist(), 15)
+            yield pa.RecordBatch.from_pydict({k: pa.array(_number(bits, *at)) for k, at in HOURLY.items()})
+
+    rows = records.filter(F.length("record") >= 15).select("record").mapInArrow(run, ", ".join(f"{k} long" for k in HOURLY))
+    day = F.try_make_timestamp_ntz(F.col("year").cast("int"), F.col("month").cast("int"), F.col("day").cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    ts = day + F.make_dt_interval(hours=(F.col("hour") - (F.col("zone") - 8)).cast("int"))
+    return rows.select(F.lpad(F.col("id").cast("string"), 7, "0").alias("id"), ts.alias("ts"), (F.col("lat") / 100).alias("lat"), ((F.col("lon") - 18000) / 100).alias("lon"), "elev")
+
+
+def station_climate(records: DataFrame) -> DataFrame:
+    """id, year, lat, lon, elev, data_source, month, slp, station_pressure, height, temp, precipitation (millimetres, with `trace` true for less than could be measured): twelve rows a report."""
+
+    def run(batches):
+        for b in batches:
+            bits = _padded(b["record"].to_pylist(), (MONTH_FIRST + 12 * MONTH_BITS + 7) // 8)
+            head = {k: _number(bits, *at) for k, at in CLIMATE.items()}
+            for m in range(12):
+                raw = {k: _number(bits, MONTH_FIRST + m * MONTH_BITS + at, width) for k, (at, width, _) in MONTH.items()}
+                cells = {k: pa.array(v.astype(float), mask=v == MONTH[k][2]) for k, v in raw.items()}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in head.items()} | {"month": pa.array(np.full(len(b), m + 1, np.int32))} | cells)
+
+    rows = records.filter(F.length("record") * 8 >= MONTH_FIRST).select("record").mapInArrow(run, ", ".join(f"{k} long" for k in CLIMATE) + ", month int, " + ", ".join(f"{k} double" for k in MONTH))
+    west = (F.col("lon") - 2000) / 10
+    return rows.select(
+        F.lpad(F.col("id").cast("string"), 6, "0").alias("id"), "year", ((F.col("lat") - 1000) / 10).alias("lat"), F.when(west > -199, -west).alias("lon"), (F.col("elev") - 1000).alias("elev"), "data_source", "month",
+        (F.col("slp") / 10).alias("slp"), (F.col("station_pressure") / 10).alias("station_pressure"), "height", ((F.col("temp") - 1000) / 10).alias("temp"),
+        F.when(F.col("precipitation") != TRACE, F.col("precipitation") / 10).alias("precipitation"), (F.coalesce(F.col("precipitation"), F.lit(0)) == TRACE).alias("trace"),
+    )
+
+
 def _weekly(data: bytes):
     lines = data.decode("latin-1").splitlines()
     starts = [i for i, x in enumerate(lines) if len(x) == 45]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aeolis.sources import packed
+from aeolis.sources import binary, packed
 from aeolis.sources import text as readers
 
 
@@ -106,3 +106,63 @@ def test_aircraft(spark, tmp_path):
 def test_only_what_is_needed(spark, tmp_path):
     (tmp_path / "x").write_bytes(record(2048, [(6, 11, 1963)]))
     assert packed.packed_file(spark, str(tmp_path / "x"), "slp").filter(F.col("year") == 1900).count() == 0
+
+
+def test_reports(spark, tmp_path):
+    hourly = record(16, [(16, 24, 6158350), (40, 12, 1977), (52, 4, 12), (56, 5, 31), (61, 5, 20), (66, 4, 3), (70, 14, 4367), (84, 16, 18000 - 7938), (100, 14, 112)])
+    month = lambda m, *cells: [(332 + 75 * m + at, width, n) for (at, width), n in zip(((1, 15), (18, 15), (33, 13), (46, 11), (57, 18)), cells)]
+    climate = record(156, [(16, 6, 63), (22, 2, 1), (27, 21, 72469), (48, 12, 1961), (64, 11, 1398), (75, 12, 2000 + 1049), (87, 14, 2625), *month(0, 10132, 20000, 5000, 1000 - 15, 431), *month(11, 20000, 8341, 1500, 1990, 150000)])
+    (tmp_path / "r").write_bytes(binary.report_blocks([hourly] * 300 + [climate] * 60))
+    records = binary.report_records(spark, str(tmp_path / "r"))
+    assert records.count() == 360 and records.select("block_no").distinct().count() > 1
+    r = packed.hourly_reports(records.filter("rec_no = 7")).first()
+    assert tuple(r) == ("6158350", dt.datetime(1978, 1, 1, 1), 43.67, -79.38, 112)
+    rows = packed.station_climate(records.filter("rec_no = 359")).orderBy("month").collect()
+    assert len(rows) == 12 and tuple(rows[0])[:6] == ("072469", 1961, 39.8, -104.9, 1625, 1)
+    assert tuple(rows[0])[7:] == (1013.2, None, None, -1.5, 43.1, False) and tuple(rows[11])[7:] == (None, 834.1, 1500.0, None, None, True)
+
+
+def complex_section(values, order, missing, width=9):
+    """Section 5 and the data of section 7 for groups of three values; None is missing."""
+    bits = lambda numbers, w: np.packbits([int(c) for n in numbers for c in (f"{n:0{w}b}" if w else "")]).tobytes()
+    known = [v for v in values if v is not None]
+    diff, extra = np.array(known), []
+    if order:
+        extra = known[:order]
+        diff = np.concatenate([np.zeros(order, int), np.diff(known, order)])
+        least = int(diff[order:].min())
+        diff = np.concatenate([np.zeros(order, int), diff[order:] - least])
+        extra = [*extra, least]
+    numbers = iter(diff.tolist())
+    whole = [None if v is None else next(numbers) for v in values]
+    groups = [whole[i : i + 3] for i in range(0, len(whole), 3)]
+    refs, widths, body = [], [], ""
+    for g in groups:
+        some = [v for v in g if v is not None]
+        if not some:
+            refs.append(2**width - 1)
+            widths.append(0)
+            continue
+        low = min(some)
+        w = max(1, (max(some) - low + 1 + missing).bit_length()) if None in g or max(some) > low else 0
+        refs.append(low)
+        widths.append(w)
+        body += "".join(f"{2**w - 1 if v is None else v - low:0{w}b}" for v in g) if w else ""
+    p = bytearray(49)
+    for first, size, n in ((6, 4, len(values)), (10, 2, 3 if order else 2), (20, 1, width), (23, 1, missing), (32, 4, len(groups)), (36, 1, 0), (37, 1, 5), (38, 4, 3), (42, 1, 1), (43, 4, len(groups[-1])), (47, 1, 0), (48, 1, order), (49, 1, 2)):
+        p[first - 1 : first - 1 + size] = n.to_bytes(size, "big")
+    head = b"".join((abs(x) | (0x8000 if x < 0 else 0)).to_bytes(2, "big") for x in extra)
+    return bytes(p), head + bits(refs, width) + bits(widths, 5) + np.packbits([int(c) for c in body]).tobytes()
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+@pytest.mark.parametrize("missing", [0, 1])
+def test_groups(order, missing):
+    rng = np.random.default_rng(3)
+    values = [5, 5, 5, *(int(v) for v in rng.integers(0, 60, 40))]
+    if missing:
+        values[6:9] = [None] * 3
+        values[11] = values[20] = None
+    p, data = complex_section(values, order, missing)
+    found = binary._grouped(data, p, len(values))
+    assert [None if np.isnan(v) else int(v) for v in found] == values
