@@ -40,5 +40,16 @@ def decode(text: Column) -> Column:
     return F.flatten(F.filter(spans, lambda x: x.isNotNull()))
 
 
+def longitudes(present: Column) -> Column:
+    """120 octal digits that say which of 360 longitudes are in an array, three to a digit with the first the highest."""
+    bit = lambda at, worth: F.when(F.array_contains(present, at), worth).otherwise(0)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: (bit(i * 3, 4) + bit(i * 3 + 1, 2) + bit(i * 3 + 2, 1)).cast("string")), "")
+
+
+def longitude_bits(text: Column) -> Column:
+    """360 zeros and ones of 120 octal digits."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.lpad(F.conv(c, 8, 2), 3, "0")), "")
+
+
 def contains(text: Column, value: Column) -> Column:
     return F.array_contains(decode(text), value.cast("long"))

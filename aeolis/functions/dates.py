@@ -46,6 +46,16 @@ def add_days_360(year: Column, month: Column, day: Column, days: int) -> Column:
     return F.struct(F.floor(n / 360).cast("int").alias("year"), (F.floor(F.pmod(n, F.lit(360)) / 30) + 1).cast("int").alias("month"), (F.pmod(n, F.lit(30)) + 1).cast("int").alias("day"))
 
 
+def add_days_fixed(year: Column, month: Column, day: Column, days: Column | int, length: int = 365) -> Column:
+    """struct(year, month, day) in a calendar whose years all have 365 or all have 366 days."""
+    months = [31, length - 337, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+    before = F.array(*(F.lit(sum(months[:i])) for i in range(12)))
+    n = year * length + F.element_at(before, month) + day - 1 + days
+    rest = F.pmod(n, F.lit(length))
+    at = F.size(F.filter(before, lambda b: b <= rest))
+    return F.struct(F.floor(n / length).cast("int").alias("year"), at.alias("month"), (rest - F.element_at(before, at) + 1).cast("int").alias("day"))
+
+
 def synoptic(ts: Column) -> Column:
     """00, 06, 12 or 18 hours: each stands for what lies after three hours before it, up to three hours after it."""
     micros = F.unix_micros(ts.cast("timestamp")) + 3 * 3_600_000_000 - 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -242,3 +244,22 @@ def subset_request(s: Column) -> Column:
 def time_range_kind(code: Column) -> Column:
     """average or accumulation for the codes of GRIB time ranges that are one, else null."""
     return F.when(code.isin(51, 113, 115, 117, 123), "average").when(code.isin(114, 116, 124), "accumulation")
+
+
+def _xpath(path: str, tail: str) -> Column:
+    """a/b@key=value@other=more/c as an XPath; a slash in a value is written \\/."""
+    steps = []
+    for step in re.split(r"(?<!\\)/", path):
+        name, *tests = step.replace("\\/", "/").split("@")
+        steps.append(name + "".join("[@{}='{}']".format(*t.split("=", 1)) for t in tests))
+    return F.lit("/".join(steps) + tail)
+
+
+def elements(xml: Column, path: str) -> Column:
+    """Texts of the elements at a path of names and attributes that must be equal, in the document's order; null without a document."""
+    return F.xpath(xml, _xpath(path, "/text()"))
+
+
+def attributes(xml: Column, path: str, name: str) -> Column:
+    """Values of an attribute of the elements at a path."""
+    return F.xpath(xml, _xpath(path, f"/@{name}"))

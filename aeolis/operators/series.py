@@ -70,3 +70,17 @@ def finest_resolution(df: DataFrame, key: str, resolution: Column, edges: tuple[
     """key, bucket, finest: the least resolution of each bucket, numbered by how many edges it passes."""
     bucket = sum((F.when(resolution >= e, 1).otherwise(0) for e in edges), F.lit(0))
     return df.select(key, bucket.alias("bucket"), resolution.alias("r")).groupBy(key, "bucket").agg(F.min("r").alias("finest"))
+
+
+def grid_mean_weighted(df: DataFrame, *keys: str, weight: str, values: str = "values") -> DataFrame:
+    """keys, pos, mean: of fields that are means of `weight` others each; null where any of them misses the cell."""
+    exploded = df.select(*keys, F.col(weight).alias("w"), F.posexplode(values).alias("pos", "x"))
+    mean = F.when(F.count("x") == F.count("*"), F.sum(F.col("x") * F.col("w")) / F.sum("w"))
+    return exploded.groupBy(*keys, "pos").agg(mean.alias("mean"))
+
+
+def longitude_presence(df: DataFrame, key: str, index: str) -> DataFrame:
+    """key, longitudes: which of 360 longitudes a key has. Pairs are made distinct first, so a key gathers 360 numbers at most."""
+    from ..functions.bitmaps import longitudes
+
+    return df.select(key, F.col(index).cast("int").alias("i")).distinct().groupBy(key).agg(longitudes(F.collect_list("i")).alias("longitudes"))

@@ -123,9 +123,10 @@ def grid_mean_min10(spark, sf_dir):
     return series.grid_mean(fields(spark, sf_dir), "label", values="v").select("label", "pos", "n", F.round("mean", 6).alias("mean"))
 
 
-@query(f"SELECT label, pos, round(CASE WHEN count(x) = count(*) THEN sum(x) END, 6) AS total FROM (SELECT label, unnest(range(64))::INT AS pos, unnest(v) AS x FROM {FIELD_SQL} WHERE vec_id < 40) GROUP BY ALL")
+@query(f"SELECT four, pos, round(CASE WHEN count(x) = count(*) THEN sum(x) END, 6) AS total FROM (SELECT vec_id // 4 AS four, unnest(range(64))::INT AS pos, unnest(v) AS x FROM {FIELD_SQL}) GROUP BY ALL")
 def grid_sum_strict(spark, sf_dir):
-    return series.grid_sum_strict(fields(spark, sf_dir).filter("vec_id < 40"), "label", values="v").withColumn("total", F.round("total", 6))
+    """Sums of four fields each."""
+    return series.grid_sum_strict(fields(spark, sf_dir).withColumn("four", F.expr("vec_id div 4")), "four", values="v").withColumn("total", F.round("total", 6))
 
 
 @query(
@@ -241,16 +242,15 @@ def synoptic_bucket(spark, sf_dir):
 
 
 @query(
-    "WITH h AS (SELECT user_id, date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY - INTERVAL 1 SECOND AS e, count(*) AS site FROM events WHERE event_id % 3 = 0 GROUP BY ALL), "
+    "WITH h AS (SELECT user_id, date_trunc('day', ts) + INTERVAL 6 HOUR AS s, date_trunc('day', ts) + INTERVAL 18 HOUR AS e, count(*) AS site FROM events GROUP BY ALL), "
     "r AS (SELECT v.event_id, h.site, h.s, row_number() OVER (PARTITION BY v.event_id ORDER BY h.e < v.ts, CASE WHEN h.e >= v.ts THEN h.s END, h.s DESC) AS rn FROM events v LEFT JOIN h USING (user_id)) "
     "SELECT event_id, site, s AS since FROM r WHERE rn = 1"
 )
 def history_join(spark, sf_dir):
     """Events with the entry of their user's history that holds, or comes next, or was last."""
     events = read(spark, sf_dir, "events")
-    day = F.date_trunc("day", "ts")
-    history = events.filter("event_id % 3 = 0").groupBy("user_id", day.cast("timestamp_ntz").alias("s")).agg(F.count(F.lit(1)).alias("site"))
-    history = history.withColumn("e", F.expr("s + INTERVAL 1 DAY - INTERVAL 1 SECOND"))
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    history = events.groupBy("user_id", (day + F.make_dt_interval(hours=F.lit(6))).alias("s")).agg(F.count(F.lit(1)).alias("site")).withColumn("e", F.expr("s + INTERVAL 12 HOUR"))
     return joins.history_join(events, history, "user_id", "ts", "s", "e").select("event_id", F.col("entry.site").alias("site"), F.col("entry.s").alias("since"))
 
 
@@ -326,11 +326,11 @@ def observation_rate(spark, sf_dir):
 
 
 @query(
-    "WITH d AS (SELECT DISTINCT user_id, (event_id * 7 % 360)::INT AS i FROM events WHERE user_id % 5 = 0), g AS (SELECT user_id, i, coalesce(lead(i) OVER w, min(i) OVER (PARTITION BY user_id) + 360) AS nxt FROM d WINDOW w AS (PARTITION BY user_id ORDER BY i)), "
+    "WITH d AS (SELECT DISTINCT user_id, (event_id * 7 % 360)::INT AS i FROM events), g AS (SELECT user_id, i, coalesce(lead(i) OVER w, min(i) OVER (PARTITION BY user_id) + 360) AS nxt FROM d WINDOW w AS (PARTITION BY user_id ORDER BY i)), "
     "b AS (SELECT *, nxt - i - 1 AS gap, row_number() OVER (PARTITION BY user_id ORDER BY nxt - i - 1 DESC, i) AS rn FROM g) SELECT user_id, CASE WHEN gap = 0 THEN 0 ELSE nxt % 360 END::INT AS west, CASE WHEN gap = 0 THEN 359 ELSE i END::INT AS east FROM b WHERE rn = 1"
 )
 def longitude_bounds(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").filter("user_id % 5 = 0").select("user_id", (F.col("event_id") * 7 % 360).cast("int").alias("i"))
+    rows = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") * 7 % 360).cast("int").alias("i"))
     return series.longitude_bounds(rows, "user_id", "i").select("user_id", F.col("west").cast("int").alias("west"), F.col("east").cast("int").alias("east"))
 
 
@@ -350,11 +350,9 @@ def finest_resolution(spark, sf_dir):
     return series.finest_resolution(read(spark, sf_dir, "lineitem"), "l_returnflag", F.col("l_discount"), (0.03, 0.06))
 
 
-@query(
-    f"SELECT min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, count(*) FILTER (lat > 80 OR lat < -80) AS polar FROM {PLACE_SQL} WHERE k % 11 <> 0"
-)
+@query(f"SELECT min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, count(*) FILTER (lat > 80 OR lat < -80) AS polar FROM {PLACE_SQL}")
 def bounding_box(spark, sf_dir):
-    kept = places(spark, sf_dir).filter("k % 11 <> 0")
+    kept = places(spark, sf_dir)
     return kept.agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.count_if(F.abs("lat") > 80).alias("polar"))
 
 
@@ -499,19 +497,19 @@ def dublin_core(spark, sf_dir):
 
 
 def stock(spark, sf_dir):
-    return read(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return read(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 def deliveries(spark, sf_dir):
-    return read(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    return read(spark, sf_dir, "orders").filter("o_orderpriority < '3'").select("o_orderkey", F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority < '3' THEN 'N' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderpriority < '3' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'O' OR o_orderpriority < '3'")
 def rows_upserted(spark, sf_dir):
     return tables.upsert(stock(spark, sf_dir), deliveries(spark, sf_dir), "o_orderkey")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE 'N' END AS o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice ELSE o_totalprice * 2 END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus ELSE 'N' END AS o_orderstatus, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice ELSE o_totalprice * 2 END AS o_totalprice FROM orders WHERE o_orderstatus <> 'O' OR o_orderpriority < '3'")
 def rows_inserted(spark, sf_dir):
     return tables.insert_new(stock(spark, sf_dir), deliveries(spark, sf_dir), "o_orderkey")
 
@@ -536,15 +534,15 @@ def groups_replaced(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate + INTERVAL 20 DAY AS due FROM orders WHERE o_orderkey % 7 = 0), h AS (SELECT o_custkey AS c, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e, o_orderkey AS wmo FROM orders WHERE o_orderkey % 7 <> 0) "
+    "WITH p AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate + INTERVAL 20 DAY AS due FROM orders), h AS (SELECT o_custkey AS c, o_orderdate + INTERVAL 30 DAY AS s, o_orderdate + INTERVAL 60 DAY AS e, o_orderkey AS wmo FROM orders) "
     "SELECT k, coalesce(arg_min(wmo, (s, e, wmo)), 0) AS wmo FROM p LEFT JOIN h ON p.c = h.c AND s <= due AND e >= due GROUP BY k"
 )
 def interval_join(spark, sf_dir):
     """Numbers that held at a time, 0 if none did."""
     o = read(spark, sf_dir, "orders")
     later = lambda days: F.col("o_orderdate") + F.make_dt_interval(days=F.lit(days))
-    points = o.filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), later(20).alias("at"))
-    history = o.filter("o_orderkey % 7 <> 0").select(F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("s"), later(60).alias("e"), F.col("o_orderkey").alias("wmo"))
+    points = o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), later(20).alias("at"))
+    history = o.select(F.col("o_custkey").alias("c"), later(30).alias("s"), later(60).alias("e"), F.col("o_orderkey").alias("wmo"))
     return joins.interval_join(points, history, "c", "at", "s", "e").select("k", F.coalesce(F.col("entry.wmo"), F.lit(0).cast("long")).alias("wmo"))
 
 
@@ -640,3 +638,60 @@ def virtual_temperatures(spark, sf_dir):
     s = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (1000.0 - F.col("l_quantity") * 10).alias("p"), (F.col("l_discount") * 300).alias("t"), (F.col("l_tax") * 100).alias("m"))
     tv = lambda m, kind: F.round(soundings.virtual_temperature(F.col("p"), F.col("t"), m, kind), 6)
     return s.select("l_orderkey", "l_linenumber", tv(F.col("t") - F.col("m"), "dew_point").alias("by_dew_point"), tv(F.col("m"), "humidity").alias("by_humidity"), tv(F.col("m"), "mixing_ratio").alias("by_ratio"))
+
+
+# --- weighted means, presence of longitudes, documents and other calendars
+
+
+@query(
+    "WITH f AS (SELECT label, vec_id % 7 + 1 AS w, v FROM " + FIELD_SQL + "), c AS (SELECT label, w, unnest(range(len(v)))::INT AS pos, unnest(v) AS x FROM f) "
+    "SELECT label, pos, round(CASE WHEN count(x) = count(*) THEN sum(x * w) / sum(w) END, 6) AS mean FROM c GROUP BY label, pos"
+)
+def grid_mean_weighted(spark, sf_dir):
+    weighted = fields(spark, sf_dir).withColumn("weight", F.col("vec_id") % 7 + 1)
+    return series.grid_mean_weighted(weighted, "label", weight="weight", values="v").withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    "WITH s AS (SELECT user_id, list(DISTINCT (event_id * 7 % 360)::INT) AS have FROM events GROUP BY user_id), t AS (SELECT user_id, list_transform(range(120), lambda i: CASE WHEN list_contains(have, 3 * i) THEN 4 ELSE 0 END "
+    "+ CASE WHEN list_contains(have, 3 * i + 1) THEN 2 ELSE 0 END + CASE WHEN list_contains(have, 3 * i + 2) THEN 1 ELSE 0 END) AS d, list_transform(range(360), lambda i: CASE WHEN list_contains(have, i) THEN '1' ELSE '0' END) AS b FROM s) "
+    "SELECT user_id, array_to_string(d, '') AS longitudes, array_to_string(b, '') AS bits FROM t"
+)
+def longitude_presence(spark, sf_dir):
+    found = series.longitude_presence(read(spark, sf_dir, "events").withColumn("i", F.col("event_id") * 7 % 360), "user_id", "i")
+    return found.withColumn("bits", bitmaps.longitude_bits(F.col("longitudes")))
+
+
+@query(
+    "SELECT r_regionkey, list(n_name ORDER BY n_nationkey) AS names, list(n_nationkey::VARCHAR ORDER BY n_nationkey) AS keys, list(n_name ORDER BY n_nationkey) FILTER (n_nationkey % 2 = 1) AS odd FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey"
+)
+def xml_elements(spark, sf_dir):
+    """Elements and attributes by path from a document a region."""
+    nation = read(spark, sf_dir, "nation").select("n_regionkey", F.struct("n_nationkey", F.format_string('<nation key="%d" odd="%d">%s</nation>', "n_nationkey", F.col("n_nationkey") % 2, "n_name").alias("x")).alias("s"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "")
+    documents = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.concat(F.lit("<region>"), body, F.lit("</region>")).alias("xml"))
+    odd = text.elements(F.col("xml"), "region/nation@odd=1")
+    return documents.select("r_regionkey", text.elements(F.col("xml"), "region/nation").alias("names"), text.attributes(F.col("xml"), "region/nation", "key").alias("keys"), F.when(F.size(odd) > 0, odd).alias("odd"))
+
+
+def _fixed_sql(length: int) -> str:
+    months = [31, length - 337, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+    before = str([sum(months[:i]) for i in range(12)])
+    n = f"(year(d) * {length} + {before}[month(d)] + day(d) - 1 + k % 1000)"
+    at = f"len(list_filter({before}, lambda b: b <= {n} % {length}))"
+    return f"concat_ws('-', {n} // {length}, {at}, {n} % {length} - {before}[{at}] + 1)"
+
+
+@query(f"SELECT k, {_fixed_sql(365)} AS no_leap, {_fixed_sql(366)} AS all_leap FROM (SELECT o_orderkey AS k, o_orderdate AS d FROM orders)")
+def calendar_days(spark, sf_dir):
+    """Days later in calendars whose years are all of one length."""
+    d = F.col("o_orderdate")
+    rows = read(spark, sf_dir, "orders")
+    later = lambda length: dates.add_days_fixed(F.year(d), F.month(d), F.dayofmonth(d), F.col("o_orderkey") % 1000, length)
+    shown = lambda s: F.concat_ws("-", s["year"], s["month"], s["day"])
+    return rows.select(F.col("o_orderkey").alias("k"), shown(later(365)).alias("no_leap"), shown(later(366)).alias("all_leap"))
+
+
+@query("SELECT c_custkey, sha256(c_name) AS digest, upper(to_hex(c_custkey * 977)) AS hex FROM customer")
+def digests(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", F.sha2("c_name", 256).alias("digest"), F.hex(F.col("c_custkey") * 977).alias("hex"))
