@@ -23,8 +23,10 @@ ANCHORS = (
 ).split()
 #: Content words of a chain.
 CHAIN = 2
-#: Texts with fewer signatures than this also take the chains that begin at every word.
-FEW = 8
+#: Every run of so many words has an anchor: its common words, or else its word with the smallest hash.
+RUN = 3
+#: Stands for each content word that the end of the text leaves out of a chain.
+END = U64(0x5851F42D4C957F2D)
 #: Ranges of doc_id, each streamed in order, and characters worked on at a time.
 MOST_RANGES = 1 << 12
 BLOCK_CHARS = 1 << 20
@@ -42,12 +44,31 @@ def _hash_words(words: list[str]) -> np.ndarray:
 ANCHOR_HASHES = np.unique(_hash_words(ANCHORS))
 
 
+def _anchors(hashes: np.ndarray, common: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The common words, and words with the smallest hash of a run of RUN words (or a whole shorter text) without one.
+
+    So a word is an anchor by its nearest RUN - 1 words on either side, whatever the length of the text.
+    """
+    low = np.where(common, U64(0), hashes)
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(n)), n)
+    spread = np.ones(len(low), np.int64)  # words around this one, with it, that are not smaller
+    ahead, behind = np.ones(len(low), bool), np.ones(len(low), bool)
+    for k in range(1, RUN):
+        one = doc[k:] == doc[:-k]
+        ahead[:-k] &= one & (low[k:] >= low[:-k])
+        behind[k:] &= one & (low[:-k] >= low[k:])
+        ahead[len(low) - k :] = behind[:k] = False
+        spread += ahead.astype(np.int64) + behind
+    return common | (spread >= np.minimum(RUN, n)[doc])
+
+
 def spot_signatures(column: pa.Array) -> list[np.ndarray]:
     """Of each text the sorted distinct 32-bit hashes of (anchor, the CHAIN content words after it).
 
-    Words are runs of letters and digits with A-Z lowered. A text with fewer than FEW such signatures
-    takes the chains of CHAIN + 1 words from every word as well, so shorter texts and texts without common
-    words have a fingerprint; one without words has none.
+    Words are runs of letters and digits with A-Z lowered, content words those that are not common. Anchors
+    are chosen in each run of RUN words by one rule, and a chain at the end of a text counts the end for the
+    words it lacks, so any text with a word has a fingerprint and a changed word changes only chains near it.
     """
     out = []
     for lo, hi, data, at in blocks(column):
@@ -60,31 +81,20 @@ def spot_signatures(column: pa.Array) -> list[np.ndarray]:
         s, e = np.flatnonzero(s), np.flatnonzero(e) + 1
         first = np.searchsorted(s, at)
         hashes = Rolling(data, lower=True)(s, e)
-        anchor = np.isin(hashes, ANCHOR_HASHES)
-        content = np.flatnonzero(~anchor)
-        spots = np.flatnonzero(anchor)
+        common = np.isin(hashes, ANCHOR_HASHES)
+        # The end of the block follows its last content words.
+        content = np.concatenate([np.flatnonzero(~common), np.full(CHAIN, len(s))])
+        worth = np.append(hashes, END)
+        spots = np.flatnonzero(_anchors(hashes, common, first))
         doc = np.searchsorted(first, spots, "right") - 1
-        after = np.searchsorted(content, spots)
-        last = after + CHAIN - 1
-        fits = last < len(content)
-        spots, doc, after, last = spots[fits], doc[fits], after[fits], last[fits]
-        fits = content[last] < first[doc + 1] if len(last) else np.zeros(0, bool)
-        spots, doc, after = spots[fits], doc[fits], after[fits]
+        after = np.searchsorted(content, spots, "right")
         sig = hashes[spots]
         for i in range(CHAIN):
-            sig = sig * U64(BASE) + hashes[content[after + i]]
+            word = content[after + i]
+            sig = sig * U64(BASE) + np.where(word < first[doc + 1], worth[word], END)
         sig = (mix(sig) >> U64(32)).astype(np.uint32)
         cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-        for i in range(hi - lo):
-            own = np.unique(sig[cut[i] : cut[i + 1]])
-            n = first[i + 1] - first[i]
-            if len(own) < FEW and n:
-                h, k = hashes[first[i] : first[i + 1]], min(CHAIN + 1, n)
-                runs = np.zeros(n - k + 1, U64)
-                for j in range(k):
-                    runs = runs * U64(BASE) + h[j : n - k + 1 + j]
-                own = np.unique(np.concatenate([own, (mix(runs + U64(k)) >> U64(32)).astype(np.uint32)]))
-            out.append(own)
+        out += [np.unique(sig[cut[i] : cut[i + 1]]) for i in range(hi - lo)]
     return out
 
 

@@ -90,6 +90,29 @@ def test_fingerprints_of_repeated_rows(spark):
     assert sorted((r["doc_id"], r["edited_sha256"]) for r in got) == want
 
 
+def test_fingerprints_across_lengths(sample):
+    """Half of an edited text is its own, so at any length about a third of the union is shared, and one word changes little."""
+    import pyarrow as pa
+
+    sign = lambda ts: spotsigs.spot_signatures(pa.array(ts, pa.string()))
+    words = [f"{'the ' if i % 9 == 4 else ''}word{i}" for i in range(400)]
+    for n in range(20, 151):
+        a, edited, one = sign([" ".join(words[:n]), " ".join(words[: n - n // 2] + words[200 : 200 + n // 2]), " ".join([*words[: n // 2], "the", *words[n // 2 + 1 : n]])])
+        assert 0.15 < spotsigs.likeness(a, edited) < 0.5 and spotsigs.likeness(a, one) > 0.45
+    texts = texts_of(sample)
+    short = {k: len(re.findall(r"[^\W_]+", t)) for k, t in texts.items()}
+    near = [r["near_edited"] for r in spotsigs.with_next(sample).collect() if 20 <= short[r["doc_id"]] <= 150]
+    assert near and min(near) > 0.08
+
+
+def test_signatures_of_few_words():
+    import pyarrow as pa
+
+    sigs = spotsigs.spot_signatures(pa.array(["", "moon", "moon", "the", "moon tide", "tide moon", "the of", None, "moon"]))
+    assert [len(x) for x in sigs[:5]] == [0, 1, 1, 1, 1] and not len(sigs[7])
+    assert len({spotsigs.hexed(x) for x in sigs}) == 6 and spotsigs.hexed(sigs[1]) == spotsigs.hexed(sigs[8])
+
+
 def test_similar_pairs(small):
     prints = spotsigs.fingerprints(small)
     sets = {r["fingerprint"]: {r["fingerprint"][i : i + 8] for i in range(0, len(r["fingerprint"]), 8)} for r in prints.collect() if r["fingerprint"]}
