@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of time, of about as many rows each, in which histories are searched.
+RANGES = 64
+
+
+def _due_and_last(events: DataFrame, history: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:
+    """event, due, last: each event with its key's first entry that does not end before ts, and its last entry.
+
+    Entries are ordered by start, end and the other columns. One that does not end after all before it is
+    never the first, and the others end in their order, so the first is the one with the next end. Keys and
+    ranges of time are sorted together, and what lies in other ranges of a key comes from one row a range,
+    so no group holds more than a range's rows, however many of all rows a key has.
+    """
+    entry = F.struct(F.col(start), F.col(end), *(c for c in history.columns if c not in (key, start, end)))
+    own = history.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), entry.alias("entry"))
+    begins, ends = F.col("entry").getField(start), F.col("entry").getField(end)
+    moments = events.select(F.col(ts).alias("at")).union(own.select(begins)).union(own.select(ends))
+    cuts = F.broadcast(moments.agg(F.percentile_approx("at", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))).alias("cuts")))
+    place = lambda at: F.coalesce(F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c < at)), F.lit(0))
+    before = lambda *by: Window.partitionBy("key", *by).rowsBetween(Window.unboundedPreceding, -1)
+
+    own = own.join(cuts).select("key", "entry", place(begins).alias("range"))
+    sums = own.groupBy("key", "range").agg(F.max(ends).alias("top"))
+    sums = sums.select("key", "range", F.max("top").over(before().orderBy("range")).alias("top"))
+    own = own.withColumn("own_top", F.max(ends).over(before("range").orderBy("entry"))).join(sums, ["key", "range"])
+    passed = F.greatest("top", "own_top")
+    own = own.select("key", "entry", F.when(ends.isNotNull() & (passed.isNull() | (ends > passed)), ends).alias("until"))
+    own = own.join(cuts).select("key", place(F.col("until")).alias("range"), F.col("until").alias("at"), "until", "entry", F.lit(None).cast(events.select(F.struct("*")).schema[0].dataType).alias("event"))
+    asked = events.select(F.col(key).alias("key"), F.col(ts).alias("at"), F.struct("*").alias("event")).join(cuts)
+    asked = asked.select("key", place(F.col("at")).alias("range"), "at", F.lit(None).cast(own.schema["until"].dataType).alias("until"), F.lit(None).cast(own.schema["entry"].dataType).alias("entry"), "event")
+    rows = own.union(asked)
+
+    sums = rows.groupBy("key", "range").agg(F.min_by("entry", "until").alias("least"), F.max("entry").alias("most"))
+    sums = sums.select(
+        "key", "range", F.last("least", True).over(before().orderBy(F.desc("range"))).alias("later"), F.max("most").over(Window.partitionBy("key")).alias("last")
+    )
+    down = Window.partitionBy("key", "range").orderBy(F.desc("at"), F.col("event").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.last(F.when(F.col("until").isNotNull(), F.col("entry")), True).over(down)
+    found = rows.withColumn("near", near).filter("event IS NOT NULL").join(sums, ["key", "range"], "left")
+    return found.select("event", F.when(F.col("at").isNotNull(), F.coalesce("near", "later")).alias("due"), "last")
+
+
+def _with_entry(found: DataFrame, events: DataFrame, entry) -> DataFrame:
+    return found.select(*(F.col("event").getField(c).alias(c) for c in events.columns if c != "entry"), entry.alias("entry"))
+
 
 def history_join(events: DataFrame, history: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:
     """Each event with the entry of its key's history that holds at ts; columns of history but key in a struct `entry`.
 
     That is the first that does not end before ts, which may begin after it, or else the last; null without
-    a history. A key's history is a short list and goes to its events as one sorted array, so an event is
-    joined once however many entries there are.
+    a history.
     """
-    entry = F.struct(F.col(start), F.col(end), *(c for c in history.columns if c not in (key, start, end)))
-    lists = history.groupBy(F.col(key).alias("history_key")).agg(F.array_sort(F.collect_list(entry)).alias("history"))
-    joined = events.join(lists, F.col(key) == F.col("history_key"), "left")
-    due = F.filter("history", lambda h: h[end] >= F.col(ts))
-    picked = F.when(F.size(due) > 0, F.element_at(due, 1)).when(F.size("history") > 0, F.element_at("history", -1))
-    return joined.withColumn("entry", picked).drop("history_key", "history")
+    return _with_entry(_due_and_last(events, history, key, ts, start, end), events, F.coalesce("due", "last"))
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, key: str, ts: str, hours: int = 1) -> DataFrame:
@@ -43,11 +81,8 @@ def nearest_below_above(points: DataFrame, marks: DataFrame, point: str, mark: s
 
 def interval_join(events: DataFrame, history: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:
     """As history_join, but `entry` is the first that begins at or before ts and does not end before it, else null."""
-    entry = F.struct(F.col(start), F.col(end), *(c for c in history.columns if c not in (key, start, end)))
-    lists = history.groupBy(F.col(key).alias("history_key")).agg(F.array_sort(F.collect_list(entry)).alias("history"))
-    joined = events.join(lists, F.col(key) == F.col("history_key"), "left")
-    holds = F.filter("history", lambda h: (h[start] <= F.col(ts)) & (h[end] >= F.col(ts)))
-    return joined.withColumn("entry", F.try_element_at(holds, F.lit(1))).drop("history_key", "history")
+    began = F.col("due").getField(start) <= F.col("event").getField(ts)
+    return _with_entry(_due_and_last(events, history.filter(F.col(start).isNotNull()), key, ts, start, end), events, F.when(began, F.col("due")))
 
 
 def pair_components(fields: DataFrame, kind: str, u: str, v: str, *keys: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Keyed tables, soundings, wrapped text and further readers."""
 
+import random
 import struct
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aeolis.functions import soundings, text
-from aeolis.operators import tables
+from aeolis.operators import joins, tables
 from aeolis.sources import binary
 from aeolis.sources import text as records
 
@@ -91,3 +92,31 @@ def test_bufr(spark, tmp_path):
     assert (b["edition"], b["centre"], b["category"], b["year"], b["month"], b["day"]) == (4, 98, 2, 2011, 5, 6)
     for r in (a, b):
         assert r["subsets"] == 2 and r["compressed"] and r["descriptors"] == ["101001", "301011"] and bytes(r["data"]) == b"abc"
+
+
+@pytest.mark.parametrize("ranges", [64, 3])
+def test_histories_of_hot_keys(spark, monkeypatch, ranges):
+    """Most rows under one key, against all entries of a key in order; no key's history is collected."""
+    monkeypatch.setattr(joins, "RANGES", ranges)
+    rng = random.Random(3)
+    some = lambda top: None if rng.random() < 0.02 else rng.randrange(top)
+    draw = lambda: rng.choice([1, 1, 1, 1, 2, 3, None])
+    history = [(draw(), s, None if rng.random() < 0.02 else (s or 0) + rng.randrange(-3, 40), k % 7) for k in range(700) for s in (some(900),)]
+    events = [(k, draw(), some(1000)) for k in range(1500)] + [(1500, 9, 5)]
+    df = spark.createDataFrame(events, "k long, who long, at long").repartition(3)
+    spans = spark.createDataFrame(history, "who long, s long, e long, site long").repartition(3)
+    low = lambda x: (x is not None, x or 0)
+    for join in (joins.history_join, joins.interval_join):
+        want = []
+        for k, who, at in events:
+            own = sorted((h[1:] for h in history if who is not None and h[0] == who), key=lambda h: [low(x) for x in h])
+            due = next((h for h in own if at is not None and h[1] is not None and h[1] >= at), None)
+            if join is joins.history_join:
+                due = due or (own[-1] if own else None)
+            elif due:
+                due = next((h for h in own if None not in h[:2] and h[0] <= at <= h[1]), None)
+            want.append((k, who, at, due))
+        got = join(df, spans, "who", "at", "s", "e")
+        assert sorted(((r["k"], r["who"], r["at"], r["entry"] and tuple(r["entry"])) for r in got.collect()), key=lambda r: r[0]) == want
+        assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert join(df, spans.limit(0), "who", "at", "s", "e").filter("entry IS NULL").count() == len(events) and join(df.limit(0), spans, "who", "at", "s", "e").count() == 0
