@@ -48,6 +48,11 @@ def signature(found: np.ndarray) -> np.ndarray:
     return mix(low).astype(np.uint16)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """documents() with a name for each pair of doc_id and text, so texts that share a doc_id stay apart."""
+    return documents(docs).withColumn("name", F.xxhash64("doc_id", "text"))
+
+
 def _sign(batches):
     for b in batches:
         n, keys, sigs = [], [], []
@@ -56,7 +61,7 @@ def _sign(batches):
                 n.append(len(found))
                 keys.append(np.array([mix(found).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found + U64(9)))], np.uint64).tobytes() if len(found) else None)
                 sigs.append(signature(found).tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "key", "sig"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["name"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "name", "n_shingles", "key", "sig"])
 
 
 def least_matches(n: int) -> int:
@@ -224,7 +229,7 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = groups.select("group", F.explode("ids").alias("id"))
     if (groups.agg(F.sum(F.size("ids"))).first()[0] or 0) <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = documents(docs).join(wanted, F.col("doc_id") == F.col("id")).select("group", "id", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("pairs"), "text")
+    texts = _rows(docs).join(wanted, F.col("name") == F.col("id")).select("group", "id", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("binary").alias("pairs"), "text")
     rows = texts.union(groups.select("group", F.lit(None).cast("long"), "ids", "pairs", F.lit("")))
     return rows.repartition("group").sortWithinPartitions("group", F.col("id").asc_nulls_first()).mapInArrow(_confirm, "a long, b long")
 
@@ -233,19 +238,20 @@ def link_near(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of docs.
 
     Documents are linked if the Jaccard similarity of their sets of WORDS-word shingles is PERCENT or more;
-    component_id is the smallest doc_id reachable. Equal sets are one class and only its smallest doc_id
-    goes on. Members of a band's bucket are compared by signature, BATCH hashes at a time, and those whose
+    component_id is the smallest doc_id reachable. Equal sets are one class and only its row with the
+    smallest doc_id goes on, under a name made of doc_id and text. Members of a band's bucket are compared by signature, BATCH hashes at a time, and those whose
     posterior falls below MISS are dropped; a bucket first gives the pairs of a spanning forest of its
     survivors, and once these are verified on full sets, every surviving pair between different
     components. So near-identical groups give few pairs and no link between components goes unverified.
 
-    Null texts and texts without words have no shingles and stay alone; rows that repeat a doc_id get one
-    component and are all kept or all not, and so are rows with a null one, which counts as the largest;
-    an empty table gives no rows.
+    Null texts and texts without words have no shingles and stay alone; rows that repeat a doc_id are each
+    linked by their own text, and so are rows with a null one, which counts as the largest; rows of one
+    component with its smallest doc_id are all kept; an empty table gives no rows.
     """
-    signed = cut(documents(docs).mapInArrow(_sign, "doc_id long, n_shingles long, key binary, sig binary"))
+    signed = cut(_rows(docs).mapInArrow(_sign, "doc_id long, name long, n_shingles long, key binary, sig binary"))
     # Equal keys have equal signatures, so any of them will do.
-    classes = cut(signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig")))
+    classes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "name")).alias("least"), F.any_value("sig").alias("sig"))
+    classes = cut(classes.select("key", F.col("least.doc_id").alias("least"), F.col("least.name").alias("id"), "sig"))
     reps = classes.select("id", "sig")
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, 8 * i + 1, 8)))")
     banded = reps.select("id", F.posexplode(band).alias("band", "bucket"))
@@ -255,7 +261,9 @@ def link_near(docs: DataFrame) -> DataFrame:
     labels = components(edges)
     more = cut(_verified(_candidates(members, reps, labels, forest=False), docs))
     labels = components(edges.union(more))
-    by_key = classes.select("key", "id").join(labels, "id", "left").select(F.col("key").alias("k"), F.coalesce("label", "id").alias("component"))
+    tops = classes.join(labels, "id").groupBy("label").agg(F.min("least").alias("component"))
+    linked = labels.join(tops, "label").select("id", "component")
+    by_key = classes.select("key", "id", "least").join(linked, "id", "left").select(F.col("key").alias("k"), F.coalesce("component", "least").alias("component"))
     out = signed.join(by_key, F.col("key") == F.col("k"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept")
     )

@@ -58,6 +58,22 @@ def test_near_odd_tables(empty, sample):
     assert near.link_near(sample.union(sample)).count() == 2 * sample.count()
 
 
+def test_near_shared_ids(spark):
+    """Distinct texts under a null or a repeated doc_id, each linked by its own text."""
+    base = [" ".join(f"w{t}x{i}" for i in range(60)) for t in range(8)]
+    rows = [(None, t) for t in base] + [(None, t + " more") for t in base[:4]] + [(7, base[0] + " end"), (7, base[1] + " end"), (7, "alone by itself"), (3, base[1]), (9, base[5] + " x"), (9, base[6] + " y"), (9, base[6]), (4, None)]
+    found = brute(dict(enumerate(t or "" for _, t in rows)))
+    big = lambda k: (k is None, k or 0)
+    least = {}
+    for n, (k, _) in enumerate(rows):
+        c = found[n][1]
+        least[c] = min(least.get(c, k), k, key=big)
+    want = [(k, found[n][0], least[found[n][1]], k == least[found[n][1]]) for n, (k, _) in enumerate(rows)]
+    order = lambda r: [big(x) for x in r]
+    got = near.link_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
 def test_posterior():
     assert near.LEAST[128] / 128 < 0.62 and near.LEAST[32] < 17
 
