@@ -15,7 +15,7 @@ from ._common import table
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden|itemprop)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Elements whose content is not markup or never shown.
-RAW = {"script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "math", "object", "canvas", "audio", "video", "noframes", "xmp"}
+RAW = {"script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -36,6 +36,8 @@ BAD = re.compile(
     r"recommend\w*|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|comments?|commentlist|reply|replies|respond|disqus|discussion|widget|toolbar|pagination|pager|login|signin|signup|copyright|legal|hidden|skip|search|"
     r"outbrain|taboola|paywall|survey|feedback)(?:$|[\s_-])", re.I,
 )
+#: Names of what an element has, is filed under or allows, which say nothing of what it is.
+STATE = re.compile(r"(?<!\S)(?:(?:has|with|no|without|category|tag)[-_]\S+|\S+[-_](?:open|closed|enabled|disabled))(?!\S)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|post|entry|story|main|body|text|prose)(?:$|[\s_-])", re.I)
@@ -49,14 +51,16 @@ ADJACENT, SIBLING = 0.5, 0.7
 
 
 class Block:
-    __slots__ = ("text", "tag", "parent", "hard", "flagged", "article", "good", "linked")
+    __slots__ = ("text", "tag", "parent", "hard", "flagged", "article", "good", "linked", "flags")
 
 
 def blocks_of(source: str) -> list[Block]:
     """Text blocks in page order, with what their open elements say of them."""
     out: list[Block] = []
-    # tag, number of the element, hard, flagged, in article, good names, in a link
-    stack = [("", 0, False, False, False, False, False)]
+    # tag, number of the element, hard, numbers of flagged elements, in article, good names, in a link
+    stack = [("", 0, False, (), False, False, False)]
+    held: set[int] = set()  # flagged elements that are or hold the main element
+    outer: set[int] = set()  # flagged elements that are an article or in none
     parts: list[tuple[str, bool]] = []
     number = at = 0
 
@@ -68,7 +72,7 @@ def blocks_of(source: str) -> list[Block]:
                 b = Block()
                 k = next((e for e in reversed(stack) if e[0] in BLOCKS), stack[0])
                 b.text, b.tag, b.linked = text, k[0], sum(len(t) for t, linked in parts if linked)
-                _, _, b.hard, b.flagged, b.article, b.good, _ = stack[-1]
+                _, _, b.hard, b.flags, b.article, b.good, _ = stack[-1]
                 # Paragraphs and the like hang together by the element around them.
                 i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][1] == k[1]), 0)
                 b.parent = stack[max(0, i - 1)][1] if k[0] not in ("div", "section", "article", "main", "body") else k[1]
@@ -128,14 +132,15 @@ def blocks_of(source: str) -> list[Block]:
                 if stack[i][0] in within:
                     break
         _, _, hard, flagged, article, good, linked = stack[-1]
-        bad = name in OUTSIDE
+        bad, named = name in OUTSIDE, False
         if m[3]:
             for a in ATTRIBUTE.finditer(m[3]):
                 key, value = a[1].lower(), (a[2] or "").strip("\"'").strip()
                 if key in ("class", "id"):
                     if name not in ("html", "body"):
+                        own = CAMEL.sub(" ", STATE.sub(" ", value))
                         value = CAMEL.sub(" ", value)
-                        flagged = flagged or bool(BAD.search(value)) or (not article and bool(HEADER.search(value)))
+                        named = named or bool(BAD.search(own)) or (not article and bool(HEADER.search(own)))
                         good = good or bool(GOOD.search(value))
                 elif key == "role":
                     bad = bad or value.lower() in ROLES
@@ -148,13 +153,28 @@ def blocks_of(source: str) -> list[Block]:
                     good = good or value.lower() == "articlebody"
         if name == "header" and not article:
             bad = True
-        article = article or name in ("article", "main")
         number += 1
+        if named:
+            flagged = (*flagged, number)
+            if not article or name in ("article", "main"):
+                outer.add(number)
+        if name == "main":
+            held.update(flagged)
+        article = article or name in ("article", "main")
         if name in BLOCKS or flagged != stack[-1][3] or bad != hard and bad:
             flush()
         stack.append((name, number, hard or bad, flagged, article, good, linked or name == "a"))
     add(source[at:])
     flush()
+    # A flag does not count on what holds half of the page's prose.
+    prose: dict[int, int] = {}
+    for b in out:
+        for k in () if b.hard else b.flags:
+            prose[k] = prose.get(k, 0) + len(b.text) - b.linked
+    half = sum(len(b.text) - b.linked for b in out if not b.hard) / 2
+    held.update(k for k, n in prose.items() if k in outer and n >= half)
+    for b in out:
+        b.flagged = any(k not in held for k in b.flags)
     return out
 
 

@@ -30,6 +30,21 @@ def test_plain_page():
     assert pages.main_text(f"<body><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><p>{words}<p>{words}<div class=footer>Made by us") == f"{words} {words}"
 
 
+def test_names_around_the_article():
+    """Names of what an element has or allows, and flags on what holds the article, do not drop it."""
+    words = "Some prose of the page that goes on for a number of words and then ends here. " * 3
+    body, want = f"<h1>Tide</h1><p>{words}<p>{words}", " ".join(f"Tide {words} {words}".split())
+    side = "<div class='sidebar'><p>Popular posts of this week and of the week before it.</div>"
+    for start, end in (
+        ("<main class='with-sidebar'>", "</main>"), ("<div id='page' class='has-sidebar'><article>", "</article></div>"), ("<article class='post category-legal comments-open'>", "</article>"),
+        ("<div class='widget-page'><main class='side'><article class='post notice'>", "</article></main></div>"),
+    ):
+        assert pages.main_text(f"<body>{start}{body}{end}{side}") == want
+    comments = "<section id=comments><p>I think that this is a wonderful piece of writing, thanks!</section>"
+    assert pages.main_text(f"<body><article class='has-comments'>{body}{comments}</article>") == want
+    assert pages.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.</article>") == "Let x=1 be."
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<"), (4, "u", "<p>x</p>" * 3000), (5, "u", "<script>alert(1)"), (6, "u", "a" * 100_000), (6, "u", "<article>" * 500 + "deep"), (7, "u", "<p title='>'>q</p><p a=\"b")]
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()]
