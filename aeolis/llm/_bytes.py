@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 19
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
+#: Bases of two hashes, which together are 128 bits.
+BASE, BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
 
 #: Space and tab to carriage return, the white space of every word rule here.
 SPACE = np.zeros(256, bool)
@@ -23,7 +24,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _SYMBOLS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_LOWERED = _SYMBOLS[LOWER]
+_SYMBOLS_2 = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,25 +37,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, U64(BASE % 2**64)), np.full(n, U64(pow(BASE, -1, 2**64)))
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, U64(base)), np.full(n, U64(pow(base, -1, 2**64)))
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of BASE and of its inverse, n of each at least."""
-    return _powers(max(BLOCK + 1024, 1 << (n - 1).bit_length()))
+def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Of base and of its inverse, n of each at least."""
+    return _powers(base, max(BLOCK + 1024, 1 << (n - 1).bit_length()))
 
 
 class Rolling:
-    """Hashes of any slices of a byte array, from one pass of prefix sums."""
+    """Hashes of any slices of a byte array, from one pass of prefix sums; second: the other of two hashes."""
 
-    def __init__(self, data: np.ndarray, lower: bool = False):
-        up, self.down = powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, lower: bool = False, second: bool = False):
+        up, self.down = powers(len(data) + 1, BASE_2 if second else BASE)
+        symbols = _SYMBOLS_2 if second else _SYMBOLS
         self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum((_LOWERED if lower else _SYMBOLS)[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((symbols[LOWER] if lower else symbols)[data] * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out = (self.sums[ends] - self.sums[starts]) * self.down[starts]

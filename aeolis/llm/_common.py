@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one group of documents should hold when documents are dealt out by group.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Stands for a null doc_id inside the operators: rows without one are like rows that repeat the largest id.
 NO_ID = 2**63 - 1
 
@@ -37,29 +37,71 @@ def plan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 55 else 0
 
 
-def chunk_count(df: DataFrame) -> int:
-    """Groups of about CHUNK_BYTES, at least four a shuffle partition so that hashing spreads them evenly."""
-    return max(4 * shuffle_partitions(df.sparkSession), plan_bytes(df) // CHUNK_BYTES)
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, by one scan."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def chunk_count(df: DataFrame, size: int) -> int:
+    """Groups of about CHUNK_BYTES of `size` bytes of text, at least 16 a shuffle partition so that hashing spreads them evenly."""
+    return max(16 * shuffle_partitions(df.sparkSession), size // CHUNK_BYTES)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in spark.checkpoint.dir, which must be set on a cluster; a local session may go without."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="aeolis-checkpoints-"))
+    return df.checkpoint()
+
+
+def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
+    """docs with a number for each row that is the same whenever docs is read from its files or checkpoint."""
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def looked_up(rows: DataFrame, key: str, by: str, found: DataFrame, at: str, how: str = "left", salts: int = 8) -> DataFrame:
+    """rows with the columns of found where key equals at, of which found has each value once at most.
+
+    Many rows may have one key: they are spread by a hash of their column `by`, and found comes in as many copies.
+    """
+    copies = found.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return spread.join(copies, (spread[key] == copies[at]) & (spread["_salt"] == copies["_copy"]), how).drop("_salt", "_copy")
+
+
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether each row has a doc_id of its own."""
+    ids = docs.select("doc_id")
+    return ids.filter("doc_id IS NULL").isEmpty() and ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def ordered(docs: DataFrame, *more: str) -> DataFrame:
+    """documents() with `at`, which differs in every row and orders rows by doc_id, null last.
+
+    It is doc_id itself where no row lacks or repeats one, which a count of ids tells. Else rows are numbered
+    in the order of doc_id and, within one, of the table, by a range sort of ids, and a numbered copy of the
+    table is kept in the checkpoint folder.
+    """
+    n = shuffle_partitions(docs.sparkSession)
+    if unique_ids(docs):
+        return documents(docs, *more).withColumn("at", F.col("doc_id"))
+    rows = cut(with_row(documents(docs, *more), "_row"))
+    places = rows.select("doc_id", F.col("_row").alias("_r")).repartitionByRange(n, "doc_id", "_r").sortWithinPartitions("doc_id", "_r")
+    places = cut(with_row(places.select("_r"), "at"))
+    return rows.join(places, F.col("_row") == F.col("_r")).drop("_row", "_r")
 
 
 def shard_count(df: DataFrame) -> int:
     """Parts by hash of what chunks ask about; each chunk sends a row to each, so there are fewer of them."""
-    return max(min(48, shuffle_partitions(df.sparkSession)), plan_bytes(df) // (2 * CHUNK_BYTES))
+    return max(min(48, shuffle_partitions(df.sparkSession)), plan_bytes(df) // (8 << 20))
 
 
 def by_chunk(docs: DataFrame, *more: str) -> DataFrame:
-    """documents() with a chunk number made of doc_id, dealt out by it.
-
-    Plans that read this twice share one exchange, so the texts are shuffled once.
-    """
-    n = chunk_count(docs)
+    """documents() with a chunk number made of doc_id, dealt out by it."""
+    n = max(4 * shuffle_partitions(docs.sparkSession), plan_bytes(docs) // (4 << 20))
     dealt = documents(docs, *more).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     return dealt.repartition(shuffle_partitions(docs.sparkSession), "chunk")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="aeolis-checkpoints-"))
-    return df.checkpoint()

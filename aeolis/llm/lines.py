@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import pickle
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._bytes import U64, Rolling, blocks, lines, stripped
-from ._common import by_chunk, named, shard_count, table
+from ._common import cut, documents, named, table, unique_ids, with_row
 from .mph import PerfectHash
 
 MIN_DOCS = 10
+#: Lines of a shard, and bytes of shards that documents probe in one pass: the bound of what is broadcast.
+SHARD_LINES, TABLE_BYTES = 1 << 18, 128 << 20
 
 ORACLE = r"""
 WITH l AS (
@@ -30,118 +34,140 @@ FROM k GROUP BY doc_id
 """
 
 
-def line_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, first line of each document, and key hashes; 0 for a line of white space."""
+def line_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends, first line of each document, which lines are not white space, and two hashes of each."""
     starts, ends, first = lines(data, at)
     s, e = stripped(data, starts, ends)
-    keys = Rolling(data, lower=True)(s, e)
-    keys[s == e] = 0
-    return starts, ends, first, keys
+    return starts, ends, first, s < e, Rolling(data, lower=True)(s, e), Rolling(data, lower=True, second=True)(s, e)
 
 
-def _count(shards: int):
-    """Of each chunk and shard: distinct line hashes and the documents of the chunk that have them."""
+def _hashed(batches):
+    """The distinct lines of each row by their two hashes."""
+    for b in batches:
+        for lo, hi, data, at in blocks(b["text"]):
+            _, _, first, solid, one, two = line_keys(data, at)
+            row = np.repeat(np.arange(lo, hi), np.diff(first))[solid]
+            one, two = one[solid], two[solid]
+            order = np.lexsort((two, one, row))
+            row, one, two = row[order], one[order], two[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+            row = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(row), b["row"].take(row), pa.array(one[new].view(np.int64)), pa.array(two[new].view(np.int64))], ["doc_id", "row", "one", "two"])
 
-    def run(batches):
-        pairs = defaultdict(list)
-        for b in batches:
-            ids = b["doc_id"].to_numpy(zero_copy_only=False)
-            chunks = b["chunk"].to_numpy(zero_copy_only=False)
-            for lo, hi, data, at in blocks(b["text"]):
-                _, _, first, keys = line_keys(data, at)
-                row = np.repeat(np.arange(lo, hi), np.diff(first))
-                row, keys = row[keys != 0], keys[keys != 0]
-                one = np.unique(np.rec.fromarrays([chunks[row], keys, ids[row]], names="c,k,d")) if len(keys) else None
-                for c in np.unique(chunks[lo:hi]) if one is not None else ():
-                    pairs[int(c)].append(np.stack([one.k[one.c == c], one.d[one.c == c].astype(np.int64).view(U64)]))
-        for c, found in pairs.items():
-            keys, ids = np.concatenate(found, axis=1)
-            order = np.lexsort((ids, keys))
-            keys, ids = keys[order], ids[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])  # a doc_id that comes twice is one document
-            keys, counts = np.unique(keys[new], return_counts=True)
-            shard = (keys >> U64(33)) % U64(shards)
-            order = np.argsort(shard, kind="stable")
-            keys, counts, shard = keys[order], counts[order], shard[order]
-            names, at = np.unique(shard, return_index=True)
-            at = np.append(at, len(keys))
-            if len(names):
-                yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array(names.astype(np.int32)), "chunk": pa.array(np.full(len(names), c, np.int32)),
-                    "keys": pa.array([keys[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
-                    "counts": pa.array([counts[i:j].astype(np.uint32).tobytes() for i, j in zip(at, at[1:])], pa.binary()),
-                })
 
-    return run
+def line_counts(docs: DataFrame) -> DataFrame:
+    """one, two (hashes of a line) and n, the documents that have it.
+
+    Rows that repeat a doc_id are one document, rows without one are a document each.
+    """
+    alone = F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.lit(0))
+    rows = documents(with_row(docs).withColumn("row", alone), "row")
+    n = F.count("*") if unique_ids(docs) else F.count_distinct("doc_id", "row")
+    return rows.mapInArrow(_hashed, "doc_id long, row long, one long, two long").groupBy("one", "two").agg(n.alias("n"))
 
 
 class Shard:
-    """Counts of lines by perfect hash: a 32-bit fingerprint and a saturated 8-bit count for each slot."""
+    """Counts of lines by perfect hash: the second hash as fingerprint and a saturated 8-bit count in each slot."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray, counts: np.ndarray):
+        order = np.argsort(one, kind="stable")
+        one, two, counts = one[order], two[order], np.minimum(counts[order], 255).astype(np.uint8)
+        again = np.zeros(len(one), bool)
+        again[1:] = one[1:] == one[:-1]
+        # Different lines with the same first hash: one has the slot, the others are listed.
+        self.others = list(zip(one[again].tolist(), two[again].tolist(), counts[again].tolist()))
+        one, two, counts = one[~again], two[~again], counts[~again]
+        self.slots = PerfectHash(one)
+        at = self.slots(one)
+        self.prints, self.counts = np.zeros(len(at), U64), np.zeros(len(at), np.uint8)
+        self.prints[at], self.counts[at] = two, counts
+
+    def __call__(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Documents with each line, 255 for more; 0 for a line that is not in the table."""
+        at = self.slots(one)
+        known = at >= 0
+        known[known] = self.prints[at[known]] == two[known]
+        out = np.where(known, self.counts[np.where(known, at, 0)], 0) if len(self.counts) else np.zeros(len(one), np.uint8)
+        for a, b, n in self.others:
+            out[(one == U64(a)) & (two == U64(b))] = n
+        return out
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        distinct, where = np.unique(keys, return_inverse=True)
-        total = np.bincount(where, counts, len(distinct)).astype(np.int64)
-        self.slots = PerfectHash(distinct)
-        at = self.slots(distinct)
-        self.prints, self.counts = np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint8)
-        self.prints[at], self.counts[at] = distinct.astype(np.uint32), np.minimum(total, 255)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Documents with each line, 255 for more; 0 for a line that is not in the table."""
-        at = self.slots(keys)
-        known = (at >= 0) & (self.prints[at] == keys.astype(np.uint32))
-        return np.where(known, self.counts[at], 0)
+def _shard(group: pa.Table) -> pa.Table:
+    one, two, n = (group[c].to_numpy() for c in ("one", "two", "n"))
+    return pa.table({"shard": group["shard"][:1].cast(pa.int32()), "arrays": pa.array([pickle.dumps(Shard(one.view(U64), two.view(U64), n))], pa.binary())})
+
 
+def shards_of(counts: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+    """shard, arrays (a pickled Shard) of the lines with min_docs documents, kept in the checkpoint folder; number of shards."""
+    often = cut(counts.filter(F.col("n") >= min_docs))
+    n = max(1, often.count() // SHARD_LINES)
+    numbered = often.withColumn("shard", F.expr(f"int(shiftrightunsigned(one, 33) % {n})"))
+    return cut(numbered.groupBy("shard").applyInArrow(_shard, "shard int, arrays binary")), n
 
-def _probe(min_docs: int):
-    def run(shard: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, U64) for x in shard["keys"].to_pylist()]
-        arrays = Shard(np.concatenate(keys), np.concatenate([np.frombuffer(x, np.uint32) for x in shard["counts"].to_pylist()]))
-        hits = [k[arrays(k) >= min_docs].tobytes() for k in keys]
-        out = pa.table({"chunk": shard["chunk"].cast(pa.int32()), "keys": pa.array(hits, pa.binary())})
-        return out.filter(pa.array([len(h) > 0 for h in hits], pa.bool_()))
+
+@lru_cache(maxsize=1)
+def _held(key: int, broadcast) -> dict[int, Shard]:
+    return {k: pickle.loads(x) for k, x in broadcast.value.items()}
+
+
+def _drop(shared, n: int, min_docs: int):
+    key = int(shared._jbroadcast.id())
+
+    def often(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        shard, out = (one >> U64(33)) % U64(n), np.zeros(len(one), bool)
+        for k, arrays in _held(key, shared).items():
+            own = np.flatnonzero(shard == U64(k))
+            out[own] = arrays(one[own], two[own]) >= min_docs
+        return out
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, at in blocks(b["text"]):
+                starts, ends, first, solid, one, two = line_keys(data, at)
+                gone = often(one, two) & solid
+                per, raw, texts = np.add.reduceat(gone, first[:-1], dtype=np.int64), data.tobytes(), []
+                for i, k in enumerate(per):
+                    if k:
+                        keep = np.flatnonzero(~gone[first[i] : first[i + 1]]) + first[i]
+                        texts.append(b"\n".join([raw[s:e] for s, e in zip(starts[keep], ends[keep])]))
+                    else:
+                        texts.append(raw[at[i] : at[i + 1]])
+                same = {c: b[c].slice(lo, hi - lo) for c in b.schema.names if c not in ("text", "n_lines", "n_dropped", "kept_sha256")}
+                n_lines = b["n_lines"].slice(lo, hi - lo) if "n_lines" in b.schema.names else pa.array(np.diff(first), pa.int64())
+                before = b["n_dropped"].slice(lo, hi - lo).to_numpy() if "n_dropped" in b.schema.names else 0
+                yield pa.RecordBatch.from_pydict(same | {
+                    "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": n_lines, "n_dropped": pa.array(per + before, pa.int64()),
+                    "kept_sha256": pa.array([sha256(t).hexdigest() for t in texts], pa.string()),
+                })
 
     return run
 
 
-def _drop(docs: pa.Table, found: pa.Table) -> pa.Table:
-    often = np.unique(np.concatenate([np.zeros(0, U64), *(np.frombuffer(x, U64) for x in found["keys"].to_pylist())]))
-    texts, n_lines, n_dropped = [], [], []
-    for _, _, data, at in blocks(docs["text"]):
-        starts, ends, first, keys = line_keys(data, at)
-        gone = np.isin(keys, often) & (keys != 0)
-        n_lines += np.diff(first).tolist()
-        n_dropped += (per := np.add.reduceat(gone, first[:-1], dtype=np.int64)).tolist()
-        raw = data.tobytes()
-        for i, n in enumerate(per):
-            if n:
-                keep = np.flatnonzero(~gone[first[i] : first[i + 1]]) + first[i]
-                texts.append(b"\n".join([raw[s:e] for s, e in zip(starts[keep], ends[keep])]))
-            else:
-                texts.append(raw[at[i] : at[i + 1]])
-    text = pa.array(texts, pa.binary())
-    more = {c: docs[c] for c in docs.column_names if c not in ("text", "chunk")}
-    return pa.table(more | {"text": text.cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_sha256": pa.array([sha256(t).hexdigest() for t in texts], pa.string())})
-
-
-def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = (), table_bytes: int = TABLE_BYTES) -> DataFrame:
     """doc_id, the columns of carry, text without the lines that min_docs documents have, n_lines, n_dropped, kept_sha256.
 
-    A line is compared without white space at its ends and with A-Z lowered, by a 64-bit hash; lines of white
-    space stay. Lines are counted once a chunk of documents before they are shuffled, so a line of every
-    document is a row a chunk. Each shard's table answers the chunks that asked, and only hashes of lines
-    that go return to them. Null or empty text is one empty line; of several rows with one doc_id, all are
-    filtered and count as one document, as do all rows with a null one; an empty table gives no rows.
+    A line is compared without white space at its ends and with A-Z lowered, by two 64-bit hashes; lines of
+    white space stay. Only hashes are shuffled, to count the documents of each line; a perfect hash of the
+    first hash of the lines with min_docs documents indexes arrays of second hashes and counts, and the texts are
+    filtered where they are by probing these. Shards of table_bytes in all are broadcast; more take another
+    pass over the texts. Null or empty text is one empty line; rows that repeat a doc_id are
+    all filtered and count as one document, rows with a null one as a document each; an empty table gives no rows.
     """
     if docs.schema["text"].dataType.typeName() != "string" or min_docs > 255:
         raise ValueError("text must be a string column and min_docs at most 255")
-    dealt = by_chunk(docs, *carry)
-    shards = shard_count(docs)
-    asked = dealt.select("doc_id", "text", "chunk", *carry).mapInArrow(_count(shards), "shard int, chunk int, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(_probe(min_docs), "chunk int, keys binary")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select("doc_id", *carry).schema)
-    return named(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_drop, f"{kept}, text string, n_lines long, n_dropped long, kept_sha256 string"))
+    context = docs.sparkSession.sparkContext
+    arrays, n = shards_of(line_counts(docs), min_docs)
+    largest = arrays.agg(F.max(F.octet_length("arrays"))).first()[0] or 1
+    per_pass = max(1, table_bytes // largest)
+    out = documents(docs, *carry)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select("doc_id", *carry).schema)
+    for lo in range(0, n, per_pass):
+        held = {r["shard"]: bytes(r["arrays"]) for r in arrays.filter((F.col("shard") >= lo) & (F.col("shard") < lo + per_pass)).collect()}
+        out = out if not lo else cut(out)
+        out = out.mapInArrow(_drop(context.broadcast(held), n, min_docs), f"{kept}, text string, n_lines long, n_dropped long, kept_sha256 string")
+    return named(out)
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
