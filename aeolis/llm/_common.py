@@ -93,15 +93,3 @@ def ordered(docs: DataFrame, *more: str) -> DataFrame:
     places = rows.select("doc_id", F.col("_row").alias("_r")).repartitionByRange(n, "doc_id", "_r").sortWithinPartitions("doc_id", "_r")
     places = cut(with_row(places.select("_r"), "at"))
     return rows.join(places, F.col("_row") == F.col("_r")).drop("_row", "_r")
-
-
-def shard_count(df: DataFrame) -> int:
-    """Parts by hash of what chunks ask about; each chunk sends a row to each, so there are fewer of them."""
-    return max(min(48, shuffle_partitions(df.sparkSession)), plan_bytes(df) // (8 << 20))
-
-
-def by_chunk(docs: DataFrame, *more: str) -> DataFrame:
-    """documents() with a chunk number made of doc_id, dealt out by it."""
-    n = max(4 * shuffle_partitions(docs.sparkSession), plan_bytes(docs) // (4 << 20))
-    dealt = documents(docs, *more).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-    return dealt.repartition(shuffle_partitions(docs.sparkSession), "chunk")
