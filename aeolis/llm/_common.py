@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one group of documents should hold when documents are dealt out by group.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 #: Stands for a null doc_id inside the operators: rows without one are like rows that repeat the largest id.
 NO_ID = 2**63 - 1
 
@@ -43,8 +43,8 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def chunk_count(df: DataFrame, size: int) -> int:
-    """Groups of about CHUNK_BYTES of `size` bytes of text, at least 16 a shuffle partition so that hashing spreads them evenly."""
-    return max(16 * shuffle_partitions(df.sparkSession), size // CHUNK_BYTES)
+    """Groups of about CHUNK_BYTES of `size` bytes of text, at least eight a shuffle partition so that hashing spreads them evenly."""
+    return max(8 * shuffle_partitions(df.sparkSession), size // CHUNK_BYTES)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import U64, Rolling, blocks, mix, shingles, words
-from ._common import cut, documents, named, table
+from ._common import cut, documents, looked_up, named, table
 from .components import components
 
 WORDS = 5
@@ -24,8 +24,9 @@ BANDS = HASHES // ROWS
 MISS = 1e-5
 #: Hashes compared at a time.
 BATCH = 32
-#: Members of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
-BUCKET = 4096
+#: Members of a bucket that are compared at once; larger buckets are dealt out in blocks of as many, and
+#: in the first pass each block is also compared with so many members of the bucket, the same for all blocks.
+BUCKET, PIVOTS = 512, 8
 #: Pairs to verify go in blocks of so many by so many members of a bucket, texts of at most twice as many.
 GROUP = 128
 #: Up to so many ids are broadcast to pick texts; more are joined by shuffling.
@@ -48,9 +49,9 @@ def signature(found: np.ndarray) -> np.ndarray:
     return mix(low).astype(np.uint16)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, *more: str) -> DataFrame:
     """documents() with a name for each pair of doc_id and text, so texts that share a doc_id stay apart."""
-    return documents(docs).withColumn("name", F.xxhash64("doc_id", "text"))
+    return documents(docs, *more).withColumn("name", F.xxhash64("doc_id", "text"))
 
 
 def _sign(batches):
@@ -61,7 +62,8 @@ def _sign(batches):
                 n.append(len(found))
                 keys.append(np.array([mix(found).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(found + U64(9)))], np.uint64).tobytes() if len(found) else None)
                 sigs.append(signature(found).tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["name"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "name", "n_shingles", "key", "sig"])
+        same = {c: b[c] for c in b.schema.names if c not in ("doc_id", "name", "text")}
+        yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "name": b["name"]} | same | {"n_shingles": pa.array(n, pa.int64()), "key": pa.array(keys, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
 
 def least_matches(n: int) -> int:
@@ -92,13 +94,17 @@ def _survivors(sig: np.ndarray, band: int, label: np.ndarray, left: int) -> tupl
         i, j = np.meshgrid(np.arange(lo, min(lo + step, left or len(sig))), np.arange(left, len(sig)), indexing="ij")
         own = (j > i) & (label[i] != label[j])
         i, j = i[own], j[own]
+        for k in range(0, band, 4):
+            if not len(i):
+                break
+            ok = ~(rows[i, k : min(k + 4, band)] == rows[j, k : min(k + 4, band)]).any(1)
+            i, j = i[ok], j[ok]
         total = np.zeros(len(i), np.int32)
         for at in range(0, HASHES, BATCH):
             total += (sig[i, at : at + BATCH] == sig[j, at : at + BATCH]).sum(1, dtype=np.int32)
             ok = total >= LEAST[at + BATCH]
             i, j, total = i[ok], j[ok], total[ok]
-        ok = ~(rows[i, :band] == rows[j, :band]).any(1)
-        found.append((i[ok], j[ok], total[ok]))
+        found.append((i, j, total))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -175,21 +181,53 @@ def _groups(found):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["group", "ids", "pairs"])
 
 
-def _candidates(members: DataFrame, reps: DataFrame, labels: DataFrame | None, forest: bool) -> DataFrame:
-    """Groups of pairs to verify. members: bucket, band, id, n (members of the bucket)."""
-    parts = F.ceil(F.col("n") / (BUCKET // 2)).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    whole = members.filter(F.col("n") <= BUCKET).select("bucket", "band", "id", F.lit(False).alias("left"))
-    # A bucket of k blocks is dealt out as k (k + 1) / 2 groups; in that of two blocks only pairs across count.
-    hot = members.filter(F.col("n") > BUCKET).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    hot = hot.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "band", "id", (F.col("own") < F.col("other")).alias("left"))
-    rows = whole.union(hot).join(reps.select("id", "sig"), "id")
-    if labels is None:
-        rows = rows.withColumn("label", F.col("id"))
-    else:
-        rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rows = rows.select("bucket", "band", "id", "left", "label", "sig").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_compare(forest), "group long, ids array<long>, pairs binary")
+def _first_pass(members: DataFrame) -> DataFrame:
+    """bucket, band, id, left, label: groups that link most of what is alike, in proportion to the members.
+
+    A large bucket is dealt out in blocks, to each of which its PIVOTS smallest ids are added, so blocks of
+    near copies of one text are linked through these.
+    """
+    parts = F.ceil(F.col("n") / BUCKET).cast("int")
+    label = F.col("id").alias("label")
+    whole = members.filter(F.col("n") <= BUCKET).select("bucket", "band", "id", F.lit(False).alias("left"), label)
+    hot = members.filter(F.col("n") > BUCKET).withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    # min of a set of ids, PIVOTS times: what is kept of a bucket before the exchange is PIVOTS ids.
+    pivots = hot.groupBy("bucket", "band", "n").agg(F.expr(f"slice(array_sort(collect_set(id) FILTER (WHERE pmod(xxhash64(id, 1), greatest(1, int(n / {8 * PIVOTS}))) = 0)), 1, {PIVOTS})").alias("ids"))
+    pivots = pivots.withColumn("own", F.explode(F.sequence(F.lit(0), parts - 1))).select("bucket", "band", F.explode("ids").alias("id"), "own")
+    hot = hot.select("bucket", "band", "id", "own").union(pivots).distinct()
+    return whole.union(hot.select(F.xxhash64("bucket", "own").alias("bucket"), "band", "id", F.lit(False), label))
+
+
+def _second_pass(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, band, id, left, label: groups of all pairs of a bucket whose labels differ.
+
+    Buckets of one label are left out. In a large one, members are dealt out in blocks, and those without the
+    label that comes most often go to every block; blocks of those alone are paired.
+    """
+    known = members.join(labels.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("bucket", "band", "id", "n", F.coalesce("label", "id").alias("label"))
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select(F.col("bucket").alias("b"))
+    known = cut(known.join(mixed, F.col("bucket") == F.col("b"), "left_semi"))
+    whole = known.filter(F.col("n") <= BUCKET).select("bucket", "band", "id", F.lit(False).alias("left"), "label")
+    hot = known.filter(F.col("n") > BUCKET)
+    most = hot.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("most"))
+    hot = hot.join(most.select(F.col("bucket").alias("b"), F.col("most.label").alias("main"), F.col("most.m").alias("m")), F.col("bucket") == F.col("b")).drop("b")
+    main = F.col("label") == F.col("main")
+    mains, others = F.ceil(F.col("m") / BUCKET).cast("int"), F.ceil((F.col("n") - F.col("m")) / BUCKET).cast("int")
+    own = hot.withColumn("own", F.pmod(F.xxhash64("id"), F.when(main, mains).otherwise(others)).cast("int"))
+    # Blocks of the most frequent label against blocks of the others.
+    across = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, others).otherwise(mains) - 1)))
+    x, y = F.when(main, F.col("own")).otherwise(F.col("other")), F.when(main, F.col("other")).otherwise(F.col("own"))
+    across = across.select(F.xxhash64("bucket", F.lit(1), x, y).alias("bucket"), "band", "id", main.alias("left"), "label")
+    # Blocks of the others against each other.
+    rest = own.filter(~main).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    rest = rest.select(F.xxhash64("bucket", F.lit(2), F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "band", "id", (F.col("own") < F.col("other")).alias("left"), "label")
+    return whole.union(across).union(rest)
+
+
+def _candidates(groups: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
+    """Groups of pairs to verify, of the members of groups."""
+    rows = groups.join(reps.select("id", "sig"), "id").select("bucket", "band", "id", "left", "label", "sig")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare(forest), "group long, ids array<long>, pairs binary")
 
 
 def _confirm(batches):
@@ -234,41 +272,56 @@ def _verified(groups: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group", F.col("id").asc_nulls_first()).mapInArrow(_confirm, "a long, b long")
 
 
-def link_near(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a row of docs.
+def link_near(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns of carry, n_shingles, component_id, kept, class: one row a row of docs.
 
     Documents are linked if the Jaccard similarity of their sets of WORDS-word shingles is PERCENT or more;
     component_id is the smallest doc_id reachable. Equal sets are one class and only its row with the
-    smallest doc_id goes on, under a name made of doc_id and text. Members of a band's bucket are compared by signature, BATCH hashes at a time, and those whose
-    posterior falls below MISS are dropped; a bucket first gives the pairs of a spanning forest of its
-    survivors, and once these are verified on full sets, every surviving pair between different
-    components. So near-identical groups give few pairs and no link between components goes unverified.
+    smallest doc_id goes on, under a name made of doc_id and text. Members of a band's bucket are compared by
+    signature, BATCH hashes at a time, and those whose posterior falls below MISS are dropped. The first pass links
+    the spanning forest of a bucket's survivors, verified on full sets; the second verifies every surviving pair between
+    different components, in the buckets that have any. So near-identical groups give few pairs and no link between
+    components goes unverified. class names the component (null: a text without words, alone).
 
     Null texts and texts without words have no shingles and stay alone; rows that repeat a doc_id are each
     linked by their own text, and so are rows with a null one, which counts as the largest; rows of one
     component with its smallest doc_id are all kept; an empty table gives no rows.
     """
-    signed = cut(_rows(docs).mapInArrow(_sign, "doc_id long, name long, n_shingles long, key binary, sig binary"))
+    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema)
+    signed = cut(_rows(docs, *carry).mapInArrow(_sign, f"doc_id long, name long, {types}n_shingles long, key binary, sig binary"))
     # Equal keys have equal signatures, so any of them will do.
-    classes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "name")).alias("least"), F.any_value("sig").alias("sig"))
-    classes = cut(classes.select("key", F.col("least.doc_id").alias("least"), F.col("least.name").alias("id"), "sig"))
+    classes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "name")).alias("least"), F.any_value("sig").alias("sig"), F.count("*").alias("rows"))
+    classes = cut(classes.select("key", F.col("least.doc_id").alias("least"), F.col("least.name").alias("id"), "sig", "rows"))
     reps = classes.select("id", "sig")
     band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, 8 * i + 1, 8)))")
     banded = reps.select("id", F.posexplode(band).alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(banded.join(full, "bucket"))
-    edges = cut(_verified(_candidates(members, reps, None, forest=True), docs))
+    edges = cut(_verified(_candidates(_first_pass(members), reps, forest=True), docs))
     labels = components(edges)
-    more = cut(_verified(_candidates(members, reps, labels, forest=False), docs))
-    labels = components(edges.union(more))
-    tops = classes.join(labels, "id").groupBy("label").agg(F.min("least").alias("component"))
-    linked = labels.join(tops, "label").select("id", "component")
-    by_key = classes.select("key", "id", "least").join(linked, "id", "left").select(F.col("key").alias("k"), F.coalesce("component", "least").alias("component"))
-    out = signed.join(by_key, F.col("key") == F.col("k"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept")
-    )
-    return named(out, "component_id")
+    more = cut(_verified(_candidates(_second_pass(members, labels), reps, forest=False), docs))
+    # The links found last are between components, whose labels stand for their members.
+    tops = components(_between(more, labels))
+    risen = looked_up(labels, "label", "id", tops.select(F.col("id").alias("l"), F.col("label").alias("top")), "l").select("id", F.coalesce("top", "label").alias("label"))
+    labels = cut(risen.union(tops.select("id", "label").join(labels.select("id"), "id", "left_anti")))
+    least = classes.join(labels, "id").groupBy(F.col("label").alias("l")).agg(F.min("least").alias("component"))
+    linked = looked_up(labels, "label", "id", least, "l").select("id", "label", "component")
+    # Rows alone in their class and component are their own; the rest is looked up by key, of which one may be that of many rows.
+    by_key = classes.join(linked, "id", "left").filter("rows > 1 OR label IS NOT NULL")
+    by_key = by_key.select(F.col("key").alias("k"), F.coalesce("component", "least").alias("component"), F.coalesce("label", "id").alias("class"))
+    rows = signed.withColumn("nth", F.monotonically_increasing_id())
+    out = looked_up(rows.filter("key IS NOT NULL"), "key", "nth", by_key, "k")
+    out = out.select("doc_id", *carry, "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class", "name").alias("class"))
+    out = out.union(signed.filter("key IS NULL").select("doc_id", *carry, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long")))
+    return named(out.withColumn("kept", F.col("component_id") == F.col("doc_id")), "component_id")
+
+
+def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges as edges of the labels of their ends; an end without one stands for itself."""
+    of = labels.select("id", "label")
+    edges = edges.join(of, F.col("a") == F.col("id"), "left").select(F.coalesce("label", "a").alias("a"), "b")
+    return edges.join(of, F.col("b") == F.col("id"), "left").select("a", F.coalesce("label", "b").alias("b")).distinct()
 
 
 def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_near(table(spark, sf_dir, "documents"))
+    return link_near(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

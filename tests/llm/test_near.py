@@ -48,6 +48,20 @@ def test_near(small, sample, monkeypatch, bucket):
     assert len({c for _, c in want.values()}) < len(want)
 
 
+def test_near_large_group(spark, monkeypatch):
+    """One large group of near copies and one of texts that share much but not enough, in blocks of few."""
+    monkeypatch.setattr(near, "BUCKET", 32)
+    rng = __import__("random").Random(4)
+    base = [f"w{i}" for i in range(80)]
+    changed = lambda n: " ".join(f"x{rng.random()}" if i in spots else w for spots in [set(rng.sample(range(80), n))] for i, w in enumerate(base))
+    texts = [changed(1) for _ in range(260)] + [changed(3) for _ in range(120)] + [" ".join(base)] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute(dict(enumerate(texts)))
+    got = near.link_near(docs).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len({c for _, c in want.values()}) > 10
+    assert len({r["class"] for r in got}) == len({c for _, c in want.values()})
+
+
 def test_near_by_join(small, monkeypatch):
     monkeypatch.setattr(near, "BROADCAST_IDS", 0)
     assert {r["doc_id"]: r["component_id"] for r in near.link_near(small).collect()} == {k: c for k, (_, c) in brute(texts_of(small)).items()}
@@ -70,7 +84,7 @@ def test_near_shared_ids(spark):
         least[c] = min(least.get(c, k), k, key=big)
     want = [(k, found[n][0], least[found[n][1]], k == least[found[n][1]]) for n, (k, _) in enumerate(rows)]
     order = lambda r: [big(x) for x in r]
-    got = near.link_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = near.link_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
 
 
