@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ._bytes import LOWER, blocks
 from ._common import documents, table
 
-#: Bound of the training sample: about so many documents of each language, whole texts.
-DOCS_PER_LANG = 600
+#: Bounds of the training sample: about so many documents of each language, whole texts, and so many bytes of them.
+DOCS_PER_LANG, BYTES_PER_LANG = 600, 16 << 20
 UNKNOWN = "und"
 
 
@@ -52,16 +52,18 @@ def _count(batches):
 def learn(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Counts of four-byte strings by language, over a hash sample of documents that are not held out.
 
-    The sample is bounded by docs_per_lang whole documents a language (in expectation), so what reaches
-    the driver is bounded too.
+    The sample is drawn by doc_id and text, rows alike in both being one, so it spreads over rows without a doc_id
+    too. It is bounded by docs_per_lang whole documents and BYTES_PER_LANG bytes a language (in expectation),
+    and holds one document of each language at least, so what reaches the driver is bounded too.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = documents(known, "lang").withColumn("u", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("u").alias("least")).collect()
     if not sizes:
         return {}
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))))
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = documents(known.filter(u < F.element_at(share, F.col("lang"))), "lang")
+    share = {r["lang"]: max(r["least"], min(1.0, docs_per_lang / r["n"], BYTES_PER_LANG / max(1, r["bytes"]))) for r in sizes}
+    sample = known.filter(F.col("u") <= F.element_at(F.create_map(*(F.lit(x) for pair in share.items() for x in pair)), F.col("lang")))
+    sample = sample.select("lang", "doc_id", "text").distinct()
     parts: dict[str, list] = {}
     for r in sample.mapInArrow(_count, "lang string, keys binary, counts binary").toLocalIterator():
         parts.setdefault(r["lang"], []).append((np.frombuffer(r["keys"], np.uint32), np.frombuffer(r["counts"], np.uint32)))
@@ -145,7 +147,7 @@ def identify(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, carry: tuple[s
     """doc_id, columns of carry, text, held_out, lang_pred, score: one row a row of docs.
 
     Learns from lang and text of rows that are not held out; the prediction sees the text alone. score is
-    the winner's share of the languages' likelihoods. A text that is null or has no letter, or any text if
+    the winner's share of the languages' likelihoods. A null doc_id is not held out. A text that is null or has no letter, or any text if
     nothing could be learned, gets und and 0; ties go to the first language by code point; repeated rows
     are scored each; texts of any length are scored whole; an empty table gives no rows.
     """
