@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeolis.llm import langid, lines, mixing, near, packing
-from aeolis.llm._common import cut, table
+from aeolis.llm._common import cut, table, with_row
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Byte contexts and the tokenizer have no SQL form; the tests compare with brute force.
@@ -25,18 +25,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; one row of those that repeat a doc_id.
-
-    Rows with a null doc_id stay, as no result can name one of them.
-    """
-    docs, kept = docs.select(*COLUMNS), near.link_near(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id IS NULL"))
+    """One document of each group of near copies: that with the smallest doc_id (null last), of these the first in the table."""
+    rows = with_row(docs.select(*COLUMNS), "place")
+    linked = near.link_near(rows, carry=("place",)).select("doc_id", "place", "class")
+    first = linked.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"].alias("place"))
+    kept = first.select("place").union(linked.filter("class IS NULL").select("place"))
+    return rows.join(kept, "place", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; of rows that repeat a doc_id, or have none, the most often taken counts."""
-    copies = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    taken = docs.select(*COLUMNS).join(copies, F.col("doc_id").eqNullSafe(F.col("id")))
+    """Each document as often as the mix takes it."""
+    copies = mixing.mix_sources(docs).filter("copies > 0").select(F.col("row").alias("place"), "copies")
+    taken = with_row(docs.select(*COLUMNS), "place").join(copies, "place")
     return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
