@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import SPACE, Rolling, blocks, lines, shingles, words
@@ -21,11 +24,15 @@ RATES = {
     "repeat_rate": ("n_repeat_words / greatest(n_words, 1)", 0.25),
     "word_length": ("word_chars / greatest(n_words, 1)", 4.0),
 }
-QUARTILES = (0.25, 0.75)
 #: A threshold stands so many interquartile ranges above the upper quartile.
 SPREAD = 4.0
-#: Groups of fewer documents take the sketch of their language, then that of all documents.
-MIN_GROUP = 200
+#: Quartiles of a group are drawn towards those of its language as by so many documents of it, and these towards those of all.
+WEIGHT = 200
+#: A group's threshold is at most CEILING margins above that of the rest of its language, so a spoilt source sets no mark
+#: of its own. A group with less than SHARE of its language's documents is left in the rest.
+CEILING, SHARE = 2, 0.05
+#: Bins of the sketch: their upper ends grow by this factor from the least value told from 0.
+GROWTH, LEAST = 1.01, 1e-4
 
 
 def _counts(batches):
@@ -64,39 +71,69 @@ def quality_counts(docs: DataFrame) -> DataFrame:
     return named(documents(docs, "lang", "source").mapInArrow(_counts, "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in COUNTS)))
 
 
-def _sketches(rated: DataFrame, *keys: str) -> DataFrame:
-    return rated.groupBy(*keys).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r).alias(r) for r in RATES))
+def _sketch(rated: DataFrame) -> DataFrame:
+    """lang, source, rate, bin, n: how many documents of a group have the rate in a bin.
+
+    Counts of bins of fixed relative width are a quantile sketch with error GROWTH that merges by sums, in any
+    order to the same result, and a group has at most some 1,500 bins a rate however many documents it has.
+    """
+    value = F.col("value")
+    bin_of = F.when(value <= LEAST, 0).otherwise(F.ceil(F.log(value / LEAST) / math.log(GROWTH))).cast("int").alias("bin")
+    pairs = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), F.col(r).alias("value")) for r in RATES)))
+    return rated.select("lang", "source", pairs.alias("x")).select("lang", "source", "x.*").select("lang", "source", "rate", bin_of).groupBy("lang", "source", "rate", "bin").agg(F.count("*").alias("n"))
 
 
-def _limits(sketches: DataFrame, prefix: str) -> DataFrame:
-    """For each rate the threshold upper quartile + max(margin, SPREAD * interquartile range)."""
+def _quartiles(bins: DataFrame, *keys: str) -> DataFrame:
+    """keys, rate, total and the lower and upper quartile of bins with counts n (upper ends of the bins that hold them)."""
+    by = Window.partitionBy(*keys, "rate")
+    upto = bins.withColumns({"upto": F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(by)}).filter("n > 0")
+    end = F.when(F.col("bin") == 0, 0.0).otherwise(LEAST * F.pow(F.lit(GROWTH), F.col("bin")))
+    quartile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), end))
+    return upto.groupBy(*keys, "rate").agg(F.max("total").alias("total"), quartile(0.25).alias("low"), quartile(0.75).alias("high"))
 
-    def limit(rate: str, margin: float) -> Column:
-        low, high = (F.kll_sketch_get_quantile_double(rate, F.lit(q)) for q in QUARTILES)
-        return (high + F.greatest(F.lit(margin), SPREAD * (high - low))).alias(f"{prefix}_{rate}")
 
-    keys = [c for c in sketches.columns if c not in ("n", *RATES)]
-    return sketches.select(*(F.col(k).alias(f"{prefix}_{k}") for k in keys), F.col("n").alias(f"{prefix}_n"), *(limit(r, m) for r, (_, m) in RATES.items()))
+def thresholds(rated: DataFrame) -> DataFrame:
+    """lang, source, max_<rate> for each rate: upper quartile + max(margin, SPREAD * interquartile range).
+
+    The quartiles are those of a group of language and source, drawn towards its language's as by WEIGHT
+    documents of it, as these are towards those of all documents. No threshold is more than CEILING margins above that
+    of the rest of its language.
+    """
+    groups = cut(_sketch(rated))
+    merged = lambda *keys: groups.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
+    own, lang, every = _quartiles(groups, "lang", "source"), _quartiles(merged("lang"), "lang"), _quartiles(merged())
+    # Sketches subtract too: the rest of a language is its sketch less the group's. A group of a small share hardly
+    # moves its language, whose quartiles then stand for the rest, so at most 1 / SHARE groups a language are worked out.
+    large = own.join(lang.select(F.col("lang").alias("k"), F.col("rate").alias("kr"), F.col("total").alias("all")), F.col("lang").eqNullSafe(F.col("k")) & (F.col("rate") == F.col("kr")))
+    large = large.filter(F.col("total") >= SHARE * F.col("all")).select(F.col("lang").alias("g"), F.col("source").alias("s")).distinct()
+    spread = large.join(merged("lang"), F.col("g").eqNullSafe(F.col("lang"))).select("lang", F.col("s").alias("source"), "rate", "bin", "n")
+    minus = groups.join(large, F.col("g").eqNullSafe(F.col("lang")) & F.col("s").eqNullSafe(F.col("source")), "left_semi").select("lang", "source", "rate", "bin", -F.col("n"))
+    rest = _quartiles(spread.union(minus).groupBy("lang", "source", "rate", "bin").agg(F.sum("n").alias("n")), "lang", "source")
+    drawn = lambda a, b: {q: (F.col(f"{a}_total") * F.col(f"{a}_{q}") + WEIGHT * F.col(f"{b}_{q}")) / (F.col(f"{a}_total") + WEIGHT) for q in ("low", "high")}
+    named_as = lambda df, x: df.select([F.col(c).alias(f"{x}_{c}") for c in df.columns])
+    same = lambda a, b, *keys: functools.reduce(lambda p, q: p & q, (F.col(f"{a}_{k}").eqNullSafe(F.col(f"{b}_{k}")) for k in (*keys, "rate")))
+    # One row for each language, source and rate.
+    lang = named_as(lang, "l").join(named_as(every, "a"), F.col("l_rate") == F.col("a_rate")).withColumns({f"raw_{q}": F.col(f"l_{q}") for q in ("low", "high")})
+    lang = lang.withColumns({f"l_{q}": e for q, e in drawn("l", "a").items()})
+    raw = {f"r_{q}": F.coalesce(f"r_{q}", f"raw_{q}") for q in ("low", "high")}
+    both = named_as(own, "g").join(lang, same("g", "l", "lang")).join(named_as(rest, "r"), same("g", "r", "lang", "source"), "left").withColumns(raw)
+    both = both.withColumns({f"g_{q}": e for q, e in drawn("g", "l").items()})
+    margin = F.element_at(F.create_map(*(F.lit(x) for r, (_, m) in RATES.items() for x in (r, m))), F.col("g_rate"))
+    limit = lambda x: F.col(f"{x}_high") + F.greatest(margin, SPREAD * (F.col(f"{x}_high") - F.col(f"{x}_low")))
+    mark = F.least(limit("g"), limit("r") + CEILING * margin)
+    return both.groupBy(F.col("g_lang").alias("lang"), F.col("g_source").alias("source")).agg(*(F.max(F.when(F.col("g_rate") == r, mark)).alias(f"max_{r}") for r in RATES))
 
 
 def judge(counts: DataFrame) -> DataFrame:
     """Adds base_failed, each rate's threshold and kept.
 
-    Sketches of (language, source) are made by partial aggregation and merged, so a hot source costs one
-    row a task; language and overall sketches merge those of the groups. Null language and null source
-    are groups of their own. A group of fewer than MIN_GROUP documents takes its language's thresholds,
-    and a small language those of all documents.
+    The sketches of language and source are sums by partial aggregation, so a hot source costs one row a task
+    and bin, and the same rows give the same verdicts in any order. Null language and null source are groups of their
+    own; a group whose documents all fail the base rule has no thresholds; repeated rows count each; no rows give none.
     """
     rated = counts.withColumns({r: F.expr(f"double({sql})") for r, (sql, _) in RATES.items()})
     rated = rated.withColumn("base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words"))
-    groups = cut(_sketches(rated.filter("NOT base_failed"), "lang", "source"))
-    merged = lambda *keys: groups.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATES))
-    by_group, by_lang, overall = _limits(groups, "g"), _limits(merged("lang"), "l"), _limits(merged().filter("n > 0"), "a").first()
-    # One row for each language and source; the overall thresholds are constants.
-    limits = by_group.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_lang")))
-    constant = lambda r: F.lit(overall[f"a_{r}"] if overall else None).cast("double")
-    pick = lambda r: F.when(F.col("g_n") >= MIN_GROUP, F.col(f"g_{r}")).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{r}")).otherwise(constant(r))
-    limits = limits.select("g_lang", "g_source", *(pick(r).alias(f"max_{r}") for r in RATES))
+    limits = thresholds(rated.filter("NOT base_failed")).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     joined = rated.join(limits, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_lang", "g_source")
     passes = F.lit(True)
     for r in RATES:
