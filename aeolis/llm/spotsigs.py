@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import BASE, U64, Rolling, blocks, mix
-from ._common import CHUNK_BYTES, documents, named, plan_bytes, shuffle_partitions, table
+from ._common import documents, named, ordered, shuffle_partitions, table, text_bytes
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -27,9 +27,10 @@ CHAIN = 2
 RUN = 3
 #: Stands for each content word that the end of the text leaves out of a chain.
 END = U64(0x5851F42D4C957F2D)
-#: Ranges of doc_id, each streamed in order, and characters worked on at a time.
-MOST_RANGES = 1 << 12
-BLOCK_CHARS = 1 << 20
+#: Likeness below this is told as 0 beside the next document and the edited text, without comparing sets where bounds show it.
+LEAST = 0.05
+#: Text bytes of a range of documents in order and of a task, ids sampled for the bounds of a range, and characters worked on at a time.
+RANGE_BYTES, PART_BYTES, SAMPLES, BLOCK_CHARS = 16 << 20, 64 << 20, 16, 1 << 20
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -103,15 +104,38 @@ def hexed(sigs: np.ndarray) -> str:
     return sigs.astype(">u4").tobytes().hex()
 
 
+def partition(n: np.ndarray | int, least: float):
+    """Partitions of set lengths that grow by 1 / least: sets of likeness `least` lie in one or in two that adjoin."""
+    return np.floor(np.log(np.maximum(n, 1)) / -math.log(least) + 1e-9).astype(np.int64)
+
+
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity of sorted sets; 0 where their lengths alone keep it below least; 1 for two empty sets."""
-    small, large = sorted((len(a), len(b)))
-    if not large:
+    """Jaccard similarity of sorted sets if it is `least` or more, else 0; 1 for two empty sets.
+
+    Sets whose lengths, or whose smallest signatures, rule `least` out are not compared further.
+    """
+    small, large = sorted((a, b), key=len)
+    if not len(large):
         return 1.0
-    if small < least * large:
+    if len(small) < least * len(large) or not len(small):
         return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (small + large - both)
+    # Sets that share `need` signatures share one of the first len - need + 1 of either in any common order.
+    need = max(1, math.ceil(least / (1 + least) * (len(a) + len(b)) - 1e-9))
+    x, y = small[: len(small) - need + 1], large[: len(large) - need + 1]
+    if x[-1] < y[0] or y[-1] < x[0] or not np.isin(x, y, assume_unique=True).any():
+        return 0.0
+    both = len(np.intersect1d(small, large, assume_unique=True))
+    found = both / (len(small) + len(large) - both)
+    return found if found >= least else 0.0
+
+
+def likenesses(a: list[np.ndarray], b: list[np.ndarray], least: float = LEAST) -> np.ndarray:
+    """likeness() of each a[i] and b[i]; only pairs in one partition of set lengths or in two that adjoin are compared."""
+    n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    out = np.where((n == 0) & (m == 0), 1.0, 0.0)
+    for i in np.flatnonzero((n > 0) & (m > 0) & (np.abs(partition(n, least) - partition(m, least)) <= 1)):
+        out[i] = likeness(a[i], b[i], least)
+    return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -134,7 +158,7 @@ def similar(prints: DataFrame, least: float = 0.75) -> DataFrame:
     and candidates whose lengths rule the pair out are never compared.
     """
     sets = prints.filter("n_sigs > 0").select("fingerprint", "n_sigs").distinct()
-    sets = sets.withColumn("range", F.floor(F.log("n_sigs") / F.lit(-math.log(least)) + 1e-9).cast("int"))
+    sets = sets.withColumn("range", F.floor(F.log("n_sigs") / F.lit(-math.log(least)) + 1e-9).cast("int"))  # as partition()
     sig = sets.select("fingerprint", "n_sigs", "range", F.explode(F.expr("transform(sequence(0, int(n_sigs) - 1), i -> substr(fingerprint, 8 * i + 1, 8))")).alias("sig"))
     often = sig.groupBy("sig").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy("df", "sig"))
@@ -154,25 +178,28 @@ def similar(prints: DataFrame, least: float = 0.75) -> DataFrame:
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, tail: ranges of doc_id, each with (tail 1) the first document after it again.
+    """at, doc_id, text, bucket, tail: ranges of documents in order, each with (tail 1) the first document after it again.
 
-    The range after the last is the first. Ranges hold about as many rows each; there are at most MOST_RANGES,
-    so their bounds stay small, and a range is read as a sorted stream, so it may be of any size.
+    The range after the last is the first. Bounds come from a sample of some SAMPLES rows a range, so ranges hold
+    about RANGE_BYTES of text at any size of the table; a range is read as a sorted stream, so it may be of any size.
     """
-    spark = docs.sparkSession
-    n = min(MOST_RANGES, max(4 * shuffle_partitions(spark), plan_bytes(docs) // CHUNK_BYTES))
-    ids = docs.select(F.col("doc_id").cast("double").alias("at"))
-    cuts = ids.agg(F.percentile_approx("at", F.array(*(F.lit(i / n) for i in range(1, n))), 20 * n)).first()[0] or []
-    splits = [-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf]
-    bucketed = lambda df: Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(df)
-    heads = bucketed(documents(docs).select("doc_id", F.col("doc_id").cast("double").alias("at"))).groupBy("bucket").agg(F.min("doc_id").alias("head"))
+    sp, size = shuffle_partitions(docs.sparkSession), text_bytes(docs)
+    parts = max(sp, size // PART_BYTES)
+    rows, n = ordered(docs), max(8 * sp, size // RANGE_BYTES)
+    at = rows.select(F.col("at").cast("double").alias("at"))
+    drawn = F.pmod(F.xxhash64("at"), F.lit(1 << 40)) < F.lit(int(min(1.0, SAMPLES * n / max(1, docs.count())) * (1 << 40)))
+    sample = np.sort(at.filter(drawn).toPandas()["at"].to_numpy())
+    bounds = np.unique(sample[np.arange(1, n) * len(sample) // n]).tolist() if len(sample) else [0.0]
+    splits = [-math.inf, *bounds, math.inf]
+    bucketed = lambda df: Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform(df.withColumn("x", F.col("at").cast("double"))).drop("x")
+    heads = bucketed(rows.select("at")).groupBy("bucket").agg(F.min("at").alias("head"))
     # One row a range.
     w = Window.orderBy("bucket")
     heads = heads.select("head", F.coalesce(F.lag("bucket").over(w), F.last("bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    found = bucketed(documents(docs).withColumn("at", F.col("doc_id").cast("double"))).join(F.broadcast(heads), F.col("doc_id") == F.col("head"), "left")
+    found = bucketed(rows).join(F.broadcast(heads), F.col("at") == F.col("head"), "left")
     places = F.expr("filter(array(bucket, before), x -> x IS NOT NULL)")
-    placed = found.select("doc_id", "text", F.posexplode(places).alias("tail", "bucket"))
-    return placed.repartition("bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
+    placed = found.select("at", "doc_id", "text", F.posexplode(places).alias("tail", "bucket"))
+    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "at")
 
 
 def _edited(held: list[tuple[int, str]]) -> pa.RecordBatch:
@@ -185,16 +212,16 @@ def _edited(held: list[tuple[int, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({
         "doc_id": pa.array([d for d, _ in held[:-1]], pa.int64()), "n_chars": pa.array(own, pa.int64()), "edited_sha256": pa.array([sha256(t.encode()).hexdigest() for t in edited], pa.string()),
         "fingerprint": pa.array([hexed(s) for s in sigs[:-1]], pa.string()), "edited_fingerprint": pa.array([hexed(s) for s in changed], pa.string()),
-        "near_edited": pa.array([likeness(a, b) for a, b in zip(sigs, changed)], pa.float64()), "near_next": pa.array([likeness(a, b) for a, b in zip(sigs, sigs[1:])], pa.float64()),
+        "near_edited": pa.array(likenesses(sigs[:-1], changed), pa.float64()), "near_next": pa.array(likenesses(sigs[:-1], sigs[1:]), pa.float64()),
     })
 
 
 def with_next(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document; one row a row.
 
-    Sorted ranges are streamed in blocks of about block_chars, so a task holds a block or one document. Null
-    text is empty; rows that repeat a doc_id follow each other by text, and those with a null one come last;
-    a single row is its own next; an empty table gives no rows.
+    Sorted ranges are streamed in blocks of about block_chars, so a task holds a block or one document. A likeness
+    below LEAST is 0. Null text is empty; rows that repeat a doc_id follow each other as in the table, and those with a
+    null one come last; a single row is its own next; an empty table gives no rows.
     """
 
     def run(batches):
@@ -203,9 +230,7 @@ def with_next(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             for lo in range(0, len(b), 256):
                 for at, tail, doc_id, text in zip(*(b[c].slice(lo, 256).to_pylist() for c in ("bucket", "tail", "doc_id", "text"))):
                     if at != bucket:
-                        bucket, done, held, size = at, False, [], 0
-                    if done:  # the head of the next range under a repeated doc_id
-                        continue
+                        bucket, held, size = at, [], 0
                     held.append((doc_id, text))
                     size += len(text)
                     done = tail == 1
