@@ -49,5 +49,34 @@ def test_null_ids_count_as_one_that_comes_last(docs):
 def test_stages(spark, docs):
     rows = {name: stage(spark, docs, "").collect() for name, stage in pipeline.STAGES}
     nulls = {name: sum(r["doc_id"] is None for r in rs) for name, rs in rows.items()}
-    assert (nulls["language"], nulls["lines"], nulls["near"]) == (3, 4, 4) and nulls["mix"] and nulls["pack"]
+    assert (nulls["language"], nulls["lines"], nulls["near"]) == (3, 4, 2) and nulls["mix"] and nulls["pack"]
     assert {r["doc_id"] for r in rows["near"]} >= {5, BIG + 2} and BIG + 1 not in {r["doc_id"] for r in rows["near"]}
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_ids_that_tell_nothing_apart(spark, sample, doc_id):
+    """All ids null, or all equal: rows are dealt out, learned from and kept as rows."""
+    from pyspark.sql import functions as F
+
+    alike = sample.withColumn("doc_id", F.lit(doc_id).cast("long"))
+    assert set(langid.learn(alike)) == ({"de", "en", "es", "fr"} if not doc_id or __import__("zlib").crc32(b"7") % 4 != 2 else set())
+    bounded = langid.learn(alike, docs_per_lang=5)
+    assert all(n.sum() < 40_000 * 5 for _, n in bounded.values())
+    rows = passages.ordered(alike)
+    places = [r["at"] for r in rows.select("at").collect()]
+    assert len(set(places)) == len(places)
+    chunks = [r["count"] for r in rows.groupBy(F.pmod(F.xxhash64("at"), F.lit(4))).count().collect()]
+    assert max(chunks) < 2 * sum(chunks) / len(chunks)
+    # As with ids in the order of the table.
+    numbered = lines.with_row(sample, "n").withColumn("doc_id", F.col("n"))
+    result = lambda df: sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in passages.drop_repeats(df).collect())
+    assert result(alike) == result(numbered)
+    if doc_id is None:
+        dropped = lambda df: sorted(r["kept_sha256"] for r in lines.drop_common_lines(df).collect())
+        assert dropped(alike) == dropped(numbered)
+    kept = pipeline.drop_near(spark, alike, "")
+    assert sorted(r["text"] or "" for r in kept.collect()) == sorted(r["text"] or "" for r in pipeline.drop_near(spark, numbered.select(*pipeline.COLUMNS), "").collect())
+    taken = mixing.mix_sources(alike)
+    assert taken.agg(F.sum("taken")).first()[0] <= taken.agg(F.sum("size")).first()[0]
+    assert sorted(r["text"] for r in pipeline.mix(spark, alike, "").collect()) == sorted(r["text"] for r in pipeline.mix(spark, alike, "").collect())
+    assert pipeline.mix(spark, alike, "").count() == taken.agg(F.sum("copies")).first()[0]

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aeolis.llm import langid, lines, mixing, packing, quality, secrets, spotsigs
+from aeolis.llm._common import ordered as _ordered
 
 from .conftest import SCHEMA, texts_of
 
@@ -85,11 +86,52 @@ def test_fingerprints(small, sample):
 def test_fingerprints_of_repeated_rows(spark):
     rows = [(k % 3, f"the tower {k} of stone") for k in range(9)] + [(9, None)]
     got = spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 10).collect()
-    ordered = sorted((k, t or "") for k, t in rows)
+    ordered = [(r["doc_id"], r["text"]) for r in sorted(_ordered(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect(), key=lambda r: r["at"])]
+    assert [k for k, _ in ordered] == sorted(k for k, _ in rows)
     want = sorted((k, sha(t[: len(t) - len(t) // 2] + x[: len(t) // 2])) for (k, t), (_, x) in zip(ordered, ordered[1:] + ordered[:1]))
     assert sorted((r["doc_id"], r["edited_sha256"]) for r in got) == want
 
 
+def brute_signatures(text):
+    """Tuples of an anchor and the content words after it, word by word."""
+    ws = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    common = [w in set(spotsigs.ANCHORS) for w in ws]
+    rank = [(not c) * int(spotsigs._hash_words([w])[0]) for w, c in zip(ws, common)]
+    anchors = {i for i, c in enumerate(common) if c}
+    k = min(spotsigs.RUN, len(ws))
+    for i in range(len(ws) - k + 1) if ws else ():
+        anchors |= {j for j in range(i, i + k) if rank[j] == min(rank[i : i + k])}
+    out = set()
+    for i in anchors:
+        after = [w for w, c in zip(ws[i + 1 :], common[i + 1 :]) if not c][: spotsigs.CHAIN]
+        out.add((ws[i], *after, *[None] * (spotsigs.CHAIN - len(after))))
+    return out
+
+
+def test_likeness_by_brute_force(small, sample):
+    """The fixed pairs, and any pairs at any threshold, against sets of word tuples."""
+    import pyarrow as pa
+
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    for df in both(small, sample.limit(80)):
+        texts = texts_of(df)
+        ids = sorted(texts)
+        for r in spotsigs.with_next(df).collect():
+            k = ids.index(r["doc_id"])
+            t, x = texts[ids[k]], texts[ids[(k + 1) % len(ids)]]
+            own, edited, after = map(brute_signatures, (t, t[: len(t) - len(t) // 2] + x[: len(t) // 2], x))
+            assert len(r["fingerprint"]) == 8 * len(own)
+            for got, want in ((r["near_edited"], jaccard(own, edited)), (r["near_next"], jaccard(own, after))):
+                assert got == pytest.approx(want if want >= spotsigs.LEAST else 0.0)
+    sigs = spotsigs.spot_signatures(pa.array(list(texts.values())))
+    sets = [set(x.tolist()) for x in sigs]
+    for least in (0.05, 0.3, 0.75, 0.9):
+        for i in range(0, len(sigs), 3):
+            got = spotsigs.likenesses([sigs[i]] * len(sigs), sigs, least)
+            want = [jaccard(sets[i], s) for s in sets]
+            assert np.allclose(got, [w if w >= least else 0.0 for w in want])
+
+
 def test_fingerprints_across_lengths(sample):
     """Half of an edited text is its own, so at any length about a third of the union is shared, and one word changes little."""
     import pyarrow as pa
@@ -158,6 +200,56 @@ def test_mixing(small, sample):
         assert all(abs(taken[s] - target[s]) <= 2 * largest for s in names)
 
 
+def brute_queue(df, targets):
+    """taken by row: copies in the order of finish times until the first that exceeds the budget."""
+    rows = mixing.documents(mixing.with_row(df), "row", "source").withColumn("u", F.pmod(F.xxhash64(F.lit(0), F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 40))).collect()
+    size = {r["row"]: len(WORD.findall(r["text"])) for r in rows}
+    sizes, run, copies = Counter(), Counter(), []
+    for r in rows:
+        sizes[r["source"]] += size[r["row"]]
+    for r in sorted(rows, key=lambda r: (r["u"], r["doc_id"], r["row"])):
+        s, n = r["source"], size[r["row"]]
+        run[s] += n
+        copies += [((c * sizes[s] + run[s]) / targets[s], r["u"], r["doc_id"], (s is None, s or ""), r["row"]) for c in range(3) if n and targets[s]]
+    left, taken = sum(sizes.values()), Counter()
+    for v, *_, row in sorted(c for c in copies if c[0] < 2):
+        left -= size[row]
+        if left < 0:
+            break
+        taken[row] += size[row]
+    return taken
+
+
+@pytest.mark.parametrize("sorted_copies", [1 << 20, 2])
+def test_fair_queue(spark, small, sample, monkeypatch, sorted_copies):
+    """With sources of equal size and target, finish times tie; ids repeat or lack."""
+    monkeypatch.setattr(mixing, "SORTED", sorted_copies)
+    ties = spark.createDataFrame([(None if k % 5 == 4 else k // 2, "a b c", "bacd"[k % 4]) for k in range(60)], "doc_id long, text string, source string")
+    for df in (ties, small.select("doc_id", "text", "source"), sample.select("doc_id", "text", "source")):
+        rows = mixing.mix_sources(df).collect()
+        want = brute_queue(df, {r["source"]: r["target"] for r in rows})
+        assert {r["row"]: r["taken"] for r in rows if r["taken"]} == want
+        assert 0 <= sum(r["size"] for r in rows) - sum(want.values()) <= max(r["size"] for r in rows)
+
+
+def test_source_ranks(spark):
+    """Ranks through several sorted ranges, and targets of many sources that are capped one after the other."""
+    sizes = {f"s{k:03}": (k * k * 37) % 1000 + k for k in range(300)} | {None: 5}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert {r["source"]: r["rank"] for r in mixing.numbered(df.repartition(3)).collect()} == {s: i for i, s in enumerate(names)}
+    weight, total, fixed = {s: i % 3 + 1 for i, s in enumerate(names)}, sum(sizes.values()), {}
+    while True:
+        level = (total - sum(fixed.values())) / sum(w for s, w in weight.items() if s not in fixed)
+        over = {s: 3 * sizes[s] for s in names if s not in fixed and level * weight[s] > 3 * sizes[s]}
+        if not over:
+            break
+        fixed |= over
+    for r in mixing.source_targets(df).collect():
+        assert r["target"] == pytest.approx(fixed.get(r["source"], level * weight[r["source"]]))
+    assert mixing.source_targets(df.limit(0)).count() == 0
+
+
 # --- language
 
 
@@ -236,6 +328,38 @@ def test_packing(small, sample):
             assert at <= 4096 and at & at - 1 == 0
 
 
+def test_sum_of_squares():
+    """Each piece goes where the squared counts of partly filled windows grow least, and what is left has no padding."""
+    import random
+
+    rng, length = random.Random(2), 16
+    packer, total = packing.Packer(length), 0
+    squares = lambda level: sum(int(n) ** 2 for n in level[1:length])
+    for k in range(400):
+        size = rng.choice((1, 2, 3, 5, 7, 9, 16))
+        before, options = packer.level.copy(), []
+        for fill in [0, *(h for h in range(1, length - size + 1) if before[h])]:
+            after = before.copy()
+            after[fill] -= fill > 0
+            after[fill + size] += fill + size < length
+            options.append(squares(after))
+        packer.add((k, 0, size))
+        total += size
+        assert squares(packer.level) == min(options)
+    windows = packer.close()
+    fills = [sum(n for _, _, n in w) for w in windows]
+    assert sum(fills) == total and all(f == length or f & f - 1 == 0 for f in fills)
+    # All but the last few are full, and these are powers of two that differ.
+    short = [f for f in fills if f < length]
+    assert len(set(short)) == len(short) and fills == sorted(fills, reverse=True)
+
+
+def test_packing_has_no_padding(small, sample):
+    for df in both(small, sample):
+        fills = packing.pack(df).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+        assert all(r["n"] == 4096 or r["n"] & r["n"] - 1 == 0 for r in fills)
+
+
 # --- quality
 
 
@@ -263,6 +387,54 @@ def test_quality_verdicts(spark, small):
     assert {r["doc_id"] for r in rows if not r["kept"]} == {99}
 
 
+def brute_thresholds(rows):
+    """max_<rate> by group from bins counted one by one."""
+    import math
+
+    bin_of = lambda v: 0 if v <= quality.LEAST else math.ceil(math.log(v / quality.LEAST) / math.log(quality.GROWTH))
+    end = lambda b: quality.LEAST * quality.GROWTH**b if b else 0.0
+
+    def quartiles(bins):
+        ordered = sorted(bins)
+        return [end(next(b for i, b in enumerate(ordered, 1) if i >= q * len(ordered))) for q in (0.25, 0.75)]
+
+    drawn = lambda n, own, other: [(n * a + quality.WEIGHT * b) / (n + quality.WEIGHT) for a, b in zip(own, other)]
+    out = defaultdict(dict)
+    good = [r for r in rows if not r["base_failed"]]
+    for rate, (_, margin) in quality.RATES.items():
+        bins = [(r["lang"], r["source"], bin_of(r[rate])) for r in good]
+        every = quartiles([b for *_, b in bins])
+        for lang, source in {(a, s) for a, s, _ in bins}:
+            of_lang = [b for a, _, b in bins if a == lang]
+            own = [b for a, s, b in bins if (a, s) == (lang, source)]
+            rest = [b for a, s, b in bins if a == lang and s != source]
+            rest = quartiles(rest if rest and len(own) >= quality.SHARE * len(of_lang) else of_lang)
+            low, high = drawn(len(own), quartiles(own), drawn(len(of_lang), quartiles(of_lang), every))
+            limit = lambda low, high: high + max(margin, quality.SPREAD * (high - low))  # noqa: B023, E731
+            out[lang, source][rate] = min(limit(low, high), limit(*rest) + quality.CEILING * margin)
+    return out
+
+
+def test_quality_thresholds(small, sample):
+    for df in both(small, sample):
+        rows = quality.judge(quality.quality_counts(df)).collect()
+        again = quality.judge(quality.quality_counts(df.repartition(7))).collect()
+        assert {(r["doc_id"], r["kept"]) for r in rows} == {(r["doc_id"], r["kept"]) for r in again}
+        want = brute_thresholds(rows)
+        for r in rows:
+            limits = want.get((r["lang"], r["source"]))
+            assert [r[f"max_{k}"] for k in quality.RATES] == ([pytest.approx(limits[k]) for k in quality.RATES] if limits else [None] * len(quality.RATES))
+            assert r["kept"] == (not r["base_failed"] and all(r[k] <= r[f"max_{k}"] for k in quality.RATES))
+
+
+def test_quality_of_a_spoilt_source(spark):
+    """Junk that fills one source does not set its own mark, and a group of one document is judged by its language."""
+    clean = [(i, " ".join(f"word{i}x{j}" for j in range(60)), "en", f"s{i % 3}") for i in range(160)]
+    junk = [(500 + i, " ".join(f"w{i}x{j}##**" for j in range(60)), "en", "bad") for i in range(30)] + [(900, " ".join(f"w{j}##**##" for j in range(60)), "fr", "one")]
+    rows = quality.judge(quality.quality_counts(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string"))).collect()
+    assert {r["doc_id"] for r in rows if not r["kept"]} == set(range(500, 530)) | {900}
+
+
 # --- lines
 
 
@@ -280,6 +452,25 @@ def test_lines(small, sample):
             assert (r["n_lines"], r["n_dropped"], r["text"], r["kept_sha256"]) == (len(own), len(own) - len(kept), "\n".join(kept), sha("\n".join(kept)))
 
 
+def test_arrays_answer_alone():
+    """Counts come from the arrays of the perfect hash; lines outside are unknown; equal first hashes are told apart."""
+    rng = np.random.default_rng(7)
+    one, two = (rng.integers(1, 1 << 62, 5000, dtype=np.uint64) for _ in range(2))
+    one[1] = one[0]
+    counts = rng.integers(10, 400, 5000)
+    shard = lines.Shard(one, two, counts)
+    assert (shard(one, two) == np.minimum(counts, 255)).all()
+    assert not shard(one, two + np.uint64(1)).any() and not shard(two, one).any()
+    assert not lines.Shard(one[:0], two[:0], counts[:0])(one, two).any()
+
+
+def test_lines_in_passes(small, monkeypatch):
+    """With shards of a few lines and tables of one shard, texts take many passes."""
+    want = sorted(map(tuple, lines.drop_common_lines(small, 2).collect()), key=str)
+    monkeypatch.setattr(lines, "SHARD_LINES", 8)
+    assert sorted(map(tuple, lines.drop_common_lines(small, 2, table_bytes=1).collect()), key=str) == want
+
+
 # --- all
 
 
