@@ -4,16 +4,80 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binary import NC_FILL
 
 
+def fixed_width(*fields: tuple[int, int, Column], length: int = 0) -> Column:
+    """A record with each value right-aligned in its columns (start from 0, width); the rest is spaces, up to `length`."""
+    parts, at = [], 0
+    for start, width, value in sorted(fields, key=lambda f: f[0]):
+        parts += [F.lit(" " * (start - at)), F.lpad(F.coalesce(value.cast("string"), F.lit("")), width, " ")]
+        at = start + width
+    return F.concat(*parts, F.lit(" " * max(0, length - at)))
+
+
+def number_bytes(value: Column, width: int) -> Column:
+    """A whole number as so many big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * width, "0"))
+
+
+def joined(pieces: Column) -> Column:
+    """The bytes of an array of binary values, one after the other."""
+    return F.unhex(F.array_join(F.transform(pieces, F.hex), ""))
+
+
+def in_order(df: DataFrame, key: str, order: str, piece: Column, content: str = "content") -> DataFrame:
+    """key and the pieces of its rows in order, joined: the content of a file a key, which should be as much as a file holds."""
+    pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), piece.alias("piece"))))
+    return df.groupBy(key).agg(joined(F.transform(pieces, lambda x: x["piece"])).alias(content))
+
+
+def f77_frame(record: Column) -> Column:
+    """The record between two big-endian lengths of four bytes."""
+    size = number_bytes(F.length(record), 4)
+    return F.concat(size, record, size)
+
+
+def vbs_frame(record: Column, most: int = 0) -> Column:
+    """A block of its own for a record, or with `most` a block for each piece of so many bytes: first, middle and last segments."""
+    block = lambda piece, code: F.concat(number_bytes(F.length(piece) + 8, 2), F.unhex(F.lit("0000")), number_bytes(F.length(piece) + 4, 2), number_bytes(code, 1), F.unhex(F.lit("00")), piece)
+    if not most:
+        return block(record, F.lit(0))
+    last = F.floor((F.length(record) - 1) / most).cast("int")
+    code = lambda i: F.when(last == 0, 0).when(i == 0, 1).when(i == last, 2).otherwise(3)
+    return joined(F.transform(F.sequence(F.lit(0), last), lambda i: block(F.substring(record, i * most + 1, F.lit(most)), code(i))))
+
+
+def cos_file(records: Column) -> Column:
+    """A file of 64-bit words with a control word before each record's data, and the ends of the file and of the data.
+
+    Records are given as an array of binary values of at most 511 words; a record's end says how many bits of its last word are unused.
+    """
+    words = lambda r: F.ceil(F.length(r) / 8)
+    control = lambda kind, unused, ahead: F.concat(number_bytes((F.lit(kind) * 16 + F.shiftright(unused, 2)), 1), number_bytes(F.pmod(unused, F.lit(4)) * 64, 1), F.unhex(F.lit("00000000")), number_bytes(ahead, 2))
+    first = control(0, F.lit(0), F.coalesce(words(F.get(records, F.lit(0))), F.lit(0)))
+    pad = lambda r: F.unhex(F.repeat(F.lit("00"), F.pmod(-F.length(r), F.lit(8)).cast("int")))
+    body = F.transform(records, lambda r, i: F.concat(r, pad(r), control(8, F.pmod(-F.length(r), F.lit(8)) * 8, F.coalesce(words(F.get(records, i + 1)), F.lit(0)))))
+    return F.concat(first, joined(body), control(14, F.lit(0), F.lit(0)), control(15, F.lit(0), F.lit(0)))
+
+
+def bits(*fields: tuple[int, int, Column], length: int) -> Column:
+    """Bytes of `length` bits with whole numbers in their places (first bit, width); negative ones in two's complement."""
+    parts, at = [], 0
+    for first, width, value in sorted(fields, key=lambda f: f[0]):
+        digits = F.right(F.lpad(F.bin(F.coalesce(value, F.lit(0)).cast("long")), 64, "0"), F.lit(width))
+        parts += [F.lit("0" * (first - at)), digits]
+        at = first + width
+    text = F.concat(*parts, F.lit("0" * (length - at)))
+    return F.unhex(F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[01]{8}"), 0), lambda c: F.lpad(F.conv(c, 2, 16), 2, "0")), ""))
+
+
 def f77_file(df: DataFrame, record: str, *order: str) -> DataFrame:
     """Adds framed: the record between two big-endian lengths; rows in order, joined, make a sequential file."""
-    size = F.unhex(F.lpad(F.hex(F.length(record)), 8, "0"))
-    return df.withColumn("framed", F.concat(size, F.col(record), size)).orderBy(*order)
+    return df.withColumn("framed", f77_frame(F.col(record))).orderBy(*order)
 
 
 def netcdf_bytes(dims: dict[str, int], variables: list[tuple[str, list[str], np.ndarray, dict[str, str]]], attributes: dict[str, str] | None = None) -> bytes:

@@ -1,7 +1,7 @@
 """Readers of fixed-width observation records, by Spark's text source and column expressions.
 
 Each returns a DataFrame, so that lines are split, filtered and pruned by the engine. Codes for missing
-values become null.
+values become null. In place of a path a DataFrame may be given that has the lines (or whole files) in `value`.
 """
 
 from __future__ import annotations
@@ -38,10 +38,14 @@ def _east(longitude: Column) -> Column:
     return F.when(longitude > 180, longitude - 360).otherwise(longitude)
 
 
-def tcvitals(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | DataFrame, whole: bool = False) -> DataFrame:
+    return path.select(LINE) if isinstance(path, DataFrame) else spark.read.text(path, wholetext=whole)
+
+
+def tcvitals(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """storm_number, basin, name, ts, lat, lon, min_pres, max_wind."""
     clock = _int(28, 4)
-    return spark.read.text(path).filter(F.length(LINE) >= 69).select(
+    return _lines(spark, path).filter(F.length(LINE) >= 69).select(
         _int(5, 2).alias("storm_number"), _text(7, 1).alias("basin"), F.trim(_text(9, 9)).alias("name"),
         _time(_int(19, 4), _int(23, 2), _int(25, 2), F.floor(clock / 100).cast("int"), clock % 100).alias("ts"),
         (_real(33, 3, 10) * F.when(_text(36, 1) == "S", -1).otherwise(1)).alias("lat"), (_real(38, 4, 10) * F.when(_text(42, 1) == "W", -1).otherwise(1)).alias("lon"),
@@ -53,13 +57,13 @@ def tcvitals(spark: SparkSession, path: str) -> DataFrame:
 STATES = {"*": "tropical", "X": "tropical", "E": "extratropical", "G": "extratropical_gale", "L": "remnant_low", "P": "post_tropical", "S": "subtropical", "W": "open_wave"}
 
 
-def hurdat(spark: SparkSession, path: str) -> DataFrame:
+def hurdat(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """storm, name, type, ts, state, lat, lon, max_wind, min_pres: a row a fix of six hours.
 
     A storm is a header, lines of a day with four fixes, and a trailer. A month before that of the line
     above begins the next year.
     """
-    storms = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.col(LINE), r"(?m)(?=^.{6}\d\d/\d\d/\d{4} M)")).alias("n", "storm")).filter(F.length(F.trim("storm")) > 0)
+    storms = _lines(spark, path, True).select(F.posexplode(F.split(F.col(LINE), r"(?m)(?=^.{6}\d\d/\d\d/\d{4} M)")).alias("n", "storm")).filter(F.length(F.trim("storm")) > 0)
     lines = storms.withColumn("lines", F.filter(F.split("storm", r"\r?\n"), lambda x: F.trim(x) != ""))
     head = F.element_at("lines", 1)
     name = F.trim(_text(35, 11, head))
@@ -85,11 +89,11 @@ def hurdat(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def isd(spark: SparkSession, path: str) -> DataFrame:
+def isd(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Mandatory section of surface records; `sections` holds the text from column 105 on."""
     flagged = lambda value, missing, at, scale: F.struct(_known(value, missing).try_cast("double").__truediv__(scale).alias("value"), _text(at, 1).alias("flag"))
     clock = _int(23, 4)
-    return spark.read.text(path).filter(F.length(LINE) >= 105).select(
+    return _lines(spark, path).filter(F.length(LINE) >= 105).select(
         F.concat_ws("-", _text(4, 6), _text(10, 5), _text(51, 5)).alias("id"), _time(_int(15, 4), _int(19, 2), _int(21, 2), F.floor(clock / 100).cast("int"), clock % 100).alias("ts"),
         (_known(_int(28, 6), 99999) / 1000).alias("lat"), (_known(_int(34, 7), 999999) / 1000).alias("lon"), _text(41, 5).alias("report_type"), _known(_int(46, 5), 9999).alias("elev"), _text(56, 4).alias("qc"),
         flagged(_int(60, 3), 999, 63, 1).alias("dd"), flagged(_int(65, 4), 9999, 69, 10).alias("ff"), _known(_int(70, 5), 99999).alias("ceiling"), _known(_int(78, 6), 999999).alias("visibility"),
@@ -97,11 +101,11 @@ def isd(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def td32(spark: SparkSession, path: str) -> DataFrame:
+def td32(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """type, id, element, unit, ts, value, flags: a row a value of element records."""
     kind, n = _text(4, 3), _int(31, 3)
     values = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(LINE, F.lit(35) + k * 12, F.lit(12)))
-    rows = spark.read.text(path).filter((F.length(LINE) >= 34) & (n > 0)).select("value", kind.alias("type"), F.explode(values).alias("v"))
+    rows = _lines(spark, path).filter((F.length(LINE) >= 34) & (n > 0)).select("value", kind.alias("type"), F.explode(values).alias("v"))
     v, daily = F.col("v"), F.col("type") == "DLY"
     monthly = F.col("type") == "MLY"
     day = F.when(daily, _int(0, 2, v)).when(monthly, 1).when(F.col("type") == "HLY", _int(29, 2)).otherwise(_int(27, 4))
@@ -114,10 +118,10 @@ def td32(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def station_history(spark: SparkSession, path: str) -> DataFrame:
+def station_history(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """id, start, end, lat, lon, elev of stations, for history_join."""
     at = lambda k: _time(_int(k, 4), _int(k + 4, 2), _int(k + 6, 2), _int(k + 8, 2))
-    return spark.read.text(path).filter(F.length(LINE) >= 50).select(_text(0, 6).alias("id"), at(16).alias("start"), at(27).alias("end"), _real(37, 6).alias("lat"), _east(_real(44, 6)).alias("lon"), _int(50, 8).alias("elev"))
+    return _lines(spark, path).filter(F.length(LINE) >= 50).select(_text(0, 6).alias("id"), at(16).alias("start"), at(27).alias("end"), _real(37, 6).alias("lat"), _east(_real(44, 6)).alias("lon"), _int(50, 8).alias("elev"))
 
 
 def _degrees(at: int, digits: int, minutes: int, scale: float, side: int, negative: str) -> Column:
@@ -125,42 +129,42 @@ def _degrees(at: int, digits: int, minutes: int, scale: float, side: int, negati
     return F.round(value, 3) * F.when(_text(side, 1) == negative, -1).otherwise(1)
 
 
-def bathythermographs(spark: SparkSession, path: str) -> DataFrame:
+def bathythermographs(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """type, id, ts, lat, lon, levels (depth, t)."""
     year = _int(18, 2)
     levels = F.transform(F.sequence(F.lit(1), _int(95, 4)), lambda k: F.struct(F.trim(F.substring(LINE, k * 8 + 93, F.lit(4))).try_cast("int").alias("depth"), (F.trim(F.substring(LINE, k * 8 + 97, F.lit(4))).try_cast("double") / 100).alias("t")))
     clock = _int(24, 4)
-    return spark.read.text(path).filter(F.length(LINE) >= 99).select(
+    return _lines(spark, path).filter(F.length(LINE) >= 99).select(
         _text(0, 2).alias("type"), F.concat(_text(44, 2), _text(48, 2)).alias("id"), _time(F.when(year < 30, 2000 + year).otherwise(1900 + year), _int(20, 2), _int(22, 2), F.floor(clock / 100).cast("int"), clock % 100).alias("ts"),
         _degrees(3, 2, 3, 600, 8, "S").alias("lat"), _degrees(10, 3, 3, 600, 16, "W").alias("lon"), F.when(_int(95, 4) > 0, levels).otherwise(F.array().cast("array<struct<depth:int,t:double>>")).alias("levels"),
     )
 
 
-def sea_level(spark: SparkSession, path: str) -> DataFrame:
+def sea_level(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """id, format, ts, lat, lon, height; daily values stand at 23 h, monthly ones on the last day."""
     kind, year, month = _text(19, 1), _int(20, 4), _int(24, 2)
     last = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
-    return spark.read.text(path).filter(F.length(LINE) >= 39).select(
+    return _lines(spark, path).filter(F.length(LINE) >= 39).select(
         _text(0, 8).alias("id"), F.concat(F.lit("F18"), kind).alias("format"),
         _time(year, month, F.when(kind == "6", last).otherwise(_int(26, 2)), F.when(kind == "4", _int(28, 2)).when(kind == "5", 23).otherwise(0)).alias("ts"),
         _degrees(8, 2, 2, 60, 12, "S").alias("lat"), _degrees(13, 3, 2, 60, 18, "W").alias("lon"), (_int(30, 4) / 10).alias("utc_offset"), _int(34, 5).alias("height"),
     )
 
 
-def marine(spark: SparkSession, path: str) -> DataFrame:
+def marine(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """id, id_type, ts, lat, lon, version and attachments (id, text) of marine reports."""
     minute = F.round(_int(10, 2) * 0.6).cast("int")
     lon = _real(17, 6, 100)
-    return spark.read.text(path).filter(F.length(LINE) >= 43).select(
+    return _lines(spark, path).filter(F.length(LINE) >= 43).select(
         F.trim(_text(34, 9)).alias("id"), _int(32, 2).alias("id_type"), _time(_int(0, 4), _int(4, 2), _int(6, 2), _int(8, 2), minute).alias("ts"), F.trim(_text(8, 4)).eqNullSafe("").alias("no_hour"),
         _real(12, 5, 100).alias("lat"), F.when((lon >= 180) & (lon < 360), lon - 360).otherwise(lon).alias("lon"), _int(23, 2).alias("version"), F.substring(LINE, 109, 1 << 20).alias("attachments"),
     )
 
 
-def little_r(spark: SparkSession, path: str) -> DataFrame:
+def little_r(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """id, ts, lat, lon, platform, sounding, levels: a header, rows of values with flags, an end row and a last line."""
     fields = ("pressure", "height", "temperature", "dew_point", "speed", "direction", "u", "v", "rh", "thickness")
-    reports = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.col(LINE), r"(?m)(?<=\n)(?=.{326}\d{14})")).alias("value"))
+    reports = _lines(spark, path, True).select(F.explode(F.split(F.col(LINE), r"(?m)(?<=\n)(?=.{326}\d{14})")).alias("value"))
     lines = reports.select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
     cell = lambda row, k: F.trim(F.substring(row, 20 * k + 1, 13)).try_cast("double")
     known = lambda x: F.when(x > -888887, x)
@@ -173,9 +177,9 @@ def little_r(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def uadb(spark: SparkSession, path: str) -> DataFrame:
+def uadb(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """id, id_type, ts, lat, lon, elev, obs_type, levels (lines) of soundings with a header line."""
-    soundings = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.col(LINE), r"(?m)(?<=\n)(?=H)")).alias("value"))
+    soundings = _lines(spark, path, True).select(F.explode(F.split(F.col(LINE), r"(?m)(?<=\n)(?=H)")).alias("value"))
     lines = soundings.select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines")).filter(F.size("lines") > 0)
     head = F.element_at("lines", 1)
     place = lambda at: F.concat(F.trim(_text(at, 5, head)), F.lit("."), F.lpad(F.trim(_text(at + 6, 4, head)), 4, "0")).try_cast("double")
@@ -186,31 +190,31 @@ def uadb(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def station_pairs(spark: SparkSession, path: str) -> DataFrame:
+def station_pairs(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """wmo, wban, start, end of the numbers that a station had; an end of 0 is open. For history_join by either number."""
 
     def day(at: int) -> Column:
         year = _int(at, 2)
         return _time(F.when(year < 30, 2000 + year).otherwise(1900 + year), _int(at + 2, 2), _int(at + 4, 2))
 
-    rows = spark.read.text(path).filter(F.length(LINE) >= 30)
+    rows = _lines(spark, path).filter(F.length(LINE) >= 30)
     return rows.select(_int(1, 5).alias("wmo"), _int(7, 5).alias("wban"), F.coalesce(day(15), F.lit("1800-01-01").cast("timestamp_ntz")).alias("start"), F.coalesce(day(24), F.lit("2999-12-31").cast("timestamp_ntz")).alias("end"))
 
 
-def compare_records(spark: SparkSession, path: str) -> DataFrame:
+def compare_records(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """src, stn, ts, lat, lon, elev, levels (pres, hgt, temp, dd, ff) of records to be compared."""
     n = F.floor((F.length(LINE) - 43) / 26).cast("int")
     cell = lambda k, at, width, scale=1.0: F.trim(F.substring(LINE, F.lit(44 + at) + k * 26, F.lit(width))).try_cast("double") / scale
     levels = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(cell(k, 0, 5).alias("pres"), cell(k, 5, 6).alias("hgt"), cell(k, 11, 5, 10).alias("temp"), cell(k, 16, 5).alias("dd"), cell(k, 21, 5, 10).alias("ff")))
-    return spark.read.text(path).filter(F.length(LINE) >= 43).select(
+    return _lines(spark, path).filter(F.length(LINE) >= 43).select(
         _text(1, 2).alias("src"), _int(4, 6).alias("stn"), _time(_int(12, 2) + 1900, _int(14, 2), _int(16, 2), _int(18, 2)).alias("ts"), (_real(25, 6)).alias("lat"), _real(31, 7).alias("lon"), _int(38, 5).alias("elev"),
         F.when(n > 0, levels).alias("levels"),
     )
 
 
-def tdl_hourly(spark: SparkSession, path: str) -> DataFrame:
+def tdl_hourly(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """ts, id, stn_type, lat, lon of hourly surface reports in the layouts of 107 and 150 characters; other lines are dropped."""
-    lines = spark.read.text(path).withColumn("long", F.length(LINE) == 150).filter((F.length(LINE) == 107) | F.col("long"))
+    lines = _lines(spark, path).withColumn("long", F.length(LINE) == 150).filter((F.length(LINE) == 107) | F.col("long"))
     pick = lambda long, short: F.when(F.col("long"), long).otherwise(short)
     return lines.select(
         pick(_time(_int(0, 4), _int(4, 2), _int(6, 2), _int(8, 2)), _time(1900 + _int(0, 2), _int(2, 2), _int(4, 2), _int(6, 2))).alias("ts"), pick(_text(10, 4), _text(8, 4)).alias("id"),
@@ -229,7 +233,7 @@ MONTHLY = {
 }
 
 
-def climate_summaries(spark: SparkSession, path: str) -> DataFrame:
+def climate_summaries(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """layout (daily, monthly, old_daily), id, library_id, year, month, day, lat, lon, elev, data (a map of the numbers that are there).
 
     Later layouts name a station whose place is found by history_join with library_id; the old daily one
@@ -245,7 +249,7 @@ def climate_summaries(spark: SparkSession, path: str) -> DataFrame:
     number = F.col("number")
     station = F.when(number.startswith("99"), F.replace(number, F.lit("99"), F.lit(""))).otherwise(number)
     west = _real(23, 6, 100)
-    rows = spark.read.text(path).withColumn("layout", layout).filter("layout IS NOT NULL").withColumn("number", pick(_text(9, 5), _text(7, 5), old_id))
+    rows = _lines(spark, path).withColumn("layout", layout).filter("layout IS NOT NULL").withColumn("number", pick(_text(9, 5), _text(7, 5), old_id))
     return rows.select(
         "layout", pick(station, station, number).alias("id"), F.when(F.col("layout") != "old_daily", F.when(number.startswith("99"), F.concat(F.lit("K"), station, F.lit("  "))).otherwise(F.concat(number, F.lit("0")))).alias("library_id"),
         pick(_int(1, 4), _int(1, 4), 1900 + _int(0, 2)).alias("year"), pick(_int(5, 2), _int(5, 2), _int(2, 2)).alias("month"), pick(_int(7, 2), F.lit(None), _int(4, 2)).alias("day"),
@@ -254,14 +258,14 @@ def climate_summaries(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def aircraft_reports(spark: SparkSession, path: str) -> DataFrame:
+def aircraft_reports(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """id, ts, lat, lon, altitude, wind_dir, wind_speed, temp, moisture (which kind is given) of aircraft reports with an octant of the globe."""
     octant = _text(22, 1)
     known = ~octant.isin(" ", "*")
     lat, lon = _real(23, 3), _int(26, 3)
     far = F.when((lon <= 800) & octant.isin("1", "2", "6", "7"), lon + 1000).otherwise(lon) / 10
     field = lambda at: ~F.trim(_text(at, 2)).isin("", "*")
-    return spark.read.text(path).filter(F.length(LINE) >= 100).select(
+    return _lines(spark, path).filter(F.length(LINE) >= 100).select(
         _text(4, 4).alias("id"), _time(1900 + _int(12, 2), _int(14, 2), _int(16, 2), _int(18, 2), _int(20, 2)).alias("ts"),
         F.when(known, F.when(octant.between("5", "8"), -lat).otherwise(lat) / 10).alias("lat"), F.when(known, F.when(octant.isin("0", "1", "5", "6"), -far).otherwise(far)).alias("lon"),
         (_int(29, 3) * 100).alias("altitude"), (_int(41, 2) * 10).alias("wind_dir"), _int(43, 3).alias("wind_speed"), F.when(field(98), _overpunched(_text(98, 2))).alias("temp"),
