@@ -121,6 +121,83 @@ def grib_product(ref: Column, unit: Column, time_range: Column, p1: Column, p2:
     return F.struct(product.alias("product"), forecast.alias("forecast"), valid.alias("valid"))
 
 
+#: What is sampled by a time range of a centre (null: any) and its subcentre, in edition 1 messages:
+#: measure, what each sample is (Analysis, Forecast, Average, Accumulation), how samples are spaced. Spacings:
+#: points are P2 apart; successive spans follow each other, "by day" ones are counted by P2 in a day; daily spans begin 24 hours apart, and
+#: six-hourly ones 6 hours.
+SAMPLED = (
+    (113, None, None, "Mean", "Forecast", "points"), (118, None, None, "Variance/Covariance", "Forecast", "points"), (132, 34, 241, "Variance/Covariance", "Forecast", "points"), (123, None, None, "Mean", "Analysis", "points"),
+    (120, None, None, "Mean", "Accumulation", "successive"), (129, 7, None, "Mean", "Accumulation", "successive by day"), (130, 34, 241, "Mean", "Average", "successive by day"), (131, 7, None, "Mean", "Average", "successive by day"),
+    (131, 34, 241, "Variance/Covariance", "Average", "successive by day"), (128, 7, None, "Mean", "Accumulation", "daily"), (128, 60, None, "Mean", "Accumulation", "daily"), (128, 34, 241, "Mean", "Average", "daily apart"),
+    (130, 7, None, "Mean", "Average", "daily apart"), (129, 34, 241, "Variance/Covariance", "Average", "daily variance"), (137, 7, None, "Mean", "Accumulation", "six-hourly"), (137, 60, None, "Mean", "Accumulation", "six-hourly"),
+    (138, 7, None, "Mean", "Average", "six-hourly apart"), (138, 60, None, "Mean", "Average", "six-hourly apart"),
+)
+
+
+def sampled_product(first: Column, time_range: Column, center: Column, subcenter: Column, unit: Column, p1: Column, p2: Column, n: Column) -> Column:
+    """struct(product, last) of means and variances of n samples from `first` on, in hours, 6 hours or days; null for what is not defined.
+
+    A product that fills a month is named a monthly one with its samples a day. Also climatologies of n years (51), averages that
+    look back (7, centre 7) and the monthly means of one centre (130 and 133, centre 98).
+    """
+    text = lambda c: c.cast("string")
+    fold = F.when(unit == 11, 6).otherwise(1)
+    p1, p2 = p1 * fold, p2 * fold
+    hourly, daily = unit.isin(1, 11), unit == 2
+    u, hours = F.when(daily, "day").otherwise("hour"), F.when(daily, 24).otherwise(1)
+    later = lambda ts, h: F.timestamp_add("HOUR", h.cast("int"), ts)
+    days = F.dayofmonth(F.last_day(first))
+    span = p2 - p1
+    a_day = lambda step: F.when(daily, 1).when(step > 0, F.floor(F.lit(24) / step))
+    nearly_month = lambda per: (per > 0) & (days - F.floor(n / per)).between(0, 2)
+    every = lambda measure, step, what: F.concat(F.lit(f"{measure} of "), text(n), F.lit(f" {what} at "), text(step), F.lit("-"), u, F.lit(" intervals"))
+    monthly = lambda measure, per: F.concat(F.lit(f"Monthly {measure} ("), text(per), F.lit(" per day) of "))
+    extent = lambda what: F.concat(text(span), F.lit("-"), u, F.lit(f" {what} (initial+"), text(p1), F.lit(" to initial+"), text(p2), F.lit(")"))
+    product, last = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    for code, where, sub, measure, what, spacing in SAMPLED:
+        forecasts = F.concat(text(p1), F.lit("-"), u, F.lit(" Forecasts"))
+        if spacing == "points":
+            per = a_day(p2)
+            of = F.lit("Analyses") if what == "Analysis" else F.when(p1 == 0, "Analyses").otherwise(forecasts)
+            rest = every(measure, p2, "Analyses") if what == "Analysis" else F.concat(F.lit(f"{measure} of "), text(n), F.lit(" "), forecasts, F.lit(" at "), text(p2), F.lit("-"), u, F.lit(" intervals"))
+            name, end, known = F.when(nearly_month(per), F.concat(monthly(measure, per), of)).otherwise(rest), (n - 1) * p2 * hours, hourly | daily
+        elif spacing.startswith("successive"):
+            per = a_day(p2 if spacing.endswith("day") else span)
+            lead = F.when(nearly_month(per), F.concat(monthly(measure, per), F.lit("Forecasts of "))).otherwise(F.concat(every(measure, span, "Forecasts"), F.lit(" of ")))
+            name, end, known = F.concat(lead, extent(what)), n * span * hours, hourly if what == "Accumulation" and code == 120 or measure != "Mean" else hourly | daily
+        elif spacing == "daily variance":
+            lead = F.when(nearly_month(F.lit(1)), F.lit(f"Monthly {measure} (1 per day) of Forecasts of ")).otherwise(F.concat(F.lit(f"{measure} of "), text(n), F.lit(" Forecasts at 24-hour intervals of ")))
+            name, end, known = F.concat(lead, extent(what)), (n - 1) * 24 + p2, hourly
+        else:
+            step = span if spacing.endswith("apart") else p2
+            lead = F.when(n == days, F.lit("Monthly Mean (1 per day) of ")).otherwise(F.concat(every(measure, step, "Forecasts"), F.lit(" of ")))
+            if spacing.startswith("daily"):
+                end, known = (n - 1) * 24 + span * hours, hourly | daily
+            else:
+                four = F.floor(n / 4) == days
+                lead = F.when(four, F.lit("Monthly Mean (4 per day) of ")).otherwise(lead)
+                end, known = ((n - 1) * 6 if spacing == "six-hourly" else F.when(four, (n - 1) * 6).when(n == days, (n - 1) * 24).otherwise(0)) + span, hourly
+            name = F.concat(lead, extent(what))
+        here = (time_range == code) & known & (F.lit(True) if where is None else center == where) & (F.lit(True) if sub is None else subcenter == sub)
+        product, last = F.when(here, name).otherwise(product), F.when(here, later(first, end)).otherwise(last)
+    years = F.timestamp_add("YEAR", (n - 1).cast("int"), first)
+    climate = (time_range == 51) & ((hourly & (p2 == 24)) | (unit == 3))
+    kind = F.when(hourly, "Daily Means").otherwise("Monthly Means")
+    product = F.when(climate, F.concat(text(n), F.lit("-year Climatology of "), kind)).otherwise(product)
+    last = F.when(climate, F.when(hourly, F.timestamp_add("DAY", F.lit(1), years)).otherwise(F.timestamp_add("MONTH", F.lit(1), years))).otherwise(last)
+    back = (time_range == 7) & (center == 7) & daily & (p2 == 0)
+    length, begins = p1 + 1, F.timestamp_add("DAY", (-p1).cast("int"), first)
+    looked = F.when(F.dayofmonth(F.last_day(begins)) == length, "Monthly Mean").when(length == 5, "Pentad Mean").when(length == 7, "Weekly Mean").otherwise(F.concat(text(length), F.lit("-day Average")))
+    product, last = F.when(back, looked).otherwise(product), F.when(back, first).otherwise(last)
+    for code, a_day_, step in ((130, F.lit(24), F.lit(1)), (133, F.when(F.pmod(p1, F.lit(24)) > 0, F.floor(F.lit(24) / F.pmod(p1, F.lit(24)))), None)):
+        step = step if step is not None else F.floor(F.lit(24) / a_day_)
+        ends = later(first, n * step)
+        whole = (time_range == code) & (center == 98) & (unit == 1) & (n == F.dayofmonth(F.last_day(ends)) * a_day_)
+        of = F.lit("Forecasts of 1-hour Accumulation") if code == 130 else F.concat(text(step), F.lit("-hour Forecasts"))
+        product, last = F.when(whole, F.concat(monthly("Mean", a_day_), of)).otherwise(product), F.when(whole, ends).otherwise(last)
+    return F.struct(product.alias("product"), last.alias("last"))
+
+
 def formatted(ts: Column, pattern: str, utc_offset: int = 0) -> Column:
     """ts by a format with % codes; utc_offset is hhmm, and 2400 or -2400 stand for local times.
 

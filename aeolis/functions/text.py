@@ -263,3 +263,9 @@ def elements(xml: Column, path: str) -> Column:
 def attributes(xml: Column, path: str, name: str) -> Column:
     """Values of an attribute of the elements at a path."""
     return F.xpath(xml, _xpath(path, f"/@{name}"))
+
+
+def end_around_sum(words: Column, width: int) -> Column:
+    """The sum of an array of whole numbers of `width` bits whose carry is added at the lower end."""
+    top = 1 << width
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: F.when(a + x >= top, a + x - (top - 1)).otherwise(a + x))

@@ -101,6 +101,33 @@ def isd(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     )
 
 
+#: Sections behind the mandatory one, by the letters before their number: length, and the fields as (name, start, length, missing).
+SECTIONS = {
+    "AA": (8, (("hours", 0, 2, None), ("depth", 2, 4, "9999"), ("condition", 6, 1, None), ("quality", 7, 1, None))),
+    "AJ": (14, (("depth", 0, 4, "9999"), ("condition", 4, 1, None), ("quality", 5, 1, None), ("water", 6, 6, "999999"))),
+    "AL": (7, (("hours", 0, 2, None), ("depth", 2, 3, "999"), ("condition", 5, 1, None), ("quality", 6, 1, None))),
+    "AW": (3, (("weather", 0, 2, None), ("quality", 2, 1, None))),
+    "AY": (5, (("weather", 0, 1, None), ("quality", 1, 1, None), ("hours", 2, 2, None))),
+    "GF": (23, (("cover", 0, 2, "99"), ("opaque", 2, 2, "99"), ("low", 5, 2, "99"), ("base", 11, 5, "99999"))),
+}
+
+
+def report_sections(reports: DataFrame, *keys: str) -> DataFrame:
+    """keys, section (such as AA1) and its fields as a map, null where missing: a row a section of the text in `sections`.
+
+    Sections of kinds that SECTIONS does not have are passed over, and what follows remarks is not read.
+    """
+    body = F.regexp_replace(F.regexp_extract("sections", r"(?s)^(?:ADD)?(.*?)(?:REM.*|EQD.*)?$", 1), r"\s+$", "")
+    pattern = "|".join(f"{k}[0-9].{{{n}}}" for k, (n, _) in SECTIONS.items())
+    found = reports.select(*keys, F.explode(F.regexp_extract_all(body, F.lit(f"({pattern})"), 1)).alias("s"))
+    text = F.substring("s", 4, 64)
+    cell = lambda at, n, missing: F.nullif(F.substring(text, at + 1, n), F.lit(missing)) if missing else F.substring(text, at + 1, n)
+    fields = F.lit(None)
+    for k, (_, parts) in SECTIONS.items():
+        fields = F.when(F.substring("s", 1, 2) == k, F.map_from_entries(F.array(*(F.struct(F.lit(name), cell(at, n, missing)) for name, at, n, missing in parts)))).otherwise(fields)
+    return found.select(*keys, F.substring("s", 1, 3).alias("section"), fields.alias("fields"))
+
+
 def td32(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """type, id, element, unit, ts, value, flags: a row a value of element records."""
     kind, n = _text(4, 3), _int(31, 3)
@@ -273,6 +300,16 @@ def aircraft_reports(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     )
 
 
+def overpunch(number: Column, width: int) -> Column:
+    """A number of so many digits whose last also carries the sign."""
+    digits, last = F.lpad(F.abs(number).cast("string"), width, "0"), F.pmod(F.abs(number), F.lit(10)).cast("int") + 1
+    return F.concat(F.substring(digits, 1, width - 1), F.when(number < 0, F.substring(F.lit("}JKLMNOPQR"), last, F.lit(1))).otherwise(F.substring(F.lit("{ABCDEFGHI"), last, F.lit(1))))
+
+
+def overpunched_number(field: Column) -> Column:
+    return _overpunched(field)
+
+
 def _overpunched(field: Column) -> Column:
     """A number whose last character also carries the sign."""
     last = F.right(field, F.lit(1))
