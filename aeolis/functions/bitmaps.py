@@ -15,19 +15,22 @@ def _bits(n: Column, bit: str) -> Column:
 
 def encode(values: Column) -> Column:
     """Of an array of numbers in any order; repeats count once; null for an empty array."""
-    v = F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull())))
-    start = F.struct(F.lit("").alias("out"), F.element_at(v, 1).cast("long").alias("last"), F.lit(1).cast("long").alias("run"))
-
-    def step(a: Column, x: Column) -> Column:
-        gap = x.cast("long") - a["last"] - 1
-        same = gap == 0
-        return F.struct(
-            F.when(same, a["out"]).otherwise(F.concat(a["out"], _bits(a["run"].cast("int"), "1"), _bits(gap.cast("int"), "0"))).alias("out"),
-            x.cast("long").alias("last"), F.when(same, a["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
-        )
-
-    text = F.aggregate(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), start, step, lambda a: F.concat(a["out"], _bits(a["run"].cast("int"), "1")))
-    return F.when(F.size(v) > 0, F.concat(F.element_at(v, 1).cast("string"), F.lit(":"), text))
+    # A value that a lambda binds is worked out once, whereas one written within a lambda is for every element.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def pieces(v: Column, starts: Column, ends: Column) -> Column:
+        """Joined once, so the work is in proportion to the numbers."""
+        gap = lambda s, i: F.when(i == 0, "").otherwise(_bits((s - F.get(ends, i - 1) - 1).cast("int"), "0"))
+        text = F.array_join(F.transform(starts, lambda s, i: F.concat(gap(s, i), _bits((F.get(ends, i) - s + 1).cast("int"), "1"))), "")
+        return F.when(F.size(v) > 0, F.concat(F.element_at(v, 1).cast("string"), F.lit(":"), text))
+
+    def runs(v: Column) -> Column:
+        """v with the first and last numbers of its runs."""
+        starts = F.filter(v, lambda x, i: (i == 0) | (x - F.get(v, i - 1) > 1))
+        ends = F.filter(v, lambda x, i: (i == F.size(v) - 1) | (F.get(v, i + 1) - x > 1))
+        return once(F.struct(starts.alias("s"), ends.alias("e")), lambda r: pieces(v, r["s"], r["e"]))
+
+    return once(F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull()))), runs)
 
 
 def decode(text: Column) -> Column:

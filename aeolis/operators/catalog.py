@@ -17,14 +17,28 @@ def resolution_order(definition: Column) -> list[Column]:
     return [degrees.isNull(), degrees, F.lower(definition)]
 
 
+#: Ranges of values that are numbered apart, and values drawn for their bounds.
+RANGES, DRAWN = 64, 2048
+
+
 def numbered(df: DataFrame, column: str, code: str) -> DataFrame:
-    """Adds the place, from 0, of a row's value among the distinct values in order.
+    """Adds the place, from 0, of a row's value among the distinct values in order, null first.
 
-    Only the distinct values meet in one task; they are codes, few beside the rows.
+    Distinct values are dealt into ranges by bounds from a sample with the smallest hashes, numbered within
+    each, and offset by the sizes of the ranges before.
     """
+    value = F.col("__value")
     values = df.select(F.col(column).alias("__value")).distinct()
-    codes = values.withColumn(code, F.row_number().over(Window.orderBy(F.col("__value").asc_nulls_first())) - 1)
-    return df.join(codes, F.col(column).eqNullSafe(F.col("__value")), "left").drop("__value")
+    drawn = sorted(r[0] for r in values.filter(value.isNotNull()).orderBy(F.xxhash64(value), value).limit(DRAWN).collect())
+    bounds = sorted({drawn[len(drawn) * i // RANGES] for i in range(1, RANGES)}) if drawn else []
+    at = sum((F.when(value >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    placed = values.withColumn("__range", F.when(value.isNull(), -1).otherwise(at))
+    # A row a range.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(value)) - 1
+    codes = placed.withColumn("__within", within).join(F.broadcast(sizes), "__range").select("__value", (F.col("__before") + F.col("__within")).cast("int").alias(code))
+    return df.join(codes, F.col(column).eqNullSafe(value), "left").drop("__value")
 
 
 def authors_text(authors: Column, most: int = 10) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of time, of about as many rows each, in which histories are searched.
 RANGES = 64
+#: Marks that are broadcast.
+MARKS = 10_000
 
 
 def _due_and_last(events: DataFrame, history: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:
@@ -71,12 +73,30 @@ def tolerance_join(left: DataFrame, right: DataFrame, key: str, ts: str, hours:
     return a.join(b, (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("hour") == F.col("r_hour")) & (month("l") == month("r"))).drop("hour", "r_hour")
 
 
-def nearest_below_above(points: DataFrame, marks: DataFrame, point: str, mark: str) -> DataFrame:
-    """points with `below` and `above`, the marks next to each; marks are a short list such as grid latitudes."""
-    sorted_marks = marks.agg(F.array_sort(F.collect_set(mark)).alias("marks"))
-    joined = points.join(F.broadcast(sorted_marks))
-    below, above = F.filter("marks", lambda m: m <= F.col(point)), F.filter("marks", lambda m: m >= F.col(point))
-    return joined.withColumn("below", F.try_element_at(below, F.lit(-1))).withColumn("above", F.try_element_at(above, F.lit(1))).drop("marks")
+def nearest_below_above(points: DataFrame, marks: DataFrame, point: str, mark: str, most: int = MARKS) -> DataFrame:
+    """points with `below` and `above`, the marks next to each (a mark at the point is both); null where there is none.
+
+    Up to `most` marks are broadcast as one sorted array. More of them are sorted together with the points, range by
+    range, with the outermost marks of the ranges around.
+    """
+    distinct = marks.select(F.col(mark).alias("mark")).filter("mark IS NOT NULL").distinct()
+    if distinct.limit(most + 1).count() <= most:
+        joined = points.join(F.broadcast(distinct.agg(F.array_sort(F.collect_list("mark")).alias("marks"))))
+        below, above = F.filter("marks", lambda m: m <= F.col(point)), F.filter("marks", lambda m: m >= F.col(point))
+        return joined.withColumn("below", F.try_element_at(below, F.lit(-1))).withColumn("above", F.try_element_at(above, F.lit(1))).drop("marks")
+    rows = distinct.select(F.col("mark").alias("at"), "mark", F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("row"))
+    rows = rows.unionByName(points.select(F.col(point).alias("at"), F.lit(None).cast(distinct.schema["mark"].dataType).alias("mark"), F.struct("*").alias("row")))
+    cuts = rows.agg(F.percentile_approx("at", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))).alias("cuts"))
+    placed = rows.join(F.broadcast(cuts)).withColumn("range", F.coalesce(F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c < F.col("at"))), F.lit(0))).drop("cuts")
+    # A row a range: the last mark before it and the first behind it.
+    ends = placed.groupBy("range").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    order = Window.orderBy("range")
+    ends = ends.select("range", F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("under"), F.min("low").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("over"))
+    near = Window.partitionBy("range").orderBy("at")
+    found = placed.withColumns({"below": F.max("mark").over(near.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "above": F.min("mark").over(near.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    known = F.col("at").isNotNull()
+    found = found.filter("row IS NOT NULL").join(F.broadcast(ends), "range")
+    return found.select("row.*", F.when(known, F.coalesce("below", "under")).alias("below"), F.when(known, F.coalesce("above", "over")).alias("above"))
 
 
 def interval_join(events: DataFrame, history: DataFrame, key: str, ts: str, start: str, end: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,14 @@ from pyspark.sql import functions as F
 def upsert(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """table with rows put in, one row a key: rows win over the table, of several the greatest by their columns.
 
-    One grouped aggregation in place of an outer join, with partial aggregates before the shuffle.
+    Only rows are aggregated; the table is read past their keys, so with few rows nothing of it is exchanged.
+    Null keys equal each other. Columns of rows must have an order, so none may be a map.
     """
     rest = [c for c in table.columns if c not in keys]
-    tagged = table.withColumn("newer", F.lit(0)).unionByName(rows.select(*table.columns).withColumn("newer", F.lit(1)))
-    last = tagged.groupBy(*keys).agg(F.max(F.struct("newer", *rest)).alias("last"))
-    return last.select(*(F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in table.columns))
+    last = rows.select(*table.columns).groupBy(*keys).agg(F.max(F.struct(*rest)).alias("last"))
+    last = last.select(*(F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in table.columns))
+    same = functools.reduce(lambda a, b: a & b, (F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
+    return table.alias("t").join(last.select(*keys).alias("r"), same, "left_anti").select(*table.columns).unionByName(last)
 
 
 def insert_new(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:

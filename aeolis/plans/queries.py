@@ -365,10 +365,7 @@ CLEAN_SQL = r"nullif(regexp_replace(regexp_replace(lower(trim(raw)), '<[^>]*>',
 @query(f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs, min(location)::INT AS first FROM (SELECT doc_id, location, {CLEAN_SQL} AS word FROM {WORDS_SQL}) WHERE word IS NOT NULL GROUP BY 1")
 def word_counts(spark, sf_dir):
     """How often and where the words of all texts come."""
-    index = search.word_index(read(spark, sf_dir, "documents"), "doc_id", "text")
-    # A document's words meet before the shuffle, so distinct documents are a plain count.
-    by_doc = index.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("location").alias("first"))
-    return by_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min("first").alias("first"))
+    return search.word_totals(read(spark, sf_dir, "documents"), "text")
 
 
 @query(

@@ -120,3 +120,23 @@ def test_histories_of_hot_keys(spark, monkeypatch, ranges):
         assert sorted(((r["k"], r["who"], r["at"], r["entry"] and tuple(r["entry"])) for r in got.collect()), key=lambda r: r[0]) == want
         assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
         assert join(df, spans.limit(0), "who", "at", "s", "e").filter("entry IS NULL").count() == len(events) and join(df.limit(0), spans, "who", "at", "s", "e").count() == 0
+
+
+def test_marks_beyond_the_broadcast(spark):
+    """Marks sorted together with the points give what the broadcast gives."""
+    from aeolis.operators import joins
+
+    points = spark.createDataFrame([(i, None if i % 50 == 7 else float(i * 37 % 1000) / 4) for i in range(400)], "i long, x double")
+    marks = spark.createDataFrame([(float(m * m % 700) / 2 + 3,) for m in range(90)] + [(None,)], "m double")
+    rows = lambda most: sorted(map(tuple, joins.nearest_below_above(points, marks, "x", "m", most).select("i", "x", "below", "above").collect()))
+    assert rows(0) == rows(1000)
+
+
+def test_numbers_of_many_values(spark):
+    """Values of many ranges, with repeats and nulls."""
+    from aeolis.operators import catalog
+
+    values = [None, *(f"v{i * 7919 % 5000:05}" for i in range(5000))]
+    df = spark.createDataFrame([(v,) for v in values for _ in range(2)], "v string")
+    order = {v: i for i, v in enumerate(sorted(values, key=lambda v: (v is not None, v or "")))}
+    assert {(r["v"], r["c"]) for r in catalog.numbered(df, "v", "c").collect()} == set(order.items())
