@@ -185,7 +185,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     sp, size = shuffle_partitions(docs.sparkSession), text_bytes(docs)
     parts = max(sp, size // PART_BYTES)
-    rows, n = ordered(docs), max(8 * sp, size // RANGE_BYTES)
+    rows, n = ordered(docs), max(32 * sp, size // RANGE_BYTES)
     at = rows.select(F.col("at").cast("double").alias("at"))
     drawn = F.pmod(F.xxhash64("at"), F.lit(1 << 40)) < F.lit(int(min(1.0, SAMPLES * n / max(1, docs.count())) * (1 << 40)))
     sample = np.sort(at.filter(drawn).toPandas()["at"].to_numpy())
