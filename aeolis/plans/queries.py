@@ -60,14 +60,13 @@ def cells_sql(expression: str, source: str = FIELD_SQL) -> str:
 
 
 @query(
-    "SELECT event_type, hour(ts)::INT AS hour, " + ", ".join(f"nullif(count(*) FILTER (day(ts) = {d}), 0) AS d{d}" for d in range(1, 32))
-    + " FROM events WHERE ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY 1, 2"
+    "SELECT event_type, year(ts)::INT AS year, month(ts)::INT AS month, hour(ts)::INT AS hour, " + ", ".join(f"nullif(count(*) FILTER (day(ts) = {d}), 0) AS d{d}" for d in range(1, 32))
+    + " FROM events GROUP BY 1, 2, 3, 4"
 )
 def inventory_pivot(spark, sf_dir):
-    """Counts by event type and hour with a column for each day of a month."""
-    events = read(spark, sf_dir, "events").filter("ts >= timestamp_ntz'2024-01-01' AND ts < timestamp_ntz'2024-02-01'")
-    days = events.select("event_type", F.hour("ts").alias("hour"), F.concat(F.lit("d"), F.dayofmonth("ts")).alias("dom"))
-    return days.groupBy("event_type", "hour").pivot("dom", [f"d{d}" for d in range(1, 32)]).agg(F.count(F.lit(1)))
+    """Counts by event type, month and hour with a column for each day of the month."""
+    days = read(spark, sf_dir, "events").select("event_type", F.year("ts").alias("year"), F.month("ts").alias("month"), F.hour("ts").alias("hour"), F.concat(F.lit("d"), F.dayofmonth("ts")).alias("dom"))
+    return days.groupBy("event_type", "year", "month", "hour").pivot("dom", [f"d{d}" for d in range(1, 32)]).agg(F.count(F.lit(1)))
 
 
 # --- fields
@@ -187,13 +186,13 @@ def polygon(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, round(6.11 * pow(10.0, 7.5 * d / (237.7 + d)) / (6.11 * pow(10.0, 7.5 * t / (237.7 + t))) * 100, 4) AS rh, round(sqrt(t * t + d * d), 6) AS speed "
-    "FROM (SELECT event_id, event_id % 50 - 10.0::DOUBLE AS t, event_id % 50 - 10.0::DOUBLE - event_id % 7 AS d FROM events)"
+    "SELECT event_id, round(6.11 * pow(10.0, 7.5 * d / (237.7 + d)) / (6.11 * pow(10.0, 7.5 * t / (237.7 + t))) * 100, 4) AS rh, round(sqrt(t * t + d * d), 6) AS speed, "
+    "CASE WHEN t = 0 AND d = 0 THEN 0 WHEN t >= 0 AND d >= 0 THEN a + 180 WHEN t >= 0 THEN 360 - a WHEN d >= 0 THEN 180 - a ELSE a END::INT AS direction FROM (SELECT *, floor(degrees(acos(least(abs(d) / nullif(sqrt(t * t + d * d), 0), 1.0::DOUBLE))) + 0.5) AS a FROM (SELECT event_id, event_id % 50 - 10.0::DOUBLE AS t, event_id % 50 - 10.0::DOUBLE - event_id % 7 AS d FROM events))"
 )
 def humidity_wind(spark, sf_dir):
     t = F.col("event_id") % 50 - 10.0
     d = t - F.col("event_id") % 7
-    return read(spark, sf_dir, "events").select("event_id", F.round(met.relative_humidity(t, d), 4).alias("rh"), F.round(met.wind_speed(t, d), 6).alias("speed"))
+    return read(spark, sf_dir, "events").select("event_id", F.round(met.relative_humidity(t, d), 4).alias("rh"), F.round(met.wind_speed(t, d), 6).alias("speed"), met.wind_direction(t, d).alias("direction"))
 
 
 @query(
@@ -205,9 +204,17 @@ def standard_height(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.round(met.standard_height(p), 2).alias("height"))
 
 
-@query()
+_MIXING = "1.0::DOUBLE"
+for _ in range(12):
+    _MIXING = f"(r + (1006.3::DOUBLE + ({_MIXING} + r) / 2 * 1850) / 2462880 * (wet - dry))"
+
+
+@query(
+    "SELECT p_partkey, round(243.5::DOUBLE * x / (17.67::DOUBLE - x) * 9 / 5 + 32, 4) AS dew_point FROM (SELECT p_partkey, ln(m * hpa / (0.62197::DOUBLE + m) / 6.112::DOUBLE) AS x FROM "
+    f"(SELECT *, {_MIXING} AS m FROM (SELECT *, 0.62197::DOUBLE * s / (hpa - s) AS r FROM (SELECT *, 6.112::DOUBLE * exp(17.67::DOUBLE * wet / (243.5::DOUBLE + wet)) AS s FROM (SELECT p_partkey, (60.0::DOUBLE + p_partkey % 30 - 32) * 5 / 9 AS dry, (60.0::DOUBLE + p_partkey % 30 - p_partkey % 9 - 32) * 5 / 9 AS wet, 29.92::DOUBLE * 33.8637526::DOUBLE AS hpa FROM part)))))"
+)
 def dew_point(spark, sf_dir):
-    """Iterated mixing ratio; the tests compare with a loop."""
+    """Iterated mixing ratio, twelve rounds."""
     dry = F.lit(60.0) + F.col("p_partkey") % 30
     return read(spark, sf_dir, "part").select("p_partkey", F.round(met.dew_point(dry, dry - F.col("p_partkey") % 9, F.lit(29.92)), 4).alias("dew_point"))
 
@@ -392,9 +399,14 @@ def stems(spark, sf_dir):
     return w.select("word", text.stem(F.col("word")).alias("stem"))
 
 
-@query()
+_DIGITS = "translate(regexp_replace(substr(u, 2), '[AEIOUHWY]', '', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556')"
+for _ in "123456":
+    _DIGITS = f"regexp_replace({_DIGITS}, '{_}+', '{_}', 'g')"
+
+
+@query(f"SELECT n_name, CASE WHEN u = '' THEN '' ELSE concat(substr(u, 1, 1), rpad(d, greatest(length(d), 3)::INT, '0')) END AS sound FROM (SELECT *, {_DIGITS} AS d FROM (SELECT n_name, upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) AS u FROM nation))")
 def sounds(spark, sf_dir):
-    """Phonetic codes of names; the tests compare with a loop."""
+    """Phonetic codes of names."""
     return read(spark, sf_dir, "nation").select("n_name", text.phonetic(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("sound"))
 
 
