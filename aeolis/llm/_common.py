@@ -52,7 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not (context.master or "").startswith("local["):
+        if not folder and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="aeolis-checkpoints-"))
     return df.checkpoint()

@@ -49,6 +49,29 @@ def signature(found: np.ndarray) -> np.ndarray:
     return mix(low).astype(np.uint16)
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), class AS (
+  -- Equal sets are one class, named by its smallest doc_id.
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY all_shingles) AS rep FROM (SELECT doc_id, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS all_shingles FROM s GROUP BY 1)
+), r AS (SELECT s.* FROM s JOIN class USING (doc_id) WHERE doc_id = rep
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM r a JOIN r b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+), edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (SELECT DISTINCT rep AS a, rep AS b FROM class UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), top AS (SELECT a, min(b) AS top FROM reach GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(top, doc_id) AS component_id, coalesce(top, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN class USING (doc_id) LEFT JOIN top ON top.a = class.rep
+"""
+
+
 def _rows(docs: DataFrame, *more: str) -> DataFrame:
     """documents() with a name for each pair of doc_id and text, so texts that share a doc_id stay apart."""
     return documents(docs, *more).withColumn("name", F.xxhash64("doc_id", "text"))

@@ -35,6 +35,47 @@ CEILING, SHARE = 2, 0.05
 GROWTH, LEAST = 1.01, 1e-4
 
 
+def _oracle() -> str:
+    """SQL of op9, thresholds as well; bins are numbered by the same rule."""
+    quartiles = lambda name, source, *keys: f"""{name} AS (
+  SELECT {"".join(k + ", " for k in keys)}rate, max(total) AS total, min(e) FILTER (upto >= 0.25 * total) AS low, min(e) FILTER (upto >= 0.75 * total) AS high FROM (
+    SELECT *, sum(n) OVER (PARTITION BY {"".join(k + ", " for k in keys)}rate ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {"".join(k + ", " for k in keys)}rate) AS total,
+      CASE WHEN bin = 0 THEN 0 ELSE {LEAST} * pow({GROWTH}::DOUBLE, bin) END AS e FROM ({source}) WHERE n > 0) GROUP BY {"".join(k + ", " for k in keys)}rate
+)"""
+    merged = lambda *keys: f"SELECT {''.join(k + ', ' for k in keys)}rate, bin, sum(n) AS n FROM bins GROUP BY ALL"
+    rest = "SELECT lang, source, rate, bin, sum(n) AS n FROM (SELECT b.lang, l.source, b.rate, b.bin, b.n FROM large l JOIN bins b ON l.lang IS NOT DISTINCT FROM b.lang UNION ALL SELECT b.lang, b.source, b.rate, b.bin, -b.n FROM large l JOIN bins b ON l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source) GROUP BY ALL"
+    limit = lambda low, high: f"{high} + greatest(margin, {SPREAD} * ({high} - {low}))"
+    drawn = lambda t, own, other: f"({t} * {own} + {WEIGHT} * {other}) / ({t} + {WEIGHT})"
+    margins = "CASE rate " + " ".join(f"WHEN '{r}' THEN {m}::DOUBLE" for r, (_, m) in RATES.items()) + " END"
+    return rf"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), runs AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) > 1 AS twice FROM (SELECT doc_id, i, CASE WHEN i + 7 <= len(ws) THEN array_to_string(ws[i : i + 7], ' ') ELSE concat(chr(10), i) END AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w))
+), repeats AS (
+  SELECT doc_id, count(*) FILTER (covered) AS n_repeat_words FROM (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM runs) GROUP BY 1
+), c AS (
+  SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN repeats USING (doc_id)
+), rated AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"({sql})::DOUBLE AS {r}" for r, (sql, _) in RATES.items())} FROM c
+), bins AS (
+  SELECT lang, source, rate, CASE WHEN value <= {LEAST} THEN 0 ELSE ceil(ln(value / {LEAST}) / {math.log(GROWTH)!r}::DOUBLE) END::INT AS bin, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"'{r}'" for r in RATES)}]) AS rate, unnest([{", ".join(RATES)}]) AS value FROM rated WHERE NOT base_failed) GROUP BY ALL
+), {quartiles("own", "SELECT * FROM bins", "lang", "source")}, {quartiles("of_lang", merged("lang"), "lang")}, {quartiles("every", merged())}, large AS (
+  SELECT DISTINCT own.lang, own.source FROM own JOIN of_lang l ON own.lang IS NOT DISTINCT FROM l.lang AND own.rate = l.rate WHERE own.total >= {SHARE} * l.total
+), {quartiles("rest", rest, "lang", "source")}, marks AS (
+  SELECT lang, source, rate, least({limit("g_low", "g_high")}, {limit("r_low", "r_high")} + {CEILING} * margin) AS mark FROM (
+    SELECT own.lang, own.source, own.rate, {margins.replace("CASE rate", "CASE own.rate")} AS margin, coalesce(rest.low, l.low) AS r_low, coalesce(rest.high, l.high) AS r_high,
+      {drawn("own.total", "own.low", "(" + drawn("l.total", "l.low", "every.low") + ")")} AS g_low, {drawn("own.total", "own.high", "(" + drawn("l.total", "l.high", "every.high") + ")")} AS g_high
+    FROM own JOIN of_lang l ON own.lang IS NOT DISTINCT FROM l.lang AND own.rate = l.rate JOIN every ON every.rate = own.rate LEFT JOIN rest ON own.lang IS NOT DISTINCT FROM rest.lang AND own.source IS NOT DISTINCT FROM rest.source AND own.rate = rest.rate)
+), limits AS (
+  SELECT lang, source, {", ".join(f"max(mark) FILTER (rate = '{r}') AS max_{r}" for r in RATES)} FROM marks GROUP BY ALL
+)
+SELECT doc_id, {", ".join(COUNTS)}, base_failed, NOT base_failed AND {" AND ".join(f"coalesce({r} <= max_{r}, true)" for r in RATES)} AS kept, {", ".join(f"round(max_{r}, 6) AS max_{r}" for r in RATES)}
+FROM rated LEFT JOIN limits ON rated.lang IS NOT DISTINCT FROM limits.lang AND rated.source IS NOT DISTINCT FROM limits.source
+"""
+
+
 def _counts(batches):
     for b in batches:
         out = {k: np.zeros(len(b), np.int64) for k in COUNTS}
@@ -144,4 +185,7 @@ def judge(counts: DataFrame) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The counts are read twice, for the sketches and for the verdicts.
     counts = cut(quality_counts(table(spark, sf_dir, "documents")))
-    return judge(counts).select("doc_id", *COUNTS, "base_failed", "kept", *(f"max_{r}" for r in RATES))
+    return judge(counts).select("doc_id", *COUNTS, "base_failed", "kept", *(F.round(f"max_{r}", 6).alias(f"max_{r}") for r in RATES))
+
+
+ORACLE = _oracle()

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_lines": lines.op10_lines,
 }
-ORACLE_SQL = {"op10_lines": lines.ORACLE}
+ORACLE_SQL = {"op4_near": near.ORACLE, "op9_quality": quality.ORACLE, "op10_lines": lines.ORACLE}
