@@ -116,7 +116,7 @@ def size_text(n: Column) -> Column:
     return out
 
 
-#: What a spelling check passes over, as whole words: numbers, ordinals, versions, codes, references, addresses, files.
+#: What a spelling check passes over, as whole words: numbers, ordinals, versions, codes, references, addresses, files.
 _PASSED = (
     r"[0-9][0-9.,:]*s?", r"[A-Z0-9]+", r"[A-Z0-9.]*\.[A-Z0-9.]*", r"[0-9]*(?:1st|2nd|3rd|[04-9]th)", r"d[0-9]{6}", r"pre-[0-9]+", r"v[0-9.]+", r"[0-9]+\.x", r"[0-9]+[a-z]+",
     r"[A-Za-z][.)]", r"\([A-Za-z1-9]\)", r"\([ivx]+\)", r"[IVX]+", r"[^@\s]+@[^@\s]+\.[^@\s]+", r"\.[A-Za-z0-9]{1,10}", r"https?://\S+",

@@ -89,6 +89,7 @@ def _by_meridian(cells: np.ndarray, head: dict[str, np.ndarray], bits: np.ndarra
     return out.reshape(len(cells), -1)
 
 
+#: How the formats write years, levels, counts of means and dates, and the fields that most of them share.
 _SINCE_1900 = {"year": lambda v, h: 1900 + v}
 _LEVELS = {"level1": lambda v, h: 1023 - v, "level2": lambda v, h: 1023 - v}
 #: A count of means is given where the day is 0.
@@ -98,7 +99,7 @@ _TENTHS = {k: (lambda v, h: v // 10) for k in ("month", "day")}
 
 
 def _octagon() -> tuple[tuple[int, int], ...]:
-    """51 rows of up to 47 columns: 14 that widen by one on either side, 23 whole, 14 that narrow."""
+    """51 rows of up to 47 columns, 14 that widen by one on either side, 23 whole, 14 that narrow."""
     cut = [max(0, 14 - n, n - 36) for n in range(51)]
     return tuple((c, 46 - c) for c in cut)
 
