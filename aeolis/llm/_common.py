@@ -59,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
-    """docs with a number for each row that is the same whenever docs is read from its files or checkpoint."""
+    """docs with a number for each row. It is the same in two plans only where docs is read from files or a checkpoint, so cut the rows that are to be met again."""
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 

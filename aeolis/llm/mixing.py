@@ -45,10 +45,10 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) ->
     return caps.select("source", "source_size", F.least("cap", level * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
     """row, doc_id, size, source, source_size, target, copies, taken: one row a row of docs.
 
-    row numbers the rows as with_row(docs) does. Every source is shuffled by a hash of seed, doc_id and text and
+    row is the column of that name, which differs in every row, or else with_row(docs). Every source is shuffled by a hash of seed, doc_id and text and
     repeated up to MOST times; a copy's virtual
     finish time is its source's cumulative tokens over the source's target. Copies in the order of finish
     times are taken until the budget, all tokens, is reached: the first that would exceed it and all after it
@@ -58,7 +58,8 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     """
     spark = docs.sparkSession
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")), F.lit(1 << 40)).alias("u")
-    sized = documents(with_row(docs), "row", "source").select("row", "doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), u)
+    rows = with_row(docs) if row is None else docs.withColumn("row", F.col(row))
+    sized = documents(rows, "row", "source").select("row", "doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), u)
     # Only ids and sizes from here on; texts are read once.
     sized = cut(sized)
     n = sized.count()
