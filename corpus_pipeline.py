@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeolis.llm import langid, lines, mixing, near, packing
-from aeolis.llm._common import cut, table, with_row
+from aeolis.llm._common import cut, table, unique_ids, with_row
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Byte contexts and the tokenizer have no SQL form; the tests compare with brute force.
@@ -24,9 +24,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row in `place`: doc_id where each row has its own, else one that is kept with a copy of the rows."""
+    docs = docs.select(*COLUMNS)
+    return docs.withColumn("place", F.col("doc_id")) if unique_ids(docs) else cut(with_row(docs, "place"))
+
+
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id (null last), of these the first in the table."""
-    rows = with_row(docs.select(*COLUMNS), "place")
+    rows = placed(docs)
     linked = near.link_near(rows, carry=("place",)).select("doc_id", "place", "class")
     first = linked.filter("class IS NOT NULL").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"].alias("place"))
     kept = first.select("place").union(linked.filter("class IS NULL").select("place"))
@@ -35,8 +41,9 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix_sources(docs).filter("copies > 0").select(F.col("row").alias("place"), "copies")
-    taken = with_row(docs.select(*COLUMNS), "place").join(copies, "place")
+    rows = placed(docs)
+    copies = mixing.mix_sources(rows, row="place").filter("copies > 0").select(F.col("row").alias("place"), "copies")
+    taken = rows.join(copies, "place")
     return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
