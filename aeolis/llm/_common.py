@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,14 +48,20 @@ def chunk_count(df: DataFrame, size: int) -> int:
     return max(8 * shuffle_partitions(df.sparkSession), size // CHUNK_BYTES)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in spark.checkpoint.dir, which must be set on a cluster; a local session may go without."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """URI of the checkpoint folder, which must be set on a cluster; a local session may go without."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="aeolis-checkpoints-"))
+    return re.sub("^file:/(?!/)", "file:///", context._jsc.sc().getCheckpointDir().get())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in spark.checkpoint.dir, which must be set on a cluster; a local session may go without."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

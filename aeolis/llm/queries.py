@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing, near, packing, pages, passages, quality, secrets, spotsigs
+from . import audit, divergence, langid, lines, mixing, near, packing, pages, passages, quality, secrets, spotsigs, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,5 +15,10 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_lines": lines.op10_lines,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_warc": warc.op12_warc,
+    "op13_audit": audit.op13_audit,
 }
-ORACLE_SQL = {"op4_near": near.ORACLE, "op9_quality": quality.ORACLE, "op10_lines": lines.ORACLE}
+ORACLE_SQL = {
+    "op4_near": near.ORACLE, "op9_quality": quality.ORACLE, "op10_lines": lines.ORACLE, "op11_divergence": divergence.ORACLE, "op12_warc": warc.ORACLE, "op13_audit": audit.ORACLE,
+}
