@@ -52,9 +52,13 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 
 
 def _counts(batches):
-    """lang, source, term, n, docs of runs of documents: occurrences, and documents that have the term."""
+    """lang, source, term, n, docs of runs of documents: occurrences, and documents that have the term; and each group with the term ''."""
+    names = ["lang", "source", "term", "n", "docs"]
     for b in batches:
         groups = pa.StructArray.from_arrays([b["lang"], b["source"]], ["lang", "source"])
+        present, none = pa.Table.from_batches([b.select(["lang", "source"])]).group_by(["lang", "source"]).aggregate([]), np.zeros(len(b), np.int64)
+        for x in present.to_batches():
+            yield pa.RecordBatch.from_arrays([x["lang"], x["source"], pa.array([""] * len(x)), pa.array(none[: len(x)]), pa.array(none[: len(x)])], names)
         for lo, hi, data, at in blocks(b["text"], COUNTED):
             inside = TERM[data]
             edge = np.zeros(len(data) + 1, bool)
@@ -72,20 +76,21 @@ def _counts(batches):
             doc = np.searchsorted(at, starts, "right") - 1
             both, n = np.unique(doc * size + code, return_counts=True)
             keys = groups.slice(lo, hi - lo)
-            names = pa.array([f"{len(x['lang'])} {x['lang']}{x['source']}" for x in keys.to_pylist()]).dictionary_encode().indices.to_numpy().astype(np.int64)
-            place, where = np.unique(names[both // size] * size + both % size, return_inverse=True)
-            of_group = np.zeros(names.max() + 1, np.int64)
-            of_group[names] = np.arange(hi - lo)
+            group = pa.array([f"{len(x['lang'])} {x['lang']}{x['source']}" for x in keys.to_pylist()]).dictionary_encode().indices.to_numpy().astype(np.int64)
+            place, where = np.unique(group[both // size] * size + both % size, return_inverse=True)
+            of_group = np.zeros(group.max() + 1, np.int64)
+            of_group[group] = np.arange(hi - lo)
             picked = keys.take(pa.array(of_group[place // size]))
             yield pa.RecordBatch.from_arrays(
                 [picked.field("lang"), picked.field("source"), found.dictionary.take(pa.array(place % size)), pa.array(np.bincount(where, weights=n).astype(np.int64)), pa.array(np.bincount(where).astype(np.int64))],
-                ["lang", "source", "term", "n", "docs"],
+                names,
             )
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, source, term, n, first: occurrences of the terms that are kept in the language, and 1 in one row of each; null lang, source and text are ''.
 
+    Every group also has a row of 0 with the term ''.
     Runs of documents are counted in their task, so a term that every document has is shuffled as a row a task and source.
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
@@ -93,7 +98,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     sums = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")
     sums = sums.withColumns({"docs": F.sum("docs").over(of_term), "first": (F.col("source") == F.min("source").over(of_term)).cast("long")})
-    return sums.filter(F.col("docs") >= LEAST_DOCS).drop("docs")
+    return sums.filter((F.col("docs") >= least_docs) | (F.col("term") == "")).withColumn("first", F.when(F.col("term") == "", 0).otherwise(F.col("first"))).drop("docs")
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -119,8 +124,8 @@ def differences(p: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return out
 
 
-def _compared(entries: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
-    """One block of terms of one language: partial sums of pairs, and the best terms of each group."""
+def compared(entries: pd.DataFrame, groups: pd.DataFrame, size: int = STRIPE, top: int = TOP) -> pd.DataFrame:
+    """One block of terms of one language: partial sums of pairs, and the best terms of each group, for a stripe of `size` groups."""
     none = pd.DataFrame(columns=["lang", "source", "item", "part", "value"])
     if not len(groups):
         return none
@@ -135,51 +140,48 @@ def _compared(entries: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
         return none
     totals = np.append(groups["total"].to_numpy(np.int64), np.int64(groups["of_lang"].iloc[0])) + ADDED * np.int64(groups["terms"].iloc[0])
     p, q = tile(counts, totals)
-    lo, hi = stripe * STRIPE, min(len(sources), (stripe + 1) * STRIPE)
+    lo, hi = stripe * size, min(len(sources), (stripe + 1) * size)
     sums = differences(p, lo, hi)
     i, j = np.nonzero(np.arange(len(sources))[None, :] > np.arange(lo, hi)[:, None])
     out = [pd.DataFrame({"source": sources[lo + i], "item": sources[j], "part": "pair", "value": sums[i, j]})]
     for g in range(lo, hi):
         over = np.flatnonzero((counts[g] > 0) & (p[g] > q))
-        best = heapq.nsmallest(TOP, zip((q[over] - p[g, over]).tolist(), terms[over]))
+        best = heapq.nsmallest(top, zip((q[over] - p[g, over]).tolist(), terms[over]))
         out.append(pd.DataFrame({"source": sources[g], "item": [t for _, t in best], "part": "term", "value": np.array([-v for v, _ in best], np.int64)}))
     return pd.concat(out).assign(lang=lang)
 
 
-def diverge(docs: DataFrame) -> DataFrame:
+def diverge(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, cells: int = CELLS, stripe: int = STRIPE) -> DataFrame:
     """lang, source, part, item, value, rank: how far the shares of terms differ between the sources of a language (part
-    `pair`, all) and which terms a source has more of than its language (part `term`, the first TOP).
+    `pair`, all) and which terms, found in least_docs documents of the language, a source has more of than its language (part `term`, the first `top`).
 
     Kept terms are dealt into blocks by a hash; a task makes a dense matrix of groups by terms for one block of one
     language and compares all its groups by broadcasting, some rows at a time. The partial sums of pairs are added
-    up by partial aggregation, and the best terms of the blocks are merged by rank, which Spark cuts to TOP in every task
-    before the shuffle. A block has so many terms that its matrix has about CELLS cells; a language with more than
-    STRIPE sources is dealt to several tasks a block, so memory is bounded by STRIPE by sources. Null lang, source and text are ''; repeated rows count each;
+    up by partial aggregation, and the best terms of the blocks are merged by rank, which Spark cuts to `top` in every task
+    before the shuffle. A block has so many terms that its matrix has about `cells` cells; a language with more than
+    `stripe` sources is dealt to several tasks a block, so memory is bounded by `stripe` by sources. Null lang, source and text are ''; repeated rows count each;
     a language without kept terms has pairs of value 0; equal values are ranked by the bytes of the item; no rows give none.
     """
-    counts = cut(term_counts(docs))
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    groups = docs.select(empty("lang"), empty("source")).distinct()
-    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("first").alias("first"))
+    counts = cut(term_counts(docs, least_docs))
+    groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("first").alias("first"))
     of_lang = Window.partitionBy("lang")
-    known = groups.join(sums, ["lang", "source"], "left").na.fill(0, ["total", "first"])
-    known = cut(known.select("lang", "source", "total", F.sum("total").over(of_lang).alias("of_lang"), F.sum("first").over(of_lang).alias("terms"), F.count("*").over(of_lang).alias("sources")))
+    known = cut(groups.select("lang", "source", "total", F.sum("total").over(of_lang).alias("of_lang"), F.sum("first").over(of_lang).alias("terms"), F.count("*").over(of_lang).alias("sources")))
     most_terms, most = known.agg(F.max("terms"), F.max("sources")).first()
     most = most or 1
-    n_blocks, n_stripes = -(-(most_terms or 1) // max(16, CELLS // most)) or 1, -(-most // STRIPE)
+    n_blocks, n_stripes = -(-(most_terms or 1) // max(16, cells // most)) or 1, -(-most // stripe)
     # Enough blocks for the session's tasks, when there are terms for them.
     n_blocks = max(n_blocks, min(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), (most_terms or 1) // 64 or 1))
     dealt = lambda df, block: df.withColumns({"block": block, "stripe": F.explode(F.sequence(F.lit(0), F.lit(n_stripes - 1)))})
-    tiles = dealt(counts.drop("first"), F.pmod(F.xxhash64("term"), F.lit(n_blocks)).cast("int")).groupBy("lang", "block", "stripe")
+    tiles = dealt(counts.filter("term <> ''").drop("first"), F.pmod(F.xxhash64("term"), F.lit(n_blocks)).cast("int")).groupBy("lang", "block", "stripe")
     # A stripe beyond a language's sources has nothing to do.
-    sides = dealt(known.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))), F.col("b")).filter(F.col("stripe") * STRIPE < F.col("sources")).groupBy("lang", "block", "stripe")
-    parts = cut(tiles.cogroup(sides).applyInPandas(_compared, "lang string, source string, item string, part string, value long"))
+    sides = dealt(known.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))), F.col("b")).filter(F.col("stripe") * stripe < F.col("sources")).groupBy("lang", "block", "stripe")
+    parts = cut(tiles.cogroup(sides).applyInPandas(lambda a, b: compared(a, b, stripe, top), "lang string, source string, item string, part string, value long"))
     pairs = parts.filter("part = 'pair'").groupBy("lang", "source", "item", "part").agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
     pairs = pairs.select("lang", "part", "value", ways.alias("x")).select("lang", "x.source", "part", "x.item", "value")
     place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")).cast("int").alias("rank")
     columns = ("lang", "source", "part", "item", "value")
-    return pairs.select(*columns, place).union(parts.filter("part = 'term'").select(*columns, place).filter(F.col("rank") <= TOP))
+    return pairs.select(*columns, place).union(parts.filter("part = 'term'").select(*columns, place).filter(F.col("rank") <= top))
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
