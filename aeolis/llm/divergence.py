@@ -169,8 +169,6 @@ def diverge(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, cells
     most_terms, most = known.agg(F.max("terms"), F.max("sources")).first()
     most = most or 1
     n_blocks, n_stripes = -(-(most_terms or 1) // max(16, cells // most)) or 1, -(-most // stripe)
-    # Enough blocks for the session's tasks, when there are terms for them.
-    n_blocks = max(n_blocks, min(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), (most_terms or 1) // 64 or 1))
     dealt = lambda df, block: df.withColumns({"block": block, "stripe": F.explode(F.sequence(F.lit(0), F.lit(n_stripes - 1)))})
     tiles = dealt(counts.filter("term <> ''").drop("first"), F.pmod(F.xxhash64("term"), F.lit(n_blocks)).cast("int")).groupBy("lang", "block", "stripe")
     # A stripe beyond a language's sources has nothing to do.
