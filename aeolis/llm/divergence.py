@@ -16,7 +16,7 @@ from ._common import cut, table
 #: Terms kept in a language have this many of its documents; a group reports this many terms; added to each count, in shares of SCALE.
 LEAST_DOCS, TOP, ADDED, SCALE = 30, 50, 5, 1_000_000_000
 #: Cells of a tile of groups by terms (8 bytes each), of a broadcast of some groups against all, and groups that one task compares with all of its language.
-CELLS, BROADCAST_CELLS, STRIPE = 1 << 21, 1 << 21, 512
+CELLS, BROADCAST_CELLS, STRIPE = 1 << 18, 1 << 21, 512
 #: Bytes of text that are counted together.
 COUNTED = 8 << 20
 #: Letters, and the bytes of all that is not ASCII.
