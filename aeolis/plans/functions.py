@@ -64,10 +64,28 @@ _LATITUDES = definitions.gaussian_latitudes(32)
 _LIST = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _LATITUDES) + "]"
 
 
-@query(f"SELECT unnest(range(64))::INT AS i, round(unnest({_LIST}), 6) AS lat FROM (SELECT 1)")
+@query(
+    "SELECT p_size, (2 * p_size)::BIGINT AS rows, true AS falling, true AS symmetric, (2 * p_size)::BIGINT AS roots FROM (SELECT DISTINCT p_size FROM part)"
+)
 def gaussian_latitudes(spark, sf_dir):
-    """Latitudes of 32 circles; a unit test finds the polynomial's roots there."""
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, definitions.gaussian_latitudes(32)))).alias("i", "lat")).withColumn("lat", F.round("lat", 6))
+    """Latitudes for the sizes of parts as circles: as many as the degree, falling, symmetric, and between any two a sign of the polynomial."""
+    sizes = read(spark, sf_dir, "part").select("p_size").distinct()
+    table = F.create_map(*(x for n in range(1, 51) for x in (F.lit(n), F.array(*map(F.lit, definitions.gaussian_latitudes(n))))))
+    lats = sizes.select("p_size", F.element_at(table, F.col("p_size").cast("int")).alias("l"))
+    degree = (2 * F.col("p_size")).cast("int")
+
+    def value(x):
+        """The Legendre polynomial by its recurrence, at a sine."""
+        first = F.struct(F.lit(1.0).alias("a"), x.alias("b"))
+        return F.aggregate(F.sequence(F.lit(2), degree), first, lambda s, k: F.struct(s["b"].alias("a"), (((2 * k - 1) * x * s["b"] - (k - 1) * s["a"]) / k).alias("b")))["b"]
+
+    # A root lies where the sign changes a hair to either side.
+    change = lambda y: value(F.sin(F.radians(y + 1e-7))) * value(F.sin(F.radians(y - 1e-7))) < 0
+    pairs = F.arrays_zip(F.slice("l", 1, degree - 1).alias("a"), F.slice("l", 2, degree - 1).alias("b"))
+    return lats.select(
+        "p_size", F.size("l").cast("long").alias("rows"), F.forall(pairs, lambda p: p["a"] > p["b"]).alias("falling"),
+        F.forall(F.arrays_zip(F.col("l").alias("a"), F.reverse("l").alias("b")), lambda p: F.abs(p["a"] + p["b"]) < 1e-9).alias("symmetric"), F.size(F.filter("l", change)).cast("long").alias("roots"),
+    )
 
 
 @query(
@@ -255,7 +273,7 @@ def encoded_urls(spark, sf_dir):
 
 
 @query("SELECT event_id, (props->>'$.k')::INT AS k, (props->>'$.k')::INT > 50 AS over, concat('{\"k\": ', props->>'$.k', '}') AS printed FROM events")
-def json_values(spark, sf_dir):
+def json_comparisons(spark, sf_dir):
     """Typed comparison of values in JSON, and the object printed again."""
     k = F.get_json_object("props", "$.k").cast("int")
     return read(spark, sf_dir, "events").select("event_id", k.alias("k"), (k > 50).alias("over"), F.concat(F.lit('{"k": '), k.cast("string"), F.lit("}")).alias("printed"))
