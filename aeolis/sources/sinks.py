@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,22 +83,34 @@ def f77_file(df: DataFrame, record: str, *order: str) -> DataFrame:
     return df.withColumn("framed", f77_frame(F.col(record))).orderBy(*order)
 
 
-def netcdf_bytes(dims: dict[str, int], variables: list[tuple[str, list[str], np.ndarray, dict[str, str]]], attributes: dict[str, str] | None = None) -> bytes:
-    """A classic file of doubles (NaN: unwritten), without a record dimension; 64-bit offsets."""
+def netcdf_head(dims: dict[str, int], variables: list[tuple[str, list[str], dict[str, str]]], attributes: dict[str, str] | None = None) -> tuple[bytes, list[int]]:
+    """Head of a classic file of doubles with 64-bit offsets and without a record dimension, and where each variable begins."""
     pad = lambda b: b + b"\0" * (-len(b) % 4)
     n = lambda v: int(v).to_bytes(4, "big")
     name = lambda s: n(len(s.encode())) + pad(s.encode())
     items = lambda tag, parts: (n(tag) + n(len(parts)) if parts else n(0) + n(0)) + b"".join(parts)
     texts = lambda a: items(12, [name(k) + n(2) + name(v) for k, v in (a or {}).items()])
     numbers = {d: i for i, d in enumerate(dims)}
+    sizes = [8 * math.prod(dims[d] for d in ds) for _, ds, _ in variables]
 
     def head(begins):
-        parts = [name(v) + n(len(ds)) + b"".join(n(numbers[d]) for d in ds) + texts(a) + n(6) + n(x.size * 8) + int(b).to_bytes(8, "big") for (v, ds, x, a), b in zip(variables, begins)]
+        # A size beyond 32 bits is written as the largest number; readers take it from the dimensions.
+        parts = [name(v) + n(len(ds)) + b"".join(n(numbers[d]) for d in ds) + texts(a) + n(6) + n(min(size, 0xFFFFFFFF)) + int(b).to_bytes(8, "big") for (v, ds, a), size, b in zip(variables, sizes, begins)]
         return b"CDF\2" + n(0) + items(10, [name(d) + n(k) for d, k in dims.items()]) + texts(attributes) + items(11, parts)
 
-    start = len(head([0] * len(variables)))
-    begins = np.cumsum([start, *(x.size * 8 for _, _, x, _ in variables)])[:-1]
-    return head(begins) + b"".join(np.where(np.isnan(x), NC_FILL["double"], x).astype(">f8").tobytes() for _, _, x, _ in variables)
+    begins = list(itertools.accumulate(sizes, initial=len(head([0] * len(variables)))))[:-1]
+    return head(begins), begins
+
+
+def netcdf_bytes(dims: dict[str, int], variables: list[tuple[str, list[str], np.ndarray, dict[str, str]]], attributes: dict[str, str] | None = None) -> bytes:
+    """A classic file of doubles (NaN: unwritten), without a record dimension; 64-bit offsets."""
+    head, _ = netcdf_head(dims, [(v, ds, a) for v, ds, _, a in variables], attributes)
+    return head + b"".join(netcdf_cells(x) for _, _, x, _ in variables)
+
+
+def netcdf_cells(values: np.ndarray) -> bytes:
+    """Doubles as a file has them (NaN: unwritten)."""
+    return np.where(np.isnan(values), NC_FILL["double"], values).astype(">f8").tobytes()
 
 
 def netcdf_files(grids: DataFrame, key: str, order: str, variable: str, nx: int, ny: int) -> DataFrame:
