@@ -27,10 +27,8 @@ CHAIN = 2
 RUN = 3
 #: Stands for each content word that the end of the text leaves out of a chain.
 END = U64(0x5851F42D4C957F2D)
-#: Likeness below this is told as 0 beside the next document and the edited text, without comparing sets where bounds show it.
-LEAST = 0.05
-#: Text bytes of a range of documents in order and of a task, ids sampled for the bounds of a range, and characters worked on at a time.
-RANGE_BYTES, PART_BYTES, SAMPLES, BLOCK_CHARS = 16 << 20, 64 << 20, 16, 1 << 20
+#: Text bytes of a range of documents in order and of a task, ranges at most (they widen beyond), ids sampled for the bounds of a range, and characters worked on at a time.
+RANGE_BYTES, PART_BYTES, MOST_RANGES, SAMPLES, BLOCK_CHARS = 16 << 20, 64 << 20, 1 << 16, 16, 1 << 20
 
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -122,15 +120,17 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     # Sets that share `need` signatures share one of the first len - need + 1 of either in any common order.
     need = max(1, math.ceil(least / (1 + least) * (len(a) + len(b)) - 1e-9))
     x, y = small[: len(small) - need + 1], large[: len(large) - need + 1]
-    if x[-1] < y[0] or y[-1] < x[0] or not np.isin(x, y, assume_unique=True).any():
+    if x[-1] < y[0] or y[-1] < x[0] or (need > 1 and not np.isin(x, y, assume_unique=True).any()):
         return 0.0
     both = len(np.intersect1d(small, large, assume_unique=True))
     found = both / (len(small) + len(large) - both)
     return found if found >= least else 0.0
 
 
-def likenesses(a: list[np.ndarray], b: list[np.ndarray], least: float = LEAST) -> np.ndarray:
-    """likeness() of each a[i] and b[i]; only pairs in one partition of set lengths or in two that adjoin are compared."""
+def likenesses(a: list[np.ndarray], b: list[np.ndarray], least: float = 0.0) -> np.ndarray:
+    """likeness() of each a[i] and b[i]; with `least` only pairs in one partition of set lengths or in two that adjoin are compared."""
+    if not least:
+        return np.array([likeness(x, y) for x, y in zip(a, b)], np.float64)
     n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     out = np.where((n == 0) & (m == 0), 1.0, 0.0)
     for i in np.flatnonzero((n > 0) & (m > 0) & (np.abs(partition(n, least) - partition(m, least)) <= 1)):
@@ -181,11 +181,11 @@ def in_order(docs: DataFrame) -> DataFrame:
     """at, doc_id, text, bucket, tail: ranges of documents in order, each with (tail 1) the first document after it again.
 
     The range after the last is the first. Bounds come from a sample of some SAMPLES rows a range, so ranges hold
-    about RANGE_BYTES of text at any size of the table; a range is read as a sorted stream, so it may be of any size.
+    about RANGE_BYTES of text, or more where MOST_RANGES would not hold it, so that bounds and heads are few at any size; a range is read as a sorted stream, so it may be of any size.
     """
     sp, size = shuffle_partitions(docs.sparkSession), text_bytes(docs)
     parts = max(sp, size // PART_BYTES)
-    rows, n = ordered(docs), max(32 * sp, size // RANGE_BYTES)
+    rows, n = ordered(docs), min(max(32 * sp, size // RANGE_BYTES), MOST_RANGES)
     at = rows.select(F.col("at").cast("double").alias("at"))
     drawn = F.pmod(F.xxhash64("at"), F.lit(1 << 40)) < F.lit(int(min(1.0, SAMPLES * n / max(1, docs.count())) * (1 << 40)))
     sample = np.sort(at.filter(drawn).toPandas()["at"].to_numpy())
@@ -219,8 +219,8 @@ def _edited(held: list[tuple[int, str]]) -> pa.RecordBatch:
 def with_next(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document; one row a row.
 
-    Sorted ranges are streamed in blocks of about block_chars, so a task holds a block or one document. A likeness
-    below LEAST is 0. Null text is empty; rows that repeat a doc_id follow each other as in the table, and those with a
+    Sorted ranges are streamed in blocks of about block_chars, so a task holds a block or one document. Likeness
+    is exact: these pairs are given, so no bound passes over any. Null text is empty; rows that repeat a doc_id follow each other as in the table, and those with a
     null one come last; a single row is its own next; an empty table gives no rows.
     """
 
