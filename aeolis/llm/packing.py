@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -33,11 +34,14 @@ def tokenizer_path() -> str:
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer lowers a text, splits it by its pattern and tokenizes each part by itself. A text of
+    Where the tokenizer's file says that it lowers a text, splits it by PATTERN and ends each part's last token by ENDED, a text of
     printable Latin letters and white space is split here in the same way, and only parts not met before
-    are tokenized; any other text is tokenized as it is.
+    are tokenized; any other text, and with other files every text, is tokenized as it is.
     """
 
+    #: Fixed values of the tokenizer whose parts are remembered.
+    NORMALIZERS, PATTERN, ENDED, ADDED = ["NFC", "Replace", "Lowercase"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "</w>", "<|"
+
     OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]|<\|")
     # The pattern of the tokenizer file for these characters, lowered.
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-\u017e]+|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-\u017e²³¹¼½¾]+")
@@ -48,7 +52,20 @@ class Ids:
         self.tokenizer, self.parts = Tokenizer.from_file(path), {}
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a part
         for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
+            self.last[i] = token.endswith(self.ENDED)
+        self.split = self._splits(json.loads(self.tokenizer.to_str()))
+
+    def _splits(self, file: dict) -> bool:
+        """Whether the file's texts are split as PARTS splits them."""
+        normal, before = file["normalizer"] or {}, file["pre_tokenizer"] or {}
+        steps, first = normal.get("normalizers", []), (before.get("pretokenizers") or [{}])[0]
+        return (
+            [x["type"] for x in steps] == self.NORMALIZERS and steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " "
+            and first.get("pattern") == {"Regex": self.PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+            and [x["type"] for x in before["pretokenizers"][1:]] == ["ByteLevel"] and not before["pretokenizers"][1]["add_prefix_space"] and not before["pretokenizers"][1]["use_regex"]
+            and file["model"]["type"] == "BPE" and file["model"].get("end_of_word_suffix") == self.ENDED and not file["model"].get("ignore_merges") and file["post_processor"] is None
+            and all(x["content"].startswith(self.ADDED) for x in file["added_tokens"])
+        )
 
     def _learn(self, parts: list[str]) -> None:
         for i in range(0, len(parts), 4096):
@@ -65,7 +82,7 @@ class Ids:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.OTHER.search(t) else self.PARTS.findall((t if t.isascii() else unicodedata.normalize("NFC", t)).lower()) for t in texts]
+        split = [None if not self.split or self.OTHER.search(t) else self.PARTS.findall((t if t.isascii() else unicodedata.normalize("NFC", t)).lower()) for t in texts]
         if len(self.parts) > MOST_PARTS:
             # Common parts are met early, so the older half stays.
             self.parts = dict(islice(self.parts.items(), MOST_PARTS // 2))
