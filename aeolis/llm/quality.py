@@ -28,9 +28,8 @@ RATES = {
 SPREAD = 4.0
 #: Quartiles of a group are drawn towards those of its language as by so many documents of it, and these towards those of all.
 WEIGHT = 200
-#: A group's threshold is at most CEILING margins above that of the rest of its language, so a spoilt source sets no mark
-#: of its own. A group with less than SHARE of its language's documents is left in the rest.
-CEILING, SHARE = 2, 0.05
+#: A group's threshold is at most so many margins above that of the rest of its language, so a spoilt source sets no mark of its own.
+CEILING = 2
 #: Bins of the sketch: their upper ends grow by this factor from the least value told from 0.
 GROWTH, LEAST = 1.01, 1e-4
 
@@ -43,7 +42,7 @@ def _oracle() -> str:
       CASE WHEN bin = 0 THEN 0 ELSE {LEAST} * pow({GROWTH}::DOUBLE, bin) END AS e FROM ({source}) WHERE n > 0) GROUP BY {"".join(k + ", " for k in keys)}rate
 )"""
     merged = lambda *keys: f"SELECT {''.join(k + ', ' for k in keys)}rate, bin, sum(n) AS n FROM bins GROUP BY ALL"
-    rest = "SELECT lang, source, rate, bin, sum(n) AS n FROM (SELECT b.lang, l.source, b.rate, b.bin, b.n FROM large l JOIN bins b ON l.lang IS NOT DISTINCT FROM b.lang UNION ALL SELECT b.lang, b.source, b.rate, b.bin, -b.n FROM large l JOIN bins b ON l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source) GROUP BY ALL"
+    rest = "SELECT lang, source, rate, bin, sum(n) AS n FROM (SELECT b.lang, l.source, b.rate, b.bin, b.n FROM groups l JOIN bins b ON l.lang IS NOT DISTINCT FROM b.lang UNION ALL SELECT lang, source, rate, bin, -n FROM bins) GROUP BY ALL"
     limit = lambda low, high: f"{high} + greatest(margin, {SPREAD} * ({high} - {low}))"
     drawn = lambda t, own, other: f"({t} * {own} + {WEIGHT} * {other}) / ({t} + {WEIGHT})"
     margins = "CASE rate " + " ".join(f"WHEN '{r}' THEN {m}::DOUBLE" for r, (_, m) in RATES.items()) + " END"
@@ -61,8 +60,8 @@ WITH w AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"({sql})::DOUBLE AS {r}" for r, (sql, _) in RATES.items())} FROM c
 ), bins AS (
   SELECT lang, source, rate, CASE WHEN value <= {LEAST} THEN 0 ELSE ceil(ln(value / {LEAST}) / {math.log(GROWTH)!r}::DOUBLE) END::INT AS bin, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"'{r}'" for r in RATES)}]) AS rate, unnest([{", ".join(RATES)}]) AS value FROM rated WHERE NOT base_failed) GROUP BY ALL
-), {quartiles("own", "SELECT * FROM bins", "lang", "source")}, {quartiles("of_lang", merged("lang"), "lang")}, {quartiles("every", merged())}, large AS (
-  SELECT DISTINCT own.lang, own.source FROM own JOIN of_lang l ON own.lang IS NOT DISTINCT FROM l.lang AND own.rate = l.rate WHERE own.total >= {SHARE} * l.total
+), {quartiles("own", "SELECT * FROM bins", "lang", "source")}, {quartiles("of_lang", merged("lang"), "lang")}, {quartiles("every", merged())}, groups AS (
+  SELECT DISTINCT lang, source FROM bins
 ), {quartiles("rest", rest, "lang", "source")}, marks AS (
   SELECT lang, source, rate, least({limit("g_low", "g_high")}, {limit("r_low", "r_high")} + {CEILING} * margin) AS mark FROM (
     SELECT own.lang, own.source, own.rate, {margins.replace("CASE rate", "CASE own.rate")} AS margin, coalesce(rest.low, l.low) AS r_low, coalesce(rest.high, l.high) AS r_high,
@@ -143,12 +142,10 @@ def thresholds(rated: DataFrame) -> DataFrame:
     groups = cut(_sketch(rated))
     merged = lambda *keys: groups.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
     own, lang, every = _quartiles(groups, "lang", "source"), _quartiles(merged("lang"), "lang"), _quartiles(merged())
-    # Sketches subtract too: the rest of a language is its sketch less the group's. A group of a small share hardly
-    # moves its language, whose quartiles then stand for the rest, so at most 1 / SHARE groups a language are worked out.
-    large = own.join(lang.select(F.col("lang").alias("k"), F.col("rate").alias("kr"), F.col("total").alias("all")), F.col("lang").eqNullSafe(F.col("k")) & (F.col("rate") == F.col("kr")))
-    large = large.filter(F.col("total") >= SHARE * F.col("all")).select(F.col("lang").alias("g"), F.col("source").alias("s")).distinct()
-    spread = large.join(merged("lang"), F.col("g").eqNullSafe(F.col("lang"))).select("lang", F.col("s").alias("source"), "rate", "bin", "n")
-    minus = groups.join(large, F.col("g").eqNullSafe(F.col("lang")) & F.col("s").eqNullSafe(F.col("source")), "left_semi").select("lang", "source", "rate", "bin", -F.col("n"))
+    # Sketches subtract too: the rest of a language is its sketch less the group's, some thousands of bins a group.
+    each = own.select(F.col("lang").alias("g"), F.col("source").alias("s")).distinct()
+    spread = each.join(merged("lang"), F.col("g").eqNullSafe(F.col("lang"))).select("lang", F.col("s").alias("source"), "rate", "bin", "n")
+    minus = groups.select("lang", "source", "rate", "bin", -F.col("n"))
     rest = _quartiles(spread.union(minus).groupBy("lang", "source", "rate", "bin").agg(F.sum("n").alias("n")), "lang", "source")
     drawn = lambda a, b: {q: (F.col(f"{a}_total") * F.col(f"{a}_{q}") + WEIGHT * F.col(f"{b}_{q}")) / (F.col(f"{a}_total") + WEIGHT) for q in ("low", "high")}
     named_as = lambda df, x: df.select([F.col(c).alias(f"{x}_{c}") for c in df.columns])

@@ -408,7 +408,7 @@ def brute_thresholds(rows):
             of_lang = [b for a, _, b in bins if a == lang]
             own = [b for a, s, b in bins if (a, s) == (lang, source)]
             rest = [b for a, s, b in bins if a == lang and s != source]
-            rest = quartiles(rest if rest and len(own) >= quality.SHARE * len(of_lang) else of_lang)
+            rest = quartiles(rest or of_lang)
             low, high = drawn(len(own), quartiles(own), drawn(len(of_lang), quartiles(of_lang), every))
             limit = lambda low, high: high + max(margin, quality.SPREAD * (high - low))  # noqa: B023, E731
             out[lang, source][rate] = min(limit(low, high), limit(*rest) + quality.CEILING * margin)
@@ -494,3 +494,16 @@ def test_repeated_rows(spark, sample):
     rows = lines.drop_common_lines(twice).collect()
     assert len(rows) == n and {(r["doc_id"], r["text"]) for r in rows} == once
     assert packing.pack(twice).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).filter("n != 2 * m").count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_tokenizer(sample, name):
+    """Remembered parts are used only where the file splits texts as they are split; ids are the tokenizer's own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    ids, plain = packing.Ids(path), Tokenizer.from_file(path)
+    assert ids.split == name.startswith("word")
+    texts = ["", "Hello  World's 12 'LL \n\n  tokens", "  été Straße ªº ²³ x_y--z", "<|endoftext|> a", "日本 ok", *list(texts_of(sample).values())[:40]]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids(texts)] == [plain.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
