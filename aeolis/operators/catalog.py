@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
+
+from .ranges import blocks, place, range_count
 
 
 def level_order(level_type: Column, value: Column) -> list[Column]:
@@ -17,22 +20,23 @@ def resolution_order(definition: Column) -> list[Column]:
     return [degrees.isNull(), degrees, F.lower(definition)]
 
 
-#: Ranges of values that are numbered apart, and values drawn for their bounds.
-RANGES, DRAWN = 64, 2048
+#: Ranges at least of values that are numbered apart, and values drawn for the bounds of each.
+RANGES, DRAWN = 8, 32
 
 
 def numbered(df: DataFrame, column: str, code: str) -> DataFrame:
     """Adds the place, from 0, of a row's value among the distinct values in order, null first.
 
-    Distinct values are dealt into ranges by bounds from a sample with the smallest hashes, numbered within
-    each, and offset by the sizes of the ranges before.
+    Distinct values are dealt into ranges, as many as they need, by bounds from a sample with the smallest hashes,
+    numbered within each, and offset by the sizes of the ranges before.
     """
     value = F.col("__value")
     values = df.select(F.col(column).alias("__value")).distinct()
-    drawn = sorted(r[0] for r in values.filter(value.isNotNull()).orderBy(F.xxhash64(value), value).limit(DRAWN).collect())
-    bounds = sorted({drawn[len(drawn) * i // RANGES] for i in range(1, RANGES)}) if drawn else []
-    at = sum((F.when(value >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
-    placed = values.withColumn("__range", F.when(value.isNull(), -1).otherwise(at))
+    n = range_count(values.count(), RANGES)
+    drawn = sorted(r[0] for r in values.filter(value.isNotNull()).orderBy(F.xxhash64(value), value).limit(DRAWN * n).collect())
+    bounds = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
+    held = df.sparkSession.createDataFrame([(bounds,)], StructType([StructField("__cuts", ArrayType(df.schema[column].dataType))])).select(blocks(F.col("__cuts")).alias("__cuts"))
+    placed = values.join(F.broadcast(held)).select("__value", F.when(value.isNull(), -1).otherwise(place(F.col("__cuts"), value)).alias("__range"))
     # A row a range.
     before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = placed.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__before"))

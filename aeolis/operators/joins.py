@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of time, of about as many rows each, in which histories are searched.
-RANGES = 64
+from .ranges import above, below, blocks, bounds, place, range_count
+
+#: Ranges at least, of about as many rows each, in which histories and marks are searched; rows ask for more.
+RANGES = 1
 #: Marks that are broadcast.
 MARKS = 10_000
 
@@ -23,20 +25,21 @@ def _due_and_last(events: DataFrame, history: DataFrame, key: str, ts: str, star
     own = history.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), entry.alias("entry"))
     begins, ends = F.col("entry").getField(start), F.col("entry").getField(end)
     moments = events.select(F.col(ts).alias("at")).union(own.select(begins)).union(own.select(ends))
-    cuts = F.broadcast(moments.agg(F.percentile_approx("at", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))).alias("cuts")))
-    place = lambda at: F.coalesce(F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c < at)), F.lit(0))
+    n = range_count(events.count() + 2 * history.count(), RANGES)
+    cuts = F.broadcast(bounds(moments, "at", n))
+    ranged = lambda df, at, *columns: df.select(*columns, F.lit(0).alias("range")) if n == 1 else df.join(cuts).select(*columns, place(F.col("cuts"), at).alias("range"))
     before = lambda *by: Window.partitionBy("key", *by).rowsBetween(Window.unboundedPreceding, -1)
 
-    own = own.join(cuts).select("key", "entry", place(begins).alias("range"))
+    own = ranged(own, begins, "key", "entry")
     sums = own.groupBy("key", "range").agg(F.max(ends).alias("top"))
     sums = sums.select("key", "range", F.max("top").over(before().orderBy("range")).alias("top"))
     own = own.withColumn("own_top", F.max(ends).over(before("range").orderBy("entry"))).join(sums, ["key", "range"])
     passed = F.greatest("top", "own_top")
     own = own.select("key", "entry", F.when(ends.isNotNull() & (passed.isNull() | (ends > passed)), ends).alias("until"))
-    own = own.join(cuts).select("key", place(F.col("until")).alias("range"), F.col("until").alias("at"), "until", "entry", F.lit(None).cast(events.select(F.struct("*")).schema[0].dataType).alias("event"))
-    asked = events.select(F.col(key).alias("key"), F.col(ts).alias("at"), F.struct("*").alias("event")).join(cuts)
-    asked = asked.select("key", place(F.col("at")).alias("range"), "at", F.lit(None).cast(own.schema["until"].dataType).alias("until"), F.lit(None).cast(own.schema["entry"].dataType).alias("entry"), "event")
-    rows = own.union(asked)
+    own = own.select("key", F.col("until").alias("at"), "until", "entry", F.lit(None).cast(events.select(F.struct("*")).schema[0].dataType).alias("event"))
+    asked = events.select(F.col(key).alias("key"), F.col(ts).alias("at"), F.lit(None).cast(own.schema["until"].dataType).alias("until"), F.lit(None).cast(own.schema["entry"].dataType).alias("entry"), F.struct("*").alias("event"))
+    columns = ("key", "at", "until", "entry", "event")
+    rows = ranged(own, F.col("at"), *columns).union(ranged(asked, F.col("at"), *columns))
 
     sums = rows.groupBy("key", "range").agg(F.min_by("entry", "until").alias("least"), F.max("entry").alias("most"))
     sums = sums.select(
@@ -76,18 +79,18 @@ def tolerance_join(left: DataFrame, right: DataFrame, key: str, ts: str, hours:
 def nearest_below_above(points: DataFrame, marks: DataFrame, point: str, mark: str, most: int = MARKS) -> DataFrame:
     """points with `below` and `above`, the marks next to each (a mark at the point is both); null where there is none.
 
-    Up to `most` marks are broadcast as one sorted array. More of them are sorted together with the points, range by
-    range, with the outermost marks of the ranges around.
+    Up to `most` marks are broadcast as one sorted array in blocks. More of them are sorted together with the points,
+    range by range, with the outermost marks of the ranges around; rows ask for as many ranges as they need.
     """
     distinct = marks.select(F.col(mark).alias("mark")).filter("mark IS NOT NULL").distinct()
     if distinct.limit(most + 1).count() <= most:
-        joined = points.join(F.broadcast(distinct.agg(F.array_sort(F.collect_list("mark")).alias("marks"))))
-        below, above = F.filter("marks", lambda m: m <= F.col(point)), F.filter("marks", lambda m: m >= F.col(point))
-        return joined.withColumn("below", F.try_element_at(below, F.lit(-1))).withColumn("above", F.try_element_at(above, F.lit(1))).drop("marks")
+        held = distinct.agg(F.array_sort(F.collect_list("mark")).alias("marks")).select(blocks(F.col("marks")).alias("marks"))
+        found = {"below": below(F.col("marks"), F.col(point)), "above": above(F.col("marks"), F.col(point))}
+        return points.join(F.broadcast(held)).withColumns(found).drop("marks")
     rows = distinct.select(F.col("mark").alias("at"), "mark", F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("row"))
     rows = rows.unionByName(points.select(F.col(point).alias("at"), F.lit(None).cast(distinct.schema["mark"].dataType).alias("mark"), F.struct("*").alias("row")))
-    cuts = rows.agg(F.percentile_approx("at", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))).alias("cuts"))
-    placed = rows.join(F.broadcast(cuts)).withColumn("range", F.coalesce(F.size(F.filter(F.coalesce("cuts", F.array()), lambda c: c < F.col("at"))), F.lit(0))).drop("cuts")
+    cuts = bounds(rows, "at", range_count(points.count() + distinct.count(), max(RANGES, 2)))
+    placed = rows.join(F.broadcast(cuts)).withColumn("range", place(F.col("cuts"), F.col("at"))).drop("cuts")
     # A row a range: the last mark before it and the first behind it.
     ends = placed.groupBy("range").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
     order = Window.orderBy("range")
