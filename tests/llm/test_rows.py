@@ -464,11 +464,24 @@ def test_arrays_answer_alone():
     assert not lines.Shard(one[:0], two[:0], counts[:0])(one, two).any()
 
 
-def test_lines_in_passes(small, monkeypatch):
-    """With shards of a few lines and tables of one shard, texts take many passes."""
-    want = sorted(map(tuple, lines.drop_common_lines(small, 2).collect()), key=str)
+@pytest.mark.parametrize("rows", ["own", "again"])
+def test_lines_of_many_shards(small, monkeypatch, rows):
+    """With arrays beyond a broadcast, hashes meet shards of a few lines in groups of a few rows; repeated and missing ids too."""
+    docs = small if rows == "own" else small.union(small.withColumn("doc_id", F.lit(None).cast("long"))).union(small.limit(30))
+    ordered = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = ordered(lines.drop_common_lines(docs, 3, ("lang", "key")))
     monkeypatch.setattr(lines, "SHARD_LINES", 8)
-    assert sorted(map(tuple, lines.drop_common_lines(small, 2, table_bytes=1).collect()), key=str) == want
+    monkeypatch.setattr(lines, "GROUP_HASHES", 16)
+    many = lines.drop_common_lines(docs, 3, ("lang", "key"), table_bytes=1)
+    assert ordered(many) == want and sum(r[5] for r in want) > 0
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_lines_empty_of_many_shards(empty, small):
+    assert lines.drop_common_lines(empty, table_bytes=-1).count() == 0
+    assert lines.drop_common_lines(small, 255, table_bytes=-1).agg(F.sum("n_dropped")).first()[0] == 0
+    with pytest.raises(ValueError):
+        lines.drop_common_lines(small, carry=("n_lines",))
 
 
 # --- all
