@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from aeolis.plans import archives, arrays, conversions, documents, functions, processes, records, regridding, relations, wording  # noqa: F401  each adds its queries
+from aeolis.plans import archives, arrays, conversions, documents, functions, processes, records, regridding, relations, soundings, wording  # noqa: F401  each adds its queries
 from aeolis.plans.queries import ORACLE_SQL, QUERIES
 
 from .conftest import SF
