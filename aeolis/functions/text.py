@@ -108,10 +108,10 @@ def clean_id(s: Column) -> Column:
     return F.upper(out)
 
 
-def size_text(n: Column) -> Column:
-    """Bytes in the largest unit that leaves at least 1, with two digits cut."""
-    out = F.concat(n.cast("string"), F.lit(" bytes"))
-    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB"), (5, "PB")):
+def size_text(n: Column, largest: str = "PB") -> Column:
+    """Bytes in the largest unit, up to `largest`, that leaves at least 1, with two digits cut."""
+    out, units = F.concat(n.cast("string"), F.lit(" bytes")), ("KB", "MB", "GB", "TB", "PB")
+    for power, unit in enumerate(units[: units.index(largest) + 1], 1):
         out = F.when(n >= 1000**power, F.concat(F.format_string("%.2f", F.floor(n / 1000**power * 100) / 100), F.lit(f" {unit}"))).otherwise(out)
     return out
 

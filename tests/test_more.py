@@ -124,3 +124,9 @@ def test_catalog(spark):
 @pytest.fixture(autouse=True)
 def _spark_started(spark):
     """Column functions need a session."""
+
+
+def test_largest_unit(spark):
+    """A size that has a unit of its own stays in the largest unit that is asked for."""
+    assert one(spark, text.size_text(L(1239999999999), "GB")) == "1239.99 GB"
+    assert one(spark, text.size_text(L(1239999999999))) == "1.23 TB"
