@@ -21,7 +21,7 @@ from ..functions.definitions import gaussian_latitudes
 LEAST = 0.5
 #: Weights that are shipped to tasks as arrays (16 bytes each); larger pairs of grids go by rows.
 MOST_WEIGHTS = 1 << 24
-#: Positions are rounded to so many places, so that a cell that falls on another is that cell.
+#: Positions are rounded to so many places, so that a cell that falls on another is that cell; but not between gaussian rows.
 PLACES = 9
 #: Fixed values of the octagonal grid: columns and rows, the pole's cell, the square of its radius in cells, degrees that it is turned by, and rows that widen and narrow.
 OCTAGON_NX, OCTAGON_NY, POLE_I, POLE_J, RADIUS_SQUARED, TURN, SLANT = 47, 51, 23, 25, 973.712023868, 10.0, 14
@@ -29,6 +29,12 @@ OCTAGON_NX, OCTAGON_NY, POLE_I, POLE_J, RADIUS_SQUARED, TURN, SLANT = 47, 51, 23
 TO_OCTAGONAL, PERCENT, SOUTH = {6: 28, 57: 47}, 44, 20.0
 
 
+def _split(position: Column) -> Column:
+    """struct(at, way): the cell before a rounded position and the way from it to the next; null for null."""
+    rounded = F.round(position, PLACES)
+    return F.when(rounded.isNotNull(), F.struct(F.floor(rounded).cast("int").alias("at"), (rounded - F.floor(rounded)).alias("way")))
+
+
 class Regular(NamedTuple):
     """ny rows from latitude lat in steps of dlat, of nx columns from longitude lon in steps of dlon."""
 
@@ -46,7 +52,7 @@ class Regular(NamedTuple):
         return self.lat + F.floor(cell / self.nx) * self.dlat, self.lon + F.pmod(cell, F.lit(self.nx)) * self.dlon
 
     def position(self, lat: Column, lon: Column) -> tuple[Column, Column]:
-        return F.pmod(lon - self.lon, F.lit(360.0)) / self.dlon, (lat - self.lat) / self.dlat
+        return _split(F.pmod(lon - self.lon, F.lit(360.0)) / self.dlon), _split((lat - self.lat) / self.dlat)
 
     def cell(self, i: Column, j: Column) -> Column:
         """Number of the cell, columns round the earth and rows over a pole on the opposite meridian; null beyond the grid."""
@@ -79,12 +85,13 @@ class Gaussian(NamedTuple):
         return F.get(lats, F.floor(cell / self.nx).cast("int")), self.lon + F.pmod(cell, F.lit(self.nx)) * (360.0 / self.nx)
 
     def position(self, lat: Column, lon: Column) -> tuple[Column, Column]:
-        """The row is linear in latitude between two rows; null beyond the first and the last."""
+        """The row is linear in latitude between two rows and not rounded; null beyond the first and the last."""
         lats = F.array(*map(F.lit, gaussian_latitudes(self.circles)))
         north = F.size(F.filter(lats, lambda x: x >= lat)) - 1
         above, below = F.get(lats, north), F.get(lats, north + 1)
-        row = F.when(above == lat, north.cast("double")).otherwise(north + (above - lat) / (above - below))
-        return F.pmod(lon - self.lon, F.lit(360.0)) / (360.0 / self.nx), F.when(north >= 0, row)
+        way = F.when(above == lat, 0.0).otherwise((above - lat) / (above - below))
+        row = F.when((north >= 0) & way.isNotNull(), F.struct(north.alias("at"), way.alias("way")))
+        return _split(F.pmod(lon - self.lon, F.lit(360.0)) / (360.0 / self.nx)), row
 
     def cell(self, i: Column, j: Column) -> Column:
         return F.when(j.between(0, 2 * self.circles - 1), j * self.nx + F.pmod(i, F.lit(self.nx)))
@@ -108,7 +115,7 @@ class Octagonal(NamedTuple):
 
     def position(self, lat: Column, lon: Column) -> tuple[Column, Column]:
         r, turned = math.sqrt(RADIUS_SQUARED) * F.tan(F.radians(45 - lat / 2)), F.radians(lon - TURN)
-        return r * F.cos(turned) + POLE_I, r * F.sin(turned) + POLE_J
+        return _split(r * F.cos(turned) + POLE_I), _split(r * F.sin(turned) + POLE_J)
 
     def cell(self, i: Column, j: Column) -> Column:
         cut = F.greatest(F.lit(0), SLANT - j, j - (OCTAGON_NY - 1 - SLANT))
@@ -137,9 +144,8 @@ def weights(spark: SparkSession, source: Grid, target: Grid, kernel: str = "bess
     lat, lon = target.place(F.col("target"))
     at = spark.range(target.size()).select(F.col("id").cast("int").alias("target")).select("target", lat.alias("lat"), lon.alias("lon")).filter(F.col("lat") >= south)
     x, y = source.position(F.col("lat"), F.col("lon"))
-    at = at.select("target", F.round(x, PLACES).alias("x"), F.round(y, PLACES).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    at = at.select("target", *(e for c in ("x", "y") for e in (F.floor(c).cast("int").alias(f"{c}0"), (F.col(c) - F.floor(c)).alias(f"{c}d"))))
-    pairs = [F.struct((F.col("x0") + i).alias("i"), (F.col("y0") + j).alias("j"), (u * v).alias("weight")) for j, v in _taps(kernel, F.col("yd")) for i, u in _taps(kernel, F.col("xd"))]
+    at = at.select("target", x.alias("x"), y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    pairs = [F.struct((F.col("x.at") + i).alias("i"), (F.col("y.at") + j).alias("j"), (u * v).alias("weight")) for j, v in _taps(kernel, F.col("y.way")) for i, u in _taps(kernel, F.col("x.way"))]
     taps = at.select("target", F.inline(F.array(*pairs))).filter("weight <> 0")
     found = taps.select("target", source.cell(F.col("i"), F.col("j")).cast("int").alias("source"), "weight").filter("source IS NOT NULL")
     # Over a pole two of the cells may be one.

@@ -133,3 +133,16 @@ def test_edges(spark):
         regrid.regrid_fields(df, part, fine, most=100)
     with pytest.raises(ValueError):
         regrid.weights(spark, part, fine, "cubic")
+
+
+def test_gaussian_rows_are_not_rounded(spark):
+    """Values as large as these tell positions that were rounded between rows."""
+    source = regrid.Gaussian(4, 16)
+    lats = regrid.gaussian_latitudes(16)
+    cells = spark.createDataFrame([(0, r * 4 + i, (-1.0) ** r * 1e9) for r in range(32) for i in range(4)], "field int, cell int, value double")
+    found = {r["cell"]: r["value"] for r in regrid.gaussian_to_latlon(cells, source, "field").collect()}
+    for k in range(69):
+        lat = 85 - 2.5 * k
+        n = sum(x >= lat for x in lats)
+        a, b = (-1.0) ** (n - 1) * 1e9, (-1.0) ** n * 1e9
+        assert found[4 * k] == pytest.approx((a * (lat - lats[n]) + b * (lats[n - 1] - lat)) / (lats[n - 1] - lats[n]), abs=1e-4)
