@@ -16,12 +16,13 @@ def _cells(spark, sf_dir, vectors: int, size: int):
 
 
 def _grids(spark, sf_dir, vectors: int, size: int):
-    """field, param and the cells as an array, null where a vector lacks one or the table ends."""
-    held = F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("cell", "value"))))
-    arrays = _cells(spark, sf_dir, vectors, size).groupBy("field").agg(held.alias("m"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at("m", i))
+    """field, param and the cells as an array, null where a vector lacks one or the table ends. Vectors are put in their places whole."""
+    rows = fields(spark, sf_dir).select(F.expr(f"vec_id div {vectors}").alias("field"), (F.col("vec_id") % vectors).cast("int").alias("at"), "v")
+    arrays = rows.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
+    none = F.array_repeat(F.lit(None).cast("double"), 64)
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(vectors - 1)), lambda i: F.coalesce(F.try_element_at("m", i), none)))
     code = F.get(F.array(*map(F.lit, (6, 57, 44, 28, 47, 1))), (F.col("field") % 6).cast("int"))
-    return arrays.select("field", code.alias("param"), values.alias("values"))
+    return arrays.select("field", code.alias("param"), F.slice(whole, 1, size).alias("values"))
 
 
 def _cells_sql(vectors: int, size: int) -> str:
