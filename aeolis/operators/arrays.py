@@ -6,6 +6,7 @@ column; variables with equal times, or levels, share a dimension. Cells of a tim
 
 from __future__ import annotations
 
+import math
 import os
 from typing import NamedTuple
 
@@ -19,6 +20,8 @@ from ..sources.sinks import netcdf_cells, netcdf_head
 
 #: Units of time in messages by code.
 UNITS = {0: "minutes", 1: "hours", 2: "days", 3: "months", 4: "years", 5: "decades", 6: "normals", 7: "centuries", 10: "3hours", 11: "6hours", 12: "12hours"}
+#: Degrees that a place may be beyond a bound; places behind the point to which distances are told apart.
+SLACK, PLACES = 1e-4, 9
 
 
 class Shape(NamedTuple):
@@ -135,8 +138,7 @@ def write_arrays(fields: DataFrame, folder: str, shape: Shape, origin: str = "19
 
 def latitude_range(shape: Shape, south: Column, north: Column) -> Column:
     """struct(first, last, values): rows of the grid from south to north, edges included; equal bounds give the row next to them (of two the first)."""
-    rows = F.transform(F.sequence(F.lit(0), F.lit(shape.ny - 1)), lambda j: F.struct(j.alias("at"), (shape.lat + j * shape.dlat).alias("value")))
-    return _within(rows, south, north, 1e-4)
+    return _within(_Axis(shape.ny, shape.lat, shape.dlat), south, north, SLACK)
 
 
 def longitude_range(shape: Shape, west: Column, east: Column) -> Column:
@@ -146,26 +148,61 @@ def longitude_range(shape: Shape, west: Column, east: Column) -> Column:
     beyond 180. Equal bounds give the next column. Bounds may be from -180 to 360; the grid goes round the earth.
     """
     turn = lambda x: F.pmod(x - shape.lon, F.lit(360.0)) + shape.lon
-    columns = F.transform(F.sequence(F.lit(0), F.lit(shape.nx - 1)), lambda i: F.struct(i.alias("at"), (shape.lon + i * shape.dlon).alias("value")))
+    axis = _Axis(shape.nx, shape.lon, shape.dlon)
     low, high, whole = turn(west), turn(east), east - west >= 360 - 1e-9
-    all_ = F.struct(F.lit(0).alias("first"), F.lit(shape.nx - 1).alias("last"), F.transform(columns, lambda c: c["value"]).alias("values"))
-    plain = _within(columns, low, high, 1e-4)
+    all_ = F.struct(F.lit(0).alias("first"), F.lit(shape.nx - 1).alias("last"), axis.values(F.lit(0), F.lit(shape.nx - 1)).alias("values"))
+    plain = _within(axis, low, high, SLACK)
     # A whole turn does not come back to where it began.
-    left, right = F.filter(columns, lambda c: c["value"] >= low - 1e-4), F.filter(columns, lambda c: c["value"] <= F.when(whole, low - 2e-4).otherwise(high) + 1e-4)
-    shifted = F.transform(left, lambda c: F.struct(c["at"].alias("at"), (c["value"] - 360).alias("value")))
-    both = F.concat(shifted, right)
-    around = F.struct(F.get(both, F.lit(0))["at"].alias("first"), F.element_at(both, -1)["at"].alias("last"), F.transform(both, lambda c: c["value"]).alias("values"))
-    return F.when(west == east, plain).when(whole & (F.abs(low - shape.lon) < 1e-9), all_).when((low > high) | whole, F.when(F.size(both) > 0, around)).otherwise(plain)
-
-
-def _within(places: Column, low: Column, high: Column, slack: float) -> Column:
-    """struct(first, last, values) of places (at, value) between the bounds, or next to them if they are equal; null where there is none."""
-    inside = F.filter(places, lambda p: (p["value"] >= low - slack) & (p["value"] <= high + slack))
-    apart = F.transform(places, lambda p: F.struct(F.round(F.abs(p["value"] - low), 9).alias("off"), p["at"].alias("at"), p["value"].alias("value")))
-    nearest = F.array_min(apart)
-    one = F.struct(nearest["at"].alias("first"), nearest["at"].alias("last"), F.array(nearest["value"]).alias("values"))
-    many = F.struct(F.get(inside, F.lit(0))["at"].alias("first"), F.element_at(inside, -1)["at"].alias("last"), F.transform(inside, lambda p: p["value"]).alias("values"))
-    return F.when(low == high, one).when(F.size(inside) > 0, many)
+    left, right = (axis.ascending(low - SLACK), F.lit(shape.nx - 1)), (F.lit(0), axis.descending(F.when(whole, low - 2 * SLACK).otherwise(high) + SLACK))
+    some, more = left[0] <= left[1], right[0] <= right[1]
+    both = F.concat(F.transform(axis.values(*left), lambda v: v - 360), axis.values(*right))
+    around = F.struct(F.when(some, left[0]).otherwise(right[0]).alias("first"), F.when(more, right[1]).otherwise(left[1]).alias("last"), both.alias("values"))
+    return F.when(west == east, plain).when(whole & (F.abs(low - shape.lon) < 1e-9), all_).when((low > high) | whole, F.when(some | more, around)).otherwise(plain)
+
+
+class _Axis(NamedTuple):
+    """n places from `start` in steps; what lies within bounds is worked out, not looked for."""
+
+    n: int
+    start: float
+    step: float
+
+    def value(self, at: Column) -> Column:
+        return self.start + at * self.step
+
+    def values(self, first: Column, last: Column) -> Column:
+        """The values from first to last; empty where last is before first."""
+        return F.when(first <= last, F.transform(F.sequence(first, last), self.value)).otherwise(F.array().cast("array<double>"))
+
+    def _near(self, value: Column) -> Column:
+        """A place at most one beside that of the value, which is -1 before the axis and n behind it."""
+        return F.least(F.greatest(F.floor((value - self.start) / self.step), F.lit(-1)), F.lit(self.n)).cast("int")
+
+    def ascending(self, low: Column) -> Column:
+        """The first place, in the direction of the values, that is not below low."""
+        at = self._near(low)
+        return F.greatest(F.lit(0), F.when(self.value(at) >= low, at).when(self.value(at + 1) >= low, at + 1).otherwise(at + 2))
+
+    def descending(self, high: Column) -> Column:
+        """The last place, in the direction of the values, that is not above high."""
+        at = self._near(high)
+        return F.least(F.lit(self.n - 1), F.when(self.value(at + 1) <= high, at + 1).when(self.value(at) <= high, at).otherwise(at - 1))
+
+    def nearest(self, value: Column) -> Column:
+        """The place next to a value, of two that are as near the first."""
+        held = lambda at: F.greatest(F.lit(0), F.least(F.lit(self.n - 1), at))
+        at = self._near(value)
+        return F.least(*(F.struct(F.round(F.abs(self.value(held(at + k)) - value), PLACES).alias("off"), held(at + k).alias("at")) for k in (-1, 0, 1, 2)))["at"]
+
+
+def _within(axis: _Axis, low: Column, high: Column, slack: float) -> Column:
+    """struct(first, last, values) of the places between the bounds, or next to them if they are equal; null where there is none."""
+    turned = _Axis(axis.n, -axis.start, -axis.step) if axis.step < 0 else axis
+    top = F.nanvl(high, F.lit(math.inf))
+    bounds = (-top - slack, -low + slack) if axis.step < 0 else (low - slack, top + slack)
+    first, last, near = turned.ascending(bounds[0]), turned.descending(bounds[1]), axis.nearest(low)
+    pick = lambda a, b: F.struct(a.alias("first"), b.alias("last"), axis.values(a, b).alias("values"))
+    return F.when(low == high, pick(near, near)).when((first <= last) & ~F.isnan(low), pick(first, last))
 
 
 def cell_methods(time_range: Column, unit: Column, p1: Column, p2: Column, n: Column, valid: Column) -> Column:

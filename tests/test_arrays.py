@@ -106,3 +106,21 @@ def test_cell_methods(spark):
         "time: mean over months", "time: mean over intervals of 6 hours", "time: mean over months", "time: mean over intervals of 1 months", "time: sum over 3 hours time: mean over months",
         "time: sum over 3 6hours time: sum over intervals of 6 6hours", "time: mean over 3 hours time: mean over intervals of 6 hours", None, "time: mean over intervals of 0 hours",
     ]
+
+
+def test_ranges_are_worked_out(spark):
+    """As a look at every place of an axis tells, at bounds on, within rounding of and far from places; no place is looked at for a row."""
+    edges = [x * 2.5 + d for x in range(-3, 9) for d in (0.0, 1e-4, -1e-4, 1.00001e-4, 0.99999e-4, -1.00001e-4, 1.25, 0.7)] + [-1e300, 1e300, float("inf"), float("-inf")]
+    pairs = [(a, b) for a in edges for b in edges if a <= b] + [(0.0, float("nan")), (float("nan"), 5.0)]
+    rows = spark.createDataFrame(pairs, "a double, b double")
+    for step in (2.5, -2.5):
+        places = [(15 if step < 0 else 0) + j * step for j in range(7)]
+        found = rows.select("a", "b", arrays.latitude_range(arrays.Shape(4, 7, places[0], step, 0.0, 90.0), F.col("a"), F.col("b")).alias("r"))
+        assert "filter(" not in found._jdf.queryExecution().optimizedPlan().toString()
+        for a, b, r in found.collect():
+            inside = [j for j, v in enumerate(places) if a - 1e-4 <= v and (v <= b + 1e-4 or b != b)]
+            if a == b and abs(a) < 1e9:
+                inside = [min(range(7), key=lambda j: (round(abs(places[j] - a), 9), j))]
+            if a == b and abs(a) >= 1e9:
+                continue
+            assert (r and (r["first"], r["last"], r["values"])) == ((inside[0], inside[-1], [places[j] for j in inside]) if inside else None), (a, b)
