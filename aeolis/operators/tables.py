@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def elements(df: DataFrame, values: Column | str, *keys: Column | str, element: str = "v", place: str = "_place") -> DataFrame:
+    """keys, place and element: a row for each element of an array, places from 0; rows without an array or with an empty one go.
+
+    They go behind the explode. Ahead of it, where Spark puts such a filter by itself, the array would be worked out again, with all that it is made from
+    in place of each mention of it: for arrays made by functions of their places, in the square of their length.
+    """
+    return df.select(*keys, F.posexplode_outer(values).alias(place, element)).filter(F.col(place).isNotNull())
+
+
 def upsert(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """table with rows put in, one row a key: rows win over the table, of several the greatest by their columns.
 

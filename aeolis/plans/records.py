@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import joins, tables
 from ..sources import binary, packed, sinks, text
 from .queries import FIELD_SQL, fields, query, read
 
@@ -98,7 +98,7 @@ def compared_levels(spark, sf_dir):
     level = lambda x: sinks.fixed_width((0, 5, x["n"] * 100), (5, 6, x["n"] * 150), (11, 5, x["s"] % 600 - 300), (16, 5, x["q"]), (21, 5, F.lit(10)))
     head = sinks.fixed_width((1, 2, F.lit(1)), (4, 6, F.col("l_orderkey") % 1000000), (12, 8, F.lit("79020304")), (25, 6, F.lit("10.5")), (31, 7, F.lit("-20.25")), (38, 5, F.lit(7)))
     records = text.compare_records(spark, grouped.select(F.concat(head, F.array_join(F.transform("xs", level), "")).alias("value")))
-    return records.select("stn", "ts", F.explode("levels").alias("v")).select("stn", "ts", "v.pres", "v.hgt", "v.temp", "v.dd")
+    return tables.elements(records, "levels", "stn", "ts").select("stn", "ts", "v.pres", "v.hgt", "v.temp", "v.dd")
 
 
 @query(
@@ -126,7 +126,7 @@ def bathythermograph_levels(spark, sf_dir):
         read(spark, sf_dir, "part"), (0, 2, F.lit("01")), (3, 2, _digits(p % 80, 2)), (5, 3, _digits(p % 600, 3)), (8, 1, F.lit("S")), (10, 3, F.lit("020")), (13, 3, F.lit("300")), (16, 1, F.lit("E")), (18, 2, F.lit("87")), (20, 2, F.lit("06")),
         (22, 2, _digits(p % 28 + 1, 2)), (24, 4, F.lit("1230")), (44, 2, F.substring(name, 1, 2)), (48, 2, F.substring(name, 3, 2)), (95, 4, F.lit(3)), (100, 24, level),
     )
-    return text.bathythermographs(spark, lines).select("id", F.explode("levels").alias("v"), "ts", "lat").select("id", "v.depth", "v.t", "ts", "lat")
+    return tables.elements(text.bathythermographs(spark, lines), "levels", "id", "ts", "lat").select("id", "v.depth", "v.t", "ts", "lat")
 
 
 @query("SELECT lpad((o_custkey % 100000000)::VARCHAR, 8, '0') AS id, date_trunc('day', o_orderdate) + INTERVAL (o_orderkey % 24) HOUR AS ts, (o_orderkey % 9000 - 500)::INT AS height, round(-(o_orderkey % 80 + (o_orderkey % 60) / 60.0), 3)::DOUBLE AS lat FROM orders")
@@ -174,8 +174,10 @@ def little_r_levels(spark, sf_dir):
     cells = lambda n: [F.lit(f"{1000 - 50 * n}.00000"), missing, F.when((p + n) % 3 > 0, F.concat((p % 500 + n).cast("string"), F.lit(".00000"))).otherwise(missing)] + [missing] * 7
     row = lambda values: F.concat(*(F.concat(F.lpad(v, 13, " "), F.lit("      0")) for v in values))
     end = row([F.lit("-777777.00000")] * 2 + [missing] * 8)
-    whole = read(spark, sf_dir, "part").select(F.concat_ws("\n", head, *(row(cells(n)) for n in (1, 2, 3)), end, F.lit("      3      0      0\n")).alias("value"))
-    found = text.little_r(spark, whole).select("id", "ts", F.posexplode("levels").alias("level", "v"))
+    # A key of a few bytes becomes a file of 1,400, so that keys are dealt to as many tasks as a shuffle has.
+    parts = read(spark, sf_dir, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = parts.select(F.concat_ws("\n", head, *(row(cells(n)) for n in (1, 2, 3)), end, F.lit("      3      0      0\n")).alias("value"))
+    found = tables.elements(text.little_r(spark, whole), "levels", "id", "ts", place="level")
     return found.select("id", "ts", (F.col("level") + 1).alias("level"), "v.pressure", "v.temperature")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bitmaps, soundings
-from ..operators import inventories
+from ..operators import inventories, tables
 from .queries import query, read
 
 KINDS = 7
@@ -37,7 +37,7 @@ def appended_soundings(spark, sf_dir):
     first = made("odd", 1, 2, lambda i: ((k + i) % 2).cast("int"))
     second = made("even", 3, 4, lambda i: ((k + i) % 3 == 0).cast("int"))
     one = arrays.select("k", first.alias("first"), second.alias("second")).select("k", soundings.appended(F.col("first"), F.col("second")).alias("s"))
-    rows = one.select("k", F.array_join("s.indicators", "").alias("indicators"), "s.released", "s.ended", F.posexplode("s.levels").alias("place", "x"))
+    rows = tables.elements(one, "s.levels", "k", F.array_join("s.indicators", "").alias("indicators"), "s.released", "s.ended", element="x", place="place")
     return rows.select("k", "place", "x.n", F.array_join("x.quality", "").alias("quality"), "indicators", "released", "ended")
 
 
@@ -81,7 +81,7 @@ def checked_soundings(spark, sf_dir):
     )
     arrays = _lines(spark, sf_dir).groupBy("k").agg(F.array_sort(F.collect_list(level)).alias("levels"))
     checked = arrays.withColumn("c", soundings.hydrostatic_check(F.col("levels"), "humidity", 120))
-    rows = checked.select("k", "c.status", "c.surface", "c.surfaces", F.explode(F.arrays_zip(F.col("levels.n").alias("n"), F.col("c.checks").alias("check"))).alias("x"))
+    rows = tables.elements(checked, F.arrays_zip(F.col("levels.n").alias("n"), F.col("c.checks").alias("check")), "k", "c.status", "c.surface", "c.surfaces", element="x")
     return rows.select("k", "x.n", "x.check.computed", "x.check.difference", "status", "surface", "surfaces")
 
 

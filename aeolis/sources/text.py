@@ -196,7 +196,9 @@ def little_r(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     cell = lambda row, k: F.trim(F.substring(row, 20 * k + 1, 13)).try_cast("double")
     known = lambda x: F.when(x > -888887, x)
     rows = F.filter(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: (F.length(x) >= 200) & ~x.startswith("-777777"))
-    levels = F.transform(rows, lambda r: F.struct(*(known(cell(r, k)).alias(f) for k, f in enumerate(fields))))
+    # Cells are parsed once, then compared.
+    cells = F.transform(rows, lambda r: F.array(*(cell(r, k) for k in range(len(fields)))))
+    levels = F.transform(cells, lambda c: F.struct(*(known(F.get(c, F.lit(k))).alias(f) for k, f in enumerate(fields))))
     head = F.element_at("lines", 1)
     return lines.filter(F.size("lines") > 1).select(
         F.trim(_text(40, 40, head)).alias("id"), F.to_timestamp_ntz(_text(326, 14, head), F.lit("yyyyMMddHHmmss")).alias("ts"), _real(0, 20, 1, head).alias("lat"), _east(_real(20, 20, 1, head)).alias("lon"),

@@ -155,3 +155,12 @@ def test_grib1(spark, tmp_path):
 
 def test_ibm_floats():
     assert np.allclose(binary.ibm_floats(np.array([0x41100000, 0xC276A000, 0])), [1.0, -118.625, 0.0])
+
+
+def test_levels_are_worked_out_once(spark):
+    """No filter ahead of the explode holds the levels again."""
+    from aeolis.plans import records
+
+    for query in (records.compared_levels, records.little_r_levels):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("try_cast" in x for x in plan.split("\n") if x.strip(" +-:").startswith("Filter")) == 0
