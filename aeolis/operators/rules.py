@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import elements
+
 #: Rules that are broadcast.
 MOST = 100_000
 
@@ -82,9 +84,9 @@ def parameter_map(xml: Column) -> Column:
 
 def keyword_rules(maps: DataFrame, name: str, xml: str) -> DataFrame:
     """map, code, kind (GCMD, CF, ISO), level_type, level_value (null where any), keyword of documents named format or format.special."""
-    parameters = maps.select(F.col(name).alias("map"), F.explode(parameter_map(F.col(xml))["parameter"]).alias("p"))
+    parameters = elements(maps, parameter_map(F.col(xml))["parameter"], F.col(name).alias("map"), element="p")
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"p.{k}").alias("rules")) for k in ("GCMD", "CF", "ISO")))
-    rules = parameters.select("map", F.col("p._code").alias("code"), F.explode(kinds).alias("k")).select("map", "code", "k.kind", F.explode("k.rules").alias("r"))
+    rules = elements(elements(parameters, kinds, "map", F.col("p._code").alias("code"), element="k"), "k.rules", "map", "code", "k.kind", element="r")
     stated = lambda c: F.nullif(F.col(f"r.{c}"), F.lit(""))
     return rules.select("map", "code", "kind", stated("_ifLevelType").alias("level_type"), stated("_ifLevelValue").alias("level_value"), F.col("r._VALUE").alias("keyword"))
 
