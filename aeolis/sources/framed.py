@@ -9,6 +9,7 @@ Records are thus those of a reader of the whole file, whatever the ranges are.
 from __future__ import annotations
 
 import json
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -43,6 +44,8 @@ class Bytes:
 
     def at(self, start: int, n: int) -> bytes:
         """Up to n bytes from start, fewer at the end of the file."""
+        if start >= self.lo and 0 <= n <= self.lo + len(self.held) - start:
+            return self.held[start - self.lo : start - self.lo + n]
         n = max(0, min(n, self.size - start))
         if not n:
             return b""
@@ -57,6 +60,16 @@ class Bytes:
     def number(self, start: int, n: int) -> int:
         return int.from_bytes(self.at(start, n), "big")
 
+    def find(self, mark: bytes, start: int, end: int) -> int:
+        """The first place from start to end where the mark begins, or -1; nothing is copied."""
+        while start < end and len(self.at(start, len(mark))) == len(mark):
+            ahead = min(end + len(mark) - 1, self.lo + len(self.held))
+            place = self.held.find(mark, start - self.lo, ahead - self.lo)
+            if place >= 0:
+                return self.lo + place
+            start = ahead - len(mark) + 1
+        return -1
+
 
 @dataclass
 class Found:
@@ -106,6 +119,10 @@ class _Chained:
             at = after
         return at
 
+    def scan(self, data: Bytes, at: int, end: int) -> tuple[int, int]:
+        """What `next` gives, and how many records begin from `at` to end."""
+        return self.next(data, at, end), sum(1 for _ in self.records(data, at, end))
+
 
 class Fortran(_Chained):
     """Records between two big-endian lengths of four bytes. The rest of a file below eight bytes is left.
@@ -134,6 +151,12 @@ class Fortran(_Chained):
             for p in np.flatnonzero(fits[: end - lo]).tolist():
                 yield lo + p
 
+    def scan(self, data, at, end):
+        n = 0
+        while at < end and (after := self.after(data, at)) is not None:
+            at, n = after, n + 1
+        return at, n
+
     def records(self, data, at, end):
         while at < end and (after := self.after(data, at)) is not None:
             yield Found(at, [(at + 4, after - at - 8)])
@@ -143,6 +166,9 @@ class Fortran(_Chained):
 class Spanned(_Chained):
     """Variable records in blocks, as segments that are whole, first, last or in the middle."""
 
+    #: Lengths of a block and of its first segment, and the segment's code.
+    HEAD = struct.Struct(">HHHBB")
+
     def _segments(self, data: Bytes, at: int, after: int) -> list[tuple[int, int, int]]:
         """place, length and code of the segments of a block."""
         out, p = [], at + 4
@@ -154,14 +180,23 @@ class Spanned(_Chained):
             p += size
         return out
 
-    def after(self, data, at):
+    def _block(self, data: Bytes, at: int) -> tuple[int, list[tuple[int, int, int]]] | None:
+        """End and segments of the block at `at`; None where the file ends."""
         if at + 4 > data.size:
             return None
+        head = data.at(at, 8)
+        if len(head) == 8:
+            size, zero, held, code, _ = self.HEAD.unpack(head)
+            if not zero and held + 4 == size and held >= 4 and code < 4 and at + size <= data.size:
+                return at + size, [(at + 8, held - 4, code)]
         size = data.number(at, 2)
         if size < 4 or data.number(at + 2, 2) or at + size > data.size:
             raise Broken(f"no block at byte {at}")
-        self._segments(data, at, at + size)
-        return at + size
+        return at + size, self._segments(data, at, at + size)
+
+    def after(self, data, at):
+        block = self._block(data, at)
+        return block and block[0]
 
     def likely(self, data, start, end):
         for lo in range(start, end, WINDOW - 8):
@@ -174,10 +209,28 @@ class Spanned(_Chained):
             for p in np.flatnonzero(fits[: end - lo]).tolist():
                 yield lo + p
 
+    def scan(self, data, at, end):
+        n, held, behind = 0, False, None
+        while at < end or held:
+            if at >= end and behind is None:
+                behind = at
+            if (block := self._block(data, at)) is None:
+                break
+            for _, _, code in block[1]:
+                if code < 2:
+                    if at >= end:
+                        return behind, n
+                    held = True
+                if held and code in (0, 2):
+                    n, held = n + 1, False
+            at = block[0]
+        return at if behind is None else behind, n
+
     def records(self, data, at, end):
         held = None
-        while (at < end or held) and (after := self.after(data, at)) is not None:
-            for place, size, code in self._segments(data, at, after):
+        while (at < end or held) and (block := self._block(data, at)) is not None:
+            after, segments = block
+            for place, size, code in segments:
                 if code in (0, 1):
                     if at >= end:
                         return
@@ -281,15 +334,7 @@ class Marked:
 
     def _messages(self, data: Bytes, at: int, end: int) -> Iterator[tuple[int, int, tuple]]:
         """Messages that begin from `at` to end: place, length, head."""
-        while at < end:
-            raw = data.at(at, min(WINDOW, end - at + 3))
-            place = raw.find(self.MARK)
-            if place < 0:
-                at += max(1, len(raw) - 3)
-                continue
-            at += place
-            if at >= end:
-                return
+        while (at := data.find(self.MARK, at, end)) >= 0:
             found = self.measure(data, at)
             if found and found[0] >= LEAST_MESSAGE and at + found[0] <= data.size and data.at(at + found[0] - 4, 4) == b"7777":
                 yield at, *found
@@ -301,9 +346,13 @@ class Marked:
         return next((p for p, _, _ in self._messages(data, start, end)), None)
 
     def next(self, data, at, end):
+        return self.scan(data, at, end)[0]
+
+    def scan(self, data, at, end):
+        n = 0
         for p, size, _ in self._messages(data, at, end):
-            at = p + size
-        return at
+            at, n = p + size, n + 1
+        return at, n
 
     def records(self, data, at, end):
         for p, size, head in self._messages(data, at, end):
@@ -382,6 +431,10 @@ class FramedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options, self.tests = dict(options), []
 
+    def __getstate__(self) -> dict:
+        """A task has its own range and not the plan of all, which would grow with the square of the ranges."""
+        return self.__dict__ | {"options": _bare(self.options)}
+
     def partitions(self) -> Sequence[Range]:
         if self.options.get("ranges") == "true":
             files = files_of(self.options["path"])
@@ -402,8 +455,7 @@ class FramedReader(DataSourceReader):
                 first = kind.first(data, partition.start, partition.end)
                 # A file that breaks off is told when it is read.
                 try:
-                    after = None if first is None else kind.next(data, first, partition.end)
-                    n = 0 if first is None else sum(1 for _ in kind.records(data, first, partition.end))
+                    after, n = (None, 0) if first is None else kind.scan(data, first, partition.end)
                 except Broken:
                     after, n = -1, 0
                 yield pa.RecordBatch.from_pylist([{"path": partition.path, "start": partition.start, "first": first, "next": after, "records": n, "bytes": partition.bytes}], _arrow(RANGES))
@@ -412,17 +464,21 @@ class FramedReader(DataSourceReader):
 
     def _records(self, kind, data: Bytes, r: Range) -> Iterator[pa.RecordBatch]:
         names, rows, held = [x.split()[0] for x in RECORDS.split(", ")], [], 0
+        tests = [(names.index(f.column), f) for f in self.tests if not getattr(f, "of_range", False)]
+        schema = _arrow(RECORDS)
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for n, found in enumerate(kind.records(data, r.first, r.end)):
-            head = dict(zip(names, (r.path, r.base + n, found.offset, found.size, *found.head)))
+            size = found.size
+            head = (r.path, r.base + n, found.offset, size, *found.head)
             # Heads that the pushed filters refuse are passed over before their contents are read.
-            if all(head[f.column] is not None and f(head[f.column]) for f in self.tests if not getattr(f, "of_range", False)):
-                rows.append(head | {"record": b"".join(data.at(p, size) for p, size in found.parts)})
-                held += found.size
+            if all(head[k] is not None and f(head[k]) for k, f in tests):
+                rows.append((*head, b"".join([data.at(p, length) for p, length in found.parts])))
+                held += size
             if held >= BATCH or len(rows) == 8192:
-                yield pa.RecordBatch.from_pylist(rows, _arrow(RECORDS))
+                yield batch()
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, _arrow(RECORDS))
+            yield batch()
 
 
 @dataclass
@@ -471,7 +527,14 @@ class FramedSource(DataSource):
         return RANGES if self.options.get("ranges") == "true" else RECORDS
 
     def reader(self, schema) -> DataSourceReader:
-        return (PushedReader if self.options.get("push") == "true" else FramedReader)(self.options)
+        made = (PushedReader if self.options.get("push") == "true" else FramedReader)(self.options)
+        # The source itself goes along with the reader.
+        self.options = _bare(self.options)
+        return made
+
+
+def _bare(options: dict[str, str]) -> dict[str, str]:
+    return {k: v for k, v in options.items() if k != "plan"}
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -548,8 +611,14 @@ def write_framed(df: DataFrame, folder: str, kind: str, file: str, order: str, r
                     yield r
 
             with store.open_output_stream(f"{root}/.{name}-{attempt}", compression=None) as out:
+                pieces, size = [], 0
                 for piece in framed(kind, most)(counted()):
-                    out.write(piece)
+                    pieces.append(piece)
+                    size += len(piece)
+                    if size >= WINDOW:
+                        out.write(b"".join(pieces))
+                        pieces, size = [], 0
+                out.write(b"".join(pieces))
             store.move(f"{root}/.{name}-{attempt}", f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]})
 

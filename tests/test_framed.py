@@ -164,3 +164,33 @@ def test_written_files(spark, tmp_path, kind):
     for k in range(3):
         mine = [bytes(r["record"]) for r in sorted((r for r in found if r["f"] == f"f{k}"), key=lambda r: r["rec_no"])]
         assert mine == [r for f, _, r in rows if f == f"f{k}" and r is not None]
+
+
+def test_tasks_have_no_plan(tmp_path):
+    """Neither the reader nor the source takes the plan of all ranges to each task."""
+    from pyspark import cloudpickle
+
+    plan = '[["a", 10, 0, 10, 0, 0], ["b", 10, 0, 10, 0, 0]]'
+    source = framed.FramedSource({"kind": "f77", "length": "0", "plan": plan})
+    reader = source.reader(None)
+    assert len(reader.partitions()) == 2
+    assert b'"a"' not in cloudpickle.dumps(reader) and b'"a"' not in cloudpickle.dumps(source)
+
+
+def test_messages_are_looked_for_without_copies(tmp_path):
+    """Bytes taken out of the window are in proportion to the file, also where the range is long."""
+    path = tmp_path / "many"
+    path.write_bytes(b"".join(bufr(3, 4, b"x" * 50) for _ in range(3000)))
+    taken = 0
+
+    class Counted(framed.Bytes):
+        def at(self, start, n):
+            nonlocal taken
+            out = super().at(start, n)
+            taken += len(out)
+            return out
+
+    with framed.opened(str(path)) as file:
+        data = Counted(file, path.stat().st_size)
+        assert sum(1 for _ in framed.Reported().records(data, 0, data.size)) == 3000
+    assert taken < 3 * data.size
