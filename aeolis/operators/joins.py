@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import above, below, blocks, bounds, place, range_count
+from .ranges import RANGE_ROWS, above, below, blocks, bounds, place, range_count
 
 #: Ranges at least, of about as many rows each, in which histories and marks are searched; rows ask for more.
 RANGES = 1
@@ -25,28 +25,36 @@ def _due_and_last(events: DataFrame, history: DataFrame, key: str, ts: str, star
     own = history.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), entry.alias("entry"))
     begins, ends = F.col("entry").getField(start), F.col("entry").getField(end)
     moments = events.select(F.col(ts).alias("at")).union(own.select(begins)).union(own.select(ends))
-    n = range_count(events.count() + 2 * history.count(), RANGES)
-    cuts = F.broadcast(bounds(moments, "at", n))
+    sizes = events.select(F.col(key).alias("key"), F.lit(1).alias("n")).union(own.select("key", F.lit(2))).groupBy("key").agg(F.sum("n").alias("n"))
+    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    # Keys that are small by themselves need no ranges.
+    n = RANGES if largest <= RANGE_ROWS else range_count(total, RANGES)
+    cuts = F.broadcast(bounds(moments, "at", n)) if n > 1 else None
     ranged = lambda df, at, *columns: df.select(*columns, F.lit(0).alias("range")) if n == 1 else df.join(cuts).select(*columns, place(F.col("cuts"), at).alias("range"))
     before = lambda *by: Window.partitionBy("key", *by).rowsBetween(Window.unboundedPreceding, -1)
 
     own = ranged(own, begins, "key", "entry")
-    sums = own.groupBy("key", "range").agg(F.max(ends).alias("top"))
-    sums = sums.select("key", "range", F.max("top").over(before().orderBy("range")).alias("top"))
-    own = own.withColumn("own_top", F.max(ends).over(before("range").orderBy("entry"))).join(sums, ["key", "range"])
-    passed = F.greatest("top", "own_top")
+    own = own.withColumn("own_top", F.max(ends).over(before("range").orderBy("entry")))
+    passed = F.col("own_top")
+    if n > 1:
+        sums = own.groupBy("key", "range").agg(F.max(ends).alias("top"))
+        own = own.join(sums.select("key", "range", F.max("top").over(before().orderBy("range")).alias("top")), ["key", "range"])
+        passed = F.greatest("top", "own_top")
     own = own.select("key", "entry", F.when(ends.isNotNull() & (passed.isNull() | (ends > passed)), ends).alias("until"))
     own = own.select("key", F.col("until").alias("at"), "until", "entry", F.lit(None).cast(events.select(F.struct("*")).schema[0].dataType).alias("event"))
     asked = events.select(F.col(key).alias("key"), F.col(ts).alias("at"), F.lit(None).cast(own.schema["until"].dataType).alias("until"), F.lit(None).cast(own.schema["entry"].dataType).alias("entry"), F.struct("*").alias("event"))
     columns = ("key", "at", "until", "entry", "event")
     rows = ranged(own, F.col("at"), *columns).union(ranged(asked, F.col("at"), *columns))
 
+    down = Window.partitionBy("key", "range").orderBy(F.desc("at"), F.col("event").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.last(F.when(F.col("until").isNotNull(), F.col("entry")), True).over(down)
+    if n == 1:
+        found = rows.select("event", "at", near.alias("near"), F.max("entry").over(Window.partitionBy("key", "range")).alias("last")).filter("event IS NOT NULL")
+        return found.select("event", F.when(F.col("at").isNotNull(), F.col("near")).alias("due"), "last")
     sums = rows.groupBy("key", "range").agg(F.min_by("entry", "until").alias("least"), F.max("entry").alias("most"))
     sums = sums.select(
         "key", "range", F.last("least", True).over(before().orderBy(F.desc("range"))).alias("later"), F.max("most").over(Window.partitionBy("key")).alias("last")
     )
-    down = Window.partitionBy("key", "range").orderBy(F.desc("at"), F.col("event").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = F.last(F.when(F.col("until").isNotNull(), F.col("entry")), True).over(down)
     found = rows.withColumn("near", near).filter("event IS NOT NULL").join(sums, ["key", "range"], "left")
     return found.select("event", F.when(F.col("at").isNotNull(), F.coalesce("near", "later")).alias("due"), "last")
 

@@ -140,3 +140,18 @@ def test_numbers_of_many_values(spark):
     df = spark.createDataFrame([(v,) for v in values for _ in range(2)], "v string")
     order = {v: i for i, v in enumerate(sorted(values, key=lambda v: (v is not None, v or "")))}
     assert {(r["v"], r["c"]) for r in catalog.numbered(df, "v", "c").collect()} == set(order.items())
+
+
+def test_small_keys_need_no_ranges(spark, monkeypatch):
+    """Keys are searched whole where none is large, and in ranges where one is; both tell the same."""
+    rows = spark.range(400).selectExpr("id % 7 AS k", "timestamp'2024-01-01' + make_dt_interval(id * 37 % 100) AS ts", "id AS n")
+    history = spark.range(60).selectExpr("id % 8 AS k", "timestamp'2024-01-01' + make_dt_interval(id * 11 % 90) AS s", "timestamp'2024-01-01' + make_dt_interval(id * 11 % 90 + id % 9) AS e", "id AS w")
+    asked = []
+    monkeypatch.setattr(joins, "bounds", lambda *x, f=joins.bounds: asked.append(x) or f(*x))
+    found = {}
+    for most in (1 << 18, 10):
+        monkeypatch.setattr(joins, "RANGE_ROWS", most)
+        monkeypatch.setattr(joins, "range_count", lambda n, least=1, most=most: max(least, n // most + 1))
+        found[most] = [sorted(map(str, f(rows, history, "k", "ts", "s", "e").collect())) for f in (joins.history_join, joins.interval_join)]
+        assert len(asked) == (0 if most > 1000 else 2)
+    assert found[10] == found[1 << 18]
