@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bitmaps
+from .tables import elements
+
+#: Maps that the codes of a file are dealt to.
+SLOTS = 32
 
 #: Order of names by kind: U time ranges, G grids, L levels, P parameters, R processes. Names that tie are one entry.
 ORDER: dict[str, Callable[[Column, Column], Column]] = {
@@ -19,17 +23,12 @@ ORDER: dict[str, Callable[[Column, Column], Column]] = {
 def codes(fields: DataFrame, file: str, packed: dict[str, str], plain: dict[str, str]) -> DataFrame:
     """file, kind, code: what the bitmaps (packed) and the columns (plain) of fields say of each file, once each, codes as text.
 
-    A bitmap that many fields of a file share is decoded once. Null and empty ones say nothing.
+    A bitmap that many fields of a file share is decoded once. Null and empty ones say nothing. Fields are read once, whatever the number of kinds.
     """
-
-    def of(kind: str, column: str, decode: bool) -> DataFrame:
-        rows = fields.select(F.col(file).alias("file"), F.col(column).alias("code")).filter("code IS NOT NULL").distinct()
-        if decode:
-            rows = rows.select("file", F.explode(bitmaps.decode(F.col("code"))).alias("code")).filter("code IS NOT NULL").distinct()
-        return rows.select("file", F.lit(kind).alias("kind"), F.col("code").cast("string").alias("code"))
-
-    parts = [of(k, c, True) for k, c in packed.items()] + [of(k, c, False) for k, c in plain.items()]
-    return reduce(DataFrame.unionByName, parts)
+    said = [F.struct(F.lit(k).alias("kind"), F.lit(bits).alias("packed"), F.col(c).cast("string").alias("text")) for bits, columns in ((True, packed), (False, plain)) for k, c in columns.items()]
+    texts = elements(fields, F.array(*said), F.col(file).alias("file")).select("file", "v.*").filter("text IS NOT NULL").distinct()
+    listed = F.when(F.col("packed"), bitmaps.decode(F.col("text")).cast("array<string>")).otherwise(F.array("text"))
+    return elements(texts, listed, "file", "kind", element="code").filter("code IS NOT NULL").select("file", "kind", "code").distinct()
 
 
 def numbered_codes(found: DataFrame, names: DataFrame, order: dict[str, Callable[[Column, Column], Column]] = ORDER) -> DataFrame:
@@ -58,12 +57,20 @@ def legend(numbered: DataFrame, prefix: str = "") -> DataFrame:
 def renumbered(rows: DataFrame, numbered: DataFrame, file: str, columns: dict[str, str]) -> DataFrame:
     """rows of the files in numbered, with the number of each code in columns n_<kind>, null for a code that the file does not list.
 
-    The codes of a file travel as one map, so rows meet them by a single join whatever the number of kinds.
+    The codes of a file travel as one map, so rows meet them by a single join whatever the number of kinds. Spark searches a map from
+    its start, so codes lie in maps of a few, by a hash.
     """
-    entries = F.map_from_entries(F.collect_list(F.struct(F.concat("kind", "code"), "number"))).alias("_numbers")
-    maps = numbered.groupBy(F.col("file").alias("_file")).agg(entries)
+    slot = lambda key: F.pmod(F.hash(key), F.lit(SLOTS))
+    keyed = numbered.select(F.col("file").alias("_file"), F.concat("kind", "code").alias("_key"), "number")
+    few = keyed.groupBy("_file", slot(F.col("_key")).alias("_slot")).agg(F.map_from_entries(F.collect_list(F.struct("_key", "number"))).alias("_few"))
+    maps = few.groupBy("_file").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_few"))).alias("_numbers"))
     found = rows.join(maps, rows[file] == maps["_file"])
-    return found.withColumns({f"n_{k}": F.try_element_at("_numbers", F.concat(F.lit(k), F.col(c).cast("string"))) for k, c in columns.items()}).drop("_file", "_numbers")
+
+    def number(kind: str, column: str) -> Column:
+        key = F.concat(F.lit(kind), F.col(column).cast("string"))
+        return F.try_element_at(F.try_element_at("_numbers", slot(key)), key)
+
+    return found.withColumns({f"n_{k}": number(k, c) for k, c in columns.items()}).drop("_file", "_numbers")
 
 
 def lines(renumbered_rows: DataFrame, *columns: str) -> Column:

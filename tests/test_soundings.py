@@ -66,3 +66,14 @@ def test_inventories(spark):
     rows = spark.createDataFrame([("f", 8, 3, "u"), ("f", 9, 77, None), ("none", 1, 3, "t")], "file string, at int, r int, p string")
     found = inventories.renumbered(rows, numbered, "file", {"U": "r", "P": "p"})
     assert {r[0] for r in found.select(inventories.lines(found, "at", "n_U", "n_P")).collect()} == {"8|2|0", "9||"}
+
+
+def test_fields_are_read_once_for_all_kinds(spark):
+    from aeolis.functions import bitmaps
+    from aeolis.operators import inventories
+
+    fields = spark.range(30).selectExpr("id % 3 AS f", "array(id % 5, id % 7 + 90) AS a", "CASE WHEN id % 4 > 0 THEN concat('p', id % 4) END AS p").select("f", bitmaps.encode(F.col("a")).alias("a"), "p")
+    found = inventories.codes(fields, "f", {"U": "a"}, {"P": "p"})
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    want = {(i % 3, "U", str(x)) for i in range(30) for x in (i % 5, i % 7 + 90)} | {(i % 3, "P", f"p{i % 4}") for i in range(30) if i % 4}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
