@@ -8,15 +8,15 @@ from ..sources import framed, sinks
 from .queries import query, read
 
 FILES = 4
-#: Bytes of a range at least: small, so that files of the supplied tables are split; and ranges of all files at most, about.
-RANGE, RANGES = 1 << 15, 1 << 8
+#: Bytes of a range at least: small, so that files of the supplied tables are split; ranges of all files, about, up to where each has the most bytes of one.
+RANGE, RANGES, MOST = 1 << 15, 1 << 6, 1 << 24
 
 
 def _round_trip(spark, rows, kind: str, most: int = 0):
     """rows (file, at, record) in files and back: file, rec_no and the reader's other columns."""
     folder = framed.shared_folder(spark)
     framed.write_framed(rows, folder, kind, "file", "at", most=most).collect()
-    found = framed.framed_records(spark, folder, kind, max(RANGE, sum(size for _, size in framed.files_of(folder)) // RANGES))
+    found = framed.framed_records(spark, folder, kind, min(max(RANGE, sum(size for _, size in framed.files_of(folder)) // RANGES), MOST))
     return found.withColumn("file", F.substring_index("path", "/", -1)).drop("path")
 
 

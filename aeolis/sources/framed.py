@@ -18,6 +18,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -28,8 +29,9 @@ RANGE_BYTES, MOST_RANGES, WINDOW, FOLLOWING, LONGEST = 256 << 20, 1 << 17, 1 <<
 LEAST_MESSAGE = 12
 RECORDS = "path string, rec_no long, offset long, size long, edition int, centre int, code int, record binary"
 RANGES = "path string, start long, first long, next long, records long, bytes long"
-#: Bytes of a batch of records.
-BATCH = 8 << 20
+PARTS = "file string, part long, name string, records long"
+#: Bytes of a batch of records; rows of a written part, about.
+BATCH, PART_ROWS = 8 << 20, 1 << 17
 
 
 class Broken(ValueError):
@@ -60,6 +62,13 @@ class Bytes:
     def number(self, start: int, n: int) -> int:
         return int.from_bytes(self.at(start, n), "big")
 
+    def window(self, start: int) -> tuple[bytes, int]:
+        """Bytes from start or before, of a window's length or up to the end of the file where fewer than half of one are held, and where they begin."""
+        if start < self.lo or start + WINDOW // 2 > self.lo + len(self.held) < self.size:
+            self.held = b""
+            self.at(start, 1)
+        return self.held, self.lo
+
     def find(self, mark: bytes, start: int, end: int) -> int:
         """The first place from start to end where the mark begins, or -1; nothing is copied."""
         while start < end and len(self.at(start, len(mark))) == len(mark):
@@ -84,6 +93,36 @@ class Found:
         return sum(n for _, n in self.parts)
 
 
+@dataclass
+class Some:
+    """Records in their order: where they begin, their sizes and heads, and the places and lengths of all their parts."""
+
+    offsets: list[int]
+    sizes: list[int]
+    starts: list[int]
+    lengths: list[int]
+    heads: list[tuple] | None = None
+
+
+def some(records: Iterator[Found]) -> Iterator[Some]:
+    """Found records, BATCH bytes or 8192 of them at a time, about."""
+    made, held = Some([], [], [], [], []), 0
+    for r in records:
+        size = r.size
+        made.offsets.append(r.offset)
+        made.sizes.append(size)
+        made.heads.append(r.head)
+        for start, n in r.parts:
+            made.starts.append(start)
+            made.lengths.append(n)
+        held += size
+        if held >= BATCH or len(made.sizes) == 8192:
+            yield made
+            made, held = Some([], [], [], [], []), 0
+    if made.sizes:
+        yield made
+
+
 class _Chained:
     """Frames without anything between them."""
 
@@ -119,9 +158,13 @@ class _Chained:
             at = after
         return at
 
+    def some(self, data: Bytes, at: int, end: int) -> Iterator[Some]:
+        """What `records` gives, many at a time."""
+        return some(self.records(data, at, end))
+
     def scan(self, data: Bytes, at: int, end: int) -> tuple[int, int]:
         """What `next` gives, and how many records begin from `at` to end."""
-        return self.next(data, at, end), sum(1 for _ in self.records(data, at, end))
+        return self.next(data, at, end), sum(len(x.sizes) for x in self.some(data, at, end))
 
 
 class Fortran(_Chained):
@@ -130,6 +173,8 @@ class Fortran(_Chained):
     Empty records are read but not looked for, since runs of zeros look like them.
     """
 
+    LENGTH = struct.Struct(">I")
+
     def after(self, data, at):
         if at + 8 > data.size:
             return None
@@ -151,16 +196,41 @@ class Fortran(_Chained):
             for p in np.flatnonzero(fits[: end - lo]).tolist():
                 yield lo + p
 
+    def _holds(self, data, at, end):
+        try:
+            return super()._holds(data, self.scan(data, at, end)[0], end)
+        except Broken:
+            return False
+
     def scan(self, data, at, end):
         n = 0
-        while at < end and (after := self.after(data, at)) is not None:
-            at, n = after, n + 1
+        for x in self.some(data, at, end):
+            at, n = x.starts[-1] + x.sizes[-1] + 4, n + len(x.sizes)
         return at, n
 
     def records(self, data, at, end):
-        while at < end and (after := self.after(data, at)) is not None:
-            yield Found(at, [(at + 4, after - at - 8)])
-            at = after
+        for x in self.some(data, at, end):
+            yield from (Found(*f) for f in zip(x.offsets, ([p] for p in zip(x.starts, x.sizes))))
+
+    def some(self, data, at, end):
+        number = self.LENGTH.unpack_from
+        while at < end and at + 8 <= data.size:
+            held, lo = data.window(at)
+            p, stop, last, places, sizes = at - lo, end - lo, len(held) - 4, [], []
+            while p < stop and p < last:
+                n = number(held, p)[0]
+                behind = p + 4 + n
+                if behind > last or number(held, behind)[0] != n:
+                    break
+                places.append(lo + p)
+                sizes.append(n)
+                p = behind + 4
+            if not places:
+                # Longer than a window, or broken.
+                p = self.after(data, at) - lo
+                places, sizes = [at], [p + lo - at - 8]
+            yield Some(places, sizes, [x + 4 for x in places], sizes)
+            at = lo + p
 
 
 class Spanned(_Chained):
@@ -246,7 +316,7 @@ class Spanned(_Chained):
 class ControlWords(_Chained):
     """Words of 64 bits in blocks of 4096 bytes, which begin with a control word that has their number; others end records and files."""
 
-    BLOCK = 4096
+    BLOCK, WORD = 4096, struct.Struct(">Q")
 
     def after(self, data, at):
         if at >= data.size:
@@ -272,27 +342,65 @@ class ControlWords(_Chained):
             p = None if kind == 15 else p + 8 + ahead
 
     def records(self, data, at, end):
+        for x in self.some(data, at, end):
+            k = 0
+            for offset, size in zip(x.offsets, x.sizes):
+                parts = []
+                while size:
+                    parts.append((x.starts[k], x.lengths[k]))
+                    size, k = size - x.lengths[k], k + 1
+                yield Found(offset, parts)
+
+    def some(self, data, at, end):
         # A record begins behind the control word that ends the one before it, which may be the last of the block before.
-        held = Found(at, []) if at == 0 or self._closed(data, at - self.BLOCK) else None
-        while (at < end or held) and self.after(data, at) is not None:
-            for place, kind, unused, ahead in self._words(data, at):
-                if kind == 15:
-                    return
+        begun = at if at == 0 or self._closed(data, at - self.BLOCK) else None
+        made, starts, lengths, held, number = Some([], [], [], []), [], [], 0, self.WORD.unpack_from
+        while at < end or begun is not None:
+            after = self.after(data, at)
+            if after is None:
+                break
+            block = data.at(at, after - at)
+            p, n = 0, after - at
+            while p + 8 <= n:
+                word = number(block, p)[0]
+                kind = word >> 60
                 if kind == 8:
-                    if held:
-                        if held.parts:
-                            held.parts[-1] = (held.parts[-1][0], held.parts[-1][1] - unused // 8)
-                        yield held
-                if kind in (8, 14):
+                    if begun is not None:
+                        if lengths:
+                            lengths[-1] -= (word >> 54 & 63) // 8
+                        size = sum(lengths)
+                        made.offsets.append(begun)
+                        made.sizes.append(size)
+                        if size:
+                            made.starts += starts
+                            made.lengths += lengths
+                        held += size
+                elif kind == 15:
+                    if made.sizes:
+                        yield made
+                    return
+                elif kind not in (0, 14) or kind == 0 and p:
+                    raise Broken(f"unknown control word at byte {at + p}")
+                if kind:
                     if at >= end:
+                        if made.sizes:
+                            yield made
                         return
-                    held = Found(place + 8, [])
-                if held and ahead:
-                    held.parts.append((place + 8, ahead))
-            if at + self.BLOCK >= end and held and not held.parts and self._closed(data, at):
+                    begun, starts, lengths = at + p + 8, [], []
+                ahead = min(8 * (word & 511), n - p - 8)
+                if ahead and begun is not None:
+                    starts.append(at + p + 8)
+                    lengths.append(ahead)
+                p += 8 + ahead
+            if at + self.BLOCK >= end and begun is not None and not lengths and self._closed(data, at):
                 # What begins with the next block is its range's.
-                return
+                break
             at += self.BLOCK
+            if held >= BATCH or len(made.sizes) >= 8192:
+                yield made
+                made, held = Some([], [], [], []), 0
+        if made.sizes:
+            yield made
 
     def _closed(self, data: Bytes, at: int) -> bool:
         """Whether the last word of a block is a control word that ends a record or file."""
@@ -326,16 +434,16 @@ class Equal(_Chained):
 class Marked:
     """Messages that begin with a mark, say how long they are and end with four sevens; what lies between is left."""
 
-    MARK = b""
+    MARK, HEAD = b"", 24
 
-    def measure(self, data: Bytes, at: int) -> tuple[int, tuple] | None:
-        """Length and head of the message at a mark; None where it is none."""
+    def measure(self, raw: bytes) -> tuple[int, tuple] | None:
+        """Length and head of the message of these first HEAD bytes; None where it is none."""
         raise NotImplementedError
 
     def _messages(self, data: Bytes, at: int, end: int) -> Iterator[tuple[int, int, tuple]]:
         """Messages that begin from `at` to end: place, length, head."""
         while (at := data.find(self.MARK, at, end)) >= 0:
-            found = self.measure(data, at)
+            found = self.measure(data.at(at, self.HEAD))
             if found and found[0] >= LEAST_MESSAGE and at + found[0] <= data.size and data.at(at + found[0] - 4, 4) == b"7777":
                 yield at, *found
                 at += found[0]
@@ -358,18 +466,33 @@ class Marked:
         for p, size, head in self._messages(data, at, end):
             yield Found(p, [(p, size)], head)
 
+    def some(self, data, at, end):
+        made, held = Some([], [], [], [], []), 0
+        for p, size, head in self._messages(data, at, end):
+            made.offsets.append(p)
+            made.sizes.append(size)
+            made.heads.append(head)
+            held += size
+            if held >= BATCH or len(made.sizes) == 8192:
+                made.starts, made.lengths = made.offsets, made.sizes
+                yield made
+                made, held = Some([], [], [], [], []), 0
+        made.starts, made.lengths = made.offsets, made.sizes
+        if made.sizes:
+            yield made
+
 
 class Gridded(Marked):
     """Gridded messages of editions 1 and 2; code: parameter or discipline."""
 
     MARK = b"GRIB"
 
-    def measure(self, data, at):
-        edition = data.number(at + 7, 1)
+    def measure(self, raw):
+        edition = raw[7] if len(raw) > 7 else 0
         if edition == 1:
-            return data.number(at + 4, 3), (1, data.number(at + 12, 1), data.number(at + 16, 1))
+            return _number(raw[4:7]), (1, _number(raw[12:13]), _number(raw[16:17]))
         if edition == 2:
-            return data.number(at + 8, 8), (2, data.number(at + 21, 2), data.number(at + 6, 1))
+            return _number(raw[8:16]), (2, _number(raw[21:23]), _number(raw[6:7]))
         return None
 
 
@@ -378,12 +501,17 @@ class Reported(Marked):
 
     MARK = b"BUFR"
 
-    def measure(self, data, at):
-        edition = data.number(at + 7, 1)
+    def measure(self, raw):
+        edition = raw[7] if len(raw) > 7 else 0
         if edition < 2:
             return None
-        wide = edition >= 4
-        return data.number(at + 4, 3), (edition, data.number(at + 12, 2) if wide else data.number(at + 13, 1), data.number(at + (18 if wide else 16), 1))
+        if edition >= 4:
+            return _number(raw[4:7]), (edition, _number(raw[12:14]), _number(raw[18:19]))
+        return _number(raw[4:7]), (edition, _number(raw[13:14]), _number(raw[16:17]))
+
+
+def _number(raw: bytes) -> int:
+    return int.from_bytes(raw, "big")
 
 
 KINDS = {"f77": Fortran, "vbs": Spanned, "cos": ControlWords, "grib": Gridded, "bufr": Reported, "equal": Equal}
@@ -463,22 +591,55 @@ class FramedReader(DataSourceReader):
                 yield from self._records(kind, data, partition)
 
     def _records(self, kind, data: Bytes, r: Range) -> Iterator[pa.RecordBatch]:
-        names, rows, held = [x.split()[0] for x in RECORDS.split(", ")], [], 0
+        names, base, schema = [x.split()[0] for x in RECORDS.split(", ")], r.base, _arrow(RECORDS)
         tests = [(names.index(f.column), f) for f in self.tests if not getattr(f, "of_range", False)]
-        schema = _arrow(RECORDS)
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-        for n, found in enumerate(kind.records(data, r.first, r.end)):
-            size = found.size
-            head = (r.path, r.base + n, found.offset, size, *found.head)
+        for x in kind.some(data, r.first, r.end):
+            n = len(x.sizes)
+            heads = [list(c) for c in zip(*x.heads)] if x.heads is not None else [[None] * n] * 3
+            columns = [[r.path] * n, list(range(base, base + n)), x.offsets, x.sizes, *heads]
+            base += n
             # Heads that the pushed filters refuse are passed over before their contents are read.
-            if all(head[k] is not None and f(head[k]) for k, f in tests):
-                rows.append((*head, b"".join([data.at(p, length) for p, length in found.parts])))
-                held += size
-            if held >= BATCH or len(rows) == 8192:
-                yield batch()
-                rows, held = [], 0
-        if rows:
-            yield batch()
+            if tests:
+                kept = [k for k in range(n) if all(columns[c][k] is not None and f(columns[c][k]) for c, f in tests)]
+                columns = [[c[k] for k in kept] for c in columns]
+                x = _chosen(x, kept)
+            if x.sizes:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, schema)), _contents(data, x)], schema=schema)
+
+
+def _chosen(x: Some, kept: list[int]) -> Some:
+    """The records of these numbers."""
+    first = np.searchsorted(np.cumsum(x.lengths), np.cumsum(x.sizes) - x.sizes, "right").tolist()
+    starts, lengths = [], []
+    for k in kept:
+        left, p = x.sizes[k], first[k]
+        while left:
+            starts.append(x.starts[p])
+            lengths.append(x.lengths[p])
+            left, p = left - x.lengths[p], p + 1
+    return Some([x.offsets[k] for k in kept], [x.sizes[k] for k in kept], starts, lengths)
+
+
+def _contents(data: Bytes, x: Some) -> pa.BinaryArray:
+    """The records' bytes: read as one where little lies between their parts, else part by part."""
+    starts, lengths, sizes = (np.array(c, np.int64) for c in (x.starts, x.lengths, x.sizes))
+    held = int(sizes.sum())
+    if held >= 1 << 31:
+        raise ValueError("records of 2 GB or more at a time do not fit a column")
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    lo, hi = (int(starts[0]), int(starts[-1] + lengths[-1])) if len(starts) else (0, 0)
+    if not held:
+        joined = b""
+    elif hi - lo <= min(2 * held + (1 << 16), 1 << 30) and (np.diff(starts) >= lengths[:-1]).all():
+        # Parts and what lies between them in turn; the parts are taken.
+        cuts = np.empty(2 * len(starts), np.int32)
+        cuts[::2], cuts[1::2] = starts - lo, starts + lengths - lo
+        turns = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data.at(lo, hi - lo))])
+        taken = turns.take(pa.array(np.arange(0, len(cuts) - 1, 2)))
+        joined = taken.buffers()[2]
+    else:
+        joined = b"".join([data.at(p, n) for p, n in zip(x.starts, x.lengths)])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(joined)])
 
 
 @dataclass
@@ -587,43 +748,172 @@ def framed(kind: str, most: int = 0):
     return {"f77": f77, "vbs": vbs, "cos": cos}.get(kind, iter)
 
 
+def _moved(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: int, after: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of data, each with so many zeros before and behind it, and where the pieces begin there."""
+    ends = np.cumsum(sizes + before + after)
+    places = ends - after - sizes
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    to, held = memoryview(out), memoryview(data)
+    for start, size, place in zip(starts.tolist(), sizes.tolist(), places.tolist()):
+        to[place : place + size] = held[start : start + size]
+    return out, places
+
+
+def _put(out: np.ndarray, places: np.ndarray, numbers: np.ndarray, kind: str) -> None:
+    """Numbers written at places."""
+    raw = np.ascontiguousarray(numbers.astype(kind)).view(np.uint8).reshape(len(numbers), -1)
+    out[places[:, None] + np.arange(raw.shape[1])] = raw
+
+
+def framed_batch(kind: str, records: pa.LargeBinaryArray, most: int = 0) -> Iterator[bytes | np.ndarray]:
+    """What `framed` makes of the records, all at once. For kind cos their number, the words of each, and words without blocks, which `laid_blocks` reads."""
+    ends = np.frombuffer(records.buffers()[1], np.int64)[records.offset : records.offset + len(records) + 1]
+    held = records.buffers()[2]
+    data, starts, sizes = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8), ends[:-1], np.diff(ends)
+    if kind == "f77":
+        if len(sizes) and sizes.max() >> 32:
+            raise ValueError("a record of 4 GB or more has no length of four bytes")
+        out, places = _moved(data, starts, sizes, 4, 4)
+        _put(out, places - 4, sizes, ">u4")
+        _put(out, places + sizes, sizes, ">u4")
+        yield out
+    elif kind == "vbs":
+        size = most or 32752
+        pieces = np.maximum(1, -(-sizes // size))
+        of = np.repeat(np.arange(len(sizes)), pieces)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lengths = np.minimum(size, sizes[of] - k * size)
+        out, places = _moved(data, starts[of] + k * size, lengths, 8, 0)
+        last = k == pieces[of] - 1
+        code = np.where(pieces[of] == 1, 0, np.where(k == 0, 1, np.where(last, 2, 3)))
+        _put(out, places - 8, (lengths + 8) << 48 | (lengths + 4) << 16 | code << 8, ">u8")
+        yield out
+    elif kind == "cos":
+        pad = -sizes % 8
+        out, places = _moved(data, starts, sizes, 0, pad + 8)
+        _put(out, places + sizes + pad, np.uint64(8 << 60) | (8 * pad).astype(np.uint64) << np.uint64(54), ">u8")
+        yield np.array([len(sizes)], ">i8")
+        yield ((sizes + pad) // 8).astype(">i8")
+        yield out
+    else:
+        yield data[int(ends[0]) : int(ends[-1])]
+
+
+def laid_blocks(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """Blocks of kind cos of (words of each record, words with a control word behind each record), and the ends of file and data.
+
+    A control word says how many words follow up to the next one in its block, so a block is laid out once all its words are there.
+    """
+    room, number, words, controls = ControlWords.BLOCK // 8 - 1, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def blocks(words, controls, ended):
+        n = len(words) // room
+        flags = np.zeros((n, room + 2), bool)
+        flags[:, 0] = flags[:, -1] = True
+        flags[controls // room, controls % room + 1] = True
+        places = np.flatnonzero(flags)
+        row, at = places // (room + 2), places % (room + 2)
+        inside = at <= room
+        ahead = np.diff(places, append=places[-1] + 1)[inside] - 1
+        if ended:
+            ahead[-1] = 0
+        out = np.zeros((n, room + 1), np.uint64)
+        out[:, 1:] = words.reshape(n, room)
+        out[:, 0] = (np.arange(number, number + n).astype(np.uint64) & np.uint64(0xFFFFFF)) << np.uint64(9)
+        out[row[inside], at[inside]] |= ahead.astype(np.uint64)
+        return out.astype(">u8")
+
+    for sizes, held in parts:
+        controls = np.concatenate([controls, len(words) + np.cumsum(sizes + 1) - 1])
+        words = np.concatenate([words, held.astype(np.uint64)])
+        if n := len(words) // room:
+            full = controls < n * room
+            yield blocks(words[: n * room], controls[full], False)
+            number += n
+            words, controls = words[n * room :], controls[~full] - n * room
+    controls = np.concatenate([controls, [len(words), len(words) + 1]])
+    words = np.concatenate([words, np.array([14 << 60, 15 << 60], np.uint64)])
+    yield blocks(np.concatenate([words, np.zeros(-len(words) % room, np.uint64)]), controls, True)
+
+
+def _chunks(store, path: str, kind: str) -> Iterator:
+    """What a written part holds, some of it at a time."""
+    with store.open_input_stream(path, compression=None) as held:
+        while kind == "cos" and (n := held.read(8)):
+            sizes = np.frombuffer(held.read(8 * int.from_bytes(n, "big")), ">i8").astype(np.int64)
+            yield sizes, np.frombuffer(held.read(8 * int(sizes.sum() + len(sizes))), ">u8")
+        while kind != "cos" and (x := held.read(BATCH)):
+            yield x
+
+
 def write_framed(df: DataFrame, folder: str, kind: str, file: str, order: str, record: str = "record", most: int = 0) -> DataFrame:
     """path and records of a file for each value of column `file` (text that may name a file), its records framed in order; null records are left out.
 
-    folder is a path or URI that all executors reach. A task streams its files, each under a name of the attempt first, so that
-    an attempt that is lost leaves no file of that name. The result is what the files hold and must be run once.
+    folder is a path or URI that all executors reach. Rows are sorted and framed in ranges of file and order, PART_ROWS in each, about, however few the files are;
+    then a task a file puts its parts one behind the other as they are (kind cos: lays their words into blocks). Parts and files have a name of the attempt first,
+    so that an attempt that is lost leaves no file of that name. Rows of df are counted first; the result is what the files hold and must be run once.
     """
 
-    def run(batches):
+    def store_of():
+        return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+    def parts(batches):
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, root = store_of()
         store.create_dir(root, recursive=True)
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        runs = ((name, x) for b in batches for name, x in _runs(b[file], b[record]))
+        for name, held in groupby(runs, key=lambda x: x[0]):
+            n, made = 0, f".{name}-{part}-{attempt}"
+            with store.open_output_stream(f"{root}/{made}", compression=None) as out:
+                for _, x in held:
+                    n += len(x)
+                    for piece in framed_batch(kind, x, most):
+                        out.write(pa.py_buffer(piece))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((name, part, made, n), _arrow(PARTS).types)], schema=_arrow(PARTS))
+
+    def files(batches):
+        from pyspark import TaskContext
+
+        store, root = store_of()
         attempt = TaskContext.get().taskAttemptId()
-        rows = ((f, r) for b in batches for f, r in zip(b[file].to_pylist(), b[record].to_pylist()) if r is not None and f is not None)
-        for name, held in groupby(rows, key=lambda x: x[0]):
-            n = 0
-
-            def counted():
-                nonlocal n
-                for _, r in held:
-                    n += 1
-                    yield r
-
-            with store.open_output_stream(f"{root}/.{name}-{attempt}", compression=None) as out:
-                pieces, size = [], 0
-                for piece in framed(kind, most)(counted()):
-                    pieces.append(piece)
-                    size += len(piece)
-                    if size >= WINDOW:
-                        out.write(b"".join(pieces))
-                        pieces, size = [], 0
-                out.write(b"".join(pieces))
-            store.move(f"{root}/.{name}-{attempt}", f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]})
-
-    chosen = df.select(file, order, record).repartition(file).sortWithinPartitions(file, order)
-    return chosen.mapInArrow(run, "path string, records long")
+        rows = (r for b in batches for r in b.to_pylist())
+        for name, held in groupby(rows, key=lambda r: r["file"]):
+            made = list(held)
+            names = [f"{root}/{r['name']}" for r in made]
+            # Parts are deleted behind the file: without one of them an attempt before has made it.
+            if all(i.type == fs.FileType.File for i in store.get_file_info(names)):
+                whole = f"{root}/.{name}-{attempt}"
+                if len(names) == 1 and kind != "cos":
+                    whole = names[0]
+                else:
+                    with store.open_output_stream(whole, compression=None) as out:
+                        pieces = (x for path in names for x in _chunks(store, path, kind))
+                        for x in laid_blocks(pieces) if kind == "cos" else pieces:
+                            out.write(pa.py_buffer(x))
+                store.move(whole, f"{root}/{name}")
+            elif store.get_file_info(f"{root}/{name}").type != fs.FileType.File:
+                raise FileNotFoundError(f"parts of {name} are missing")
+            for path in names:
+                if store.get_file_info(path).type == fs.FileType.File:
+                    store.delete_file(path)
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [sum(r["records"] for r in made)]})
+
+    n = df.count() // PART_ROWS + 1
+    chosen = df.select(file, order, record).repartitionByRange(n, file, order).sortWithinPartitions(file, order).mapInArrow(parts, PARTS)
+    # A number of partitions of its own, so that small rows that stand for long files are not put together in one task.
+    apart = max(n, df.sparkSession.sparkContext.defaultParallelism)
+    return chosen.repartition(apart, "file").sortWithinPartitions("file", "part").mapInArrow(files, "path string, records long")
+
+
+def _runs(names: pa.Array, records: pa.Array) -> Iterator[tuple[str, pa.LargeBinaryArray]]:
+    """A name and the records of each run of one name; rows without one of both are left out."""
+    there = pc.and_(pc.is_valid(names), pc.is_valid(records))
+    runs, records, start = pc.run_end_encode(names.filter(there).cast(pa.string())), records.filter(there).cast(pa.large_binary()), 0
+    for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+        yield name, records.slice(start, end - start)
+        start = end
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -194,3 +194,53 @@ def test_messages_are_looked_for_without_copies(tmp_path):
         data = Counted(file, path.stat().st_size)
         assert sum(1 for _ in framed.Reported().records(data, 0, data.size)) == 3000
     assert taken < 3 * data.size
+
+
+@pytest.mark.parametrize("kind", ["f77", "vbs", "cos", "grib"])
+def test_one_file_is_framed_by_many_tasks(spark, tmp_path, monkeypatch, kind):
+    """Parts of a file made apart hold, one behind the other, what one task would write; nothing else is left."""
+    monkeypatch.setattr(framed, "PART_ROWS", 40)
+    rows = [("a" if k % 5 else "b", k, bytes_of([0, 3, 60, 700, 4072][k % 5] if k % 7 else k % 50)) for k in range(400)]
+    df = spark.createDataFrame(rows, "file string, at int, record binary").repartition(3)
+    made = framed.write_framed(df, f"file://{tmp_path}/out", kind, "file", "at", most=100)
+    assert "rangepartitioning(file" in made._jdf.queryExecution().toString()
+    assert {r["path"][-1]: r["records"] for r in made.collect()} == {"a": 320, "b": 80}
+    for name in "ab":
+        assert (tmp_path / "out" / name).read_bytes() == b"".join(framed.framed(kind, 100)(r for f, _, r in rows if f == name)), name
+    assert {p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")} == {"a", "b"}
+
+
+@pytest.mark.parametrize("kind, most", [("f77", 0), ("vbs", 0), ("vbs", 13), ("cos", 0)])
+def test_batches_are_framed_as_records_are(kind, most):
+    import numpy as np
+    import pyarrow as pa
+
+    for records in ([b""] * 3, [bytes_of(n) for n in (4080, 1, 4072, 4064, 0, 0, 12000, 7, 4088, 8, 4096, 3)], [bytes_of(4072)] * 9, [bytes_of(RNG.randrange(90)) for _ in range(900)]):
+        for cut in (1, 7, 1000):
+            parts = [pa.array([b"?", *records[k : k + cut]], pa.large_binary()).slice(1) for k in range(0, len(records), cut)]
+            made = [list(framed.framed_batch(kind, x, most)) for x in parts]
+            blocks = framed.laid_blocks((np.array(x[1], np.int64), x[2].view(">u8")) for x in made) if kind == "cos" else (y for x in made for y in x)
+            assert b"".join(x.tobytes() for x in blocks) == b"".join(framed.framed(kind, most)(records))
+
+
+@pytest.mark.parametrize("kind, most", [("f77", 0.1), ("cos", 0.1), ("bufr", 3.1)])
+def test_records_are_not_looked_up_byte_by_byte(tmp_path, kind, most):
+    """How often bytes are asked for, a record, both when ranges are found and when records are read."""
+    records = [bytes_of(40) for _ in range(5000)]
+    data = b"".join(bufr(3, 4, r) for r in records) if kind == "bufr" else b"".join(framed.framed(kind)(records))
+    (tmp_path / "many").write_bytes(data)
+    asked = 0
+
+    class Counted(framed.Bytes):
+        def at(self, start, n):
+            nonlocal asked
+            asked += 1
+            return super().at(start, n)
+
+    with framed.opened(str(tmp_path / "many")) as file:
+        held, reader = Counted(file, len(data)), framed.FramedReader({"kind": kind, "length": "0"})
+        assert framed.kind_of({"kind": kind}).scan(held, 0, len(data))[1] == 5000
+        found, asked = asked, 0
+        rows = [r for b in reader._records(framed.kind_of({"kind": kind}), held, framed.Range("", len(data), 0, len(data), 0)) for r in b.to_pylist()]
+    assert [r["rec_no"] for r in rows] == list(range(5000)) and (kind == "bufr" or [r["record"] for r in rows] == records)
+    assert max(found, asked) <= most * 5000, (found, asked)
