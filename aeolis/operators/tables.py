@@ -46,6 +46,13 @@ def delete(table: DataFrame, where: Column) -> DataFrame:
     return table.filter(~F.coalesce(where, F.lit(False)))
 
 
-def replace_groups(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
-    """table with all rows of the keys in rows exchanged for these, so that stale ones go."""
-    return table.join(rows.select(*keys).distinct(), list(keys), "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
+def replace_groups(table: DataFrame, rows: DataFrame, *keys: str, groups: DataFrame | None = None, parts: int = 1) -> DataFrame:
+    """table with all rows of the keys in rows exchanged for these, so that stale ones go.
+
+    groups: rows with the keys that go instead, of which some may get no rows. parts: partitions in which the table meets the keys. One that grows with
+    the table bounds what a task sorts for the join, since Spark by itself puts as many rows in one as fit its bytes when compressed; with 1 it is left to Spark.
+    """
+    stale, old = (rows if groups is None else groups).select(*keys), table
+    if parts > 1:
+        stale, old = stale.repartition(parts, *keys), table.repartition(parts, *keys)
+    return old.join(stale.distinct(), list(keys), "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))

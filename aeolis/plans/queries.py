@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bitmaps, dates, geo, grids, met, soundings, text
-from ..operators import catalog, joins, search, series, tables
+from ..operators import catalog, joins, ranges, search, series, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -535,10 +535,9 @@ def rows_updated_deleted(spark, sf_dir):
 def groups_replaced(spark, sf_dir):
     """The lines of every fifth order give way to its first two, with no quantity; orders without these keep theirs."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    fifth = lines.filter("l_orderkey % 5 = 0").select("l_orderkey").distinct()
-    fresh = lines.filter("l_orderkey % 5 = 0 AND l_linenumber <= 2").withColumn("l_quantity", F.lit(0.0))
-    kept = tables.replace_groups(lines, fresh, "l_orderkey")
-    return kept.join(fifth.join(fresh.select("l_orderkey").distinct(), "l_orderkey", "left_anti"), "l_orderkey", "left_anti").select(*lines.columns)
+    fifth = lines.filter("l_orderkey % 5 = 0")
+    fresh = fifth.filter("l_linenumber <= 2").withColumn("l_quantity", F.lit(0.0))
+    return tables.replace_groups(lines, fresh, "l_orderkey", groups=fifth, parts=ranges.range_count(lines.count()))
 
 
 # --- intervals and pairs

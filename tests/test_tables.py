@@ -155,3 +155,28 @@ def test_small_keys_need_no_ranges(spark, monkeypatch):
         found[most] = [sorted(map(str, f(rows, history, "k", "ts", "s", "e").collect())) for f in (joins.history_join, joins.interval_join)]
         assert len(asked) == (0 if most > 1000 else 2)
     assert found[10] == found[1 << 18]
+
+
+def test_groups_give_way_with_and_without_rows(spark):
+    table = spark.createDataFrame([(k % 9, k) for k in range(90)] + [(None, 1)], "k int, v int")
+    rows = spark.createDataFrame([(2, 100), (11, 110)], "k int, v int")
+    groups = spark.createDataFrame([(2,), (2,), (5,), (None,)], "k int")
+    want = sorted([(k % 9, k) for k in range(90) if k % 9 not in (2, 5)] + [(None, 1), (2, 100), (11, 110)], key=repr)
+    for parts in (1, 7):
+        assert sorted(map(tuple, tables.replace_groups(table, rows, "k", groups=groups, parts=parts).collect()), key=repr) == want
+
+
+def test_partitions_of_replaced_groups_grow_with_the_lines(spark, monkeypatch):
+    """What a task sorts is bounded: the lines meet the keys once, in as many partitions as their number asks for."""
+    from aeolis.operators import ranges
+    from aeolis.plans.queries import QUERIES
+
+    path = "/root/testdata/sf0.001"
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 300)
+    n = spark.read.parquet(f"{path}/lineitem.parquet").count() // 300 + 1
+    found = QUERIES["groups_replaced"](spark, path)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert n > 10 and plan.count("LeftAnti") == 1 and plan.count(f"RepartitionByExpression [l_orderkey") == 2 and f"], {n}" in plan
+    lines = spark.read.parquet(f"{path}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity").collect()
+    want = [(k, i, 0.0 if k % 5 == 0 else q) for k, i, q in lines if k % 5 or i <= 2]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
